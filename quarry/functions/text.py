@@ -160,6 +160,59 @@ def resolve_markdown_refs(md: Column) -> Column:
 
 
 def markdown_images(md: Column) -> Column:
-    """Distinct absolute image URLs referenced by a markdown text."""
-    refs = F.regexp_extract_all(md, F.lit(r"!\[[^\]]*\]\((https?://[^)]+)\)"), 1)
-    return F.array_distinct(refs)
+    """Distinct absolute http(s) image URLs among the refs of a markdown text
+    (refs are scanned whole, left to right, as the resolver does)."""
+    refs = F.regexp_extract_all(md, F.lit(MD_REF_RE), 0)
+    imgs = F.filter(refs, lambda r: r.startswith("!["))
+    targets = F.transform(imgs, lambda r: F.regexp_extract(r, r"^!\[[^\]]*\]\(([^)]+)\)$", 1))
+    return F.array_distinct(F.filter(targets, lambda t: t.rlike("^https?://")))
+
+
+# ------------------------------------------------------------ data URIs
+
+DATA_URI_RE = r"""(?i)(src\s*=\s*)(["'])data:image/([^;]+);base64,([^"']+)\2"""
+
+
+def data_uri_payloads(html: Column) -> Column:
+    """Base64 payloads of ``src="data:image/...;base64,..."`` attributes."""
+    return F.regexp_extract_all(html, F.lit(DATA_URI_RE), 4)
+
+
+def encode_b64(b: Column) -> Column:
+    """Bytes → base64 text on one line (Spark may wrap at 76 characters)."""
+    return F.regexp_replace(F.base64(b), "[\r\n]", "")
+
+
+def decode_b64(s: Column) -> Column:
+    """Base64 text → bytes; null when undecodable."""
+    return F.try_to_binary(s, F.lit("base64"))
+
+
+def replace_data_uris(html: Column) -> Column:
+    """Replace each decodable data-URI image by its content-hash reference.
+
+    Matches are cut apart on a sentinel, each payload is decoded and hashed
+    in a ``transform`` and the pieces are joined back; undecodable payloads
+    stay as they were.
+    """
+    marked = F.regexp_replace(html, DATA_URI_RE, SENTINEL + "$0" + SENTINEL)
+    parts = F.split(marked, SENTINEL, -1)
+
+    def fix(p, i):
+        payload = F.regexp_extract(p, DATA_URI_RE, 4)
+        raw = decode_b64(payload)
+        rep = F.concat(F.regexp_extract(p, DATA_URI_RE, 1), F.regexp_extract(p, DATA_URI_RE, 2),
+                       F.sha2(raw, 256), F.regexp_extract(p, DATA_URI_RE, 2))
+        return F.when((i % 2 == 1) & raw.isNotNull(), rep).otherwise(p)
+    return F.array_join(F.transform(parts, fix), "")
+
+
+# ------------------------------------------------------ model response split
+
+def ocr_section(resp: Column) -> Column:
+    """Text between ``OCR:`` and ``DESC:`` of an image-description response."""
+    return py_strip(F.regexp_extract(resp, r"(?s)OCR:(.*?)(?:\nDESC:|$)", 1))
+
+
+def desc_section(resp: Column) -> Column:
+    return py_strip(F.regexp_extract(resp, r"(?s)\nDESC:(.*)$", 1))

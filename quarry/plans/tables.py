@@ -28,8 +28,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def ts_ntz(base: str) -> F.Column:
+    return F.expr(f"TIMESTAMP_NTZ'{base}'")
+
+
 def ts_plus_seconds(base: str, secs) -> F.Column:
-    return F.timestamp_seconds(F.unix_timestamp(F.lit(base)) + secs)
+    """``base + secs`` seconds as TIMESTAMP_NTZ (independent of session time zone)."""
+    return F.timestampadd("SECOND", secs, ts_ntz(base))
+
+
+def epoch_seconds(ts) -> F.Column:
+    """Seconds since 1970-01-01 of an NTZ timestamp, as BIGINT."""
+    return F.timestampdiff("SECOND", ts_ntz("1970-01-01 00:00:00"), ts).cast("bigint")
 
 
 def files_table(spark: SparkSession, sf_dir: str) -> DataFrame:
