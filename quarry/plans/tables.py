@@ -34,12 +34,12 @@ def ts_ntz(base: str) -> F.Column:
 
 def ts_plus_seconds(base: str, secs) -> F.Column:
     """``base + secs`` seconds as TIMESTAMP_NTZ (independent of session time zone)."""
-    return F.timestampadd("SECOND", secs, ts_ntz(base))
+    return F.timestamp_add("SECOND", secs, ts_ntz(base))
 
 
 def epoch_seconds(ts) -> F.Column:
     """Seconds since 1970-01-01 of an NTZ timestamp, as BIGINT."""
-    return F.timestampdiff("SECOND", ts_ntz("1970-01-01 00:00:00"), ts).cast("bigint")
+    return F.timestamp_diff("SECOND", ts_ntz("1970-01-01 00:00:00"), ts).cast("bigint")
 
 
 def files_table(spark: SparkSession, sf_dir: str) -> DataFrame:
