@@ -28,3 +28,41 @@ def image_profile(content: Column) -> Column:
     width = F.when(png, _be(content, 17, 4)).when(gif, _le(content, 7, 2)).when(bmp, _le(content, 19, 4))
     height = F.when(png, _be(content, 21, 4)).when(gif, _le(content, 9, 2)).when(bmp, _le(content, 23, 4))
     return F.struct(mime.alias("mime"), width.alias("width"), height.alias("height"))
+
+
+# ------------------------------------------------------------ image text
+
+IMG_REF_RE = r"!\[[^\]]*\]\(([a-f0-9]{64})\)"
+
+
+def inject_image_text(docs, image_texts, key: str, md_col: str = "markdown"):
+    """Place each referenced image's text right after its reference:
+    ``![](sha)<!--img:sha-->text<!--/img:sha-->``; unresolved refs stay.
+
+    Only (doc key, ref) pairs and the image texts are shuffled: the distinct
+    refs of each document are joined to the texts and folded into a small
+    per-document map, which is joined back once and applied with a
+    ``transform`` over the split markdown."""
+    from ..functions.text import SENTINEL
+    refs = docs.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(md_col), F.lit(IMG_REF_RE), 1)))
+                       .alias("sha256"))
+    found = refs.join(image_texts.select("sha256", F.col("text").alias("_t")), "sha256")
+    per_doc = found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("sha256", "_t"))).alias("_m"))
+    j = docs.join(per_doc, key, "left")
+    parts = F.split(F.regexp_replace(F.col(md_col), IMG_REF_RE, SENTINEL + "$0" + SENTINEL), SENTINEL, -1)
+
+    def fix(p, i):
+        sha = F.regexp_extract(p, "^" + IMG_REF_RE + "$", 1)
+        t = F.col("_m")[sha]
+        return F.when((i % 2 == 1) & t.isNotNull(),
+                      F.concat(p, F.lit("<!--img:"), sha, F.lit("-->"), t, F.lit("<!--/img:"), sha, F.lit("-->"))
+                      ).otherwise(p)
+    out = F.when(F.col("_m").isNull(), F.col(md_col)).otherwise(F.array_join(F.transform(parts, fix), ""))
+    return j.withColumn(md_col, out).drop("_m")
+
+
+def attach_embeddings(chunks, vectors, key: str, dim: int):
+    """Set the vector on chunk rows from a result table, keeping only vectors
+    of the expected dimension."""
+    v = vectors.filter(F.size("embedding") == dim)
+    return chunks.join(v, key)

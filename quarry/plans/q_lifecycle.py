@@ -199,7 +199,7 @@ def _chunk_queue(spark, sf_dir):
            .agg(F.min(F.col("first_doc_id") * 100 + F.col("idx")).alias("order_key"),
                 F.min("first_doc_id").alias("first_doc_id")))
     c = c.join(emb, "first_doc_id", "left")
-    return c.select("sha256", "first_doc_id", ts_plus(EPOCH, "order_key").alias("created_at") if False else
+    return c.select("sha256", "first_doc_id",
                     F.timestamp_add("SECOND", F.col("order_key"), ts_ntz(EPOCH)).alias("created_at"), "embedding")
 
 
