@@ -79,7 +79,7 @@ class BlobStore:
                    content_type: str = "application/octet-stream") -> DataFrame:
         return df.select(F.sha2(F.col(content_col), 256).alias("sha256"), F.col(content_col).alias("content"),
                          F.lit(content_type).alias("content_type"),
-                         F.octet_length(F.col(content_col)).cast("bigint").alias("length"))
+                         F.octet_length(F.col(content_col)).cast("bigint").alias("length")).dropDuplicates(["sha256"])
 
     def put(self, new: DataFrame) -> "BlobStore":
         return BlobStore(insert_if_absent(self.blobs, new, ["sha256"]))
