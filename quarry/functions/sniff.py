@@ -102,17 +102,19 @@ def csv_dialect(text: Column) -> Column:
 def is_json_doc(text: Column) -> Column:
     """Whole text is one JSON object or array."""
     t = F.regexp_replace(text, f"^[{WS}]+", "")
-    # wrapping in [...] rejects trailing values after the first one
-    one_value = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
-    return one_value & (F.startswith(t, F.lit("{")) | F.startswith(t, F.lit("[")))
+    # The variant parser stops after the first value, so a text of several
+    # one-line values (NDJSON shape) would pass: require that it is not one.
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x) != "")
+    several = (F.size(lines) >= 2) & F.forall(lines, lambda x: F.try_parse_json(x).isNotNull())
+    return F.try_parse_json(text).isNotNull() & ~several & (F.startswith(t, F.lit("{")) | F.startswith(t, F.lit("[")))
 
 
 def is_ndjson(text: Column) -> Column:
     """Every non-blank line is a JSON object (at least one line)."""
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x) != "")
     return (F.size(lines) >= 1) & F.forall(
-        lines, lambda x: F.try_parse_json(F.concat(F.lit("["), x, F.lit("]"))).isNotNull()
-        & F.startswith(F.ltrim(x), F.lit("{")))
+        lines, lambda x: F.try_parse_json(x).isNotNull() & F.startswith(F.ltrim(x), F.lit("{"))
+        & F.rtrim(x).endswith("}"))
 
 
 def route(content: Column) -> Column:
