@@ -194,14 +194,22 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(words(text), _word_trigrams)))
 
 
-def _token_rank(df: DataFrame, set_col: str, tok_col: str, freq: DataFrame) -> DataFrame:
-    w = Window.partitionBy(set_col).orderBy(F.col("df"), F.col(tok_col))
-    return df.join(freq, tok_col).withColumn("pos", F.row_number().over(w))
+def trigram_index(chunks: DataFrame, id_col: str = "sha256", text_col: str = "markdown"):
+    """The inverted trigram index: per chunk its trigram set, and per trigram
+    its document frequency.  Both are written once through a reliable
+    checkpoint in the shared checkpoint folder (an index is built once and
+    probed by many query batches; recomputation after executor loss starts
+    from it, not from the raw text)."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(chunks.sparkSession)
+    cs = chunks.select(F.col(id_col).alias("c"), trigrams(F.col(text_col)).alias("ct")).checkpoint()
+    freq = cs.select(F.explode("ct").alias("tri")).groupBy("tri").agg(F.count(F.lit(1)).alias("df")).checkpoint()
+    return cs, freq
 
 
 def trigram_search(chunks: DataFrame, queries: DataFrame, k: int, threshold: float,
                    id_col: str = "sha256", text_col: str = "markdown", qid_col: str = "query_id",
-                   qtext_col: str = "text") -> DataFrame:
+                   qtext_col: str = "text", index=None) -> DataFrame:
     """Top-k chunks per query by trigram set similarity |A∩B| / |A∪B| with
     similarity ≥ threshold (> 0), exact.
 
@@ -210,19 +218,18 @@ def trigram_search(chunks: DataFrame, queries: DataFrame, k: int, threshold: flo
     the first |A| - ceil(t·|A|) + 1 tokens of each side, so only prefix
     tokens are joined and frequent trigrams never fan out.  Candidates are
     verified with the full sets."""
-    cs = chunks.select(F.col(id_col).alias("c"), trigrams(F.col(text_col)).alias("ct"))
+    cs, freq = index or trigram_index(chunks, id_col, text_col)
     qs = queries.select(F.col(qid_col).alias("q"), trigrams(F.col(qtext_col)).alias("qt"))
-    ctok = cs.select("c", F.explode("ct").alias("tri"))
-    qtok = qs.select("q", F.explode("qt").alias("tri"))
-    freq = ctok.groupBy("tri").agg(F.count(F.lit(1)).alias("df"))
-    qfreq = qtok.select("tri").distinct().join(freq, "tri", "left").select("tri", F.coalesce("df", F.lit(0)).alias("df"))
-    cn = cs.select("c", F.size("ct").alias("n"))
-    qn = qs.select("q", F.size("qt").alias("n"))
+    ctok = cs.select("c", F.size("ct").alias("n"), F.explode("ct").alias("tri"))
+    qtok = qs.select("q", F.size("qt").alias("n"), F.explode("qt").alias("tri"))
     plen = lambda n: n - F.ceil(F.lit(threshold) * n) + 1
-    cpre = (_token_rank(ctok, "c", "tri", freq).join(cn, "c")
-            .filter(F.col("pos") <= plen(F.col("n"))).select("c", "tri"))
-    qpre = (_token_rank(qtok, "q", "tri", qfreq).join(qn, "q")
-            .filter(F.col("pos") <= plen(F.col("n"))).select("q", "tri"))
+    wc = Window.partitionBy("c").orderBy(F.col("df"), F.col("tri"))
+    wq = Window.partitionBy("q").orderBy(F.col("df"), F.col("tri"))
+    cpre = (ctok.join(freq, "tri").withColumn("pos", F.row_number().over(wc))
+                .filter(F.col("pos") <= plen(F.col("n"))).select("c", "tri"))
+    qpre = (qtok.join(freq, "tri", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+                .withColumn("pos", F.row_number().over(wq))
+                .filter(F.col("pos") <= plen(F.col("n"))).select("q", "tri"))
     cand = qpre.join(cpre, "tri").select("q", "c").distinct()
     ver = (cand.join(qs, "q").join(cs, "c")
                .select("q", "c", F.size(F.array_intersect("qt", "ct")).alias("shared"),
