@@ -66,3 +66,58 @@ def attach_embeddings(chunks, vectors, key: str, dim: int):
     of the expected dimension."""
     v = vectors.filter(F.size("embedding") == dim)
     return chunks.join(v, key)
+
+
+# ------------------------------------------------------------ office properties
+
+# OOXML property elements and the meta keys they fill.
+CORE_PROPS = [("title", "title"), ("creator", "author"), ("subject", "subject"), ("description", "description"),
+              ("keywords", "keywords"), ("category", "category"), ("lastModifiedBy", "last_modified_by"),
+              ("created", "created"), ("modified", "modified")]
+APP_PROPS = [("Application", "application"), ("Company", "company")]
+
+
+def office_properties(parts):
+    """``parts(sha256, path, xml)`` (docProps members of exploded OOXML files)
+    → one row per file with the core and app properties, trimmed, blanks
+    dropped (null)."""
+    def prop(el):
+        v = F.xpath_string(F.col("xml"), F.lit(f"//*[local-name()='{el}']"))
+        t = F.trim(v)
+        return F.when(t != "", t)
+    core = parts.filter(F.col("path") == "docProps/core.xml").select(
+        "sha256", *[prop(el).alias(k) for el, k in CORE_PROPS])
+    app = parts.filter(F.col("path") == "docProps/app.xml").select(
+        "sha256", *[prop(el).alias(k) for el, k in APP_PROPS])
+    return core.join(app, "sha256", "full")
+
+
+# ------------------------------------------------------------ image text requests
+
+def pending_images(images, responses):
+    """Images still waiting for a model response (anti join on the hash)."""
+    return images.join(responses.select("sha256"), "sha256", "left_anti")
+
+
+# ------------------------------------------------------------ converter registry
+
+def convert_text_routes(blobs, content_col: str = "content"):
+    """Converter contract for the text routes: every blob gets a route and a
+    fixed output struct (markdown, image_urls, meta, error).  Binary routes
+    (image, office, pdf, archive) are left to their own operators (model
+    requests, office parts, layout tables, archive explode)."""
+    from ..functions import html as H
+    from ..functions import sniff as S
+    from ..functions.text import linkify, markdown_images, normalize_text, resolve_markdown_refs
+    staged = blobs.select("*", S.sniff_kind(F.col(content_col)).alias("_kind"),
+                          normalize_text(F.col(content_col)).alias("_text"))
+    staged = staged.select("*", S.route(F.col(content_col)).alias("route"))
+    md = (F.when(F.col("route") == "html", H.html_to_markdown(F.col("_text"), F.lit(True)))
+           .when(F.col("route") == "markdown",
+                 resolve_markdown_refs(H.html_to_markdown(F.col("_text"), F.lit(False)))))
+    staged = staged.select("*", md.alias("_md"))
+    out = F.struct(linkify(F.col("_md")).alias("markdown"), markdown_images(F.col("_md")).alias("image_urls"),
+                   F.create_map(F.lit("content_type"), S.content_type(F.col("route"), F.col("_kind"))).alias("meta"),
+                   F.when(F.col("_md").isNull() & F.col("route").isin("html", "markdown"),
+                          F.lit("conversion failed")).alias("error"))
+    return staged.select(*blobs.columns, "route", out.alias("converted"))
