@@ -66,7 +66,7 @@ def src_10_explode(spark, sf_dir):
 
 
 @register("agg_6_num_files", MEMBERS_SQL + """
-SELECT source, bucket, count(*) AS num_files, sum(size) AS total_bytes FROM m GROUP BY 1, 2""")
+SELECT source, bucket, count(*) AS num_files, CAST(sum(size) AS BIGINT) AS total_bytes FROM m GROUP BY 1, 2""")
 def agg_6_num_files(spark, sf_dir):
     """Archive profile: members after recursion and their bytes per archive."""
     arc = archives_df(spark, sf_dir)
