@@ -207,73 +207,144 @@ def trigram_index(chunks: DataFrame, id_col: str = "sha256", text_col: str = "ma
     return cs, freq
 
 
+TRI_BATCH = 2000          # queries per broadcast batch for set-similarity scoring
+
+
+def _collect_batches(queries: DataFrame, key: str, cols: list[str], max_batch: int):
+    """Driver-side batches of a query table, each at most ``max_batch`` rows
+    (the count is checked first; batches are cut by a hash of the key)."""
+    n = queries.count()
+    nb = max(1, -(-n // max_batch))
+    for b in range(nb):
+        part = queries if nb == 1 else queries.filter(F.pmod(F.xxhash64(key), F.lit(nb)) == b)
+        rows = part.select(key, *cols).collect()
+        if rows:
+            yield rows
+
+
+def _tri_partition(qids: list, qsets: list, k: int, threshold: float):
+    vocab = {}
+    for st in qsets:
+        for x in st:
+            vocab.setdefault(x, len(vocab))
+    nq = len(qsets)
+    qmat = np.zeros((max(len(vocab), 1), nq), dtype=np.float32)
+    for j, st in enumerate(qsets):
+        qmat[[vocab[x] for x in st], j] = 1.0
+    qn = np.array([len(st) for st in qsets], dtype=np.float64)
+
+    def run(batches):
+        keep: dict[int, list] = {}
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            ids = rb.column(0).to_pylist()
+            sets = rb.column(1).to_pylist()
+            cmat = np.zeros((len(ids), qmat.shape[0]), dtype=np.float32)
+            nb = np.zeros(len(ids), dtype=np.float64)
+            for i, st in enumerate(sets):
+                st = st or []
+                nb[i] = len(st)
+                hit = [vocab[x] for x in st if x in vocab]
+                if hit:
+                    cmat[i, hit] = 1.0
+            shared = (cmat @ qmat).astype(np.float64)                  # (chunks, queries)
+            sim = shared / (nb[:, None] + qn[None, :] - shared)
+            ok = (shared > 0) & (sim >= threshold)
+            for i, j in zip(*np.nonzero(ok)):
+                lst = keep.setdefault(int(j), [])
+                lst.append((-sim[i, j], ids[i]))
+            for j, lst in keep.items():
+                if len(lst) > 4 * k:
+                    lst.sort()
+                    del lst[k:]
+        q_out, c_out, s_out = [], [], []
+        for j, lst in keep.items():
+            lst.sort()
+            for negs, c in lst[:k]:
+                q_out.append(qids[j]); c_out.append(c); s_out.append(-negs)
+        if q_out:
+            yield pa.RecordBatch.from_arrays([pa.array(q_out, pa.int64()), pa.array(c_out, pa.string()),
+                                              pa.array(s_out, pa.float64())], ["q", "c", "similarity"])
+    return run
+
+
 def trigram_search(chunks: DataFrame, queries: DataFrame, k: int, threshold: float,
                    id_col: str = "sha256", text_col: str = "markdown", qid_col: str = "query_id",
-                   qtext_col: str = "text", index=None) -> DataFrame:
+                   qtext_col: str = "text", index=None, max_batch: int = TRI_BATCH) -> DataFrame:
     """Top-k chunks per query by trigram set similarity |A∩B| / |A∪B| with
-    similarity ≥ threshold (> 0), exact.
-
-    Candidates come from prefix filtering: tokens are ordered rare-first by
-    corpus frequency; a pair reaching the threshold must share a token among
-    the first |A| - ceil(t·|A|) + 1 tokens of each side, so only prefix
-    tokens are joined and frequent trigrams never fan out.  Candidates are
-    verified with the full sets."""
-    cs, freq = index or trigram_index(chunks, id_col, text_col)
-    qs = queries.select(F.col(qid_col).alias("q"), trigrams(F.col(qtext_col)).alias("qt"))
-    ctok = cs.select("c", F.size("ct").alias("n"), F.explode("ct").alias("tri"))
-    qtok = qs.select("q", F.size("qt").alias("n"), F.explode("qt").alias("tri"))
-    plen = lambda n: n - F.ceil(F.lit(threshold) * n) + 1
-    wc = Window.partitionBy("c").orderBy(F.col("df"), F.col("tri"))
-    wq = Window.partitionBy("q").orderBy(F.col("df"), F.col("tri"))
-    cpre = (ctok.join(freq, "tri").withColumn("pos", F.row_number().over(wc))
-                .filter(F.col("pos") <= plen(F.col("n"))).select("c", "tri"))
-    qpre = (qtok.join(freq, "tri", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-                .withColumn("pos", F.row_number().over(wq))
-                .filter(F.col("pos") <= plen(F.col("n"))).select("q", "tri"))
-    cand = qpre.join(cpre, "tri").select("q", "c").distinct()
-    ver = (cand.join(qs, "q").join(cs, "c")
-               .select("q", "c", F.size(F.array_intersect("qt", "ct")).alias("shared"),
-                       F.size("qt").alias("na"), F.size("ct").alias("nb")))
-    sim = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    hits = ver.select(F.col("q").alias(qid_col), F.col("c").alias(id_col), sim.alias("similarity")) \
-              .filter(F.col("similarity") >= threshold)
+    similarity ≥ threshold (> 0), exact, ties by chunk id.
+
+    The chunk trigram sets come from the index; a query batch (size-checked,
+    at most ``max_batch`` rows) is shipped to every task as a 0/1 matrix over
+    the batch's own trigram vocabulary.  Each task turns its chunks into the
+    same vocabulary and gets all shared counts with one matrix product, then
+    keeps its own top-k per query: the output is k × tasks rows per query and
+    no (query, chunk) pair is shuffled.  Chunks whose trigram count is outside
+    [t·min|q|, max|q|/t] cannot reach the threshold and are skipped before
+    scoring."""
+    cs, _ = index or trigram_index(chunks, id_col, text_col)
+    qs = queries.select(F.col(qid_col).cast("bigint").alias("q"), trigrams(F.col(qtext_col)).alias("qt"))
+    out = None
+    for rows in _collect_batches(qs, "q", ["qt"], max_batch):
+        rows = [r for r in rows if r.qt]
+        if not rows:
+            continue
+        sizes = [len(r.qt) for r in rows]
+        lo, hi = int(np.ceil(threshold * min(sizes))), int(np.floor(max(sizes) / threshold))
+        body = cs.filter(F.size("ct").between(lo, hi)).select("c", "ct")
+        fn = _tri_partition([r.q for r in rows], [list(r.qt) for r in rows], k, threshold)
+        res = body.mapInArrow(fn, "q bigint, c string, similarity double")
+        out = res if out is None else out.unionByName(res)
+    if out is None:
+        return chunks.sparkSession.createDataFrame([], f"{qid_col} bigint, {id_col} string, similarity double, rank int")
+    hits = out.select(F.col("q").alias(qid_col), F.col("c").alias(id_col), "similarity")
     return top_k(hits, qid_col, "similarity", id_col, k)
 
 
+def _ac_partition(patterns: list[tuple[int, str]]):
+    def run(batches):
+        import ahocorasick
+        by_text: dict[str, list[int]] = {}
+        for pid, pat in patterns:
+            by_text.setdefault(pat, []).append(pid)
+        auto = ahocorasick.Automaton()
+        for pat, pids in by_text.items():
+            auto.add_word(pat, tuple(pids))
+        auto.make_automaton()
+        for rb in batches:
+            ids = rb.column(0).to_pylist()
+            texts = rb.column(1).to_pylist()
+            ps, cs = [], []
+            for c, t in zip(ids, texts):
+                if not t:
+                    continue
+                found = set()
+                for _, pids in auto.iter(t):
+                    found.update(pids)
+                for p in found:
+                    ps.append(p); cs.append(c)
+            if ps:
+                yield pa.RecordBatch.from_arrays([pa.array(ps, pa.int64()), pa.array(cs, pa.string())], ["p", "c"])
+    return run
+
+
 def substring_search(chunks: DataFrame, patterns: DataFrame, id_col: str = "sha256", text_col: str = "markdown",
-                     pid_col: str = "pattern_id", pat_col: str = "pattern") -> DataFrame:
-    """Chunks containing each pattern (case-sensitive), trigram-accelerated.
-
-    A chunk containing the pattern contains every trigram of the pattern's
-    interior words (words not touching the pattern's ends, so never cut), so
-    the rarest such trigram selects the candidates; ``contains`` verifies.
-    Patterns without an interior word are checked against every chunk."""
-    cs = chunks.select(F.col(id_col).alias("c"), F.col(text_col).alias("md"))
-    inner = F.slice(words(F.col(pat_col)), 2, F.greatest(F.size(words(F.col(pat_col))) - 2, F.lit(0)))
-    ps = patterns.select(F.col(pid_col).alias("p"), F.col(pat_col).alias("pat"),
-                         F.array_distinct(F.flatten(F.transform(inner, _word_trigrams))).alias("pt"))
-    ctok = cs.select("c", F.explode(trigrams(F.col("md"))).alias("tri"))
-    freq = ctok.groupBy("tri").agg(F.count(F.lit(1)).alias("df"))
-    ptok = ps.select("p", F.explode("pt").alias("tri")).join(freq, "tri", "left") \
-             .select("p", "tri", F.coalesce("df", F.lit(0)).alias("df"))
-    rare = ptok.groupBy("p").agg(F.min_by("tri", F.struct("df", "tri")).alias("tri"))
-    cand = rare.join(ctok, "tri").select("p", "c")
-    with_tri = cand.join(ps.select("p", "pat"), "p").join(cs, "c")
-    no_tri = ps.filter(F.size("pt") == 0).select("p", "pat")
-    # patterns without interior words: checked against every chunk via a
-    # size-checked broadcast of the (few) such patterns
-    n_free = no_tri.count()
-    parts = [with_tri.filter(F.col("md").contains(F.col("pat"))).select("p", "c")]
-    if n_free:
-        if n_free > MAX_QUERY_BATCH:
-            raise ValueError("too many patterns without interior words for one broadcast batch")
-        pats = [(r.p, r.pat) for r in no_tri.collect()]
-        arr = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(t).alias("pat")) for p, t in pats])
-        m = cs.select("c", F.explode(F.filter(arr, lambda s: F.col("md").contains(s["pat"]))).alias("s"))
-        parts.append(m.select(F.col("s.p").alias("p"), "c"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+                     pid_col: str = "pattern_id", pat_col: str = "pattern", max_batch: int = MAX_QUERY_BATCH) -> DataFrame:
+    """(pattern, chunk) for every chunk containing a pattern (case-sensitive,
+    exact).  A size-checked pattern batch becomes one Aho-Corasick automaton
+    per task, so each chunk is scanned once for all patterns of the batch,
+    in time linear in its length; no (pattern, chunk) pair is formed unless
+    it matches."""
+    ps = patterns.select(F.col(pid_col).cast("bigint").alias("p"), F.col(pat_col).alias("pat")) \
+                 .filter(F.col("pat").isNotNull() & (F.col("pat") != ""))
+    body = chunks.select(F.col(id_col).alias("c"), F.col(text_col).alias("md"))
+    out = None
+    for rows in _collect_batches(ps, "p", ["pat"], max_batch):
+        res = body.mapInArrow(_ac_partition([(r.p, r.pat) for r in rows]), "p bigint, c string")
+        out = res if out is None else out.unionByName(res)
+    if out is None:
+        return chunks.sparkSession.createDataFrame([], f"{pid_col} bigint, {id_col} string")
     return out.select(F.col("p").alias(pid_col), F.col("c").alias(id_col)).distinct()
 
 
