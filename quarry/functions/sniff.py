@@ -106,13 +106,15 @@ def is_json_doc(text: Column) -> Column:
     # one-line values (NDJSON shape) would pass: require that it is not one.
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x) != "")
     several = (F.size(lines) >= 2) & F.forall(lines, lambda x: F.try_parse_json(x).isNotNull())
-    return F.try_parse_json(text).isNotNull() & ~several & (F.startswith(t, F.lit("{")) | F.startswith(t, F.lit("[")))
+    opens = F.startswith(t, F.lit("{")) | F.startswith(t, F.lit("["))
+    return opens & F.try_parse_json(text).isNotNull() & ~several
 
 
 def is_ndjson(text: Column) -> Column:
     """Every non-blank line is a JSON object (at least one line)."""
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x) != "")
-    return (F.size(lines) >= 1) & F.forall(
+    opens = F.regexp_replace(text, f"^[{WS}]+", "").startswith("{")
+    return opens & (F.size(lines) >= 1) & F.forall(
         lines, lambda x: F.try_parse_json(x).isNotNull() & F.startswith(F.ltrim(x), F.lit("{"))
         & F.rtrim(x).endswith("}"))
 

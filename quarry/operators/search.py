@@ -350,26 +350,39 @@ def substring_search(chunks: DataFrame, patterns: DataFrame, id_col: str = "sha2
 
 # ------------------------------------------------------------------ BM25
 
+def bm25_index(chunks: DataFrame, id_col: str = "sha256", text_col: str = "markdown"):
+    """Postings (t, c, tf, dl) and corpus statistics (N, avgdl), written once
+    through a reliable checkpoint (the text index, probed by many batches)."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(chunks.sparkSession)
+    docs = chunks.select(F.col(id_col).alias("c"), words(F.col(text_col)).alias("w"))
+    post = (docs.select("c", F.size("w").alias("dl"), F.explode("w").alias("t"))
+                .groupBy("t", "c", "dl").agg(F.count(F.lit(1)).alias("tf")).checkpoint())
+    stats = docs.agg(F.count(F.lit(1)).alias("N"), F.avg(F.size("w")).alias("avgdl"))
+    return post, stats
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75,
          id_col: str = "sha256", text_col: str = "markdown", qid_col: str = "query_id",
-         qtext_col: str = "text") -> DataFrame:
+         qtext_col: str = "text", index=None, max_batch: int = MAX_QUERY_BATCH) -> DataFrame:
     """Okapi BM25 top-k per query over word tokens.
 
-    Postings (term, chunk, tf) come from one explode + aggregation; the
-    query-term side is small per batch and joined on the term, then scores are
+    Document frequencies are counted for the batch's terms only; the
+    weighted query terms (a size-checked batch) are broadcast into the join
+    with the postings, so the postings are never shuffled, and scores are
     summed per (query, chunk) with partial aggregation."""
-    docs = chunks.select(F.col(id_col).alias("c"), words(F.col(text_col)).alias("w"))
-    dl = docs.select("c", F.size("w").alias("dl"))
-    post = docs.select("c", F.explode("w").alias("t")).groupBy("t", "c").agg(F.count(F.lit(1)).alias("tf"))
-    stats = dl.agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl"))
-    dfs = post.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    post, stats = index or bm25_index(chunks, id_col, text_col)
     qt = queries.select(F.col(qid_col).alias("q"), F.explode(F.array_distinct(words(F.col(qtext_col)))).alias("t"))
+    n_terms = qt.count()
+    if n_terms > max_batch * 64:
+        raise ValueError("query batch too large for one broadcast; split the batch")
+    terms = qt.select("t").distinct()
+    dfs = post.join(F.broadcast(terms), "t").groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(1.0) + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # corpus statistics are a single row: broadcasting it is size-bounded
     qw = qt.join(dfs, "t").join(F.broadcast(stats), how="inner").select("q", "t", idf.alias("idf"), "avgdl")
-    sc = qw.join(post, "t").join(dl, "c")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scores = sc.groupBy("q", "c").agg(F.sum(part).alias("score"))
+    scores = post.join(F.broadcast(qw), "t").groupBy("q", "c").agg(F.sum(part).alias("score"))
     return top_k(scores.select(F.col("q").alias(qid_col), F.col("c").alias(id_col), "score"), qid_col, "score",
                  id_col, k)
 
