@@ -337,3 +337,27 @@ def set_1_union(spark, sf_dir):
 
 
 _ = MAX_FILE_SIZE
+
+
+@register("flt_7_fetch_log", """
+WITH log AS (SELECT event_id, 'https://p.example/' || user_id AS url,
+    CASE WHEN event_type = 'error' THEN 500 WHEN event_type = 'signup' AND value > 90 THEN 404 ELSE 200 END AS status,
+    CASE WHEN event_type = 'purchase' THEN CAST(CAST(value * 1000000 AS BIGINT) AS VARCHAR) ELSE '' END AS content_length,
+    props AS body FROM events)
+SELECT event_id, url, status FROM log
+WHERE status BETWEEN 200 AND 299 AND body IS NOT NULL
+  AND (content_length = '' OR NOT regexp_matches(content_length, '^[0-9]+$') OR CAST(content_length AS DECIMAL(38,0)) <= 50000000)""")
+def flt_7_fetch_log(spark, sf_dir):
+    """Fetch-log filter: keep successful responses with a body whose declared
+    numeric content length is within the size limit (50 MB here)."""
+    e = read(spark, sf_dir, "events")
+    status = (F.when(F.col("event_type") == "error", 500)
+               .when((F.col("event_type") == "signup") & (F.col("value") > 90), 404).otherwise(200))
+    cl = F.when(F.col("event_type") == "purchase",
+                (F.col("value") * 1000000).cast("decimal(38,6)").cast("bigint").cast("string")).otherwise(F.lit(""))
+    log = e.select("event_id", F.concat(F.lit("https://p.example/"), F.col("user_id").cast("string")).alias("url"),
+                   status.alias("status"), cl.alias("content_length"), F.col("props").alias("body"))
+    ok = (F.col("status").between(200, 299) & F.col("body").isNotNull()
+          & ((F.col("content_length") == "") | ~F.col("content_length").rlike("^[0-9]+$")
+             | within_size(F.col("content_length"), 50000000)))
+    return log.filter(ok).select("event_id", "url", "status")
