@@ -117,30 +117,49 @@ def _merge_step(target: int):
     return step
 
 
-def chunk_bounds(text: Column, target: int = CHUNK_TARGET) -> Column:
+def chunk_fold(text: Column, target: int = CHUNK_TARGET) -> Column:
     """Phase 2 over part lengths: greedy merge to ≤ target.
 
     The pieces are contiguous slices of ``text``, so the merge only needs
     their lengths; each chunk is a (start, length) pair cut out afterwards.
-    That keeps the fold free of string copies.
-    """
+    That keeps the fold free of string copies.  Returns the fold state
+    struct(m: closed chunks, s: open start, cur: open length)."""
     lengths = F.transform(split_parts(text, target), lambda p: F.length(p))
     zero = F.struct(
         F.array().cast("array<struct<s:int,n:int>>").alias("m"),
         F.lit(1).alias("s"),
         F.lit(0).alias("cur"))
-    folded = F.aggregate(lengths, zero, _merge_step(target))
+    return F.aggregate(lengths, zero, _merge_step(target))
+
+
+def bounds_from_fold(text: Column, folded: Column) -> Column:
+    """Closed chunks plus the open one when it has non-blank text."""
     last = F.struct(folded["s"].alias("s"), folded["cur"].alias("n"))
     last_text = py_strip(F.substring(text, folded["s"], folded["cur"]))
     return F.when(last_text != "", F.array_append(folded["m"], last)).otherwise(folded["m"])
 
 
+def chunks_from_bounds(text: Column, bounds: Column, target: int = CHUNK_TARGET) -> Column:
+    cut = F.transform(bounds, lambda b: py_strip(F.substring(text, b["s"], b["n"])))
+    return F.when(F.length(text) <= target, F.array(text)).otherwise(cut)
+
+
 def split_markdown(text: Column, target: int = CHUNK_TARGET) -> Column:
     """Chunk splitter: texts ≤ target are returned whole and unstripped;
-    longer texts are split on separators, greedily merged, each part stripped."""
-    cut = F.transform(chunk_bounds(text, target),
-                      lambda b: py_strip(F.substring(text, b["s"], b["n"])))
-    return F.when(F.length(text) <= target, F.array(text)).otherwise(cut)
+    longer texts are split on separators, greedily merged, each part
+    stripped.  (Single-expression form; ``split_column`` evaluates the fold
+    once per row when the text is a DataFrame column.)"""
+    return chunks_from_bounds(text, bounds_from_fold(text, chunk_fold(text, target)), target)
+
+
+def split_column(df, text_col: str, out_col: str, target: int = CHUNK_TARGET):
+    """Add ``out_col`` = chunk list of ``text_col``.  The fold is projected as
+    its own column first, so its fields are read from one evaluation
+    (Catalyst keeps a non-trivial projection referenced several times)."""
+    t = F.col(text_col)
+    staged = df.withColumn("_fold", F.when(F.length(t) > target, chunk_fold(t, target)))
+    staged = staged.withColumn("_bounds", bounds_from_fold(t, F.col("_fold")))
+    return staged.withColumn(out_col, chunks_from_bounds(t, F.col("_bounds"), target)).drop("_fold", "_bounds")
 
 
 # ------------------------------------------------------- markdown references

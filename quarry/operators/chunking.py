@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import content_sha256, split_markdown
+from ..functions.text import content_sha256, split_column
 from ..session import CHUNK_TARGET
 
 
@@ -31,9 +31,13 @@ def dedup_files(df: DataFrame, text_col: str = "text", order_col: str = "doc_id"
 def file_chunks(files: DataFrame, target: int = CHUNK_TARGET, sha_col: str = "sha256",
                 md_col: str = "markdown", keep_empty: bool = True) -> DataFrame:
     """Ordered chunk rows per file: file_sha256, idx (0-based), chunk_sha256, markdown."""
-    out = (files.select(F.col(sha_col).alias("file_sha256"),
-                        F.posexplode(split_markdown(F.col(md_col), target)).alias("idx", "markdown"))
-                .withColumn("chunk_sha256", content_sha256(F.col("markdown"))))
+    staged = split_column(files.select(F.col(sha_col).alias("file_sha256"), F.col(md_col).alias("_md")),
+                          "_md", "_chunks", target)
+    # posexplode_outer: the inner form makes Catalyst infer a size(...) > 0
+    # filter that re-evaluates the whole split below the projection
+    out = (staged.select("file_sha256", F.posexplode_outer("_chunks").alias("idx", "markdown"))
+                 .filter(F.col("idx").isNotNull())
+                 .withColumn("chunk_sha256", content_sha256(F.col("markdown"))))
     if not keep_empty:
         out = out.filter(F.col("markdown") != "")
     return out.select("file_sha256", "idx", "chunk_sha256", "markdown")

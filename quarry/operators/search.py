@@ -378,10 +378,11 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: floa
         raise ValueError("query batch too large for one broadcast; split the batch")
     terms = qt.select("t").distinct()
     dfs = post.join(F.broadcast(terms), "t").groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(F.lit(1.0) + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # corpus statistics are a single row: broadcasting it is size-bounded
-    qw = qt.join(dfs, "t").join(F.broadcast(stats), how="inner").select("q", "t", idf.alias("idf"), "avgdl")
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    st = stats.first()                       # one row: corpus size and mean length
+    n_docs, avgdl = F.lit(st["N"]).cast("double"), F.lit(st["avgdl"]).cast("double")
+    idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    qw = qt.join(dfs, "t").select("q", "t", idf.alias("idf"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     scores = post.join(F.broadcast(qw), "t").groupBy("q", "c").agg(F.sum(part).alias("score"))
     return top_k(scores.select(F.col("q").alias(qid_col), F.col("c").alias(id_col), "score"), qid_col, "score",
                  id_col, k)

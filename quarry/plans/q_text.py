@@ -76,7 +76,7 @@ def agg_3_links(spark, sf_dir):
     """Ordered link list per file after linkify (duplicates kept), as rows."""
     d = read(spark, sf_dir, "documents")
     links = T.extract_links(T.linkify(_with_urls()))
-    return (d.select("doc_id", F.posexplode(links).alias("pos", "url"))
+    return (d.select("doc_id", F.posexplode_outer(links).alias("pos", "url")).filter(F.col("pos").isNotNull())
              .select("doc_id", F.col("pos").cast("bigint").alias("pos"), "url"))
 
 
