@@ -53,9 +53,15 @@ def duck(sf_dir: str):
 
 def main(argv):
     sf_dir = argv[1] if len(argv) > 1 and argv[1].startswith("/") else "/root/testdata/sf0.01"
-    filt = [a for a in argv[1:] if not a.startswith("/")]
+    filt = [a for a in argv[1:] if not a.startswith("/") and not a.startswith("--")]
     reg = load_all()
-    spark = build_session()
+    if "--vanilla" in argv:
+        # a plain session, as an external caller would create it
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = build_session()
     con = duck(sf_dir)
     bad = 0
     for k, q in reg.items():
