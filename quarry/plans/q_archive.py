@@ -129,3 +129,26 @@ def win_7_budget(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
     r = A.budget_select(d, "source", "doc_id", "n_chars", 5000, 40000)
     return r.select("source", F.col("doc_id").cast("bigint").alias("doc_id"), "kept")
+
+
+@register("src_11_limits", """
+WITH d AS (SELECT doc_id, text, source, CAST(floor(doc_id / 25) AS BIGINT) AS bucket,
+                  CAST(substr(source, 4) AS INTEGER) % 3 AS k FROM documents),
+m AS (SELECT source, bucket, doc_id AS pos, 'src/' || source || '/' || doc_id || '.txt' AS path,
+             CAST(octet_length(encode(text)) AS BIGINT) AS size FROM d WHERE k = 0
+      UNION ALL
+      SELECT source, bucket, 1000000000, 'abs/' || arg_min(doc_id, doc_id) || '.txt',
+             CAST(octet_length(encode(arg_min(text, doc_id))) AS BIGINT) FROM d WHERE k = 0 GROUP BY 1, 2),
+l AS (SELECT source, bucket, list({'path': path, 's': size} ORDER BY pos) AS l FROM m GROUP BY 1, 2),
+f AS (SELECT source, bucket, list_reduce(l, lambda acc, x: {'rem': CASE WHEN x.s <= least(3000, acc.rem) THEN acc.rem - x.s ELSE acc.rem END,
+        'out': CASE WHEN x.s <= least(3000, acc.rem) THEN list_append(acc.out, {'path': x.path, 's': x.s}) ELSE acc.out END},
+        {'rem': 20000::BIGINT, 'out': []::STRUCT(path VARCHAR, s BIGINT)[]}).out AS o FROM l)
+SELECT source, bucket, y.path AS path, y.s AS size FROM (SELECT source, bucket, unnest(o) AS y FROM f)""")
+def src_11_limits(spark, sf_dir):
+    """Archive limits: members over min(file cap, remaining budget) are skipped
+    without charge (cap 3000 bytes, budget 20000 here); a gz whose content is
+    over the cap yields nothing; a nested archive over the cap is skipped."""
+    arc = archives_df(spark, sf_dir).cache()
+    keys = arc.select(F.sha2("content", 256).alias("parent_sha256"), "source", "bucket")
+    mem = A.explode_archives(arc.select("content"), max_file=3000, max_total=20000)
+    return mem.join(keys, "parent_sha256").select("source", "bucket", "path", "size")

@@ -85,3 +85,16 @@ def str_5_chunk_hash(spark, sf_dir):
                  F.count_if(F.col("markdown") == "").alias("n_empty"),
                  F.sum(F.length("markdown")).cast("bigint").alias("total_chars"),
                  F.max(F.length("markdown")).cast("bigint").alias("max_chars"))
+
+
+@register("win_2_ordinals", f"""
+WITH f AS (SELECT sha256(text) AS file_sha256, arg_min(text, doc_id) AS text FROM documents GROUP BY 1),
+{chunks_cte('f')}
+SELECT file_sha256, count(*) AS n_chunks, CAST(max(idx) AS BIGINT) AS max_idx, CAST(min(idx) AS BIGINT) AS min_idx
+FROM fc GROUP BY 1""")
+def win_2_ordinals(spark, sf_dir):
+    """Chunk ordinals per file: 0-based, dense (max = count - 1)."""
+    c = chunk_rows(spark, sf_dir)
+    return c.groupBy("file_sha256").agg(F.count(F.lit(1)).alias("n_chunks"),
+                                        F.max("idx").cast("bigint").alias("max_idx"),
+                                        F.min("idx").cast("bigint").alias("min_idx"))

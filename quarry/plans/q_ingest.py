@@ -9,7 +9,6 @@ from ..functions import sniff as S
 from ..functions import text as T
 from ..functions.urls import is_static_url, within_size
 from ..sources.intake import intake
-from ..session import MAX_FILE_SIZE
 from .registry import register
 from .sql import q, strip
 from .tables import read
@@ -336,8 +335,6 @@ def set_1_union(spark, sf_dir):
              .groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sha").alias("n_distinct")))
 
 
-_ = MAX_FILE_SIZE
-
 
 @register("flt_7_fetch_log", """
 WITH log AS (SELECT event_id, 'https://p.example/' || user_id AS url,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import content_sha256
 from ..operators import lifecycle as L
 from .registry import register
-from .sql import (AS_OF_SQL, FILE_FILES_CTE, FILES_CTE, SOURCES_CTE, URL_FILES_CTE, q, ts_plus)
+from .sql import AS_OF_SQL, FILE_FILES_CTE, FILES_CTE, SOURCES_CTE, URL_FILES_CTE
 from .tables import (AS_OF, EPOCH, epoch_seconds, file_files_table, files_table, read, sources_table, ts_ntz,
                      url_files_table)
 
@@ -299,5 +299,3 @@ def agg_12_savings(spark, sf_dir):
         F.sum(F.col("nb") * F.col("c")).cast("bigint").alias("raw_bytes"),
         F.sum("nb").cast("bigint").alias("unique_bytes"))
 
-
-_ = (q, ts_plus)

@@ -235,3 +235,19 @@ def src_5_parquet(spark, sf_dir):
     """Native Parquet scan with pushed-down filter and pruned columns."""
     li = read(spark, sf_dir, "lineitem")
     return li.filter(F.col("l_returnflag") == "R").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("qty"))
+
+
+@register("tab_2_lists", """
+SELECT c_custkey, CAST(c_nationkey AS VARCHAR) || ', , ' || CAST(c_custkey % 5 AS VARCHAR) AS ints,
+       c_mktsegment || ', ' || c_name AS strs
+FROM customer""")
+def tab_2_lists(spark, sf_dir):
+    """List columns of at most four items joined by ', ' (null items empty);
+    the five-item numeric list is dropped."""
+    c = read(spark, sf_dir, "customer")
+    nested = c.select("c_custkey",
+                      F.array(F.col("c_nationkey").cast("bigint"), F.lit(None).cast("bigint"),
+                              F.col("c_custkey") % 5).alias("ints"),
+                      F.array("c_mktsegment", "c_name").alias("strs"),
+                      F.array(*[F.col("c_custkey") + i for i in range(5)]).alias("wide"))
+    return TB.flatten(nested)

@@ -165,3 +165,18 @@ def str_13_ocr_desc(spark, sf_dir):
     b = read(spark, sf_dir, "benchmark")
     resp = F.concat(F.lit("OCR:\n"), F.col("text"), F.lit("\n\nDESC:\n"), F.replace("text", F.lit(" "), F.lit("_")))
     return b.select("item_id", T.ocr_section(resp).alias("ocr"), T.desc_section(resp).alias("description"))
+
+
+@register("str_3_links", f"""
+WITH m AS (SELECT doc_id, {WITH_REFS_SQL} AS md FROM documents)
+SELECT doc_id, CAST(len(regexp_extract_all(md, {LINK_RE_SQL}, 2)) AS BIGINT) AS n_links,
+       regexp_extract_all(md, {LINK_RE_SQL}, 2)[1] AS first_link,
+       regexp_extract_all(md, {LINK_RE_SQL}, 2)[-1] AS last_link
+FROM m""")
+def str_3_links(spark, sf_dir):
+    """Link targets of markdown links and images, in order (images included)."""
+    d = read(spark, sf_dir, "documents")
+    links = T.extract_links(_with_refs())
+    return d.select("doc_id", F.size(links).cast("bigint").alias("n_links"),
+                    F.try_element_at(links, F.lit(1)).alias("first_link"),
+                    F.try_element_at(links, F.lit(-1)).alias("last_link"))
