@@ -83,22 +83,37 @@ def _delim_count(d: str):
     return f
 
 
-def csv_dialect(text: Column) -> Column:
+def csv_dialect(text: Column, lines: Column | None = None) -> Column:
     """Delimiter of a consistently delimited text (every sampled non-blank line
     has the same positive count of it, at least 5 lines), else null.  Among
-    consistent candidates the one giving most fields wins (earlier on ties)."""
-    lines = _lines(text)
+    consistent candidates the one giving most fields wins (earlier on ties).
+    Each candidate compares every line with the first line's count and stops
+    at the first mismatch."""
+    lines = _lines(text) if lines is None else lines
+    first = _at1(lines)
     cands = []
     for d in CSV_DELIMS:
-        counts = F.transform(lines, _delim_count(d))
-        ok = (F.size(lines) >= 5) & (F.array_min(counts) == F.array_max(counts)) & (F.array_min(counts) >= 1)
-        cands.append(F.when(ok, F.struct(F.array_min(counts).alias("n"), F.lit(d).alias("d"))))
+        n1 = _delim_count(d)(first)
+        ok = (F.size(lines) >= 5) & (n1 >= 1) & F.forall(lines, _same_count(d, n1))
+        cands.append(F.when(ok, F.struct(n1.cast("int").alias("n"), F.lit(d).alias("d"))))
     arr = F.filter(F.array(*cands), lambda s: s.isNotNull())
     top = F.aggregate(arr, F.lit(None).cast("struct<n:int,d:string>"),
                       lambda acc, s: F.when(acc.isNull() | (s["n"] > acc["n"]), s).otherwise(acc))
     return top["d"]
 
 
+def _at1(arr: Column) -> Column:
+    return F.try_element_at(arr, F.lit(1))
+
+
+def _same_count(d: str, n1: Column):
+    count = _delim_count(d)
+
+    def f(x):
+        return count(x) == n1
+    return f
+
+
 def is_json_doc(text: Column) -> Column:
     """Whole text is one JSON object or array."""
     t = F.regexp_replace(text, f"^[{WS}]+", "")
@@ -119,13 +134,20 @@ def is_ndjson(text: Column) -> Column:
         & F.rtrim(x).endswith("}"))
 
 
-def route(content: Column) -> Column:
-    """Converter route of a blob, in the reference's order: archive → image →
-    office → pdf → (text) tabular: parquet / json / ndjson / csv → html →
-    markdown.  Archives that yield no members fall through (decided by the
-    archive explode, see ``quarry.sources.archives``)."""
-    kind = sniff_kind(content)
-    text = normalize_text(content)
+def with_route(df, content_col: str = "content", out: str = "route", kind_out: str | None = None):
+    """DataFrame form of ``route``: the kind, the normalized text and its
+    sampled lines are projected once, the cascade reads them."""
+    staged = df.select("*", sniff_kind(F.col(content_col)).alias("_kind"),
+                       normalize_text(F.col(content_col)).alias("_text"))
+    staged = staged.select("*", _lines(F.col("_text")).alias("_lines"))
+    r = _cascade(F.col("_kind"), F.col("_text"), F.col("_lines"))
+    res = staged.select("*", r.alias(out))
+    if kind_out:
+        res = res.withColumnRenamed("_kind", kind_out)
+    return res.drop("_kind", "_text", "_lines")
+
+
+def _cascade(kind: Column, text: Column, lines: Column) -> Column:
     return (F.when(kind.isin("gz", "zip", "tar"), "archive")
              .when(kind.isin("png", "jpg", "gif", "bmp", "tif", "webp"), "image")
              .when(kind.isin("docx", "xlsx", "pptx", "odp", "ods", "ole"), "office")
@@ -133,11 +155,20 @@ def route(content: Column) -> Column:
              .when(kind == "parquet", "parquet")
              .when(is_json_doc(text), "json")
              .when(is_ndjson(text), "ndjson")
-             .when(csv_dialect(text).isNotNull(), "csv")
+             .when(csv_dialect(text, lines).isNotNull(), "csv")
              .when(html_doc_sniff(text), "html")
              .otherwise("markdown"))
 
 
+def route(content: Column) -> Column:
+    """Converter route of a blob, in the reference's order: archive → image →
+    office → pdf → (text) tabular: parquet / json / ndjson / csv → html →
+    markdown.  Archives that yield no members fall through (decided by the
+    archive explode, see ``quarry.sources.archives``)."""
+    text = normalize_text(content)
+    return _cascade(sniff_kind(content), text, _lines(text))
+
+
 OFFICE_MIME = {"docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
                "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
                "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",

@@ -109,9 +109,8 @@ def convert_text_routes(blobs, content_col: str = "content"):
     from ..functions import html as H
     from ..functions import sniff as S
     from ..functions.text import linkify, markdown_images, normalize_text, resolve_markdown_refs
-    staged = blobs.select("*", S.sniff_kind(F.col(content_col)).alias("_kind"),
-                          normalize_text(F.col(content_col)).alias("_text"))
-    staged = staged.select("*", S.route(F.col(content_col)).alias("route"))
+    staged = S.with_route(blobs, content_col, "route", kind_out="_kind")
+    staged = staged.select("*", normalize_text(F.col(content_col)).alias("_text"))
     md = (F.when(F.col("route") == "html", H.html_to_markdown(F.col("_text"), F.lit(True)))
            .when(F.col("route") == "markdown",
                  resolve_markdown_refs(H.html_to_markdown(F.col("_text"), F.lit(False)))))

@@ -218,19 +218,16 @@ FROM y""")
 def flt_2_route(spark, sf_dir):
     """Format routing of a mixed blob table (magic bytes, JSON, NDJSON, CSV
     dialect, HTML document sniff, markdown fallback) and the content type."""
-    b = blobs_df(spark, sf_dir)
-    r = S.route(F.col("content"))
-    k = S.sniff_kind(F.col("content"))
-    return (b.select("kind", "id", r.alias("route"), k.alias("k"))
-             .select("kind", "id", "route", S.content_type(F.col("route"), F.col("k")).alias("content_type")))
+    b = S.with_route(blobs_df(spark, sf_dir), "content", "route", kind_out="k")
+    return b.select("kind", "id", "route", S.content_type(F.col("route"), F.col("k")).alias("content_type"))
 
 
 @register("meta_7_content_types", ROUTE_SQL + """
 SELECT kind, route, count(*) AS n FROM y GROUP BY 1, 2""")
 def meta_7_content_types(spark, sf_dir):
     """Blob counts per origin and route."""
-    b = blobs_df(spark, sf_dir)
-    return b.groupBy("kind", S.route(F.col("content")).alias("route")).agg(F.count(F.lit(1)).alias("n"))
+    b = S.with_route(blobs_df(spark, sf_dir), "content", "route")
+    return b.groupBy("kind", "route").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("flt_1_sniff", """
