@@ -141,10 +141,10 @@ def with_route(df, content_col: str = "content", out: str = "route", kind_out: s
                        normalize_text(F.col(content_col)).alias("_text"))
     staged = staged.select("*", _lines(F.col("_text")).alias("_lines"))
     r = _cascade(F.col("_kind"), F.col("_text"), F.col("_lines"))
-    res = staged.select("*", r.alias(out))
+    res = staged.select("*", r.alias(out)).drop("_text", "_lines")
     if kind_out:
-        res = res.withColumnRenamed("_kind", kind_out)
-    return res.drop("_kind", "_text", "_lines")
+        return res.withColumnRenamed("_kind", kind_out)
+    return res.drop("_kind")
 
 
 def _cascade(kind: Column, text: Column, lines: Column) -> Column:
