@@ -152,15 +152,16 @@ def src_2_blobs(spark, sf_dir):
 
 @register("ups_3_edges", """
 WITH e AS (SELECT DISTINCT sha256('conv:' || CAST(conv_id AS VARCHAR)) AS parent_sha256, sha256(text) AS child_sha256,
-                  turn % 2 = 0 AS existing FROM conversations)
+                  role = 'user' AS existing FROM conversations)
 SELECT parent_sha256, child_sha256, CASE WHEN bool_or(existing) THEN 'existing' ELSE 'inserted' END AS origin
 FROM e GROUP BY 1, 2""")
 def ups_3_edges(spark, sf_dir):
-    """Upsert of containment edges: edges of even turns exist, all turns are
+    """Upsert of containment edges: edges of user turns exist, all turns are
     upserted; existing (parent, child) keys are kept, new ones inserted."""
-    from .tables import file_files_table
-    ff = file_files_table(spark, sf_dir)
-    cur = ff.filter(F.col("turn") % 2 == 0).select("parent_sha256", "child_sha256").distinct() \
+    c = read(spark, sf_dir, "conversations")
+    ff = c.select(content_sha256(F.concat(F.lit("conv:"), F.col("conv_id").cast("string"))).alias("parent_sha256"),
+                  content_sha256(F.col("text")).alias("child_sha256"), "role")
+    cur = ff.filter(F.col("role") == "user").select("parent_sha256", "child_sha256").distinct() \
             .withColumn("origin", F.lit("existing"))
     new = ff.select("parent_sha256", "child_sha256").withColumn("origin", F.lit("inserted"))
     return ST.insert_if_absent(cur, new, ["parent_sha256", "child_sha256"])
