@@ -41,12 +41,13 @@ def join_1_freshness(spark, sf_dir):
 WITH f AS (SELECT user_id AS page, ts, sha256('v' || event_id) AS sha FROM events WHERE event_type = 'view'),
 r AS (SELECT event_id, user_id AS page, ts FROM events WHERE event_type = 'click'),
 j AS (SELECT r.event_id, r.ts, f.sha, f.ts AS fts FROM r ASOF LEFT JOIN f ON r.page = f.page AND r.ts >= f.ts)
-SELECT event_id, sha AS file_sha256, (epoch_us(ts) - epoch_us(fts)) // 1000000 AS age_s,
+SELECT event_id, sha AS file_sha256, coalesce((epoch_us(ts) - epoch_us(fts)) // 1000000, -1) AS age_s,
        coalesce((epoch_us(ts) - epoch_us(fts)) // 1000000 <= 21600, false) AS fresh
 FROM j""")
 def join_1_asof(spark, sf_dir):
     """As-of freshness: each click gets the latest earlier view-fetch of its page;
-    fresh when at most 6 hours old (skew-safe bucketed as-of join)."""
+    fresh when at most 6 hours old (skew-safe bucketed as-of join); age -1
+    when the page was never fetched before."""
     e = read(spark, sf_dir, "events")
     f = e.filter(F.col("event_type") == "view").select(
         F.col("user_id").alias("page"), F.col("ts").alias("fts"),
@@ -54,7 +55,7 @@ def join_1_asof(spark, sf_dir):
     r = e.filter(F.col("event_type") == "click").select("event_id", F.col("user_id").alias("page"), "ts")
     j = L.asof_latest(r, f, "page", "ts", "fts", ["sha"], bucket_seconds=6 * 3600)
     age = F.timestamp_diff("SECOND", F.col("asof_fts"), F.col("ts")).cast("bigint")
-    return j.select("event_id", F.col("asof_sha").alias("file_sha256"), age.alias("age_s"),
+    return j.select("event_id", F.col("asof_sha").alias("file_sha256"), F.coalesce(age, F.lit(-1).cast("bigint")).alias("age_s"),
                     F.coalesce(age <= 21600, F.lit(False)).alias("fresh"))
 
 

@@ -62,7 +62,7 @@ cur AS (SELECT sha256, coalesce(parsed_at, created_at) AS v, parsed_at FROM file
 upd AS (SELECT sha256(text) AS sha256, TIMESTAMP '{EPOCH}' + to_seconds(86400 * 60 + conv_id * 60 + turn) AS v,
           TIMESTAMP '{EPOCH}' + to_seconds(86400 * 60 + conv_id * 60 + turn) AS parsed_at FROM conversations),
 u AS (SELECT * FROM cur UNION ALL SELECT * FROM upd)
-SELECT sha256, {EPOCH_US.format(x='arg_max(parsed_at, v)')} AS parsed_epoch FROM u GROUP BY 1""")
+SELECT sha256, coalesce({EPOCH_US.format(x='arg_max(parsed_at, v)')}, -1) AS parsed_epoch FROM u GROUP BY 1""")
 def ups_4_file(spark, sf_dir):
     """Upsert of files: conversation turns parsed later insert or update rows (parsed_at set)."""
     f = files_table(spark, sf_dir).select("sha256", F.coalesce("parsed_at", "created_at").alias("v"), "parsed_at")
@@ -70,7 +70,8 @@ def ups_4_file(spark, sf_dir):
     t = F.timestamp_add("SECOND", 86400 * 60 + F.col("conv_id") * 60 + F.col("turn"), ts_ntz(EPOCH))
     upd = c.select(content_sha256(F.col("text")).alias("sha256"), t.alias("v"), t.alias("parsed_at"))
     m = ST.upsert(f, upd, ["sha256"], "v")
-    return m.select("sha256", epoch_seconds(F.col("parsed_at")).alias("parsed_epoch"))
+    # -1 marks files not parsed yet
+    return m.select("sha256", F.coalesce(epoch_seconds(F.col("parsed_at")), F.lit(-1).cast("bigint")).alias("parsed_epoch"))
 
 
 @register("ups_5_chunks", """
@@ -133,7 +134,7 @@ put AS (SELECT sha256, length FROM store
         UNION SELECT sha256(text), octet_length(encode(text)) FROM documents WHERE source = 'src0'),
 del AS (SELECT * FROM put WHERE sha256 NOT IN (SELECT sha256(d.text) FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic = 1)),
 keys AS (SELECT sha256(text) AS sha256, doc_id FROM documents UNION ALL SELECT sha256('missing' || doc_id), doc_id FROM labels)
-SELECT k.doc_id, k.sha256, CAST(d.length AS BIGINT) AS length FROM keys k LEFT JOIN del d ON k.sha256 = d.sha256""")
+SELECT k.doc_id, k.sha256, coalesce(CAST(d.length AS BIGINT), -1) AS length FROM keys k LEFT JOIN del d ON k.sha256 = d.sha256""")
 def src_2_blobs(spark, sf_dir):
     """Blob store: put (insert-if-absent) documents, delete toxic-labelled
     blobs (idempotent), get every document hash plus missing keys."""
@@ -147,7 +148,9 @@ def src_2_blobs(spark, sf_dir):
     keys = d.select(content_sha256(F.col("text")).alias("sha256"), "doc_id").unionByName(
         read(spark, sf_dir, "labels").select(
             content_sha256(F.concat(F.lit("missing"), F.col("doc_id").cast("string"))).alias("sha256"), "doc_id"))
-    return store.get(keys).select("doc_id", "sha256", F.col("length").cast("bigint").alias("length"))
+    # a missing blob is reported with length -1
+    return store.get(keys).select("doc_id", "sha256", F.coalesce(F.col("length").cast("bigint"), F.lit(-1).cast("bigint"))
+                                  .alias("length"))
 
 
 @register("ups_3_edges", """

@@ -172,9 +172,9 @@ def _write_fixtures(spark, sf_dir):
 @register("src_9_cascade", """
 SELECT 'csv' AS format, ';' AS delimiter, true AS header, count(*) AS num_rows, 3::BIGINT AS num_cols FROM nation
 UNION ALL SELECT 'csv', '|', false, count(*), 3 FROM supplier
-UNION ALL SELECT 'json', NULL, NULL, count(*), 3 FROM customer
-UNION ALL SELECT 'ndjson', NULL, NULL, count(*), 3 FROM part
-UNION ALL SELECT 'parquet', NULL, NULL, count(*), 2 FROM region""")
+UNION ALL SELECT 'json', '', false, count(*), 3 FROM customer
+UNION ALL SELECT 'ndjson', '', false, count(*), 3 FROM part
+UNION ALL SELECT 'parquet', '', false, count(*), 2 FROM region""")
 def src_9_cascade(spark, sf_dir):
     """Format cascade over a folder of mixed files written from driver tables:
     Parquet / JSON array / NDJSON / CSV (two dialects) classified from bytes,
@@ -184,8 +184,8 @@ def src_9_cascade(spark, sf_dir):
     for c, df in FM.read_cascade(spark, base):
         ncols = len([x for x in df.columns if x != "_file"])
         parts.append(df.agg(F.count(F.lit(1)).alias("num_rows")).select(
-            F.lit(c["format"]).alias("format"), F.lit(c["delimiter"]).cast("string").alias("delimiter"),
-            F.lit(c["header"]).cast("boolean").alias("header"), "num_rows",
+            F.lit(c["format"]).alias("format"), F.lit(c["delimiter"] or "").alias("delimiter"),
+            F.lit(bool(c["header"])).alias("header"), "num_rows",
             F.lit(ncols).cast("bigint").alias("num_cols")))
     out = parts[0]
     for p in parts[1:]:
