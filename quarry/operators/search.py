@@ -22,9 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-# Largest query batch that is broadcast in one pass (rows); beyond it the
-# batch is cut by query-id ranges and processed pass by pass.
-MAX_QUERY_BATCH = 20000
+# Largest query batch broadcast in one pass (rows): 4,096 vectors of 1,024
+# doubles are 32 MiB.  Larger query tables are cut by a hash of the id and
+# processed pass by pass.
+MAX_QUERY_BATCH = 4096
 TOPK_SALTS = 32
 
 
@@ -51,9 +52,12 @@ def _normalize(m: np.ndarray) -> np.ndarray:
     return m / n
 
 
-def _knn_partition(qids: np.ndarray, qmat: np.ndarray, k: int, exclude_self: bool, probe: dict | None):
-    """mapInArrow body: score a corpus partition against the query batch."""
+def _knn_partition(batch_bc, k: int, exclude_self: bool):
+    """mapInArrow body: score a corpus partition against the query batch
+    (ids, unit-norm matrix and optional probe mask, shipped once per executor
+    as a broadcast variable)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, qmat, probe = batch_bc.value
         best_ids = None
         best_sc = None
         for rb in batches:
@@ -126,7 +130,8 @@ def cosine_top_k(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "i
             probe = np.zeros((len(qids), n_cells), dtype=bool)
             for r in pr:
                 probe[pos[int(r[qid_col])], int(r["cell"])] = True
-        fn = _knn_partition(qids, qmat, k, exclude_self, probe)
+        bc = spark.sparkContext.broadcast((qids, qmat, probe))
+        fn = _knn_partition(bc, k, exclude_self)
         res = body.mapInArrow(fn, "query_id bigint, id bigint, score double")
         out = res if out is None else out.unionByName(res)
     if out is None:
@@ -222,18 +227,21 @@ def _collect_batches(queries: DataFrame, key: str, cols: list[str], max_batch: i
             yield rows
 
 
-def _tri_partition(qids: list, qsets: list, k: int, threshold: float):
+def _tri_batch(qsets: list):
+    """Vocabulary of a query batch and its 0/1 (vocabulary × queries) matrix."""
     vocab = {}
     for st in qsets:
         for x in st:
             vocab.setdefault(x, len(vocab))
-    nq = len(qsets)
-    qmat = np.zeros((max(len(vocab), 1), nq), dtype=np.float32)
+    qmat = np.zeros((max(len(vocab), 1), len(qsets)), dtype=np.float32)
     for j, st in enumerate(qsets):
         qmat[[vocab[x] for x in st], j] = 1.0
-    qn = np.array([len(st) for st in qsets], dtype=np.float64)
+    return vocab, qmat, np.array([len(st) for st in qsets], dtype=np.float64)
 
+
+def _tri_partition(batch_bc, k: int, threshold: float):
     def run(batches):
+        qids, vocab, qmat, qn = batch_bc.value
         keep: dict[int, list] = {}
         for rb in batches:
             if rb.num_rows == 0:
@@ -293,7 +301,9 @@ def trigram_search(chunks: DataFrame, queries: DataFrame, k: int, threshold: flo
         sizes = [len(r.qt) for r in rows]
         lo, hi = int(np.ceil(threshold * min(sizes))), int(np.floor(max(sizes) / threshold))
         body = cs.filter(F.size("ct").between(lo, hi)).select("c", "ct")
-        fn = _tri_partition([r.q for r in rows], [list(r.qt) for r in rows], k, threshold)
+        vocab, qmat, qn = _tri_batch([list(r.qt) for r in rows])
+        bc = chunks.sparkSession.sparkContext.broadcast(([r.q for r in rows], vocab, qmat, qn))
+        fn = _tri_partition(bc, k, threshold)
         res = body.mapInArrow(fn, "q bigint, c string, similarity double")
         out = res if out is None else out.unionByName(res)
     if out is None:
@@ -302,11 +312,11 @@ def trigram_search(chunks: DataFrame, queries: DataFrame, k: int, threshold: flo
     return top_k(hits, qid_col, "similarity", id_col, k)
 
 
-def _ac_partition(patterns: list[tuple[int, str]]):
+def _ac_partition(patterns_bc):
     def run(batches):
         import ahocorasick
         by_text: dict[str, list[int]] = {}
-        for pid, pat in patterns:
+        for pid, pat in patterns_bc.value:
             by_text.setdefault(pat, []).append(pid)
         auto = ahocorasick.Automaton()
         for pat, pids in by_text.items():
@@ -341,7 +351,8 @@ def substring_search(chunks: DataFrame, patterns: DataFrame, id_col: str = "sha2
     body = chunks.select(F.col(id_col).alias("c"), F.col(text_col).alias("md"))
     out = None
     for rows in _collect_batches(ps, "p", ["pat"], max_batch):
-        res = body.mapInArrow(_ac_partition([(r.p, r.pat) for r in rows]), "p bigint, c string")
+        bc = chunks.sparkSession.sparkContext.broadcast([(r.p, r.pat) for r in rows])
+        res = body.mapInArrow(_ac_partition(bc), "p bigint, c string")
         out = res if out is None else out.unionByName(res)
     if out is None:
         return chunks.sparkSession.createDataFrame([], f"{pid_col} bigint, {id_col} string")
