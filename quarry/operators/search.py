@@ -52,38 +52,41 @@ def _normalize(m: np.ndarray) -> np.ndarray:
     return m / n
 
 
+ROW_BLOCK = 1024          # corpus rows scored at once: ≤ 4096 × 1024 doubles (32 MiB)
+
+
 def _knn_partition(batch_bc, k: int, exclude_self: bool):
     """mapInArrow body: score a corpus partition against the query batch
     (ids, unit-norm matrix and optional probe mask, shipped once per executor
-    as a broadcast variable)."""
+    as a broadcast variable), ROW_BLOCK corpus rows at a time, keeping a
+    running top-k per query."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, qmat, probe = batch_bc.value
         best_ids = None
         best_sc = None
+        dim = qmat.shape[1]
         for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            ids = rb.column(0).to_numpy(zero_copy_only=False)
-            emb = rb.column(1)
-            cells = rb.column(2).to_numpy(zero_copy_only=False) if probe is not None else None
-            flat = emb.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            dim = qmat.shape[1]
-            mat = _normalize(flat.reshape(-1, dim))
-            sc = qmat @ mat.T                                  # (queries, rows)
-            if exclude_self:
-                sc[qids[:, None] == ids[None, :]] = -np.inf
-            if probe is not None:
-                sc[~probe[:, cells]] = -np.inf
-            cand_ids = np.broadcast_to(ids, sc.shape)
-            if best_sc is not None:
-                sc = np.concatenate([best_sc, sc], axis=1)
-                cand_ids = np.concatenate([best_ids, cand_ids], axis=1)
-            if sc.shape[1] > k:
-                part = np.argpartition(-sc, k - 1, axis=1)[:, :k]
-                best_sc = np.take_along_axis(sc, part, axis=1)
-                best_ids = np.take_along_axis(cand_ids, part, axis=1)
-            else:
-                best_sc, best_ids = sc, np.array(cand_ids)
+            for off in range(0, rb.num_rows, ROW_BLOCK):
+                blk = rb.slice(off, ROW_BLOCK)
+                ids = blk.column(0).to_numpy(zero_copy_only=False)
+                cells = blk.column(2).to_numpy(zero_copy_only=False) if probe is not None else None
+                flat = blk.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                mat = _normalize(flat.reshape(-1, dim))
+                sc = qmat @ mat.T                                  # (queries, rows)
+                if exclude_self:
+                    sc[qids[:, None] == ids[None, :]] = -np.inf
+                if probe is not None:
+                    sc[~probe[:, cells]] = -np.inf
+                cand_ids = np.broadcast_to(ids, sc.shape)
+                if best_sc is not None:
+                    sc = np.concatenate([best_sc, sc], axis=1)
+                    cand_ids = np.concatenate([best_ids, cand_ids], axis=1)
+                if sc.shape[1] > k:
+                    part = np.argpartition(-sc, k - 1, axis=1)[:, :k]
+                    best_sc = np.take_along_axis(sc, part, axis=1)
+                    best_ids = np.take_along_axis(cand_ids, part, axis=1)
+                else:
+                    best_sc, best_ids = sc, np.array(cand_ids)
         if best_sc is None:
             return
         qq = np.repeat(qids, best_sc.shape[1])
@@ -243,29 +246,30 @@ def _tri_partition(batch_bc, k: int, threshold: float):
     def run(batches):
         qids, vocab, qmat, qn = batch_bc.value
         keep: dict[int, list] = {}
+        # rows per block so that a dense block stays within 32M floats
+        block = max(16, 32_000_000 // qmat.shape[0])
         for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            ids = rb.column(0).to_pylist()
-            sets = rb.column(1).to_pylist()
-            cmat = np.zeros((len(ids), qmat.shape[0]), dtype=np.float32)
-            nb = np.zeros(len(ids), dtype=np.float64)
-            for i, st in enumerate(sets):
-                st = st or []
-                nb[i] = len(st)
-                hit = [vocab[x] for x in st if x in vocab]
-                if hit:
-                    cmat[i, hit] = 1.0
-            shared = (cmat @ qmat).astype(np.float64)                  # (chunks, queries)
-            sim = shared / (nb[:, None] + qn[None, :] - shared)
-            ok = (shared > 0) & (sim >= threshold)
-            for i, j in zip(*np.nonzero(ok)):
-                lst = keep.setdefault(int(j), [])
-                lst.append((-sim[i, j], ids[i]))
-            for j, lst in keep.items():
-                if len(lst) > 4 * k:
-                    lst.sort()
-                    del lst[k:]
+            for off in range(0, rb.num_rows, block):
+                blk = rb.slice(off, block)
+                ids = blk.column(0).to_pylist()
+                sets = blk.column(1).to_pylist()
+                cmat = np.zeros((len(ids), qmat.shape[0]), dtype=np.float32)
+                nb = np.zeros(len(ids), dtype=np.float64)
+                for i, st in enumerate(sets):
+                    st = st or []
+                    nb[i] = len(st)
+                    hit = [vocab[x] for x in st if x in vocab]
+                    if hit:
+                        cmat[i, hit] = 1.0
+                shared = (cmat @ qmat).astype(np.float64)                  # (chunks, queries)
+                sim = shared / (nb[:, None] + qn[None, :] - shared)
+                ok = (shared > 0) & (sim >= threshold)
+                for i, j in zip(*np.nonzero(ok)):
+                    keep.setdefault(int(j), []).append((-sim[i, j], ids[i]))
+                for lst in keep.values():
+                    if len(lst) > 4 * k:
+                        lst.sort()
+                        del lst[k:]
         q_out, c_out, s_out = [], [], []
         for j, lst in keep.items():
             lst.sort()
