@@ -20,7 +20,6 @@ under the session's ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -43,13 +42,23 @@ def _merge_batch(table_dir: str, fail_once_marker: str | None = None):
         except Exception:  # noqa: BLE001 - nothing written yet
             pass
         rows.write.mode("overwrite").parquet(target)
-        if fail_once_marker and batch_id == 1 and not os.path.exists(fail_once_marker):
+        if fail_once_marker and batch_id == 1 and not _exists(spark, fail_once_marker):
             # simulated loss after the write but before the batch commits
-            open(fail_once_marker, "w").close()
+            spark.range(1).write.mode("overwrite").parquet(fail_once_marker)
             raise RuntimeError("injected failure after writing batch 1")
     return run
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Existence test through Spark's file system layer (works for shared
+    cluster storage, not only local disks)."""
+    try:
+        spark.read.parquet(path).limit(1).count()
+        return True
+    except Exception:  # noqa: BLE001 - missing path
+        return False
+
+
 def ingest_stream(spark: SparkSession, source_dir: str, schema: str, text_col: str, table_dir: str,
                   checkpoint: str | None = None, max_files_per_trigger: int | None = None,
                   fail_once_marker: str | None = None):
