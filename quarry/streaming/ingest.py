@@ -1,11 +1,10 @@
 """Structured Streaming forms of the ingest lifecycle.
 
-* ``ingest_stream``: files/requests arrive as a stream; each micro-batch is
-  merged into the content-addressed ``files`` table by ``foreachBatch``.  The
-  merge writes the batch's new rows into a ``batch_id=<n>`` folder with
-  overwrite, after an anti join on sha256 against earlier batches, so a
-  replayed batch (after a crash) rewrites the same rows instead of adding
-  duplicates.
+* ``ingest_stream``: files/requests arrive as a stream; hashes already seen
+  are dropped by streaming dedup state, and each micro-batch's new rows are
+  written by ``foreachBatch`` into a ``batch_id=<n>`` folder with overwrite,
+  so a replayed batch (after a crash) rewrites the same rows instead of
+  adding duplicates.
 * ``dedup_stream``: content dedup within an event-time watermark.
 * ``fetch_throttle``: at most one accepted fetch per URL per ``max_age``
   (per-key state: the last accepted time).
@@ -32,16 +31,12 @@ from ..session import ensure_checkpoint_dir, scratch_path
 
 
 def _merge_batch(table_dir: str, fail_once_marker: str | None = None):
+    """foreachBatch sink: the batch's rows (already new, see ``ingest_stream``)
+    go to their own ``batch_id=<n>`` folder with overwrite, so a replayed
+    batch rewrites exactly the same rows."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.dropDuplicates(["sha256"])
-        target = f"{table_dir}/batch_id={batch_id}"
-        try:
-            earlier = spark.read.parquet(table_dir).filter(F.col("batch_id") != batch_id).select("sha256")
-            rows = rows.join(earlier, "sha256", "left_anti")
-        except Exception:  # noqa: BLE001 - nothing written yet
-            pass
-        rows.write.mode("overwrite").parquet(target)
+        batch.write.mode("overwrite").parquet(f"{table_dir}/batch_id={batch_id}")
         if fail_once_marker and batch_id == 1 and not _exists(spark, fail_once_marker):
             # simulated loss after the write but before the batch commits
             spark.range(1).write.mode("overwrite").parquet(fail_once_marker)
@@ -61,8 +56,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def ingest_stream(spark: SparkSession, source_dir: str, schema: str, text_col: str, table_dir: str,
                   checkpoint: str | None = None, max_files_per_trigger: int | None = None,
-                  fail_once_marker: str | None = None):
-    """Start the continuous ingest; returns the StreamingQuery (availableNow)."""
+                  fail_once_marker: str | None = None, existing: DataFrame | None = None):
+    """Start the continuous ingest; returns the StreamingQuery (availableNow).
+
+    Content dedup is a streaming ``dropDuplicates`` on sha256: the hashes seen
+    so far live in the state store (versioned with the checkpoint; use the
+    RocksDB provider on clusters), so each micro-batch costs its own size,
+    not the size of the table.  ``existing`` (sha256 of files ingested before
+    this stream started) is excluded with a stream-static anti join."""
     ensure_checkpoint_dir(spark)
     checkpoint = checkpoint or scratch_path(spark, "ingest-ckpt")
     r = spark.readStream.schema(schema)
@@ -70,6 +71,9 @@ def ingest_stream(spark: SparkSession, source_dir: str, schema: str, text_col: s
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     src = r.parquet(source_dir)
     rows = src.select(content_sha256(F.col(text_col)).alias("sha256"), F.col(text_col).alias("markdown"))
+    rows = rows.dropDuplicates(["sha256"])
+    if existing is not None:
+        rows = rows.join(existing.select("sha256").distinct(), "sha256", "left_anti")
     return (rows.writeStream.foreachBatch(_merge_batch(table_dir, fail_once_marker))
                 .option("checkpointLocation", checkpoint)
                 .trigger(availableNow=True).start())
