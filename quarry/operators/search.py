@@ -383,22 +383,23 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: floa
     """Okapi BM25 top-k per query over word tokens.
 
     Document frequencies are counted for the batch's terms only; the
-    weighted query terms (a size-checked batch) are broadcast into the join
-    with the postings, so the postings are never shuffled, and scores are
-    summed per (query, chunk) with partial aggregation."""
+    weighted query terms are broadcast into the join with the postings when
+    their count is within the bound (so the postings are not shuffled), and
+    scores are summed per (query, chunk) with partial aggregation."""
     post, stats = index or bm25_index(chunks, id_col, text_col)
     qt = queries.select(F.col(qid_col).alias("q"), F.explode(F.array_distinct(words(F.col(qtext_col)))).alias("t"))
-    n_terms = qt.count()
-    if n_terms > max_batch * 64:
-        raise ValueError("query batch too large for one broadcast; split the batch")
+    # the (query, term) table is broadcast only while its size is proven
+    # small; beyond the bound the joins are left to a shuffle
+    small = qt.count() <= max_batch * 64
+    bc = F.broadcast if small else (lambda d: d)
     terms = qt.select("t").distinct()
-    dfs = post.join(F.broadcast(terms), "t").groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    dfs = post.join(bc(terms), "t").groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     st = stats.first()                       # one row: corpus size and mean length
     n_docs, avgdl = F.lit(st["N"]).cast("double"), F.lit(st["avgdl"]).cast("double")
     idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     qw = qt.join(dfs, "t").select("q", "t", idf.alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    scores = post.join(F.broadcast(qw), "t").groupBy("q", "c").agg(F.sum(part).alias("score"))
+    scores = post.join(bc(qw), "t").groupBy("q", "c").agg(F.sum(part).alias("score"))
     return top_k(scores.select(F.col("q").alias(qid_col), F.col("c").alias(id_col), "score"), qid_col, "score",
                  id_col, k)
 
