@@ -60,10 +60,6 @@ def normalize_text(content: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
-def normalize_eol(text: Column) -> Column:
-    return F.regexp_replace(text, "\r\n?", "\n")
-
-
 def linkify(md: Column) -> Column:
     """Wrap bare http(s) URLs as ``[u](u)`` (not idempotent, like the source)."""
     return F.regexp_replace(md, BARE_URL_JAVA, "[$1]($1)")

@@ -168,3 +168,22 @@ def ups_3_edges(spark, sf_dir):
             .withColumn("origin", F.lit("existing"))
     new = ff.select("parent_sha256", "child_sha256").withColumn("origin", F.lit("inserted"))
     return ST.insert_if_absent(cur, new, ["parent_sha256", "child_sha256"])
+
+
+@register("ups_5_mapping", """
+WITH f AS (SELECT sha256(text) AS file_sha256, arg_min(text, doc_id) AS text FROM documents GROUP BY 1),
+g AS (SELECT * FROM f WHERE file_sha256 IN (SELECT sha256(text) FROM documents WHERE source = 'src3')),
+""" + chunks_cte("f").strip() + ",\n" + chunks_cte("g", target=3000, name="gc").strip() + """
+SELECT file_sha256, idx, chunk_sha256 FROM fc WHERE file_sha256 NOT IN (SELECT file_sha256 FROM g)
+UNION ALL SELECT file_sha256, idx, chunk_sha256 FROM gc""")
+def ups_5_mapping(spark, sf_dir):
+    """File → chunk mapping replaced per file: files of source src3 are
+    re-chunked (target 3000) and their whole chunk lists replaced; other
+    files keep theirs."""
+    d = read(spark, sf_dir, "documents")
+    files = dedup_files(d)
+    cur = file_chunks(files).select("file_sha256", F.col("idx").cast("bigint").alias("idx"), "chunk_sha256")
+    src3 = d.filter(F.col("source") == "src3").select(content_sha256(F.col("text")).alias("sha256")).distinct()
+    redo = files.join(src3, "sha256", "left_semi")
+    new = file_chunks(redo, target=3000).select("file_sha256", F.col("idx").cast("bigint").alias("idx"), "chunk_sha256")
+    return ST.replace_mapping(cur, new, "file_sha256")
