@@ -111,9 +111,10 @@ def convert_text_routes(blobs, content_col: str = "content"):
     from ..functions.text import linkify, markdown_images, normalize_text, resolve_markdown_refs
     staged = S.with_route(blobs, content_col, "route", kind_out="_kind")
     staged = staged.select("*", normalize_text(F.col(content_col)).alias("_text"))
-    md = (F.when(F.col("route") == "html", H.html_to_markdown(F.col("_text"), F.lit(True)))
-           .when(F.col("route") == "markdown",
-                 resolve_markdown_refs(H.html_to_markdown(F.col("_text"), F.lit(False)))))
+    # HTML output continues through the markdown step (references resolved),
+    # as text does; full documents get main-content extraction first
+    md = F.when(F.col("route").isin("html", "markdown"),
+                resolve_markdown_refs(H.html_to_markdown(F.col("_text"), F.col("route") == "html")))
     staged = staged.select("*", md.alias("_md"))
     out = F.struct(linkify(F.col("_md")).alias("markdown"), markdown_images(F.col("_md")).alias("image_urls"),
                    F.create_map(F.lit("content_type"), S.content_type(F.col("route"), F.col("_kind"))).alias("meta"),

@@ -14,16 +14,48 @@ from .registry import register
 from .tables import read
 
 
-@register("udf_1_convert", None)
+def _udf1_sql():
+    from .q_html import _sql_markdown
+    from .q_text import LINKIFY_SQL, REF_ALL_SQL
+    from ..functions.text import WS
+    comma = lambda d: f"list_transform(lines, lambda l: length(l) - length(replace(l, {d}, '')))"
+    consistent = " OR ".join(f"(list_min({comma(d)}) >= 1 AND list_min({comma(d)}) = list_max({comma(d)}))"
+                             for d in ["','", "';'", "chr(9)", "'|'"])
+    resolve = ("array_to_string(list_transform(parts, lambda x, i: CASE WHEN i % 2 = 0 AND starts_with(x, '![') "
+               "AND NOT regexp_matches(regexp_extract(x, '\\]\\(([^)]+)\\)$', 1), '^(https?://|[a-f0-9]{64}\\n?$)') "
+               "THEN '' ELSE x END), '')")
+    imgs = ("list_distinct(list_filter(list_transform(list_filter(parts, lambda x, i: i % 2 = 0 AND starts_with(x, '![')), "
+            "lambda x: regexp_extract(x, '\\]\\(([^)]+)\\)$', 1)), lambda t: regexp_matches(t, '^https?://')))")
+    return f"""
+WITH src AS (SELECT doc_id AS id, text AS t FROM documents UNION ALL SELECT page_id, html FROM pages),
+x AS (SELECT id, t, list_filter(string_split(t, chr(10)), lambda l: trim(l) <> '') AS lines FROM src),
+y AS (SELECT id, t, CASE
+        WHEN json_valid(t) AND regexp_matches(t, '^[{WS}]*[\\[{{]') THEN 'json'
+        WHEN len(lines) >= 1 AND list_bool_and(list_transform(lines, lambda l: json_valid(l) AND starts_with(ltrim(l), '{{'))) THEN 'ndjson'
+        WHEN len(lines) >= 5 AND ({consistent}) THEN 'csv'
+        WHEN regexp_matches(left(regexp_replace(left(t, 10000), '[{WS}]+', ' ', 'g'), 100), '(?i)<(!doctype|html)\\b') THEN 'html'
+        ELSE 'markdown' END AS route FROM x),
+h AS (SELECT id, route, CASE WHEN route = 'html' THEN {_sql_markdown('t', True)}
+                             WHEN route = 'markdown' THEN {_sql_markdown('t', False)} END AS h FROM y),
+p AS (SELECT id, route, h, string_split(regexp_replace(h, {REF_ALL_SQL}, chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS parts FROM h),
+r AS (SELECT id, route, CASE WHEN h IS NOT NULL THEN {resolve} END AS md, {imgs} AS imgs FROM p)
+SELECT id, route, sha256({LINKIFY_SQL}) AS sha256,
+  CASE route WHEN 'html' THEN 'text/html' WHEN 'markdown' THEN 'text/markdown' WHEN 'csv' THEN 'text/csv'
+             ELSE 'application/json' END AS content_type,
+  CAST(coalesce(len(imgs), 0) AS BIGINT) AS n_images
+FROM r"""
+
+
+@register("udf_1_convert", _udf1_sql())
 def udf_1_convert(spark, sf_dir):
-    """Converter contract: route every text blob and convert it to the fixed
-    output struct (markdown, image URLs, meta, error) — rows-only check."""
+    """Converter contract: route every text blob (documents, pages) and convert
+    it to the fixed output struct (markdown, image URLs, meta, error)."""
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("content"))
     p = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.encode("html", "UTF-8").alias("content"))
     c = EN.convert_text_routes(d.unionByName(p))
     return c.select("id", "route", F.sha2("converted.markdown", 256).alias("sha256"),
                     F.col("converted.meta")["content_type"].alias("content_type"),
-                    F.size("converted.image_urls").cast("bigint").alias("n_images"), F.col("converted.error").alias("error"))
+                    F.coalesce(F.size("converted.image_urls"), F.lit(0)).cast("bigint").alias("n_images"))
 
 
 @register("udf_2_embed", """
