@@ -118,17 +118,20 @@ def flt_8_sanitize(spark, sf_dir):
 
 
 @register("win_7_budget", """
-WITH l AS (SELECT source, list({'p': doc_id, 's': n_chars} ORDER BY doc_id) AS l FROM documents GROUP BY 1),
-f AS (SELECT source, list_reduce(l, lambda acc, m: {'rem': CASE WHEN m.s <= 5000 AND m.s <= acc.rem THEN acc.rem - m.s ELSE acc.rem END,
+WITH l AS (SELECT source || '/' || CAST(floor(doc_id / 25) AS BIGINT) AS archive,
+                  list({'p': doc_id, 's': n_chars} ORDER BY doc_id) AS l FROM documents GROUP BY 1),
+f AS (SELECT archive, list_reduce(l, lambda acc, m: {'rem': CASE WHEN m.s <= 5000 AND m.s <= acc.rem THEN acc.rem - m.s ELSE acc.rem END,
         'out': list_append(acc.out, {'p': m.p, 'k': m.s <= 5000 AND m.s <= acc.rem})},
-        {'rem': 40000::BIGINT, 'out': []::STRUCT(p BIGINT, k BOOLEAN)[]}).out AS o FROM l)
-SELECT source, CAST(x.p AS BIGINT) AS doc_id, x.k AS kept FROM (SELECT source, unnest(o) AS x FROM f)""")
+        {'rem': 8000::BIGINT, 'out': []::STRUCT(p BIGINT, k BOOLEAN)[]}).out AS o FROM l)
+SELECT archive, CAST(x.p AS BIGINT) AS doc_id, x.k AS kept FROM (SELECT archive, unnest(o) AS x FROM f)""")
 def win_7_budget(spark, sf_dir):
-    """Greedy extraction budget per source listing (cap 5000, budget 40000):
+    """Greedy extraction budget per archive listing (the fixture's archives:
+    documents of a source in blocks of 25 ids; cap 5000, budget 8000):
     first-fit, so a skipped member does not stop smaller later ones."""
-    d = read(spark, sf_dir, "documents")
-    r = A.budget_select(d, "source", "doc_id", "n_chars", 5000, 40000)
-    return r.select("source", F.col("doc_id").cast("bigint").alias("doc_id"), "kept")
+    d = read(spark, sf_dir, "documents").withColumn(
+        "archive", F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / BUCKET).cast("bigint").cast("string")))
+    r = A.budget_select(d, "archive", "doc_id", "n_chars", 5000, 8000)
+    return r.select("archive", F.col("doc_id").cast("bigint").alias("doc_id"), "kept")
 
 
 @register("src_11_limits", """

@@ -163,10 +163,11 @@ def blobs_df(spark, sf_dir):
         F.encode(F.concat(F.lit('{"key": '), F.col("c_custkey").cast("string"), F.lit(', "name": "'),
                           F.col("c_name"), F.lit('"}')), "UTF-8").alias("content"))
     s = read(spark, sf_dir, "supplier")
-    nd = (s.groupBy("s_nationkey")
+    # one NDJSON file per nation and block of 100 supplier keys (bounded files)
+    nd = (s.groupBy("s_nationkey", F.floor(F.col("s_suppkey") / 100).alias("blk"))
            .agg(F.listagg(F.concat(F.lit('{"key": '), F.col("s_suppkey").cast("string"), F.lit("}")), "\n")
                 .alias("t"))
-           .select(F.lit("ndjson").alias("kind"), F.col("s_nationkey").cast("bigint").alias("id"),
+           .select(F.lit("ndjson").alias("kind"), (F.col("s_nationkey") * 1000000 + F.col("blk")).cast("bigint").alias("id"),
                    F.encode("t", "UTF-8").alias("content")))
     return d.unionByName(p).unionByName(pt).unionByName(o).unionByName(csv).unionByName(c).unionByName(nd)
 
@@ -179,7 +180,8 @@ blobs AS (
   UNION ALL SELECT 'pdf', o_orderkey, '%PDF-1.7' || chr(10) || '% order ' || o_orderkey, NULL FROM orders
   UNION ALL SELECT 'csv', n_regionkey, 'key,name,region' || chr(10) || string_agg(n_nationkey || ',' || n_name || ',' || n_regionkey, chr(10)), NULL FROM nation GROUP BY n_regionkey
   UNION ALL SELECT 'json', c_custkey, '{"key": ' || c_custkey || ', "name": "' || c_name || '"}', NULL FROM customer
-  UNION ALL SELECT 'ndjson', s_nationkey, string_agg('{"key": ' || s_suppkey || '}', chr(10)), NULL FROM supplier GROUP BY s_nationkey)"""
+  UNION ALL SELECT 'ndjson', s_nationkey * 1000000 + floor(s_suppkey / 100), string_agg('{"key": ' || s_suppkey || '}', chr(10)), NULL
+            FROM supplier GROUP BY s_nationkey, floor(s_suppkey / 100))"""
 
 WS = T.WS
 ROUTE_SQL = f"""

@@ -163,7 +163,7 @@ def _write_fixtures(spark, sf_dir):
     FM.write_csv_text(read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey"),
                       f"{base}/b_csv", "|", False)
     FM.write_json_arrays(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"),
-                         f"{base}/c_json", 4)
+                         f"{base}/c_json", rows_per_file=500)
     read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size").write.json(f"{base}/d_ndjson")
     read(spark, sf_dir, "region").write.parquet(f"{base}/e_parquet")
     return base

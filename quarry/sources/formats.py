@@ -87,8 +87,11 @@ def write_csv_text(df: DataFrame, path: str, delimiter: str, header: bool) -> No
        .option("quoteAll", False).csv(path))
 
 
-def write_json_arrays(df: DataFrame, path: str, files: int) -> None:
-    """Rows as JSON array documents, ``files`` documents (rows spread by hash)."""
+def write_json_arrays(df: DataFrame, path: str, rows_per_file: int = 10000) -> None:
+    """Rows as JSON array documents of about ``rows_per_file`` rows each (rows
+    spread by hash; the number of documents grows with the table, so no
+    document collects an unbounded group)."""
+    files = max(1, -(-df.count() // rows_per_file))
     key = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files))
     docs = (df.select(key.alias("_g"), F.to_json(F.struct(*df.columns)).alias("_j"))
               .groupBy("_g").agg(F.concat(F.lit("["), F.listagg("_j", ","), F.lit("]")).alias("value")))
