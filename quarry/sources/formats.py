@@ -71,14 +71,18 @@ def read_class(spark: SparkSession, fmt: str, paths: list[str], delimiter: str |
 def read_cascade(spark: SparkSession, folder: str) -> list[tuple[dict, DataFrame]]:
     """Classify every file of a folder and read each (format, dialect) class.
 
-    The classification result has one row per *file* (a listing, not data)
-    and is collected to plan the readers."""
-    classes = sniff_files(spark, folder).filter(F.col("format").isNotNull()) \
-        .groupBy("format", "delimiter", "header").agg(F.collect_list("path").alias("paths")).collect()
+    The classification result has one row per *file* (a listing, not data,
+    like the file listing Spark itself keeps on the driver) and is collected
+    to plan one reader per class."""
+    listing = sniff_files(spark, folder).filter(F.col("format").isNotNull()) \
+        .select("path", "format", "delimiter", "header").collect()
+    classes: dict[tuple, list[str]] = {}
+    for r in listing:
+        classes.setdefault((r["format"], r["delimiter"], r["header"]), []).append(r["path"])
     out = []
-    for c in classes:
-        df = read_class(spark, c["format"], list(c["paths"]), c["delimiter"], c["header"])
-        out.append(({"format": c["format"], "delimiter": c["delimiter"], "header": c["header"]}, df))
+    for (fmt, delim, header), paths in sorted(classes.items(), key=lambda kv: str(kv[0])):
+        df = read_class(spark, fmt, paths, delim, header)
+        out.append(({"format": fmt, "delimiter": delim, "header": header}, df))
     return out
 
 
