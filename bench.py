@@ -21,6 +21,14 @@ HEADLINE = ["str_4_chunks", "agg_1_dedup", "agg_2_chunk_dedup", "src_3_intake",
             "join_6_context", "tab_4_render", "str_9_html_markdown", "src_10_explode", "win_3_rowid"]
 
 
+def _sf_value(sf_dir: str):
+    tag = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    try:
+        return float(tag)
+    except ValueError:
+        return tag
+
+
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -37,7 +45,7 @@ def main():
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "headline_total_seconds", "value": total, "unit": "sec", "queries": times,
-                      "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""),
+                      "sf": _sf_value(sf_dir),
                       "documents": docs,
                       **({"docs_per_sec_chunking": round(docs / times["str_4_chunks"], 1)} if "str_4_chunks" in times else {})}))
     spark.stop()

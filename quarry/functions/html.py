@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .text import WS
 
 # (pattern, replacement with $n groups) applied in order.
-_BLOCKS = "p|div|ul|ol|table|tr|section|article|main|body|html|blockquote|pre|figure|dl"
+_BLOCKS = "p|div|ul|ol|table|section|article|main|body|html|blockquote|pre|figure|dl"
 COMMON_RULES = [
     (r"(?s)<!--.*?-->", ""),
     (r"(?is)<script\b[^>]*>.*?</script\s*>", ""),
@@ -41,6 +41,9 @@ CONVERT_RULES = [
     (r"(?is)<(?:b|strong)\b[^>]*>(.*?)</(?:b|strong)\s*>", "**$1**"),
     (r"(?is)<(?:i|em)\b[^>]*>(.*?)</(?:i|em)\s*>", "*$1*"),
     (r"(?is)<li\b[^>]*>", "\n- "),
+    (r"(?is)<tr\b[^>]*>", "\n| "),
+    (r"(?is)</t[dh]\s*>", " | "),
+    (r"(?is)</?(?:tr|td|th|thead|tbody|tfoot)\b[^>]*>", ""),
     (r"(?is)<br\s*/?>", "\n"),
     (rf"(?is)</?(?:{_BLOCKS})\b[^>]*>", "\n\n"),
     (r"(?s)<[^>]*>", ""),
