@@ -186,3 +186,30 @@ def unembedded(chunks: DataFrame, n: int) -> DataFrame:
 
 def expired(df: DataFrame, ts_col: str, as_of: Column, ttl_seconds: int) -> DataFrame:
     return df.filter(age_seconds(F.col(ts_col), as_of) > ttl_seconds)
+
+
+# ------------------------------------------------------------ lineage closure
+
+def ancestors(file_files: DataFrame, max_depth: int = 64) -> DataFrame:
+    """Transitive containment: (sha256, ancestor, depth) for every file and
+    every file above it, at the shortest depth.  Level by level: the frontier
+    (pairs found at the last depth) joins the edges on its ancestor; pairs
+    already known are dropped, so cycles (an archive containing itself by
+    hash) end the loop; each level is checkpointed to the shared folder."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(file_files.sparkSession)
+    edges = file_files.select(F.col("child_sha256").alias("_e_child"), F.col("parent_sha256").alias("_e_up")).distinct()
+    known = edges.select(F.col("_e_child").alias("sha256"), F.col("_e_up").alias("ancestor"),
+                         F.lit(1).alias("depth")).checkpoint()
+    frontier = known
+    for d in range(2, max_depth + 1):
+        step = (frontier.join(edges, F.col("ancestor") == F.col("_e_child"))
+                        .select("sha256", F.col("_e_up").alias("ancestor"), F.lit(d).alias("depth"))
+                        .distinct()
+                        .join(known.select("sha256", "ancestor"), ["sha256", "ancestor"], "left_anti")
+                        .checkpoint())
+        if step.isEmpty():
+            break
+        known = known.unionByName(step).checkpoint()
+        frontier = step
+    return known

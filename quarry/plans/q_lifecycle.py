@@ -300,3 +300,26 @@ def agg_12_savings(spark, sf_dir):
         F.sum(F.col("nb") * F.col("c")).cast("bigint").alias("raw_bytes"),
         F.sum("nb").cast("bigint").alias("unique_bytes"))
 
+
+
+def _org_edges(spark, sf_dir):
+    """Containment graph from the driver tables: region files contain nation
+    files, nation files contain customer files."""
+    r, n, c = (read(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    h = lambda p, col: content_sha256(F.concat(F.lit(p), F.col(col).cast("string")))
+    e1 = n.select(h("region:", "n_regionkey").alias("parent_sha256"), h("nation:", "n_nationkey").alias("child_sha256"))
+    e2 = c.select(h("nation:", "c_nationkey").alias("parent_sha256"), h("cust:", "c_custkey").alias("child_sha256"))
+    return e1.unionByName(e2)
+
+
+@register("join_5_ancestors", """
+WITH RECURSIVE e AS (
+  SELECT DISTINCT sha256('nation:' || n_nationkey) AS sha256, sha256('region:' || n_regionkey) AS up FROM nation
+  UNION SELECT sha256('cust:' || c_custkey), sha256('nation:' || c_nationkey) FROM customer),
+a(sha256, ancestor, depth) AS (SELECT sha256, up, 1 FROM e
+  UNION ALL SELECT a.sha256, e.up, a.depth + 1 FROM a JOIN e ON a.ancestor = e.sha256 WHERE a.depth < 64)
+SELECT sha256, ancestor, CAST(min(depth) AS INTEGER) AS depth FROM a GROUP BY 1, 2""")
+def join_5_ancestors(spark, sf_dir):
+    """Transitive lineage: every file with each file containing it, directly
+    or through intermediate containers, at the shortest depth."""
+    return L.ancestors(_org_edges(spark, sf_dir)).select("sha256", "ancestor", F.col("depth").cast("int"))

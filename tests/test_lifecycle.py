@@ -57,3 +57,11 @@ def test_intake_rejects_and_merge(spark):
     m = spark.range(1).select(merge_meta(F.create_map(F.lit("filename"), F.lit("up")),
                                          F.create_map(F.lit("filename"), F.lit("mine"))).alias("m")).first().m
     assert m == {"filename": "mine"}
+
+
+def test_ancestors_terminate_on_cycles(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c"), ("c", "d")],
+                                  "parent_sha256 string, child_sha256 string")
+    got = {(r.sha256, r.ancestor): r.depth for r in L.ancestors(edges).collect()}
+    assert got[("b", "a")] == 1 and got[("a", "b")] == 1 and got[("a", "a")] == 2
+    assert got[("d", "c")] == 1 and got[("d", "a")] == 2 and got[("d", "b")] == 3
