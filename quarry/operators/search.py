@@ -460,11 +460,16 @@ def scoped_chunks(file_chunks: DataFrame, sources: DataFrame, allowed: list[str]
     return file_chunks.join(ok, "file_sha256", "left_semi")
 
 
-def lineage(file_chunks: DataFrame, sources: DataFrame) -> DataFrame:
+def lineage(file_chunks: DataFrame, sources: DataFrame, approx: bool = False, rsd: float = 0.02) -> DataFrame:
     """Per chunk: files holding it and distinct sources holding those files
-    (distinct counts via partial aggregation; no per-chunk lists)."""
+    (distinct counts via partial aggregation; no per-chunk lists).  With
+    ``approx`` the counts are HyperLogLog++ sketches (relative error ``rsd``),
+    which merge map-side and never expand (chunk, value) pairs."""
     fc = file_chunks.select("file_sha256", "chunk_sha256").distinct()
     j = fc.join(sources.select("file_sha256", "source"), "file_sha256", "left")
+    if approx:
+        return j.groupBy("chunk_sha256").agg(F.approx_count_distinct("file_sha256", rsd).alias("n_files"),
+                                             F.approx_count_distinct("source", rsd).alias("n_sources"))
     return j.groupBy("chunk_sha256").agg(F.countDistinct("file_sha256").alias("n_files"),
                                          F.countDistinct("source").alias("n_sources"))
 

@@ -62,3 +62,15 @@ def test_hash_embed_unit_norm(spark):
     df = spark.createDataFrame([("a b c a",), ("",)], "t string")
     v = [np.array(r.v) for r in df.select(S.hash_embed(F.col("t")).alias("v")).collect()]
     assert abs(np.linalg.norm(v[0]) - 1) < 1e-9 and np.linalg.norm(v[1]) == 0
+
+
+def test_lineage_approx_close_to_exact(spark):
+    fc = spark.range(0, 3000).select((F.col("id") % 300).cast("string").alias("file_sha256"),
+                                     (F.col("id") % 7).cast("string").alias("chunk_sha256"))
+    src = spark.range(0, 300).select(F.col("id").cast("string").alias("file_sha256"),
+                                     (F.col("id") % 40).cast("string").alias("source"))
+    exact = {r.chunk_sha256: (r.n_files, r.n_sources) for r in S.lineage(fc, src).collect()}
+    approx = {r.chunk_sha256: (r.n_files, r.n_sources) for r in S.lineage(fc, src, approx=True).collect()}
+    for k, (f, s_) in exact.items():
+        af, as_ = approx[k]
+        assert abs(af - f) <= 0.1 * f and abs(as_ - s_) <= 0.1 * s_ + 1
