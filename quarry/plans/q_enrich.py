@@ -61,7 +61,7 @@ def udf_1_convert(spark, sf_dir):
 @register("udf_2_embed", """
 WITH f AS (SELECT DISTINCT text FROM documents)
 SELECT sha256(text) AS sha256, 64::BIGINT AS dim,
-       CASE WHEN len(regexp_extract_all(lower(text), '[\\pL\\pN]+')) > 0 THEN 1.0 ELSE 0.0 END AS norm
+       CAST(CASE WHEN len(regexp_extract_all(lower(text), '[\\pL\\pN]+')) > 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS norm
 FROM f""")
 def udf_2_embed(spark, sf_dir):
     """Embedder contract: deterministic 64-d vectors, unit norm (zero for texts

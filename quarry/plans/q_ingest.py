@@ -180,7 +180,7 @@ blobs AS (
   UNION ALL SELECT 'pdf', o_orderkey, '%PDF-1.7' || chr(10) || '% order ' || o_orderkey, NULL FROM orders
   UNION ALL SELECT 'csv', n_regionkey, 'key,name,region' || chr(10) || string_agg(n_nationkey || ',' || n_name || ',' || n_regionkey, chr(10)), NULL FROM nation GROUP BY n_regionkey
   UNION ALL SELECT 'json', c_custkey, '{"key": ' || c_custkey || ', "name": "' || c_name || '"}', NULL FROM customer
-  UNION ALL SELECT 'ndjson', s_nationkey * 1000000 + floor(s_suppkey / 100), string_agg('{"key": ' || s_suppkey || '}', chr(10)), NULL
+  UNION ALL SELECT 'ndjson', CAST(s_nationkey * 1000000 + floor(s_suppkey / 100) AS BIGINT), string_agg('{"key": ' || s_suppkey || '}', chr(10)), NULL
             FROM supplier GROUP BY s_nationkey, floor(s_suppkey / 100))"""
 
 WS = T.WS

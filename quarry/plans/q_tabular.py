@@ -133,7 +133,7 @@ DIALECTS = [(";", True), ("|", False), ("\t", True), (",", False)]
 @register("agg_7_dialect", """
 WITH n AS (SELECT n_regionkey, count(*) AS c FROM nation GROUP BY 1),
 v AS (SELECT * FROM (VALUES (0, ';', true), (1, '|', false), (2, chr(9), true), (3, ',', false)) t(variant, d, h))
-SELECT n.n_regionkey * 10 + v.variant AS id,
+SELECT CAST(n.n_regionkey * 10 + v.variant AS BIGINT) AS id,
        CASE WHEN n.c + (CASE WHEN v.h THEN 1 ELSE 0 END) >= 5 THEN v.d END AS delimiter,
        CASE WHEN n.c + (CASE WHEN v.h THEN 1 ELSE 0 END) >= 5 THEN v.h END AS header
 FROM n, v""")
@@ -194,7 +194,7 @@ def src_9_cascade(spark, sf_dir):
 
 
 @register("src_8_csv", """
-SELECT n_nationkey, n_name, n_regionkey FROM nation
+SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation
 UNION ALL SELECT s_suppkey, s_name, s_nationkey FROM supplier""")
 def src_8_csv(spark, sf_dir):
     """CSV scans with sniffed dialects round-trip the driver tables."""
