@@ -203,15 +203,16 @@ def trigrams(text: Column) -> Column:
 
 
 def trigram_index(chunks: DataFrame, id_col: str = "sha256", text_col: str = "markdown"):
-    """The inverted trigram index: per chunk its trigram set, and per trigram
-    its document frequency.  Both are written once through a reliable
-    checkpoint in the shared checkpoint folder (an index is built once and
-    probed by many query batches; recomputation after executor loss starts
-    from it, not from the raw text)."""
+    """The trigram index: per chunk its trigram set, written once through a
+    reliable checkpoint in the shared checkpoint folder (an index is built
+    once and probed by many query batches; recomputation after executor loss
+    starts from it, not from the raw text), plus a lazy per-trigram document
+    frequency table derived from it."""
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(chunks.sparkSession)
     cs = chunks.select(F.col(id_col).alias("c"), trigrams(F.col(text_col)).alias("ct")).checkpoint()
-    freq = cs.select(F.explode("ct").alias("tri")).groupBy("tri").agg(F.count(F.lit(1)).alias("df")).checkpoint()
+    # document frequencies stay lazy: computed only by callers that use them
+    freq = cs.select(F.explode("ct").alias("tri")).groupBy("tri").agg(F.count(F.lit(1)).alias("df"))
     return cs, freq
 
 
