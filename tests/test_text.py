@@ -63,3 +63,13 @@ def test_normalize_text(spark):
     df = spark.createDataFrame([(bytearray(b"\xe9\r\n"),), (bytearray("ok\r\rz".encode()),)], "b binary")
     got = [r.t for r in df.select(T.normalize_text(F.col("b")).alias("t")).collect()]
     assert got == ["é\n", "ok\n\nz"]
+
+
+def test_linkify_matches_rule_on_documents(spark):
+    from quarry.plans.q_text import _with_urls
+    from tests.conftest import SF001
+    d = spark.read.parquet(f"{SF001}/documents.parquet")
+    rows = d.select(_with_urls().alias("md")).select("md", T.linkify(F.col("md")).alias("l")).collect()
+    for r in rows:
+        assert r.l == linkify_rule(r.md)
+        assert links_rule(r.l) == links_rule(linkify_rule(r.md))
