@@ -104,7 +104,7 @@ FOLD_SQL = """list_reduce(string_split(p, '/'), lambda acc, s:
 @register("flt_8_sanitize", "WITH r AS (" + " UNION ALL ".join(
     f"SELECT doc_id * 10 + {i} AS id, {e} AS p FROM documents" for i, e in enumerate(PATHS_SQL)) + f"""),
 f AS (SELECT id, p, array_to_string({FOLD_SQL}, '/') AS j FROM r),
-c AS (SELECT id, CASE WHEN j = '' THEN '.' ELSE j END AS c FROM f)
+c AS (SELECT id, CASE WHEN j = '' THEN CASE WHEN starts_with(p, '/') THEN '' ELSE '.' END ELSE j END AS c FROM f)
 SELECT id, CASE WHEN NOT starts_with(c, '..') THEN c END AS clean FROM c""")
 def flt_8_sanitize(spark, sf_dir):
     """Member path sanitizing (normpath, strip leading '/', reject paths that
