@@ -203,6 +203,21 @@ def decode_b64(s: Column) -> Column:
     return F.try_to_binary(s, F.lit("base64"))
 
 
+def decode_b64_lenient(s: Column) -> Column:
+    """Non-validating base64 decode (the reference's default): characters
+    outside the alphabet are skipped; the data must end on a full quad or be
+    completed by padding ('=' × 2 after two, × 1 after three characters);
+    otherwise null.  Padding inside the data is treated as trailing."""
+    cleaned = F.regexp_replace(s, "[^A-Za-z0-9+/=]", "")
+    data = F.regexp_replace(cleaned, "=", "")
+    n = F.length(data)
+    pads = F.length(cleaned) - n
+    r = n % 4
+    ok = (r == 0) | ((r == 2) & (pads >= 2)) | ((r == 3) & (pads >= 1))
+    padded = F.concat(data, F.repeat(F.lit("="), (4 - r) % 4))
+    return F.when(ok, F.try_to_binary(padded, F.lit("base64")))
+
+
 def replace_data_uris(html: Column) -> Column:
     """Replace each decodable data-URI image by its content-hash reference.
 
@@ -215,7 +230,7 @@ def replace_data_uris(html: Column) -> Column:
 
     def fix(p, i):
         payload = F.regexp_extract(p, DATA_URI_RE, 4)
-        raw = decode_b64(payload)
+        raw = decode_b64_lenient(payload)
         rep = F.concat(F.regexp_extract(p, DATA_URI_RE, 1), F.regexp_extract(p, DATA_URI_RE, 2),
                        F.sha2(raw, 256), F.regexp_extract(p, DATA_URI_RE, 2))
         return F.when((i % 2 == 1) & raw.isNotNull(), rep).otherwise(p)

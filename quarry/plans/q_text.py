@@ -128,14 +128,15 @@ def _with_data_uri():
 
 @register("str_8_data_uri", """
 SELECT doc_id, sha256(encode(text)) AS image_sha256, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes,
-       sha256('<p>' || lang || '</p><img src="' || sha256(encode(text)) || '"><img SRC = ''data:image/gif;base64,@@''>') AS html_sha256
+       sha256('<p>' || lang || '</p><img src="' || sha256(encode(text)) || '"><img SRC = ''' || sha256('') || '''>') AS html_sha256
 FROM documents""")
 def str_8_data_uri(spark, sf_dir):
-    """Data-URI images: payload decoded and hashed (child file), the attribute
-    rewritten to the hash reference; undecodable payloads stay."""
+    """Data-URI images: payload decoded (non-validating base64, so '@@' is the
+    empty image) and hashed (child file), the attribute rewritten to the hash
+    reference; payloads with incomplete quads stay."""
     d = read(spark, sf_dir, "documents")
     html = _with_data_uri()
-    raw = T.decode_b64(T.data_uri_payloads(html)[0])
+    raw = T.decode_b64_lenient(T.data_uri_payloads(html)[0])
     return d.select("doc_id", F.sha2(raw, 256).alias("image_sha256"),
                     F.octet_length(raw).cast("bigint").alias("n_bytes"),
                     F.sha2(T.replace_data_uris(html), 256).alias("html_sha256"))

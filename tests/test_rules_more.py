@@ -47,3 +47,24 @@ def test_sanitize_matches_normpath(spark, paths, absolute):
     df = spark.createDataFrame([(p,) for p in paths], "p string")
     got = [r.c for r in df.select(sanitize_path(F.col("p")).alias("c")).collect()]
     assert got == [_py_sanitize(p) for p in paths]
+
+
+def test_data_uri_replacement_matches_rule(spark):
+    import base64
+    import hashlib
+    import re
+    pat = re.compile(r'''(src\s*=\s*)(["'])data:image/([^;]+);base64,([^"']+)\2''', re.IGNORECASE)
+
+    def rule(html):
+        def rep(m):
+            try:
+                b = base64.b64decode(m.group(4))
+            except Exception:  # noqa: BLE001
+                return m.group(0)
+            return f"{m.group(1)}{m.group(2)}{hashlib.sha256(b).hexdigest()}{m.group(2)}"
+        return pat.sub(rep, html)
+    payloads = ["aGVsbG8=", "@@", "YQ", "YQ==", "Y Q = =", "aGVs bG8=", "!!aGVsbG8=", "aGVsbG8", "===="]
+    htmls = [f'<p>x</p><img src="data:image/png;base64,{p}"><IMG SRC = \'data:image/gif;base64,{p}\'>' for p in payloads]
+    df = spark.createDataFrame([(h,) for h in htmls], "h string")
+    got = [r.o for r in df.select(T.replace_data_uris(F.col("h")).alias("o")).collect()]
+    assert got == [rule(h) for h in htmls]
