@@ -68,3 +68,22 @@ def test_data_uri_replacement_matches_rule(spark):
     df = spark.createDataFrame([(h,) for h in htmls], "h string")
     got = [r.o for r in df.select(T.replace_data_uris(F.col("h")).alias("o")).collect()]
     assert got == [rule(h) for h in htmls]
+
+
+def _normalize_rule(b: bytes) -> str:
+    try:
+        t = b.decode("utf-8")
+    except UnicodeDecodeError:
+        t = b.decode("latin-1")
+    return t.replace("\r\n", "\n").replace("\r", "\n")
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.one_of(st.binary(max_size=12),
+                          st.sampled_from([b"\xed\xa0\x80", b"\xc0\xaf", b"\xf4\x90\x80\x80", b"\xe9\r\n", b"ok\r\r\n",
+                                           "é😀".encode(), b"\xef\xbb\xbfbom"])),
+                min_size=1, max_size=25))
+def test_normalize_matches_rule(spark, blobs):
+    df = spark.createDataFrame([(bytearray(b),) for b in blobs], "b binary")
+    got = [r.t for r in df.select(T.normalize_text(F.col("b")).alias("t")).collect()]
+    assert got == [_normalize_rule(b) for b in blobs]
