@@ -31,3 +31,19 @@ def test_cross_page_table_header(spark):
     got = df.select(LY.merge_cross_page_tables(F.col("pg")).alias("f")).first().f
     assert got[1] == "|A|B|\n|---|---|\n|x|y|\n|3|4|"
     assert got[0] == p1 and got[2] == "plain"
+
+
+def test_cell_whitespace_is_unicode_white_space(spark):
+    import regex
+    ws = {c for c in range(0x110000) if regex.match(r"\p{White_Space}", chr(c))}
+    assert ws == set(TB._WS_CPS)
+    cells = [" a |\n b ", " x　|　y ", "\x1cq\x1d", None, "p||q"]
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    got = [r.s for r in df.select(TB.sanitize(F.col("c")).alias("s")).collect()]
+
+    def rule(v):
+        if v is None:
+            return ""
+        v = regex.sub(r"\p{White_Space}+", " ", v).replace("|", "¦")
+        return regex.sub(r"^\p{White_Space}+|\p{White_Space}+$", "", v)
+    assert got == [rule(c) for c in cells]
