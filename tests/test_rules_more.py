@@ -87,3 +87,16 @@ def test_normalize_matches_rule(spark, blobs):
     df = spark.createDataFrame([(bytearray(b),) for b in blobs], "b binary")
     got = [r.t for r in df.select(T.normalize_text(F.col("b")).alias("t")).collect()]
     assert got == [_normalize_rule(b) for b in blobs]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["http://a.b", "HTTPS://x.y/z", "(", ")", "[", "]", "](", '"', ">", " ",
+                                          "　", " ", "\x1c", "t", "é", "\n"]), max_size=12)
+                .map("".join), min_size=1, max_size=20))
+def test_linkify_property(spark, texts):
+    from tests.rules import links_rule, linkify_rule
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(T.linkify(F.col("t")).alias("l"), T.extract_links(F.col("t")).alias("x")).collect()
+    for t, r in zip(texts, rows):
+        assert r.l == linkify_rule(t)
+        assert list(r.x) == links_rule(t)
