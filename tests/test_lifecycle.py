@@ -65,3 +65,13 @@ def test_ancestors_terminate_on_cycles(spark):
     got = {(r.sha256, r.ancestor): r.depth for r in L.ancestors(edges).collect()}
     assert got[("b", "a")] == 1 and got[("a", "b")] == 1 and got[("a", "a")] == 2
     assert got[("d", "c")] == 1 and got[("d", "a")] == 2 and got[("d", "b")] == 3
+
+
+def test_asof_includes_equal_time_and_earlier_buckets(spark):
+    t = datetime(2024, 1, 1, 12, 0, 0)
+    R = spark.createDataFrame([("k", t, "same"), ("k", t - timedelta(days=3), "old")],
+                              "k string, rts timestamp_ntz, v string")
+    Lf = spark.createDataFrame([(1, "k", t), (2, "k", t - timedelta(hours=1)), (3, "k", t - timedelta(days=4))],
+                               "id int, k string, ts timestamp_ntz")
+    got = {r.id: r.asof_v for r in L.asof_latest(Lf, R, "k", "ts", "rts", ["v"], bucket_seconds=3600).collect()}
+    assert got == {1: "same", 2: "old", 3: None}
