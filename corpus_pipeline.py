@@ -10,10 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, line_spread, mixing
+from quarry.llm import decontaminate, language_id, line_spread, mixing
 from quarry.llm.common import prepare, staged
 
 
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised stay."""
+    return language_id.identified_documents(docs)
+
+
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cross-site boilerplate lines go; a document that consisted of nothing
     else goes with them."""
@@ -33,6 +38,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language_id", keep_known_languages),
     ("line_dedup", drop_repeated_lines),
     ("decontaminate", drop_contaminated),
     ("mix", mix),

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM_RE, let, lower_ascii, prepare, row_key, small, staged
+from .common import ALNUM_RE, let, lower_ascii, prepare, row_key, small, staged, without
 
 WINDOW = 10
 #: Lists intersected before the word-by-word comparison.
@@ -132,6 +132,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
                       F.col("n_hit").isNotNull().alias("contaminated"))
 
 
+def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents without a hit, all columns kept."""
+    prepare(docs.sparkSession)
+    matches, _ = phrase_hits(docs, items, window)
+    own = without(docs.columns, "rid")
+    hit = matches.select(F.col("rid").alias("hit"))
+    return docs.select(*own, row_key("text").alias("rid")).join(hit, F.col("rid") == F.col("hit"), "left_anti").select(*own)
+
+
 def proximity_matches(docs: DataFrame, items: DataFrame, distance: int = 5) -> DataFrame:
     """(doc_id, item_id, pos_a, pos_b): the two rarest distinct terms of an item
     within ``distance`` words of each other, in either order.  The nearest

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, prepare, staged
+from .common import WORD_RE, prepare, staged, without
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -54,13 +54,14 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     return t.select("source", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def mix_sources(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, carry: tuple[str, ...] = ()) -> DataFrame:
     """docs(doc_id, text, source, …) → one row per document: doc_id, source,
-    size, source_size, target, taken (words of it in the mix, repeats counted)."""
+    size, source_size, target, taken (words of it in the mix, repeats counted),
+    and the ``carry`` columns."""
     prepare(docs.sparkSession)
-    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
-                       F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key"))
-    base = staged(base, "mix-sizes").withColumn("range", F.substring("key", 1, RANGE_DIGITS))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
+                        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key"), *carry)
+    base = staged(sized, "mix-sizes").withColumn("range", F.substring("key", 1, RANGE_DIGITS))
     ranges = staged(base.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "mix-ranges")
     targets = source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, max_epochs)
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -69,13 +70,23 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS)
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     cuts = (ranges.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
             .select(F.col("r.source").alias("s"), F.col("range").alias("rg"), "offset", "source_size", "target", epochs.alias("epochs"))
-            .withColumn("left_over", F.floor(F.col("target") + 0.5).cast("long") - F.col("epochs") * F.col("source_size")))
+            .withColumn("left_over", budget - F.col("epochs") * F.col("source_size")))
     within = Window.partitionBy("source", "range").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = base.withColumn("upto", F.sum("size").over(within))
     out = run.join(cuts, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("rg")))
     rest = F.col("left_over") - F.col("offset") - (F.col("upto") - F.col("size"))
     taken = F.col("epochs") * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), rest))
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *carry)
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The documents of the mix, all columns kept, plus size, source_size,
+    target and taken.  A document that the cut leaves out is not returned."""
+    mine = ("size", "source_size", "target", "taken")
+    others = [c for c in without(docs.columns, *mine) if c not in ("doc_id", "source")]
+    packed = docs.select("doc_id", "source", "text", F.struct(*others).alias("q_carry"))
+    out = mix_sources(packed, weights, max_epochs, ("q_carry",)).where(F.col("taken") > 0)
+    return out.select(*[F.col(c) if c in ("doc_id", "source") else F.col("q_carry")[c].alias(c) for c in without(docs.columns, *mine)], *mine)
 
 
 ORACLE = r"""

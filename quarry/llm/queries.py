@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_spread, mixing, quality_rules
+from . import decontaminate, language_id, line_spread, mixing, quality_rules, toxicity, warc
 from .common import prepare
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language_id(spark, sf_dir):
+    return language_id.predict_languages(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality_rules.quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -29,6 +33,16 @@ def op5_line_spread(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op6_toxicity(spark, sf_dir):
+    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_warc(spark, sf_dir):
+    out = warc.round_trip(_table(spark, sf_dir, "pages"))
+    broken = F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", F.coalesce(broken.cast("long"), "refers_to").alias("refers_to"))
+
+
 def op8_decontaminate(spark, sf_dir):
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -38,14 +52,18 @@ def op9_mixing(spark, sf_dir):
 
 
 QUERIES: dict[str, Builder] = {
+    "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
     "op5_line_spread": op5_line_spread,
+    "op6_toxicity": op6_toxicity,
+    "op7_warc": op7_warc,
     "op8_decontaminate": op8_decontaminate,
     "op9_mixing": op9_mixing,
 }
 
 ORACLES: dict[str, str] = {
     "op5_line_spread": line_spread.ORACLE,
+    "op7_warc": warc.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }
