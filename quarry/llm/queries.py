@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_spread, mixing, quality_rules, toxicity, warc
+from . import decontaminate, language_id, line_spread, mixing, quality_rules, suffix_array, suffix_tree_lm, toxicity, warc
 from .common import prepare
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op3_quality_rules(spark, sf_dir):
     return quality_rules.quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_suffix_tree_lm(spark, sf_dir):
+    return suffix_tree_lm.lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op5_line_spread(spark, sf_dir):
     out = line_spread.dedup_lines(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
@@ -51,14 +55,20 @@ def op9_mixing(spark, sf_dir):
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_suffix_array(spark, sf_dir):
+    return suffix_array.repeated_spans(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Builder] = {
     "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
+    "op4_suffix_tree_lm": op4_suffix_tree_lm,
     "op5_line_spread": op5_line_spread,
     "op6_toxicity": op6_toxicity,
     "op7_warc": op7_warc,
     "op8_decontaminate": op8_decontaminate,
     "op9_mixing": op9_mixing,
+    "op10_suffix_array": op10_suffix_array,
 }
 
 ORACLES: dict[str, str] = {
