@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_spread, mixing, quality_rules, suffix_array, suffix_tree_lm, toxicity, warc
+from . import decontaminate, language_id, line_spread, mixing, quality_rules, suffix_array, suffix_tree_lm, toxicity, warc, weighted_minhash
 from .common import prepare
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_weighted_minhash(spark, sf_dir):
+    return weighted_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark, sf_dir):
     return language_id.predict_languages(_table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ def op10_suffix_array(spark, sf_dir):
 
 
 QUERIES: dict[str, Builder] = {
+    "op1_weighted_minhash": op1_weighted_minhash,
     "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
     "op4_suffix_tree_lm": op4_suffix_tree_lm,

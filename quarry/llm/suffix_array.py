@@ -31,27 +31,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import prepare, row_key, staged
-from .tokens import mix64, starts_from, word_hashes
+from .tokens import Grams, mix64, starts_from, word_hashes
 
 MIN_WORDS = 50
 ANCHOR = 8
-_BASE = 0xD1342543DE82EF95
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-class Grams:
-    """Hashes of word runs of any length over one array of word hashes."""
-
-    def __init__(self, h: np.ndarray):
-        n = len(h)
-        up, down = np.full(n + 1, _BASE, np.uint64), np.full(n + 1, _INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        self.down = np.multiply.accumulate(down)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(h * np.multiply.accumulate(up)[:n], out=self.sums[1:])
-
-    def runs(self, start: np.ndarray, length) -> np.ndarray:
-        return mix64((self.sums[start + length] - self.sums[start]) * self.down[start] + np.asarray(length, np.uint64))
 
 
 def governors(gram: np.ndarray, width: int) -> np.ndarray:

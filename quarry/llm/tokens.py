@@ -26,6 +26,9 @@ LOWER[0x41:0x5B] += 0x20
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: Base of the hashes of word runs.
+_RUN_BASE = 0xD1342543DE82EF95
+_RUN_INVERSE = pow(_RUN_BASE, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -119,3 +122,18 @@ def starts_from(counts: np.ndarray) -> np.ndarray:
     out = np.zeros(len(counts) + 1, np.int64)
     np.cumsum(counts, out=out[1:])
     return out
+
+
+class Grams:
+    """Hashes of word runs of any length over one array of word hashes."""
+
+    def __init__(self, h: np.ndarray):
+        n = len(h)
+        up, down = np.full(n + 1, _RUN_BASE, np.uint64), np.full(n + 1, _RUN_INVERSE, np.uint64)
+        up[0] = down[0] = 1
+        self.down = np.multiply.accumulate(down)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(h * np.multiply.accumulate(up)[:n], out=self.sums[1:])
+
+    def runs(self, start: np.ndarray, length) -> np.ndarray:
+        return mix64((self.sums[start + length] - self.sums[start]) * self.down[start] + np.asarray(length, np.uint64))
