@@ -1,15 +1,17 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-Test items are cut into windows of ``window`` consecutive words (an item of
-fewer words is one window).  One pass over the corpus counts the window terms,
-so every window's terms can be ordered from the rarest.  The index stores the
-training postings (term, document, position) of each window's rarest terms;
-their lists, shifted by the term's offset in the window, are intersected from
-the rarest on, and what is left is compared word by word with the document.
-A window of one repeated or very common term needs no other list than its own.
-
-Phrase matches are exact runs of a window.  ``proximity_matches`` relaxes
-adjacency: the two rarest terms of an item within ``distance`` words.
+One pass over the corpus stores the postings (term, document, position) of all
+words that the test items use, and of an end mark whose position is the
+document's length.  Everything else reads the index.  Items are cut into windows
+of ``window`` consecutive words (an item of fewer words is one window); the
+index gives every term's count, and each window names its two rarest places.
+Their postings, shifted by the place in the item, are intersected: both must
+name the same diagonal (position in the document − place in the item).  On the
+diagonals that are left the postings of all the item's terms are laid out, and
+a run of consecutive places as long as a window is an exact phrase match.
+
+``proximity_matches`` relaxes adjacency: the two rarest terms of an item within
+``distance`` words.
 
 Defined cases: null text has no words; an item without words has no window;
 null item ids are left out of the id list but their windows still count as
@@ -23,122 +25,97 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM_RE, let, lower_ascii, prepare, row_key, small, staged, without
+from .common import ALNUM_RE, lower_ascii, prepare, row_key, small, staged
 
 WINDOW = 10
-#: Lists intersected before the word-by-word comparison.
-LISTS = 3
+#: Places of each window whose lists are intersected.
+LISTS = 2
+#: Term of the end mark; no word holds this character.
+END = "\x00"
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(ALNUM_RE), F.lit(0))
 
 
-def item_windows(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """items(item_id, text, …) → windows(wid, terms) with distinct contents and
-    owners(wid, item_id)."""
-    words = items.select("item_id", tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
-    cut = words.select("item_id", F.explode(F.when(F.size("w") <= window, F.array(F.col("w"))).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1))), lambda i: F.slice("w", i, window)))).alias("terms"))
-    cut = staged(cut.select("item_id", "terms", F.sha2(F.array_join("terms", " "), 256).alias("wid")), "bench-windows")
-    return cut.groupBy("wid").agg(F.first("terms").alias("terms")), cut.select("wid", "item_id").distinct()
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """Adds rid, an identity from the row's own values (it survives recomputation)."""
-    return docs.select("doc_id", "text", row_key("text").alias("rid"))
-
-
-def positions(docs: DataFrame) -> DataFrame:
-    """(rid, pos, term) of every word of every document."""
-    return docs.select("rid", F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
-
-
-def corpus_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, df): occurrences of the given terms in the whole corpus."""
-    n = terms.count()
-    got = positions(docs).select("term").join(small(terms, n), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return terms.join(got, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
-
-
-def rarest(windows: DataFrame, counts: DataFrame, lists: int = LISTS) -> DataFrame:
-    """(wid, k, term, offset): the window's ``lists`` rarest terms, k = 0 the
-    rarest.  Windows with a term that the corpus lacks can't occur and go."""
-    t = windows.select("wid", F.posexplode("terms").alias("offset", "term")).join(counts, "term")
-    by = Window.partitionBy("wid")
-    first = t.withColumn("absent", F.min("df").over(by) == 0).where(~F.col("absent"))
-    # one offset per distinct term: a repeated term adds no new list
-    first = first.groupBy("wid", "term", "df").agg(F.min("offset").alias("offset"))
-    k = F.row_number().over(Window.partitionBy("wid").orderBy("df", "term")) - 1
-    return first.withColumn("k", k).where(F.col("k") < lists).select("wid", "k", "term", "offset")
-
-
-def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The positional index of the given terms: (term, rid, pos), stored once."""
-    n = terms.count()
-    return staged(positions(docs).join(small(terms, n), "term").select("term", "rid", "pos"), "bench-postings")
-
-
-def intersect(index: DataFrame, picks: DataFrame, lists: int = LISTS) -> DataFrame:
-    """(wid, rid, start): places where the window's picked terms stand at their offsets."""
-    n = picks.count()
-    at = [picks.where(F.col("k") == k).select("wid", "term", F.col("offset").alias("o")) for k in range(lists)]
-    have = picks.groupBy("wid").agg(F.max("k").alias("last"))
-    shifted = [index.join(small(a, n), "term").select("wid", "rid", (F.col("pos") - F.col("o")).alias("start")) for a in at]
-    found = shifted[0].where(F.col("start") >= 0).join(small(have, n), "wid")
-    for k in range(1, lists):
-        # windows with fewer distinct terms skip the lists they don't have
-        short = found.where(F.col("last") < k)
-        found = found.where(F.col("last") >= k).join(shifted[k], ["wid", "rid", "start"], "left_semi").unionByName(short)
-    return found.select("wid", "rid", "start")
-
-
-def phrase_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, lists: int = LISTS) -> tuple[DataFrame, DataFrame]:
-    """matches(rid, m: array of start, len, wid), one row per document with an
-    exact phrase match, and owners(wid, item_id)."""
-    windows, owners = item_windows(items, window)
-    windows = staged(windows, "bench-distinct")
-    terms = staged(windows.select(F.explode("terms").alias("term")).distinct(), "bench-terms")
-    rows = keyed(docs)
-    picks = staged(rarest(windows, staged(corpus_counts(rows, terms), "bench-counts"), lists), "bench-picks")
-    index = build_index(rows, picks.select("term").distinct())
-    n = windows.count()
-    found = staged(intersect(index, picks, lists).distinct(), "bench-candidates")
-    # a document's candidates: at most one per position and window
-    cand = found.join(small(windows, n), "wid").groupBy("rid").agg(F.collect_list(F.struct("start", "terms", "wid")).alias("c"))
-    exact = rows.join(cand, "rid").select("rid", let(tokens(F.col("text")), lambda w: F.filter(
-        "c", lambda x: F.slice(w, x["start"] + 1, F.size(x["terms"])) == x["terms"])).alias("m")).where(F.size("m") > 0)
-    exact = exact.select("rid", F.transform("m", lambda x: F.struct(x["start"].alias("start"), F.size(x["terms"]).alias("len"), x["wid"].alias("wid"))).alias("m"))
-    return staged(exact.distinct(), "bench-matches"), owners
+def item_places(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """items(item_id, text, …) → places(ino, n, ipos, t): one row per word of
+    each distinct item, and vocabulary(term, t) with the end mark as t = -1."""
+    distinct = staged(items.select("item_id", tokens(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
+                      .withColumn("ino", F.monotonically_increasing_id()), "bench-items")
+    vocabulary = staged(distinct.select(F.explode("w").alias("term")).distinct().withColumn("t", F.monotonically_increasing_id())
+                        .unionByName(items.sparkSession.range(1).select(F.lit(END).alias("term"), F.lit(-1).cast("long").alias("t"))), "bench-terms")
+    places = distinct.select("item_id", "ino", F.size("w").alias("n"), F.posexplode("w").alias("ipos", "term")).join(vocabulary, "term")
+    return staged(places.select("item_id", "ino", "n", "ipos", "t"), "bench-places"), vocabulary
+
+
+def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """The positional index: (t, rid, pos) of every vocabulary word of every
+    document, and its end mark.  The rid comes from the row's own values."""
+    words = docs.select(row_key("text").alias("rid"), F.posexplode(F.concat(tokens(F.col("text")), F.array(F.lit(END)))).alias("pos", "term"))
+    return staged(words.join(small(vocabulary, vocabulary.count()), "term").select("t", "rid", "pos"), "bench-postings")
+
+
+def rarest_places(places: DataFrame, index: DataFrame, window: int = WINDOW, lists: int = LISTS) -> DataFrame:
+    """(ino, ipos, t, need): the places whose lists are intersected, ``lists``
+    of each window.  Windows with a term that the corpus lacks can't occur."""
+    counts = index.where(F.col("t") >= 0).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    w = F.least(F.lit(window), F.col("n"))
+    cut = (places.join(counts, "t", "left").withColumn("w", w)
+           .withColumn("start", F.explode(F.sequence(F.greatest(F.lit(0), F.col("ipos") - F.col("w") + 1), F.least(F.col("ipos"), F.col("n") - F.col("w"))))))
+    of = Window.partitionBy("ino", "start")
+    k = F.row_number().over(of.orderBy("df", "ipos"))
+    able = cut.withColumn("present", F.count("df").over(of) == F.col("w")).withColumn("k", k).where(F.col("present") & (F.col("k") <= lists))
+    return able.groupBy("ino", "ipos", "t").agg(F.min(F.least(F.col("w"), F.lit(lists))).alias("need"))
+
+
+def diagonals(index: DataFrame, picks: DataFrame) -> DataFrame:
+    """(ino, rid, diag) on which enough of the picked places stand."""
+    shifted = index.join(small(picks, picks.count()), "t").select("ino", "rid", (F.col("pos") - F.col("ipos")).alias("diag"), "need")
+    return (shifted.groupBy("ino", "rid", "diag").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need"))
+            .where(F.col("n") >= F.col("need")).select("ino", "rid", "diag"))
+
+
+def phrase_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """hits(rid, item_id, a, b): runs of document words [a, b) covered by
+    windows of an item, and ends(rid, n_words), one row per document."""
+    places, vocabulary = item_places(items)
+    index = build_index(docs, vocabulary)
+    picks = staged(rarest_places(places, index, window), "bench-picks")
+    lines = staged(diagonals(index, picks), "bench-diagonals")
+    n_lines, n_places = lines.count(), places.count()
+    laid = (index.where(F.col("t") >= 0).join(small(lines, n_lines), "rid").withColumn("ipos", (F.col("pos") - F.col("diag")).cast("int"))
+            .join(small(places, n_places), ["ino", "t", "ipos"]).select("rid", "ino", "diag", "ipos").distinct())
+    rank = F.row_number().over(Window.partitionBy("rid", "ino", "diag").orderBy("ipos"))
+    runs = laid.withColumn("g", F.col("ipos") - rank).groupBy("rid", "ino", "diag", "g").agg(F.min("ipos").alias("lo"), F.count(F.lit(1)).alias("len"))
+    heads = places.where(F.col("ipos") == 0).select("ino", "item_id", "n")
+    hits = (runs.join(small(heads, n_places), "ino").where(F.col("len") >= F.least(F.lit(window), F.col("n")))
+            .select("rid", "item_id", (F.col("diag") + F.col("lo")).alias("a"), (F.col("diag") + F.col("lo") + F.col("len")).alias("b")))
+    ends = index.where(F.col("t") == -1).select("rid", F.col("pos").alias("n_words"))
+    return staged(hits, "bench-hits"), ends
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs(doc_id, text, …), items(item_id, text, …) → one row per document:
     doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     prepare(docs.sparkSession)
-    matches, owners = phrase_hits(docs, items, window)
-    words = matches.select("rid", F.size(F.array_distinct(F.flatten(F.transform(
-        "m", lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1))))).alias("n_hit"))
-    n = owners.count()
-    ids = (matches.select("rid", F.explode(F.array_distinct(F.transform("m", lambda x: x["wid"]))).alias("wid"))
-           .join(small(owners, n), "wid").groupBy("rid").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("ids")))
-    hits = words.join(ids, "rid")
-    base = keyed(docs).select("rid", "doc_id", F.size(tokens(F.col("text"))).cast("long").alias("n_words"))
-    out = base.join(hits, "rid", "left")
-    ids_or_none = F.coalesce("ids", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-                      F.size(ids_or_none).cast("long").alias("n_items"),
-                      F.sha2(F.array_join(ids_or_none, ","), 256).alias("items_sha256"),
-                      F.col("n_hit").isNotNull().alias("contaminated"))
+    hits, ends = phrase_hits(docs, items, window)
+    before = F.max("b").over(Window.partitionBy("rid").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.greatest(F.lit(0), F.col("b") - F.greatest(F.col("a"), F.coalesce(before, F.lit(0))))
+    found = hits.withColumn("fresh", fresh).groupBy("rid").agg(F.sum("fresh").alias("n_hit"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
+    ids = F.coalesce("ids", F.array().cast("array<string>"))
+    return ends.join(found, "rid", "left").select(
+        F.col("rid.doc_id").alias("doc_id"), F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without a hit, all columns kept."""
     prepare(docs.sparkSession)
-    matches, _ = phrase_hits(docs, items, window)
-    own = without(docs.columns, "rid")
-    hit = matches.select(F.col("rid").alias("hit"))
-    return docs.select(*own, row_key("text").alias("rid")).join(hit, F.col("rid") == F.col("hit"), "left_anti").select(*own)
+    hits, _ = phrase_hits(docs, items, window)
+    hit = hits.select(F.col("rid").alias("quarry_hit")).distinct()
+    rows = docs.withColumn("quarry_rid", row_key("text"))
+    return rows.join(hit, F.col("quarry_rid") == F.col("quarry_hit"), "left_anti").drop("quarry_rid")
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, distance: int = 5) -> DataFrame:
@@ -147,21 +124,20 @@ def proximity_matches(docs: DataFrame, items: DataFrame, distance: int = 5) -> D
     partner on each side is reported, so a frequent term adds two rows at most
     per occurrence."""
     prepare(docs.sparkSession)
-    rows = keyed(docs)
-    whole = (items.select("item_id", tokens(F.col("text")).alias("terms")).where(F.size("terms") > 0)
-             .select(F.col("item_id").alias("wid"), F.array_distinct("terms").alias("terms")))
-    terms = staged(whole.select(F.explode("terms").alias("term")).distinct(), "near-terms")
-    picks = staged(rarest(whole, corpus_counts(rows, terms), 2), "near-picks")
-    index = build_index(rows, picks.select("term").distinct())
-    hits = index.join(small(picks, picks.count()), "term").select("wid", "rid", "pos", "k")
-    by = Window.partitionBy("wid", "rid").orderBy("pos", "k")
-    a = F.col("k") == 0
+    places, vocabulary = item_places(items)
+    index = build_index(docs, vocabulary)
+    counts = index.where(F.col("t") >= 0).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    k = F.row_number().over(Window.partitionBy("ino").orderBy("df", "t"))
+    picks = places.select("ino", "item_id", "t").distinct().join(counts, "t").withColumn("k", k).where(F.col("k") <= 2)
+    hits = index.join(picks.select("ino", "item_id", "t", "k"), "t")
+    by = Window.partitionBy("ino", "rid").orderBy("pos", "k")
+    a = F.col("k") == 1
     other = F.when(~a, F.col("pos"))
     near = (hits.withColumn("prev", F.last(other, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)))
             .withColumn("next", F.first(other, ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing)))
-            .where(a).select("wid", "rid", F.col("pos").alias("pos_a"), F.explode(F.array("prev", "next")).alias("pos_b"))
+            .where(a).select("rid", "item_id", F.col("pos").alias("pos_a"), F.explode(F.array("prev", "next")).alias("pos_b"))
             .where(F.col("pos_b").isNotNull() & (F.abs(F.col("pos_b") - F.col("pos_a")) <= distance)))
-    return rows.select("rid", "doc_id").join(near, "rid").select("doc_id", F.col("wid").alias("item_id"), "pos_a", "pos_b")
+    return near.select(F.col("rid.doc_id").alias("doc_id"), "item_id", "pos_a", "pos_b")
 
 
 ORACLE = r"""
