@@ -191,27 +191,25 @@ def predict_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Data
 
 def identified_documents(docs: DataFrame, per_language: int = PER_LANGUAGE, min_score: float = MIN_SCORE) -> DataFrame:
     """The documents whose language is recognised, all columns kept."""
-    from .common import without
-    own = without(docs.columns, "lang_pred", "score")
-    carried = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema.fields)
-    out = _predict(docs, docs.select(*own), carried, per_language)
-    return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*own)
+    carried = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    out = _predict(docs, docs, carried, per_language, ("quarry_lang", "quarry_score"))
+    return out.where((F.col("quarry_lang") != UNKNOWN) & (F.col("quarry_score") >= min_score)).drop("quarry_lang", "quarry_score")
 
 
-def _predict(docs: DataFrame, rows: DataFrame, carried: str, per_language: int) -> DataFrame:
-    """Adds lang_pred and score to ``rows``; a text column among the carried ones
+def _predict(docs: DataFrame, rows: DataFrame, carried: str, per_language: int, names=("lang_pred", "score")) -> DataFrame:
+    """Adds language and score to ``rows``; a text column among the carried ones
     stays as it is, another one is dropped after its use."""
     spark = docs.sparkSession
     prepare(spark)
     model = spark.sparkContext.broadcast(fit(docs, per_language))
     keep = [f.strip("`") for f in rows.columns if f != "text" or "`text`" in carried]
     plain = F.coalesce("text", F.lit(""))
-    sent = rows.withColumn("q_lower", F.when(plain.rlike(r"\p{L}"), F.lower(plain)))
+    sent = rows.withColumn("quarry_lower", F.when(plain.rlike(r"\p{L}"), F.lower(plain)))
 
     def run(batches):
         m = model.value
         for batch in batches:
-            text = batch.column(batch.schema.names.index("q_lower"))
+            text = batch.column(batch.schema.names.index("quarry_lower"))
             n = batch.num_rows
             width = 0 if m is None else m.table.shape[1]
             margins = np.zeros((n, width))
@@ -243,6 +241,6 @@ def _predict(docs: DataFrame, rows: DataFrame, carried: str, per_language: int)
                 langs, score = decide(m, margins)
             langs = [UNKNOWN if e else v for v, e in zip(langs, empty, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index(c)) for c in keep]
-                                             + [pa.array(langs, pa.string()), pa.array(np.where(empty, 0.0, score))], [*keep, "lang_pred", "score"])
+                                             + [pa.array(langs, pa.string()), pa.array(np.where(empty, 0.0, score))], [*keep, *names])
 
-    return sent.mapInArrow(run, f"{carried}, lang_pred string, score double")
+    return sent.mapInArrow(run, f"{carried}, {names[0]} string, {names[1]} double")

@@ -84,9 +84,9 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     target and taken.  A document that the cut leaves out is not returned."""
     mine = ("size", "source_size", "target", "taken")
     others = [c for c in without(docs.columns, *mine) if c not in ("doc_id", "source")]
-    packed = docs.select("doc_id", "source", "text", F.struct(*others).alias("q_carry"))
-    out = mix_sources(packed, weights, max_epochs, ("q_carry",)).where(F.col("taken") > 0)
-    return out.select(*[F.col(c) if c in ("doc_id", "source") else F.col("q_carry")[c].alias(c) for c in without(docs.columns, *mine)], *mine)
+    packed = docs.select("doc_id", "source", "text", F.struct(*others).alias("quarry_carry"))
+    out = mix_sources(packed, weights, max_epochs, ("quarry_carry",)).where(F.col("taken") > 0)
+    return out.select(*[F.col(c) if c in ("doc_id", "source") else F.col("quarry_carry")[c].alias(c) for c in without(docs.columns, *mine)], *mine)
 
 
 ORACLE = r"""
