@@ -235,7 +235,7 @@ def test_toxicity_edges(spark):
 
 def test_ftrl_is_sparse():
     rng = np.random.default_rng(2)
-    rows = [(int(k % 3 == 0), np.unique(np.append(rng.integers(10, 1000, 40), np.full(k % 3 == 0, 5)))) for k in range(900)]
+    rows = [(int(k % 3 == 0), np.unique(np.append(rng.integers(10, 1000, 40), np.full(int(k % 3 == 0), 5)))) for k in range(900)]
     slots, weights, _ = toxicity.fit_ftrl(rows, bits=10)
     assert slots[np.argmax(weights)] == 5 and len(slots) < 500
 
