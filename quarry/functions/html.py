@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS
+from .text import WS, bind, replace_each
 
 # (pattern, replacement with $n groups) applied in order.
 _BLOCKS = "p|div|ul|ol|table|section|article|main|body|html|blockquote|pre|figure|dl"
@@ -75,12 +75,26 @@ def decode_entities(c: Column) -> Column:
     return c
 
 
+NUMERIC_RE = r"&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
+
+
+def decode_numeric(c: Column) -> Column:
+    """Decimal and hexadecimal character references; references to no character
+    stay as they are."""
+    def char(ref):
+        body = F.regexp_extract(ref, r"&#([^;]+);", 1)
+        n = F.when(F.lower(body).startswith("x"), F.conv(F.substring(body, 2, 6), 16, 10)).otherwise(body).cast("long")
+        fine = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+        return F.when(fine, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+    return bind(c, lambda x: F.when(x.contains("&#"), replace_each(x, NUMERIC_RE, char)).otherwise(x))
+
+
 def html_to_markdown(html: Column, is_document: Column) -> Column:
     """Main content of a full document, or all of a fragment, as markdown."""
     doc = _apply(html, rules(True))
     frag = _apply(html, rules(False))
     md = F.when(is_document, doc).otherwise(frag)
-    return _apply(decode_entities(md), SPACE_RULES)
+    return _apply(decode_entities(decode_numeric(md)), SPACE_RULES)
 
 
 # ------------------------------------------------------------ metadata
@@ -92,13 +106,15 @@ META_FIELDS = [
 
 
 def _meta_content(html: Column, name: str) -> Column:
-    pat = (r"""(?is)<meta\b[^>]*\b(?:name|property)\s*=\s*["']""" + name.replace(".", r"\.")
-           + r"""["'][^>]*\bcontent\s*=\s*["']([^"']*)["']""")
-    return F.regexp_extract(html, pat, 1)
+    """Content of the first <meta> with the name, in either attribute order."""
+    own = r"""\b(?:name|property)\s*=\s*["']""" + name.replace(".", r"\.") + r"""["']"""
+    value = r"""\bcontent\s*=\s*["']([^"']*)["']"""
+    return F.coalesce(F.nullif(F.regexp_extract(html, rf"(?is)<meta\b[^>]*{own}[^>]*{value}", 1), F.lit("")),
+                      F.regexp_extract(html, rf"(?is)<meta\b[^>]*{value}[^>]*{own}", 1))
 
 
 def _clean(v: Column) -> Column:
-    t = F.regexp_replace(decode_entities(v), f"^[{WS}]+|[{WS}]+$", "")
+    t = F.regexp_replace(decode_entities(decode_numeric(v)), f"^[{WS}]+|[{WS}]+$", "")
     return F.when(t != "", t)
 
 

@@ -45,7 +45,11 @@ MD_REF_RE = r"(!?)\[([^\]]*)\]\(([^)]+)\)"
 # Chunk separators, coarse to fine: newline before a heading, blank line,
 # newline, sentence end, space.
 SEPARATORS = ["\n#", "\n\n", "\n", ". ", " "]
-SENTINEL = "\u0001"                         # absent from text (checked upstream)
+
+
+def bind(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once per row however often it is used."""
+    return F.transform(F.array(value), body)[0]
 
 
 def py_strip(c: Column) -> Column:
@@ -78,12 +82,14 @@ def content_sha256(c: Column) -> Column:
 # ---------------------------------------------------------------- splitter
 
 def _split_keep(c: Column, sep: str) -> Column:
-    """``re.split('(sep)', c)``: parts with the separators kept as items."""
+    """The text cut at every separator, separators kept as pieces of their own
+    (a newline before a heading is a piece, the heading's ``#`` is not).  Every
+    character falls into exactly one piece, whatever the text holds."""
     if sep == "\n#":
-        marked = F.replace(c, F.lit("\n#"), F.lit(SENTINEL + "\n" + SENTINEL + "#"))
+        at, ahead = r"\n(?=#)", r"\n#"
     else:
-        marked = F.replace(c, F.lit(sep), F.lit(SENTINEL + sep + SENTINEL))
-    return F.split(marked, SENTINEL, -1)
+        at = ahead = sep.replace(".", r"\.")
+    return F.regexp_extract_all(c, F.lit(rf"{at}|[\s\S]+?(?={ahead}|\z)"), F.lit(0))
 
 
 def split_parts(text: Column, target: int = CHUNK_TARGET) -> Column:
@@ -160,6 +166,7 @@ def split_column(df, text_col: str, out_col: str, target: int = CHUNK_TARGET):
 
 # ------------------------------------------------------- markdown references
 
+# Fixed value: a content reference.
 HEX64_RE = "^[a-f0-9]{64}$"
 
 
@@ -185,6 +192,7 @@ def markdown_images(md: Column) -> Column:
 
 # ------------------------------------------------------------ data URIs
 
+# Fixed value: an inline image attribute.
 DATA_URI_RE = r"""(?i)(src\s*=\s*)(["'])data:image/([^;]+);base64,([^"']+)\2"""
 
 
@@ -218,23 +226,24 @@ def decode_b64_lenient(s: Column) -> Column:
     return F.when(ok, F.try_to_binary(padded, F.lit("base64")))
 
 
+def replace_each(c: Column, pattern: str, fix) -> Column:
+    """Rewrite every match of ``pattern`` by ``fix(match)``, null leaving it as it
+    is: the pieces between the matches and the matches are zipped back."""
+    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    between = F.split(c, pattern, -1)
+    fixed = F.transform(found, lambda m: F.coalesce(fix(m), m))
+    return F.array_join(F.transform(F.arrays_zip(between.alias("t"), fixed.alias("m")),
+                                    lambda z: F.concat(z["t"], F.coalesce(z["m"], F.lit("")))), "")
+
+
 def replace_data_uris(html: Column) -> Column:
-    """Replace each decodable data-URI image by its content-hash reference.
-
-    Matches are cut apart on a sentinel, each payload is decoded and hashed
-    in a ``transform`` and the pieces are joined back; undecodable payloads
-    stay as they were.
-    """
-    marked = F.regexp_replace(html, DATA_URI_RE, SENTINEL + "$0" + SENTINEL)
-    parts = F.split(marked, SENTINEL, -1)
-
-    def fix(p, i):
-        payload = F.regexp_extract(p, DATA_URI_RE, 4)
-        raw = decode_b64_lenient(payload)
-        rep = F.concat(F.regexp_extract(p, DATA_URI_RE, 1), F.regexp_extract(p, DATA_URI_RE, 2),
-                       F.sha2(raw, 256), F.regexp_extract(p, DATA_URI_RE, 2))
-        return F.when((i % 2 == 1) & raw.isNotNull(), rep).otherwise(p)
-    return F.array_join(F.transform(parts, fix), "")
+    """Replace each decodable data-URI image by its content-hash reference;
+    undecodable payloads stay as they were."""
+    def fix(m):
+        part = [F.regexp_extract(m, DATA_URI_RE, i) for i in (1, 2, 4)]
+        raw = decode_b64_lenient(part[2])
+        return F.when(raw.isNotNull(), F.concat(part[0], part[1], F.sha2(raw, 256), part[1]))
+    return replace_each(html, DATA_URI_RE, fix)
 
 
 # ------------------------------------------------------ model response split

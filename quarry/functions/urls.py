@@ -9,6 +9,8 @@ import ipaddress
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import bind
+
 # Extensions fetched directly instead of through a browser.
 STATIC_EXTS = ["pdf", "jpg", "jpeg", "png", "gif", "webp", "svg", "doc", "docx", "ppt", "pptx", "xls", "xlsx",
                "ods", "odp", "odt", "csv", "txt", "md", "zip", "tar", "gz"]
@@ -43,9 +45,11 @@ def is_static_url(url: Column) -> Column:
 
 
 def within_size(n: Column, limit: int) -> Column:
-    """Numeric size ≤ limit; a declared string size must be all digits."""
+    """False for a declared size of digits above the limit; an absent or
+    non-digit declaration passes (the body itself is measured later)."""
     s = n.cast("string")
-    return s.rlike(r"^[0-9]+$") & (s.try_cast("decimal(38,0)") <= F.lit(limit))
+    over = s.rlike(r"^[0-9]+$") & (F.length(F.regexp_replace(s, "^0+", "")).cast("int") > 18) | (s.try_cast("decimal(38,0)") > F.lit(limit))
+    return ~F.coalesce(s.rlike(r"^[0-9]+$") & over, F.lit(False))
 
 
 # ------------------------------------------------------------ absolutize
@@ -162,13 +166,41 @@ def ipv4_blocked(n: Column) -> Column:
     return cond
 
 
+def ipv6_hex(ip: Column) -> Column:
+    """The 32 hex digits of an IPv6 address in any textual form (compressed,
+    leading zeros left out, dotted tail); null when it is none."""
+    def groups(side):
+        return F.transform(F.filter(F.split(F.coalesce(side, F.lit("")), ":", -1), lambda g: g != ""), lambda g: F.lpad(g, 4, "0"))
+
+    def undotted(h):
+        return bind(ipv4_to_long(F.regexp_extract(h, r":([0-9.]+\.[0-9.]+)$", 1)), lambda n: F.when(n.isNull(), h).otherwise(
+            bind(F.lpad(F.lower(F.hex(n)), 8, "0"), lambda x: F.concat(F.regexp_replace(h, r"[0-9.]+$", ""), F.substring(x, 1, 4), F.lit(":"), F.substring(x, 5, 4)))))
+
+    def expanded(h):
+        form = h.rlike(r"^[0-9a-f:]+$") & ~h.rlike(r"[0-9a-f]{5}|:::|::.*::|^:[^:]|[^:]:$")
+        return F.when(form, bind(F.split(h, "::", -1), lambda s: bind(F.struct(
+            groups(F.get(s, F.lit(0))).alias("l"), groups(F.get(s, F.lit(1))).alias("r"), F.size(s).alias("n")), joined)))
+
+    def joined(g):
+        gap = F.lit(8) - F.size(g["l"]) - F.size(g["r"])
+        whole = F.concat(F.array_join(g["l"], ""), F.repeat(F.lit("0000"), gap), F.array_join(g["r"], ""))
+        return F.when(F.when(g["n"] == 2, gap >= 1).otherwise(gap == 0), whole)
+
+    return bind(bind(F.lower(F.regexp_replace(ip, "%.*$", "")), undotted), expanded)
+
+
+# IPv6 ranges that are private, loopback, link-local or otherwise
+# not public, as the first hex digits that they share.
+BLOCKED_V6_PREFIX = r"^(0{31}[01]|fe[89ab]|f[cd]|20010db8|0100000000000000|20010000|20010002000[0]|2001001|3fff0)"
+
+
 def ipv6_blocked(ip: Column) -> Column:
-    """Loopback, unspecified, link-local, unique-local, mapped-v4 private and
-    documentation IPv6 prefixes (lower-case textual forms)."""
-    h = F.lower(ip)
-    mapped = F.regexp_extract(h, r"^::ffff:([0-9.]+)$", 1)
-    return (h.isin("::1", "::") | h.rlike(r"^fe[89ab][0-9a-f]:") | h.rlike(r"^f[cd][0-9a-f]{2}:")
-            | h.rlike(r"^2001:0?db8:") | ((mapped != "") & ipv4_blocked(ipv4_to_long(mapped))))
+    """Judged on the expanded address; IPv4-mapped ones by their IPv4 part.  Text
+    that is no address is blocked."""
+    def judge(full):
+        mapped = F.conv(F.substring(full, 25, 8), 16, 10).cast("bigint")
+        return F.when(full.startswith("0" * 20 + "ffff"), bind(mapped, ipv4_blocked)).otherwise(full.rlike(BLOCKED_V6_PREFIX))
+    return F.coalesce(bind(ipv6_hex(ip), judge), F.lit(True))
 
 
 def is_literal_ip(h: Column) -> Column:
@@ -176,8 +208,7 @@ def is_literal_ip(h: Column) -> Column:
 
 
 def ip_blocked(h: Column) -> Column:
-    v4 = ipv4_to_long(h)
-    return F.when(v4.isNotNull(), ipv4_blocked(v4)).otherwise(ipv6_blocked(h))
+    return bind(ipv4_to_long(h), lambda v4: F.when(v4.isNotNull(), ipv4_blocked(v4)).otherwise(ipv6_blocked(h)))
 
 
 def url_safety(urls: DataFrame, host_ips: DataFrame, url_col: str = "url") -> DataFrame:

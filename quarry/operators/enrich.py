@@ -43,21 +43,17 @@ def inject_image_text(docs, image_texts, key: str, md_col: str = "markdown"):
     refs of each document are joined to the texts and folded into a small
     per-document map, which is joined back once and applied with a
     ``transform`` over the split markdown."""
-    from ..functions.text import SENTINEL
+    from ..functions.text import replace_each
     refs = docs.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(md_col), F.lit(IMG_REF_RE), 1)))
                        .alias("sha256"))
     found = refs.join(image_texts.select("sha256", F.col("text").alias("_t")), "sha256")
     per_doc = found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("sha256", "_t"))).alias("_m"))
     j = docs.join(per_doc, key, "left")
-    parts = F.split(F.regexp_replace(F.col(md_col), IMG_REF_RE, SENTINEL + "$0" + SENTINEL), SENTINEL, -1)
-
-    def fix(p, i):
-        sha = F.regexp_extract(p, "^" + IMG_REF_RE + "$", 1)
-        t = F.col("_m")[sha]
-        return F.when((i % 2 == 1) & t.isNotNull(),
-                      F.concat(p, F.lit("<!--img:"), sha, F.lit("-->"), t, F.lit("<!--/img:"), sha, F.lit("-->"))
-                      ).otherwise(p)
-    out = F.when(F.col("_m").isNull(), F.col(md_col)).otherwise(F.array_join(F.transform(parts, fix), ""))
+
+    def fix(ref):
+        sha = F.regexp_extract(ref, IMG_REF_RE, 1)
+        return F.concat(ref, F.lit("<!--img:"), sha, F.lit("-->"), F.col("_m")[sha], F.lit("<!--/img:"), sha, F.lit("-->"))
+    out = F.when(F.col("_m").isNull(), F.col(md_col)).otherwise(replace_each(F.col(md_col), IMG_REF_RE, fix))
     return j.withColumn(md_col, out).drop("_m")
 
 
@@ -80,16 +76,18 @@ APP_PROPS = [("Application", "application"), ("Company", "company")]
 def office_properties(parts):
     """``parts(sha256, path, xml)`` (docProps members of exploded OOXML files)
     → one row per file with the core and app properties, trimmed, blanks
-    dropped (null)."""
-    def prop(el):
-        v = F.xpath_string(F.col("xml"), F.lit(f"//*[local-name()='{el}']"))
-        t = F.trim(v)
-        return F.when(t != "", t)
-    core = parts.filter(F.col("path") == "docProps/core.xml").select(
-        "sha256", *[prop(el).alias(k) for el, k in CORE_PROPS])
-    app = parts.filter(F.col("path") == "docProps/app.xml").select(
-        "sha256", *[prop(el).alias(k) for el, k in APP_PROPS])
-    return core.join(app, "sha256", "full")
+    dropped (null).  A part is parsed once; a malformed one keeps its file with
+    null properties."""
+    def closed(xml):
+        return xml.rlike(r"(?s)<([\w:.-]+)(?:\s[^>]*)?>.*</\1\s*>\s*$")
+
+    def fields(path, props):
+        schema = ", ".join(f"{el} string" for el, _ in props)
+        one = parts.filter(F.col("path") == path).select(
+            "sha256", F.from_xml(F.when(closed(F.col("xml")), F.col("xml")).otherwise(F.lit("<none/>")), schema, {"ignoreNamespace": "true", "mode": "PERMISSIVE"}).alias("_x"))
+        blank = [F.trim(F.col("_x")[el]) for el, _ in props]
+        return one.select("sha256", *[F.when(v != "", v).alias(k) for v, (_, k) in zip(blank, props)])
+    return fields("docProps/core.xml", CORE_PROPS).join(fields("docProps/app.xml", APP_PROPS), "sha256", "full")
 
 
 # ------------------------------------------------------------ image text requests

@@ -45,7 +45,7 @@ def asof_latest(left: DataFrame, right: DataFrame, key: str, left_ts: str, right
 
     Skew-safe: rows are cut into (key, time bucket) cells.  Inside a cell a
     running window carries the last right row forward (right before left at
-    equal times).  Across cells, a per-cell summary table (one row per key
+    equal times; of right rows at one time the same one wins in every run).  Across cells, a per-cell summary table (one row per key
     and bucket, far smaller than the rows) carries the latest earlier right
     row with a second window.  A hot key spreads over as many tasks as it
     has buckets and no pair of rows is ever materialised.
@@ -59,11 +59,11 @@ def asof_latest(left: DataFrame, right: DataFrame, key: str, left_ts: str, right
                      F.lit(1).alias("_side"), row.alias("_row"), F.lit(None).cast(pay_t).alias("_pay"))
     row_t = Lu.schema["_row"].dataType
     Ru = R.select("_k", "_t", "_b", F.lit(0).alias("_side"), F.lit(None).cast(row_t).alias("_row"), "_pay")
-    w = (Window.partitionBy("_k", "_b").orderBy("_t", "_side")
+    w = (Window.partitionBy("_k", "_b").orderBy("_t", "_side", F.xxhash64("_pay"))
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     U = (Lu.unionByName(Ru).withColumn("_in", F.last("_pay", ignorenulls=True).over(w))
            .filter(F.col("_side") == 1).select("_k", "_b", "_row", "_in"))
-    rcells = R.groupBy("_k", "_b").agg(F.max_by("_pay", "_t").alias("_last"))
+    rcells = R.groupBy("_k", "_b").agg(F.max_by("_pay", F.struct("_t", F.xxhash64("_pay"))).alias("_last"))
     lcells = U.select("_k", "_b").distinct()
     cells = lcells.join(rcells, ["_k", "_b"], "full")
     wc = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -118,31 +118,34 @@ def orphan_sweep(files: DataFrame, sources: DataFrame, file_files: DataFrame) ->
 
 
 def orphan_generations(files: DataFrame, sources: DataFrame, file_files: DataFrame,
-                       max_generations: int = 64) -> DataFrame:
-    """Repeated sweeps to a fixpoint: (sha256, generation) of every deleted
+                       max_generations: int | None = None) -> DataFrame:
+    """Repeated sweeps to the fixpoint: (sha256, generation) of every deleted
     file.  Deleting a parent removes its edges (cascade), so its children may
-    go in the next generation.  Each generation's survivors are checkpointed
-    to the shared checkpoint folder so lineage stays short and lost executors
-    recompute from the last generation, not from the start.  Files on cycles
-    or reachable from a source are never deleted."""
+    go in the next generation.  After the first sweep only the children of the
+    last generation are candidates: a child goes once its deleted parents are
+    all its parents.  Generations are checkpointed to the shared folder.  Files
+    on cycles or reachable from a source are never deleted.  A caller's bound
+    that is reached raises."""
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(files.sparkSession)
-    alive = files.select("sha256")
-    edges = file_files.select("parent_sha256", "child_sha256")
+    edges = file_files.select("parent_sha256", "child_sha256").distinct().checkpoint()
     src = sources.select(F.col("file_sha256").alias("sha256")).distinct()
-    deleted = None
-    for gen in range(1, max_generations + 1):
-        held = src.unionByName(edges.select(F.col("child_sha256").alias("sha256")))
-        gone = alive.join(held, "sha256", "left_anti").checkpoint()
-        if gone.isEmpty():
-            break
-        tagged = gone.withColumn("generation", F.lit(gen))
-        deleted = tagged if deleted is None else deleted.unionByName(tagged)
-        alive = alive.join(gone, "sha256", "left_anti").checkpoint()
-        edges = edges.join(gone.select(F.col("sha256").alias("parent_sha256")), "parent_sha256",
-                           "left_anti").checkpoint()
-    if deleted is None:
-        return files.sparkSession.createDataFrame([], "sha256 string, generation int")
+    free = files.select("sha256").distinct().join(src, "sha256", "left_anti").checkpoint()
+    held = edges.select(F.col("child_sha256").alias("sha256"))
+    gone = free.join(held, "sha256", "left_anti").withColumn("generation", F.lit(1)).checkpoint()
+    deleted, last, gen = gone, gone, 1
+    parents = edges.groupBy("child_sha256").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    while not last.isEmpty():
+        if max_generations is not None and gen >= max_generations:
+            raise RuntimeError(f"orphan sweep not finished after {max_generations} generations")
+        gen += 1
+        touched = edges.join(last.select(F.col("sha256").alias("parent_sha256")), "parent_sha256", "left_semi").select("child_sha256").distinct()
+        lost = (edges.join(touched, "child_sha256", "left_semi").join(deleted.select(F.col("sha256").alias("parent_sha256")), "parent_sha256", "left_semi")
+                .groupBy("child_sha256").agg(F.count(F.lit(1)).alias("k")))
+        last = (lost.join(parents, "child_sha256").filter("k = n").select(F.col("child_sha256").alias("sha256"))
+                .join(free, "sha256", "left_semi").join(deleted.select("sha256"), "sha256", "left_anti")
+                .withColumn("generation", F.lit(gen)).checkpoint())
+        deleted = deleted.unionByName(last).checkpoint()
     return deleted
 
 
@@ -190,26 +193,32 @@ def expired(df: DataFrame, ts_col: str, as_of: Column, ttl_seconds: int) -> Data
 
 # ------------------------------------------------------------ lineage closure
 
-def ancestors(file_files: DataFrame, max_depth: int = 64) -> DataFrame:
+def ancestors(file_files: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Transitive containment: (sha256, ancestor, depth) for every file and
     every file above it, at the shortest depth.  Level by level: the frontier
     (pairs found at the last depth) joins the edges on its ancestor; pairs
     already known are dropped, so cycles (an archive containing itself by
-    hash) end the loop; each level is checkpointed to the shared folder."""
+    hash) end the loop; each level is checkpointed to the shared folder.  A
+    caller's bound that is reached with pairs left raises."""
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(file_files.sparkSession)
     edges = file_files.select(F.col("child_sha256").alias("_e_child"), F.col("parent_sha256").alias("_e_up")).distinct()
     known = edges.select(F.col("_e_child").alias("sha256"), F.col("_e_up").alias("ancestor"),
                          F.lit(1).alias("depth")).checkpoint()
-    frontier = known
-    for d in range(2, max_depth + 1):
+    frontier, levels, d = known, [known], 1
+    while True:
+        d += 1
         step = (frontier.join(edges, F.col("ancestor") == F.col("_e_child"))
                         .select("sha256", F.col("_e_up").alias("ancestor"), F.lit(d).alias("depth"))
                         .distinct()
                         .join(known.select("sha256", "ancestor"), ["sha256", "ancestor"], "left_anti")
                         .checkpoint())
         if step.isEmpty():
-            break
-        known = known.unionByName(step).checkpoint()
+            return known
+        if max_depth is not None and d > max_depth:
+            raise RuntimeError(f"containment is deeper than {max_depth}")
+        levels.append(step)
+        known = known.unionByName(step)
+        if len(levels) % 16 == 0:      # keeps the plan short; levels themselves are already written
+            known = known.checkpoint()
         frontier = step
-    return known

@@ -110,6 +110,14 @@ def cosine_top_k(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "i
     With ``cell_col`` / ``probes`` (query_id, cell) only the probed cells of
     each query are scored (approximate IVF search)."""
     spark = corpus.sparkSession
+    # rows without an id, a full vector or the common length can't be scored
+    def whole(vec):
+        return vec.isNotNull() & ~F.exists(vec, lambda x: x.isNull())
+    queries = queries.filter(F.col(qid_col).isNotNull() & whole(F.col(qvec_col)))
+    first = queries.select(F.size(qvec_col).alias("d")).groupBy("d").count().orderBy(F.desc("count"), "d").first()
+    dim = first.d if first else 0
+    queries = queries.filter(F.size(qvec_col) == dim)
+    corpus = corpus.filter(F.col(id_col).isNotNull() & whole(F.col(vec_col)) & (F.size(vec_col) == dim))
     n = queries.count()
     out = None
     sel = [F.col(id_col).cast("bigint"), F.col(vec_col)] + ([F.col(cell_col).cast("bigint")] if cell_col else [])

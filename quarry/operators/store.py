@@ -12,11 +12,16 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 
+def _newest(others: list[str], ts_col: str):
+    """The row with the latest time; of several at one time the same one wins in every run."""
+    return F.max_by(F.struct(*others), F.struct(F.col(ts_col), F.xxhash64(*others)))
+
+
 def latest_by_key(df: DataFrame, keys: list[str], ts_col: str) -> DataFrame:
     """Newest row per key (``max_by`` hash aggregate: partial per partition,
     so a hot key is reduced map-side before the shuffle)."""
     others = [c for c in df.columns if c not in keys]
-    agg = df.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col(ts_col)).alias("_r"))
+    agg = df.groupBy(*keys).agg(_newest(others, ts_col).alias("_r"))
     return agg.select(*keys, *[F.col("_r")[c].alias(c) for c in others])
 
 
@@ -24,14 +29,12 @@ def upsert(current: DataFrame, updates: DataFrame, keys: list[str], ts_col: str,
            keep_first: tuple[str, ...] = ()) -> DataFrame:
     """Merge ``updates`` into ``current`` on ``keys``: a key's newest update
     replaces its row unless the current row is newer; ``keep_first`` columns
-    keep their earliest value (e.g. created_at)."""
-    u = latest_by_key(updates.select(*current.columns), keys, ts_col)
-    both = current.unionByName(u)
-    merged = latest_by_key(both, keys, ts_col)
-    if keep_first:
-        firsts = both.groupBy(*keys).agg(*[F.min(c).alias(c) for c in keep_first])
-        merged = merged.drop(*keep_first).join(firsts, keys)
-    return merged.select(*current.columns)
+    keep their earliest value (e.g. created_at).  One aggregate."""
+    both = current.unionByName(updates.select(*current.columns))
+    others = [c for c in current.columns if c not in keys]
+    agg = both.groupBy(*keys).agg(_newest(others, ts_col).alias("_r"), *[F.min(c).alias(f"_first_{c}") for c in keep_first])
+    return agg.select(*[F.col(c) if c in keys else F.col(f"_first_{c}").alias(c) if c in keep_first else F.col("_r")[c].alias(c)
+                        for c in current.columns])
 
 
 def insert_if_absent(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

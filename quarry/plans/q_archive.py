@@ -6,6 +6,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..operators.store import write_staged
 from ..sources import archives as A
 from .registry import register
 from .tables import read
@@ -59,9 +60,9 @@ def src_10_explode(spark, sf_dir):
     """Archive explode: every member of zip, tar.gz and zip-in-zip archives,
     directories and unsafe names skipped, absolute names made relative,
     nested members prefixed by the inner archive's path."""
-    arc = archives_df(spark, sf_dir).cache()
+    arc = write_staged(archives_df(spark, sf_dir), "archives")
     keys = arc.select(F.sha2("content", 256).alias("parent_sha256"), "source", "bucket")
-    mem = A.explode_archives(arc.select("content"), spread=8)
+    mem = A.explode_archives(arc.select("content"))
     return mem.join(keys, "parent_sha256").select("source", "bucket", "path", "child_sha256", "size")
 
 
@@ -69,7 +70,7 @@ def src_10_explode(spark, sf_dir):
 SELECT source, bucket, count(*) AS num_files, CAST(sum(size) AS BIGINT) AS total_bytes FROM m GROUP BY 1, 2""")
 def agg_6_num_files(spark, sf_dir):
     """Archive profile: members after recursion and their bytes per archive."""
-    arc = archives_df(spark, sf_dir)
+    arc = write_staged(archives_df(spark, sf_dir), "archives")
     keys = arc.select(F.sha2("content", 256).alias("parent_sha256"), "source", "bucket")
     mem = A.explode_archives(arc.select("content"))
     return (mem.groupBy("parent_sha256").agg(F.count(F.lit(1)).alias("num_files"),
@@ -151,7 +152,7 @@ def src_11_limits(spark, sf_dir):
     """Archive limits: members over min(file cap, remaining budget) are skipped
     without charge (cap 3000 bytes, budget 20000 here); a gz whose content is
     over the cap yields nothing; a nested archive over the cap is skipped."""
-    arc = archives_df(spark, sf_dir).cache()
+    arc = write_staged(archives_df(spark, sf_dir), "archives")
     keys = arc.select(F.sha2("content", 256).alias("parent_sha256"), "source", "bucket")
     mem = A.explode_archives(arc.select("content"), max_file=3000, max_total=20000)
     return mem.join(keys, "parent_sha256").select("source", "bucket", "path", "size")
