@@ -32,7 +32,11 @@ ODF_MIMES = [("odp", "application/vnd.oasis.opendocument.presentation"),
              ("ods", "application/vnd.oasis.opendocument.spreadsheet"),
              ("odt", "application/vnd.oasis.opendocument.text")]
 CSV_DELIMS = [",", ";", "\t", "|"]
-HEAD_BYTES = 4096
+#: Lines, and the share of them with the first line's fields, that make a text CSV.
+CSV_MIN_ROWS = 5
+CSV_SHARE = 0.9
+#: Longest single value that the variant parser takes.
+JSON_VALUE_CHARS = 20_000_000
 
 
 def _head_hex(content: Column, offset: int, nbytes: int) -> Column:
@@ -40,10 +44,12 @@ def _head_hex(content: Column, offset: int, nbytes: int) -> Column:
 
 
 def _zip_kind(content: Column) -> Column:
-    """Refine a zip: ODF by its ``mimetype`` member text, OOXML by part names."""
-    head = F.substring(content, 1, HEAD_BYTES).cast("string")
-    odf = [F.when(F.instr(head, m) > 0, F.lit(k)) for k, m in ODF_MIMES]
-    ooxml = [F.when(F.instr(head, marker) > 0, F.lit(k)) for k, marker in OFFICE_ZIP_MARKERS]
+    """Refine a zip: ODF by its leading ``mimetype`` member, OOXML by the names in
+    the zip's directory (a name stands 46 bytes after an entry's signature)."""
+    head = F.decode(F.substring(content, 31, 100), "ISO-8859-1")
+    odf = [F.when(head.startswith("mimetype" + m), F.lit(k)) for k, m in ODF_MIMES]
+    names = F.decode(content, "ISO-8859-1")
+    ooxml = [F.when(names.rlike("(?s)PK\\x01\\x02.{42}" + marker), F.lit(k)) for k, marker in OFFICE_ZIP_MARKERS]
     return F.coalesce(*odf, *ooxml, F.lit("zip"))
 
 
@@ -73,8 +79,10 @@ def html_doc_sniff(text: Column) -> Column:
     return head.rlike(r"(?i)<(!doctype|html)\b")
 
 
-def _lines(text: Column, n: int = 10000) -> Column:
-    return F.slice(F.filter(F.split(text, "\n", -1), lambda x: F.trim(x) != ""), 1, n)
+def _lines(text: Column) -> Column:
+    """Non-blank lines of the whole text, each quoted field (which may hold
+    delimiters and line breaks) taken for one letter."""
+    return F.filter(F.split(F.regexp_replace(text, '"[^"]*"', "q"), "\n", -1), lambda x: F.trim(x) != "")
 
 
 def _delim_count(d: str):
@@ -84,17 +92,17 @@ def _delim_count(d: str):
 
 
 def csv_dialect(text: Column, lines: Column | None = None) -> Column:
-    """Delimiter of a consistently delimited text (every sampled non-blank line
-    has the same positive count of it, at least 5 lines), else null.  Among
-    consistent candidates the one giving most fields wins (earlier on ties).
-    Each candidate compares every line with the first line's count and stops
-    at the first mismatch."""
+    """Delimiter of a delimited text, else null: at least CSV_MIN_ROWS lines, and
+    CSV_SHARE of all lines have as many fields as the first (the others are
+    ragged).  Among such delimiters the one giving most fields wins (earlier on
+    ties)."""
     lines = _lines(text) if lines is None else lines
     first = _at1(lines)
     cands = []
     for d in CSV_DELIMS:
         n1 = _delim_count(d)(first)
-        ok = (F.size(lines) >= 5) & (n1 >= 1) & F.forall(lines, _same_count(d, n1))
+        same = F.size(F.filter(lines, _same_count(d, n1)))
+        ok = (F.size(lines) >= CSV_MIN_ROWS) & (n1 >= 1) & (same >= F.size(lines) * CSV_SHARE)
         cands.append(F.when(ok, F.struct(n1.cast("int").alias("n"), F.lit(d).alias("d"))))
     arr = F.filter(F.array(*cands), lambda s: s.isNotNull())
     top = F.aggregate(arr, F.lit(None).cast("struct<n:int,d:string>"),
@@ -114,15 +122,24 @@ def _same_count(d: str, n1: Column):
     return f
 
 
+def _json_ok(x: Column) -> Column:
+    """The text parses as JSON; texts that may hold a value too long for the
+    variant parser are read by the JSON reader without a length limit."""
+    free = {"maxStringLen": str(2**31 - 1)}
+    by_reader = F.when(F.ltrim(x).startswith("["), F.from_json(x, "array<string>", free).isNotNull()) \
+                 .otherwise(F.from_json(x, "map<string,string>", free).isNotNull())
+    return F.try_parse_json(x).isNotNull() | ((F.length(x) > JSON_VALUE_CHARS) & by_reader)
+
+
 def is_json_doc(text: Column) -> Column:
     """Whole text is one JSON object or array."""
     t = F.regexp_replace(text, f"^[{WS}]+", "")
     # The variant parser stops after the first value, so a text of several
     # one-line values (NDJSON shape) would pass: require that it is not one.
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x) != "")
-    several = (F.size(lines) >= 2) & F.forall(lines, lambda x: F.try_parse_json(x).isNotNull())
+    several = (F.size(lines) >= 2) & F.forall(lines, lambda x: _json_ok(x))
     opens = F.startswith(t, F.lit("{")) | F.startswith(t, F.lit("["))
-    return opens & F.try_parse_json(text).isNotNull() & ~several
+    return opens & _json_ok(text) & ~several
 
 
 def is_ndjson(text: Column) -> Column:
@@ -130,7 +147,7 @@ def is_ndjson(text: Column) -> Column:
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x) != "")
     opens = F.regexp_replace(text, f"^[{WS}]+", "").startswith("{")
     return opens & (F.size(lines) >= 1) & F.forall(
-        lines, lambda x: F.try_parse_json(x).isNotNull() & F.startswith(F.ltrim(x), F.lit("{"))
+        lines, lambda x: _json_ok(x) & F.startswith(F.ltrim(x), F.lit("{"))
         & F.rtrim(x).endswith("}"))
 
 

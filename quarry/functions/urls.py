@@ -38,10 +38,12 @@ def url_host(url: Column) -> Column:
     return F.nullif(F.lower(h), F.lit(""))
 
 
-def is_static_url(url: Column) -> Column:
-    """Lower-cased URL path ends with a static-file extension."""
+def is_static_url(url: Column, content_type: Column | None = None) -> Column:
+    """Lower-cased URL path ends with a static-file extension; not so if the
+    response is served as ``text/html``."""
     path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    return F.lower(path).rlike(STATIC_RE)
+    named = F.lower(path).rlike(STATIC_RE)
+    return named if content_type is None else named & ~F.coalesce(F.lower(content_type).startswith("text/html"), F.lit(False))
 
 
 def within_size(n: Column, limit: int) -> Column:

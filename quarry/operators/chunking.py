@@ -1,8 +1,8 @@
 """Content-addressed files → ordered, deduplicated chunks.
 
-Dedup happens *before* splitting so each distinct text is split once; the
-only shuffle is the hash aggregation on ``sha256`` (map-side partial
-aggregation collapses copies before they cross the network).  Splitting is a
+Dedup happens *before* splitting so each distinct text is split once; only
+hash keys are aggregated, and no text sits in an aggregation buffer but the
+first copy of a repeated one.  Splitting is a
 per-row Column expression (no shuffle, no Python).
 """
 
@@ -18,14 +18,20 @@ from ..session import CHUNK_TARGET
 def dedup_files(df: DataFrame, text_col: str = "text", order_col: str = "doc_id") -> DataFrame:
     """Exact dedup by content hash; the representative is the lowest ``order_col``.
 
-    Output: sha256, markdown, n_copies, first_<order_col>.
-    """
-    return (df.select(content_sha256(F.col(text_col)).alias("sha256"),
-                      F.col(text_col).alias("markdown"), F.col(order_col))
-              .groupBy("sha256")
-              .agg(F.min_by("markdown", order_col).alias("markdown"),
-                   F.count(F.lit(1)).alias("n_copies"),
-                   F.min(order_col).alias(f"first_{order_col}")))
+    Output: sha256, markdown, n_copies, first_<order_col>.  Only (hash, order)
+    keys are aggregated.  Texts that occur once pass an anti join against the
+    keys of the repeated ones; only the first copies of those are grouped.
+    Null texts are no files."""
+    rows = df.filter(F.col(text_col).isNotNull()).select(content_sha256(F.col(text_col)).alias("sha256"), F.col(text_col).alias("markdown"),
+                                                         F.col(order_col).alias("_o"))
+    first = f"first_{order_col}"
+    repeated = rows.select("sha256", "_o").groupBy("sha256").agg(F.count(F.lit(1)).alias("n_copies"), F.min("_o").alias(first)).filter("n_copies > 1")
+    single = (rows.join(repeated.select("sha256"), "sha256", "left_anti")
+              .select("sha256", "markdown", F.lit(1).cast("bigint").alias("n_copies"), F.col("_o").alias(first)))
+    again = repeated.withColumnRenamed("sha256", "_s")
+    heads = (rows.join(again, (F.col("sha256") == F.col("_s")) & F.col("_o").eqNullSafe(F.col(first)))
+             .select("sha256", "markdown", "n_copies", first).dropDuplicates(["sha256"]))
+    return single.unionByName(heads)
 
 
 def file_chunks(files: DataFrame, target: int = CHUNK_TARGET, sha_col: str = "sha256",

@@ -149,6 +149,16 @@ def orphan_generations(files: DataFrame, sources: DataFrame, file_files: DataFra
     return deleted
 
 
+def cascade_mappings(file_chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """Mapping rows whose file still exists (deleting a file deletes them)."""
+    return file_chunks.join(files.select(F.col("sha256").alias("file_sha256")).distinct(), "file_sha256", "left_semi")
+
+
+def orphan_chunks(chunks: DataFrame, file_chunks: DataFrame) -> DataFrame:
+    """Chunks that no mapping holds."""
+    return chunks.select("sha256").join(file_chunks.select(F.col("chunk_sha256").alias("sha256")), "sha256", "left_anti")
+
+
 # ------------------------------------------------------------ referential
 
 def referential_check(files: DataFrame, sources: DataFrame, url_files: DataFrame,

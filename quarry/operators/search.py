@@ -469,6 +469,21 @@ def scoped_chunks(file_chunks: DataFrame, sources: DataFrame, allowed: list[str]
     return file_chunks.join(ok, "file_sha256", "left_semi")
 
 
+def lookup(sources: DataFrame, source: str | None = None, source_id: str | None = None, sha256: str | None = None,
+           url: str | None = None, url_files: DataFrame | None = None) -> DataFrame:
+    """Source rows that meet all given conditions, in any combination: an exact
+    source, its id, the file's hash, or a URL of the file (by ``url_files``).
+    Filters reach the scans; chunks are joined to what is left."""
+    out = sources
+    for name, value in (("source", source), ("source_id", source_id), ("file_sha256", sha256)):
+        if value is not None:
+            out = out.filter(F.col(name) == value)
+    if url is not None:
+        held = url_files.filter((F.col("url") == url) | (F.col("resolved_url") == url)).select("file_sha256")
+        out = out.join(held, "file_sha256", "left_semi")
+    return out
+
+
 def lineage(file_chunks: DataFrame, sources: DataFrame, approx: bool = False, rsd: float = 0.02) -> DataFrame:
     """Per chunk: files holding it and distinct sources holding those files
     (distinct counts via partial aggregation; no per-chunk lists).  With

@@ -71,8 +71,8 @@ def write_staged(df: DataFrame, name: str, partition_by: list[str] | None = None
 
 class BlobStore:
     """Content-addressed blobs ``(sha256, content, content_type, length)`` as
-    a DataFrame; ``put`` never rewrites existing blobs, ``delete`` is
-    idempotent, ``get`` returns null content for missing keys."""
+    a DataFrame; ``put`` never rewrites existing blobs, ``retype`` sets the
+    content type found later, ``delete`` is idempotent, ``get`` returns null content for missing keys."""
 
     def __init__(self, blobs: DataFrame):
         self.blobs = blobs
@@ -87,6 +87,12 @@ class BlobStore:
     def put(self, new: DataFrame) -> "BlobStore":
         return BlobStore(insert_if_absent(self.blobs, new, ["sha256"]))
 
+    def retype(self, types: DataFrame) -> "BlobStore":
+        """types(sha256, content_type): blobs saved under a general type get the right one."""
+        t = types.groupBy("sha256").agg(F.max("content_type").alias("_t"))
+        out = self.blobs.join(t, "sha256", "left").withColumn("content_type", F.coalesce("_t", "content_type")).drop("_t")
+        return BlobStore(out.select(*self.blobs.columns))
+
     def get(self, keys: DataFrame) -> DataFrame:
         return keys.join(self.blobs, "sha256", "left")
 

@@ -9,8 +9,8 @@ from ..functions.text import content_sha256
 from ..operators import lifecycle as L
 from .registry import register
 from .sql import AS_OF_SQL, FILE_FILES_CTE, FILES_CTE, SOURCES_CTE, URL_FILES_CTE
-from .tables import (AS_OF, EPOCH, epoch_seconds, file_files_table, files_table, read, sources_table, ts_ntz,
-                     url_files_table)
+from .tables import (AS_OF, EPOCH, epoch_seconds, file_files_table, read, sources_table, ts_ntz,
+                     file_states, url_files_table)
 
 
 def _url_requests(spark, sf_dir):
@@ -66,7 +66,7 @@ FROM documents d LEFT JOIN files f ON sha256(d.text) = f.sha256""")
 def join_2_cache(spark, sf_dir):
     """Content cache check: incoming hashes already processed skip conversion."""
     d = read(spark, sf_dir, "documents").select("doc_id", content_sha256(F.col("text")).alias("sha256"))
-    new, cached = L.split_cached(d, files_table(spark, sf_dir))
+    new, cached = L.split_cached(d, file_states(spark, sf_dir))
     return (new.select("doc_id", F.lit("new").alias("status"))
                .unionByName(cached.select("doc_id", F.lit("cached").alias("status"))))
 
@@ -164,29 +164,51 @@ def join_7_orphan_fixpoint(spark, sf_dir):
 @register("join_13_refcheck", f"""
 WITH {URL_FILES_CTE.strip()}, {FILE_FILES_CTE.strip()}, {SOURCES_CTE.strip()},
 files AS (SELECT DISTINCT sha256(text) AS sha256 FROM documents WHERE source <> 'src3'),
+mapped AS (SELECT DISTINCT sha256(text) AS f, sha256('chunk:' || text) AS c, min(doc_id) AS d FROM documents GROUP BY 1, 2),
 v AS (SELECT 'sources.file_sha256' AS "constraint", file_sha256 AS k FROM sources
       UNION ALL SELECT 'url_files.file_sha256', file_sha256 FROM url_files
       UNION ALL SELECT 'file_files.parent_sha256', parent_sha256 FROM file_files
-      UNION ALL SELECT 'file_files.child_sha256', child_sha256 FROM file_files)
-SELECT "constraint", count(*) AS n_violations, count(DISTINCT k) AS n_keys
-FROM v WHERE k NOT IN (SELECT sha256 FROM files) GROUP BY 1""")
+      UNION ALL SELECT 'file_files.child_sha256', child_sha256 FROM file_files
+      UNION ALL SELECT 'file_chunks.file_sha256', f FROM mapped),
+bad AS (SELECT * FROM v WHERE k NOT IN (SELECT sha256 FROM files)
+        UNION ALL SELECT 'file_chunks.chunk_sha256', c FROM mapped WHERE d % 5 = 0)
+SELECT "constraint", count(*) AS n_violations, count(DISTINCT k) AS n_keys FROM bad GROUP BY 1""")
 def join_13_refcheck(spark, sf_dir):
-    """Foreign-key check of sources, url_files and file_files against files
-    (files of source src3 missing on purpose)."""
+    """Foreign-key check of all six keys (files of source src3 and the chunks of
+    every fifth document missing on purpose; one chunk per file here)."""
     d = read(spark, sf_dir, "documents")
     files = d.filter(F.col("source") != "src3").select(content_sha256(F.col("text")).alias("sha256")).distinct()
+    mapped = d.groupBy(content_sha256(F.col("text")).alias("file_sha256"),
+                       content_sha256(F.concat(F.lit("chunk:"), F.col("text"))).alias("chunk_sha256")).agg(F.min("doc_id").alias("d"))
+    chunks = mapped.filter("d % 5 <> 0").select(F.col("chunk_sha256").alias("sha256"))
     bad = L.referential_check(files, sources_table(spark, sf_dir), url_files_table(spark, sf_dir),
-                              file_files_table(spark, sf_dir))
+                              file_files_table(spark, sf_dir), mapped, chunks)
     return bad.groupBy("constraint").agg(F.count(F.lit(1)).alias("n_violations"),
                                          F.countDistinct("key").alias("n_keys"))
 
 
+@register("join_7_orphan_chunks", """
+WITH m AS (SELECT DISTINCT sha256(text) AS f, sha256('chunk:' || left(text, 40)) AS c, source FROM documents),
+alive AS (SELECT f FROM m WHERE source <> 'src3')
+SELECT DISTINCT c AS sha256 FROM m WHERE c NOT IN (SELECT c FROM m WHERE f IN (SELECT f FROM alive))""")
+def join_7_orphan_chunks(spark, sf_dir):
+    """Chunk sweep after a file sweep: the files held by source src3 alone are
+    deleted, their mappings go with them, then the chunks that no mapping holds
+    (chunks stand for the documents' first 40 characters here)."""
+    d = read(spark, sf_dir, "documents")
+    m = d.select(content_sha256(F.col("text")).alias("file_sha256"), "source",
+                 content_sha256(F.concat(F.lit("chunk:"), F.substring("text", 1, 40))).alias("chunk_sha256")).distinct()
+    alive = m.filter(F.col("source") != "src3").select(F.col("file_sha256").alias("sha256"))
+    chunks = m.select(F.col("chunk_sha256").alias("sha256")).distinct()
+    return L.orphan_chunks(chunks, L.cascade_mappings(m, alive))
+
+
 @register("flt_11_unindexed", f"""
 WITH {FILES_CTE.strip()}
 SELECT sha256, doc_id FROM files WHERE parsed_at IS NOT NULL AND indexed_at IS NULL""")
 def flt_11_unindexed(spark, sf_dir):
     """Unindexed queue: parsed but not indexed files."""
-    return L.unindexed(files_table(spark, sf_dir)).select("sha256", "doc_id")
+    return L.unindexed(file_states(spark, sf_dir)).select("sha256", "doc_id")
 
 
 def _chunk_queue(spark, sf_dir):
@@ -273,7 +295,7 @@ SELECT count(*) AS n_files,
 FROM files""")
 def agg_11_status(spark, sf_dir):
     """Pipeline status: files per lifecycle state and the oldest backlog age."""
-    f = files_table(spark, sf_dir)
+    f = file_states(spark, sf_dir)
     backlog = F.col("parsed_at").isNotNull() & F.col("indexed_at").isNull()
     return f.agg(F.count(F.lit(1)).alias("n_files"),
                  F.count_if(F.col("parsed_at").isNull()).alias("n_created"),

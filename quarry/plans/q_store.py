@@ -10,7 +10,7 @@ from ..operators import store as ST
 from ..operators.chunking import dedup_files, file_chunks
 from .registry import register
 from .sql import FILES_CTE, SOURCES_CTE, URL_FILES_CTE, chunks_cte
-from .tables import EPOCH, epoch_seconds, files_table, read, sources_table, ts_ntz, url_files_table
+from .tables import EPOCH, epoch_seconds, file_states, read, sources_table, ts_ntz, url_files_table
 
 EPOCH_US = "(epoch_us({x}) // 1000000)"
 
@@ -65,7 +65,7 @@ u AS (SELECT * FROM cur UNION ALL SELECT * FROM upd)
 SELECT sha256, coalesce({EPOCH_US.format(x='arg_max(parsed_at, v)')}, -1) AS parsed_epoch FROM u GROUP BY 1""")
 def ups_4_file(spark, sf_dir):
     """Upsert of files: conversation turns parsed later insert or update rows (parsed_at set)."""
-    f = files_table(spark, sf_dir).select("sha256", F.coalesce("parsed_at", "created_at").alias("v"), "parsed_at")
+    f = file_states(spark, sf_dir).select("sha256", F.coalesce("parsed_at", "created_at").alias("v"), "parsed_at")
     c = read(spark, sf_dir, "conversations")
     t = F.timestamp_add("SECOND", 86400 * 60 + F.col("conv_id") * 60 + F.col("turn"), ts_ntz(EPOCH))
     upd = c.select(content_sha256(F.col("text")).alias("sha256"), t.alias("v"), t.alias("parsed_at"))

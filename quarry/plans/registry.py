@@ -37,5 +37,5 @@ def register(key: str, sql: str | None):
 
 def load_all() -> dict[str, Query]:
     """Import every query module so its ``register`` calls run."""
-    from . import q_archive, q_chunks, q_enrich, q_html, q_ingest, q_layout, q_lifecycle, q_search, q_store, q_stream, q_tabular, q_text  # noqa: F401
+    from . import q_archive, q_chunks, q_collection, q_enrich, q_html, q_ingest, q_layout, q_lifecycle, q_search, q_store, q_stream, q_tabular, q_text  # noqa: F401
     return REGISTRY

@@ -48,19 +48,20 @@ def files_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     One row per distinct text.  ``labels`` present ⇒ parsed, ``quality = 1`` ⇒
     indexed.  Timestamps derive from the lowest doc_id holding the text.
     """
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return (file_states(spark, sf_dir)
+            .join(read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("markdown")), "doc_id")
+            .select("sha256", "markdown", "doc_id", "created_at", "parsed_at", "indexed_at"))
+
+
+def file_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``files_table`` without the texts: only hash keys, ids and labels move."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", content_sha256(F.col("text")).alias("sha256"))
     lab = read(spark, sf_dir, "labels").select("doc_id", "quality")
-    j = docs.join(lab, "doc_id", "left")
-    return (j.groupBy(content_sha256(F.col("text")).alias("sha256"))
-             .agg(F.min_by(F.struct("doc_id", "text", "quality"), "doc_id").alias("r"))
-             .select("sha256",
-                     F.col("r.text").alias("markdown"),
-                     F.col("r.doc_id").alias("doc_id"),
-                     ts_plus_seconds(EPOCH, F.col("r.doc_id") * 60).alias("created_at"),
-                     F.when(F.col("r.quality").isNotNull(),
-                            ts_plus_seconds(EPOCH, F.col("r.doc_id") * 60 + 30)).alias("parsed_at"),
-                     F.when(F.col("r.quality") == 1,
-                            ts_plus_seconds(EPOCH, F.col("r.doc_id") * 60 + 45)).alias("indexed_at")))
+    one = docs.groupBy("sha256").agg(F.min("doc_id").alias("doc_id")).join(lab, "doc_id", "left")
+    start = F.col("doc_id") * 60
+    return one.select("sha256", "doc_id", ts_plus_seconds(EPOCH, start).alias("created_at"),
+                      F.when(F.col("quality").isNotNull(), ts_plus_seconds(EPOCH, start + 30)).alias("parsed_at"),
+                      F.when(F.col("quality") == 1, ts_plus_seconds(EPOCH, start + 45)).alias("indexed_at"))
 
 
 def sources_table(spark: SparkSession, sf_dir: str) -> DataFrame:

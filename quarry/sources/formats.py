@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sniff import CSV_DELIMS, csv_dialect, is_json_doc, is_ndjson, sniff_kind
+from ..functions.sniff import CSV_DELIMS, _lines, csv_dialect, is_json_doc, is_ndjson, sniff_kind
 from ..functions.text import normalize_text
-from ..session import CSV_INFER_ROWS
 
 NUM_RE = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -24,11 +23,11 @@ def _fields(line: Column, d: str) -> Column:
 def csv_has_header(text: Column, delim: Column) -> Column:
     """Header vote: no field of the first line is numeric, and some column is
     numeric in every following sampled line."""
-    lines = F.slice(F.filter(F.split(text, "\n", -1), lambda x: F.trim(x) != ""), 1, CSV_INFER_ROWS)
+    lines = _lines(text)
     out = F.lit(None).cast("boolean")
     for d in CSV_DELIMS:
         first = _fields(lines[0], d)
-        rest = F.slice(lines, 2, CSV_INFER_ROWS)
+        rest = F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1)))
         first_text = F.forall(first, lambda f: ~F.trim(f).rlike(NUM_RE))
         ncols = F.size(first)
         numeric_col = F.exists(F.sequence(F.lit(0), ncols - 1),
@@ -38,7 +37,8 @@ def csv_has_header(text: Column, delim: Column) -> Column:
 
 
 def sniff_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """(path, format, delimiter, header) for every file under ``paths``."""
+    """(path, format, delimiter, header, names) for every file under ``paths``;
+    ``names`` is the header line of a CSV file that has one."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
     head = F.col("content")
     text = normalize_text(head)
@@ -48,7 +48,9 @@ def sniff_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
             .when(is_ndjson(text), "ndjson").when(d.isNotNull(), "csv").otherwise(F.lit(None)))
     is_csv = fmt == "csv"
     return raw.select("path", fmt.alias("format"), F.when(is_csv, d).alias("delimiter"),
-                      F.when(is_csv, csv_has_header(text, d)).alias("header"))
+                      F.when(is_csv, csv_has_header(text, d)).alias("header"),
+                      F.when(is_csv, F.regexp_extract(text, r"^\s*([^\n]*)", 1)).alias("first")) \
+        .select("path", "format", "delimiter", "header", F.when(F.col("header"), F.col("first")).alias("names"))
 
 
 def read_class(spark: SparkSession, fmt: str, paths: list[str], delimiter: str | None = None,
@@ -57,30 +59,32 @@ def read_class(spark: SparkSession, fmt: str, paths: list[str], delimiter: str |
     if not paths:
         return None
     if fmt == "parquet":
-        df = spark.read.parquet(*paths)
+        df = spark.read.option("mergeSchema", True).parquet(*paths)
     elif fmt == "json":
         df = spark.read.option("multiLine", True).json(paths)
     elif fmt == "ndjson":
         df = spark.read.json(paths)
     else:
         df = (spark.read.option("sep", delimiter).option("header", bool(header)).option("inferSchema", True)
+              .option("quote", '"').option("escape", '"').option("multiLine", True)
               .option("samplingRatio", 1.0).option("mode", "PERMISSIVE").csv(paths))
     return df.withColumn("_file", F.col("_metadata.file_path"))
 
 
 def read_cascade(spark: SparkSession, folder: str) -> list[tuple[dict, DataFrame]]:
-    """Classify every file of a folder and read each (format, dialect) class.
+    """Classify every file of a folder and read each (format, dialect, header
+    line) class: CSV files share a reader only if their columns are the same.
 
     The classification result has one row per *file* (a listing, not data,
     like the file listing Spark itself keeps on the driver) and is collected
     to plan one reader per class."""
     listing = sniff_files(spark, folder).filter(F.col("format").isNotNull()) \
-        .select("path", "format", "delimiter", "header").collect()
+        .select("path", "format", "delimiter", "header", "names").collect()
     classes: dict[tuple, list[str]] = {}
     for r in listing:
-        classes.setdefault((r["format"], r["delimiter"], r["header"]), []).append(r["path"])
+        classes.setdefault((r["format"], r["delimiter"], r["header"], r["names"]), []).append(r["path"])
     out = []
-    for (fmt, delim, header), paths in sorted(classes.items(), key=lambda kv: str(kv[0])):
+    for (fmt, delim, header, _), paths in sorted(classes.items(), key=lambda kv: str(kv[0])):
         df = read_class(spark, fmt, paths, delim, header)
         out.append(({"format": fmt, "delimiter": delim, "header": header}, df))
     return out
