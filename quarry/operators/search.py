@@ -3,11 +3,11 @@ trigram-accelerated substring search, BM25, reciprocal-rank fusion, tenant
 scoping, lineage and context expansion.
 
 Scale rules applied throughout:
-* the query side is a *batch* whose size is checked before it is broadcast;
-  larger batches are processed batch by batch (never an unchecked broadcast);
-* the corpus side is never shuffled against the queries for vectors: each
-  corpus partition scores the broadcast batch with numpy and emits only its
-  own top-k per query, so output is k × partitions rows per query, not pairs;
+* text queries are *batches* whose size is checked before they are broadcast;
+  larger ones are processed batch by batch (never an unchecked broadcast);
+* vector queries and corpus rows are packed into blocks and joined block by
+  block inside Spark; a pair of blocks emits only its own top-k per query, so
+  output is k × blocks rows per query, not pairs;
 * top-k per query is taken in two levels (salted, then global), so a query
   that matches a third of the corpus still spreads over many tasks.
 """
@@ -52,101 +52,71 @@ def _normalize(m: np.ndarray) -> np.ndarray:
     return m / n
 
 
-ROW_BLOCK = 1024          # corpus rows scored at once: ≤ 4096 × 1024 doubles (32 MiB)
+QUERY_BLOCK, CORPUS_BLOCK = 1024, 4096     # rows of a block: 1,024 × 4,096 scores at once
 
 
-def _knn_partition(batch_bc, k: int, exclude_self: bool):
-    """mapInArrow body: score a corpus partition against the query batch
-    (ids, unit-norm matrix and optional probe mask, shipped once per executor
-    as a broadcast variable), ROW_BLOCK corpus rows at a time, keeping a
-    running top-k per query."""
+def _vector_rows(df: DataFrame, id_col: str, vec_col: str, cell: Column | None) -> DataFrame:
+    """(id, v, cell) of the rows that can be scored: an id and a vector without nulls."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), (F.lit(0) if cell is None else cell).cast("int").alias("cell"))
+    return rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+
+
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """(cell, block, rows): the rows of each cell packed into blocks of about
+    ``size``, dealt by a hash of the id."""
+    n = rows.groupBy("cell").agg(F.greatest(F.ceil(F.count(F.lit(1)) / size), F.lit(1)).alias("blocks"))
+    return (rows.join(n, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+            .groupBy("cell", "block").agg(F.collect_list(F.struct("id", "v")).alias("rows")))
+
+
+def _score_blocks(k: int, exclude_self: bool):
+    """mapInArrow body: one query block against one corpus block; every query's
+    best ``k`` of the block, and what ties with the last of them."""
+    def matrix(items):
+        ids, vecs = items.field("id"), items.field("v")
+        dims = np.diff(vecs.offsets.to_numpy())
+        dim = np.bincount(dims).argmax()           # vectors of another length are not comparable
+        keep = np.flatnonzero(dims == dim)
+        flat = vecs.flatten().to_numpy()
+        if len(keep) < len(dims):
+            flat = flat[np.repeat(dims == dim, dims)]
+        return ids.take(pa.array(keep)), _normalize(flat.reshape(-1, dim)), dim
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, qmat, probe = batch_bc.value
-        best_ids = None
-        best_sc = None
-        dim = qmat.shape[1]
         for rb in batches:
-            for off in range(0, rb.num_rows, ROW_BLOCK):
-                blk = rb.slice(off, ROW_BLOCK)
-                ids = blk.column(0).to_numpy(zero_copy_only=False)
-                cells = blk.column(2).to_numpy(zero_copy_only=False) if probe is not None else None
-                flat = blk.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                mat = _normalize(flat.reshape(-1, dim))
-                sc = qmat @ mat.T                                  # (queries, rows)
+            for i in range(rb.num_rows):
+                (qids, q, dq), (ids, c, dc) = (matrix(rb.column(n)[i].values) for n in ("queries", "rows"))
+                if dq != dc:
+                    continue
+                sc = q @ c.T
                 if exclude_self:
-                    sc[qids[:, None] == ids[None, :]] = -np.inf
-                if probe is not None:
-                    sc[~probe[:, cells]] = -np.inf
-                cand_ids = np.broadcast_to(ids, sc.shape)
-                if best_sc is not None:
-                    sc = np.concatenate([best_sc, sc], axis=1)
-                    cand_ids = np.concatenate([best_ids, cand_ids], axis=1)
-                if sc.shape[1] > k:
-                    part = np.argpartition(-sc, k - 1, axis=1)[:, :k]
-                    best_sc = np.take_along_axis(sc, part, axis=1)
-                    best_ids = np.take_along_axis(cand_ids, part, axis=1)
-                else:
-                    best_sc, best_ids = sc, np.array(cand_ids)
-        if best_sc is None:
-            return
-        qq = np.repeat(qids, best_sc.shape[1])
-        ss = best_sc.reshape(-1)
-        ii = best_ids.reshape(-1)
-        keep = np.isfinite(ss)
-        yield pa.RecordBatch.from_arrays([pa.array(qq[keep], pa.int64()), pa.array(ii[keep], pa.int64()),
-                                          pa.array(ss[keep], pa.float64())], ["query_id", "id", "score"])
+                    sc[np.asarray(qids.to_pylist(), object)[:, None] == np.asarray(ids.to_pylist(), object)[None, :]] = -np.inf
+                kth = np.partition(sc, -k, axis=1)[:, -k] if sc.shape[1] > k else np.full(len(sc), -np.inf)
+                a, b = np.nonzero((sc >= kth[:, None]) & np.isfinite(sc))
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(sc[a, b])], ["query_id", "id", "score"])
     return run
 
 
 def cosine_top_k(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding",
                  qid_col: str = "query_id", qvec_col: str = "embedding", exclude_self: bool = False,
-                 max_batch: int = MAX_QUERY_BATCH, cell_col: str | None = None,
-                 probes: DataFrame | None = None, n_cells: int = 0) -> DataFrame:
-    """Exact cosine top-k of every query over the corpus: (query_id, id, score, rank).
-
-    The query table is collected to the driver only in checked batches of at
-    most ``max_batch`` rows and shipped to the tasks inside the function
-    closure; the corpus is scanned once per batch with per-partition top-k.
-    With ``cell_col`` / ``probes`` (query_id, cell) only the probed cells of
-    each query are scored (approximate IVF search)."""
-    spark = corpus.sparkSession
-    # rows without an id, a full vector or the common length can't be scored
-    def whole(vec):
-        return vec.isNotNull() & ~F.exists(vec, lambda x: x.isNull())
-    queries = queries.filter(F.col(qid_col).isNotNull() & whole(F.col(qvec_col)))
-    first = queries.select(F.size(qvec_col).alias("d")).groupBy("d").count().orderBy(F.desc("count"), "d").first()
-    dim = first.d if first else 0
-    queries = queries.filter(F.size(qvec_col) == dim)
-    corpus = corpus.filter(F.col(id_col).isNotNull() & whole(F.col(vec_col)) & (F.size(vec_col) == dim))
-    n = queries.count()
-    out = None
-    sel = [F.col(id_col).cast("bigint"), F.col(vec_col)] + ([F.col(cell_col).cast("bigint")] if cell_col else [])
-    body = corpus.select(*sel)
-    qs = queries.select(F.col(qid_col).cast("bigint").alias("q"), F.col(qvec_col).alias("v"))
-    n_batches = max(1, -(-n // max_batch))
-    if n_batches > 1:
-        qs = qs.withColumn("_batch", F.pmod(F.xxhash64("q"), F.lit(n_batches)) + 1)
-    for b in range(1, n_batches + 1):
-        part = qs if n_batches == 1 else qs.filter(F.col("_batch") == b)
-        rows = part.select("q", "v").collect()       # ≤ max_batch rows (checked above)
-        if not rows:
-            continue
-        qids = np.array([r.q for r in rows], dtype=np.int64)
-        qmat = _normalize(np.array([list(r.v) for r in rows], dtype=np.float64))
-        probe = None
-        if probes is not None:
-            # (queries × cells) mask; cells are few (a parameter), rows ≤ batch
-            pos = {int(q): i for i, q in enumerate(qids.tolist())}
-            pr = probes.join(F.broadcast(part.select(F.col("q").alias(qid_col))), qid_col).collect()
-            probe = np.zeros((len(qids), n_cells), dtype=bool)
-            for r in pr:
-                probe[pos[int(r[qid_col])], int(r["cell"])] = True
-        bc = spark.sparkContext.broadcast((qids, qmat, probe))
-        fn = _knn_partition(bc, k, exclude_self)
-        res = body.mapInArrow(fn, "query_id bigint, id bigint, score double")
-        out = res if out is None else out.unionByName(res)
-    if out is None:
-        return spark.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
+                 cell: Column | None = None, probes: DataFrame | None = None, query_block: int = QUERY_BLOCK,
+                 corpus_block: int = CORPUS_BLOCK) -> DataFrame:
+    """Cosine top-k of every query over the corpus: (query_id, id, score, rank).
+
+    Both sides are packed into blocks inside Spark, query blocks are joined to
+    the corpus blocks that they have to see, and each pair of blocks gives its
+    own top-k, so tasks follow the number of block pairs and nothing passes the
+    driver.  With ``cell`` (of a corpus row) and ``probes(id, v, cell)`` a query
+    sees the blocks of its probed cells only.  Ids may be of any type; rows
+    with null ids or vectors, or vectors of another length, are not scored."""
+    sides = _blocks(_vector_rows(corpus, id_col, vec_col, cell), corpus_block).withColumnRenamed("block", "corpus_block")
+    asked = _vector_rows(queries, qid_col, qvec_col, None) if probes is None else probes
+    packs = _blocks(asked, query_block).select("cell", F.col("rows").alias("queries"))
+    # which corpus blocks a query block meets: a list of numbers, joined before the vectors
+    places = sides.select("cell", "corpus_block")
+    pairs = packs.join(places, "cell").join(sides, ["cell", "corpus_block"]).select("queries", "rows")
+    kinds = [dict(d.dtypes)[c] for d, c in ((queries, qid_col), (corpus, id_col))]
+    out = pairs.mapInArrow(_score_blocks(k, exclude_self), f"query_id {kinds[0]}, id {kinds[1]}, score double")
     return top_k(out, "query_id", "score", "id", k)
 
 
@@ -167,27 +137,47 @@ def kmeans_cells(corpus: DataFrame, vec_col: str, n_cells: int, seed: int = 7):
     return model, assign
 
 
-def ivf_top_k(corpus: DataFrame, queries: DataFrame, k: int, n_cells: int = 16, n_probe: int = 4,
+FIT_ROWS, RECALL_ROWS = 20_000, 64         # rows that the cells are fitted on, queries that the recall is measured on
+
+
+def ivf_top_k(corpus: DataFrame, queries: DataFrame, k: int, n_cells: int = 16, n_probe: int | None = None,
               id_col: str = "id", vec_col: str = "embedding", qid_col: str = "query_id",
-              qvec_col: str = "embedding", exclude_self: bool = False) -> DataFrame:
-    """Approximate top-k: k-means cells, each query probes its ``n_probe``
-    nearest centroids and only those cells are scored exactly."""
-    model, assign = kmeans_cells(corpus, vec_col, n_cells)
-    cells = assign(corpus, vec_col)
-    cents = model.clusterCenters()
-    cmat = _normalize(np.array(cents, dtype=np.float64))
-    qrows = queries.select(F.col(qid_col).alias("q"), F.col(qvec_col).alias("v"))
-    # nearest centroids of each query: Column dot products against the
-    # (small, fixed-size) centroid list
-    dots = F.array(*[F.aggregate(F.zip_with(F.col("v"), F.array(*[F.lit(float(x)) for x in c]),
-                                            lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-                     for c in cmat])
-    ranked = qrows.select("q", F.posexplode(dots).alias("cell", "dot"))
-    w = Window.partitionBy("q").orderBy(F.col("dot").desc(), F.col("cell"))
-    probes = (ranked.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n_probe)
-                    .select(F.col("q").alias(qid_col), F.col("cell").cast("bigint").alias("cell")))
-    return cosine_top_k(cells, queries, k, id_col=id_col, vec_col=vec_col, qid_col=qid_col, qvec_col=qvec_col,
-                        exclude_self=exclude_self, cell_col="cell", probes=probes, n_cells=n_cells)
+              qvec_col: str = "embedding", exclude_self: bool = False, target_recall: float = 0.95) -> DataFrame:
+    """Approximate top-k over k-means cells: every row lies in the block lists of
+    its cell, a query is joined to its ``n_probe`` nearest cells and no other
+    block is read.  Cells are fitted on at most about FIT_ROWS rows and hold all
+    rows.  Without ``n_probe`` it is the least number whose recall against the
+    exact search, on RECALL_ROWS of the queries, reaches ``target_recall``."""
+    whole = _vector_rows(corpus, id_col, vec_col, None).select("id", "v")
+    asked = _vector_rows(queries, qid_col, qvec_col, None).select("id", "v")
+    n = whole.count()
+    share = min(1.0, FIT_ROWS / max(n, 1))
+    near = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= F.lit(int(share * (1 << 20)))
+    model, assign = kmeans_cells(whole.filter(near), "v", n_cells)
+    cells = assign(whole, "v").select("id", "v", "cell")
+    cmat = _normalize(np.array(model.clusterCenters(), dtype=np.float64))
+    # nearest centroids of each query: Column dot products against the fixed-size centroid list
+    dots = F.array(*[F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in c]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) for c in cmat])
+    order = F.sort_array(F.transform(dots, lambda d, i: F.struct((-d).alias("d"), i.alias("cell"))))
+
+    def probes(rows, m):
+        return rows.select("id", "v", F.explode(F.slice(order, 1, m)).alias("p")).select("id", "v", F.col("p.cell").alias("cell"))
+
+    def search(rows, m):
+        return cosine_top_k(cells, rows, k, "id", "v", "id", "v", exclude_self, F.col("cell"), probes(rows, m))
+    if n_probe is None:
+        some = asked.orderBy(F.xxhash64("id"), "id").limit(RECALL_ROWS)
+        exact = cosine_top_k(whole, some, k, "id", "v", "id", "v", exclude_self).select("query_id", "id")
+        # the rank of the cell in which each true neighbour lies, by query: one small histogram
+        ranks = some.select(F.col("id").alias("query_id"), F.posexplode(order).alias("rank", "p")).select("query_id", "rank", F.col("p.cell").alias("cell"))
+        where = exact.join(cells.select("id", "cell"), "id").join(ranks, ["query_id", "cell"])
+        hist = dict(where.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).collect())
+        total, found, n_probe = sum(hist.values()), 0, 0
+        while n_probe < n_cells and found < target_recall * total:
+            found += hist.get(n_probe, 0)
+            n_probe += 1
+        n_probe = max(n_probe, 1)
+    return search(asked, n_probe)
 
 
 # ------------------------------------------------------------- text tokens

@@ -11,16 +11,16 @@ def test_ivf_recall_against_exact(spark):
     e = spark.read.parquet(f"{SF01}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
     q = e.select(F.col("id").alias("query_id"), "embedding")
     exact = {(r.query_id, r.id) for r in S.cosine_top_k(e, q, 10, exclude_self=True).collect()}
-    approx = {(r.query_id, r.id) for r in S.ivf_top_k(e, q, 10, n_cells=8, n_probe=4, exclude_self=True).collect()}
+    approx = {(r.query_id, r.id) for r in S.ivf_top_k(e, q, 10, n_cells=8, exclude_self=True).collect()}
     recall = len(exact & approx) / len(exact)
-    assert recall >= 0.5, recall
+    assert recall >= 0.9, recall
 
 
 def test_cosine_batches_equal_single_pass(spark):
     e = spark.read.parquet(f"{SF01}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
     q = e.limit(30).select(F.col("id").alias("query_id"), "embedding")
     a = {(r.query_id, r.id, r.rank) for r in S.cosine_top_k(e, q, 5).collect()}
-    b = {(r.query_id, r.id, r.rank) for r in S.cosine_top_k(e, q, 5, max_batch=7).collect()}
+    b = {(r.query_id, r.id, r.rank) for r in S.cosine_top_k(e, q, 5, query_block=7, corpus_block=50).collect()}
     assert a == b
 
 
@@ -74,3 +74,13 @@ def test_lineage_approx_close_to_exact(spark):
     for k, (f, s_) in exact.items():
         af, as_ = approx[k]
         assert abs(af - f) <= 0.1 * f and abs(as_ - s_) <= 0.1 * s_ + 1
+
+
+def test_vectors_that_cannot_be_scored_are_left_out(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [None, 1.0]), (None, [1.0, 1.0]), (4, [1.0, 1.0]), (5, [1.0, 2.0, 3.0]), (6, [0.0, 0.0])]
+    e = spark.createDataFrame(rows, "id long, embedding array<double>")
+    q = e.selectExpr("id AS query_id", "embedding")
+    got = {(r.query_id, r.id) for r in S.cosine_top_k(e, q, 3, exclude_self=True).collect()}
+    assert got == {(a, b) for a in (1, 4, 6) for b in (1, 4, 6) if a != b}
+    names = e.selectExpr("concat('n', id) AS id", "embedding")
+    assert {r.id for r in S.cosine_top_k(names, q, 1).collect()} <= {"n1", "n4", "n6"}
