@@ -13,6 +13,8 @@ GAP_RE = r"[\x20\x09-\x0D]+"
 #: A lower-case word of ASCII letters, digits and any non-ASCII character.
 ALNUM_RE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Parts over which the rows of one key are dealt in a salted join.
+SALTS = 16
 #: Largest table, in rows, that is offered as a broadcast side.
 BROADCAST_ROWS = 1_000_000
 
@@ -38,6 +40,14 @@ def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
+def salted_join(many: DataFrame, few: DataFrame, keys: list[str], spread: str) -> DataFrame:
+    """Join on ``keys`` where ``few`` has one row per key and ``many`` may have a
+    third of its rows on one key: those are dealt over ``SALTS`` parts."""
+    left = many.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    right = few.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return left.join(right, [*keys, "salt"]).drop("salt")
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z only; every other character is left as it is."""
     return F.translate(c, UPPER, UPPER.lower())

@@ -4,7 +4,7 @@ A line is compared without surrounding whitespace and runs of blanks.  Lines
 are counted by a 64-bit pair of hashes; only lines with at least ``min_sites``
 occurrences can reach the threshold, so the others (nearly all) leave after one
 pre-aggregated count.  For the rest a HyperLogLog sketch of the sites merges by
-aggregation, first per salt, then per line.  Estimates clearly above the
+aggregation, map-side first.  Estimates clearly above the
 threshold decide at once, estimates within the sketch's error band get an
 exact distinct count, and those clearly below stay.
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP_RE, let, prepare, row_key, staged, without
+from .common import GAP_RE, let, prepare, row_key, salted_join, staged, without
 
 #: Distinct sites from which on a line is boilerplate.
 MIN_SITES = 5
@@ -30,7 +30,6 @@ MIN_SITES = 5
 LG_K = 9
 #: Standard errors around the threshold within which sites are counted exactly.
 BAND = 4
-SALTS = 16
 
 
 def line_key(line: Column) -> Column:
@@ -53,20 +52,23 @@ def line_table(docs: DataFrame) -> DataFrame:
                 .select("rid", "source", F.col("x.n").alias("n"), F.col("x.h.a").alias("a"), F.col("x.h.b").alias("b")))
 
 
+def frequent_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """The rows of ``lines`` whose line occurs ``min_sites`` times or more; a line
+    on so many sites does.  Counts combine map-side and the join is salted, so a
+    line may hold any share of the rows."""
+    often = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("a", "b")
+    return staged(salted_join(lines, often, ["a", "b"], "rid"), "line-frequent")
+
+
 def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
     """(a, b, sites): the lines on at least ``min_sites`` distinct sites."""
-    often = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("a", "b")
-    seen = staged(lines.join(often, ["a", "b"], "left_semi").groupBy("a", "b", "source").agg(F.count(F.lit(1)).alias("n")), "line-sites")
     site = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-"))
-    sketches = (seen.withColumn("salt", F.pmod(F.xxhash64(site), F.lit(SALTS)))
-                .groupBy("a", "b", "salt").agg(F.hll_sketch_agg(site, F.lit(lg_k)).alias("s"))
-                .groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("estimate")))
+    sketches = staged(lines.groupBy("a", "b").agg(F.hll_sketch_agg(site, F.lit(lg_k)).alias("s"))
+                      .select("a", "b", F.hll_sketch_estimate("s").alias("estimate")), "line-sketches")
     error = BAND * 1.04 / (2 ** (lg_k / 2))
-    sketches = staged(sketches, "line-sketches")
     near = sketches.where(F.col("estimate").between(min_sites * (1 - error) - 1, min_sites * (1 + error) + 1)).select("a", "b")
-    exact = (seen.join(near, ["a", "b"], "left_semi").groupBy("a", "b")
-             .agg((F.count_distinct("source") + F.max(F.col("source").isNull().cast("int"))).alias("sites"))
-             .where(F.col("sites") >= min_sites))
+    exact = (salted_join(lines, near, ["a", "b"], "rid").groupBy("a", "b", "source").agg(F.count(F.lit(1)).alias("n"))
+             .groupBy("a", "b").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= min_sites))
     clear = sketches.where(F.col("estimate") > min_sites * (1 + error) + 1).select("a", "b", F.col("estimate").alias("sites"))
     return exact.select("a", "b", F.col("sites").cast("long")).unionByName(clear.select("a", "b", F.col("sites").cast("long")))
 
@@ -75,24 +77,24 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """docs(doc_id, text, source, …) → the same columns with the boilerplate
     lines removed from ``text``, plus n_lines (lines with a word) and n_removed."""
     prepare(docs.sparkSession)
-    own = without(docs.columns, "n_lines", "n_removed", "rid", "gone")
+    own = without(docs.columns, "n_lines", "n_removed")
     # a row's identity must survive recomputation, so it comes from its values; rows equal in all three share one fate
-    keyed = docs.select(*own, row_key("text", "source").alias("rid"))
-    lines = staged(line_table(keyed), "line-keys")
+    keyed = docs.select(*own, row_key("text", "source").alias("quarry_rid"))
+    lines = frequent_lines(staged(line_table(keyed.select(F.col("quarry_rid").alias("rid"), "source", "text")), "line-keys"), min_sites)
     spread = staged(spread_lines(lines, min_sites), "line-spread")
-    hits = staged(lines.join(spread.select("a", "b"), ["a", "b"], "left_semi"), "line-hits")
+    hits = staged(salted_join(lines, spread.select("a", "b"), ["a", "b"], "rid"), "line-hits")
     first = hits.groupBy("a", "b").agg(F.min(F.struct(F.col("rid.doc_id").isNull().alias("z"), "rid", "n")).alias("f"))
     kept = first.select(F.col("f.rid").alias("rid"), F.col("f.n").alias("n"))
     gone = (hits.select("rid", "n").distinct().join(kept, ["rid", "n"], "left_anti")
-            .groupBy("rid").agg(F.collect_set("n").alias("gone")))
+            .groupBy(F.col("rid").alias("quarry_rid")).agg(F.collect_set("n").alias("quarry_gone")))
     lines_of = F.split(F.coalesce("text", F.lit("")), "\n")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
+    text = F.when(F.col("quarry_gone").isNull(), F.col("text")).otherwise(
         let(lines_of, lambda a: F.array_join(F.transform(
-            F.array_except(F.sequence(F.lit(0), F.size(a) - 1), "gone"), lambda i: a[i]), "\n")))
+            F.array_except(F.sequence(F.lit(0), F.size(a) - 1), "quarry_gone"), lambda i: a[i]), "\n")))
     n_lines = F.size(F.filter(lines_of, lambda x: line_key(x) != "")).cast("long")
-    return (keyed.join(gone, "rid", "left")
+    return (keyed.join(gone, "quarry_rid", "left")
             .select(*[text.alias(c) if c == "text" else F.col(c) for c in own], n_lines.alias("n_lines"),
-                    F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed")))
+                    F.when(F.col("quarry_gone").isNull(), 0).otherwise(F.size("quarry_gone")).cast("long").alias("n_removed")))
 
 
 ORACLE = r"""
