@@ -35,7 +35,8 @@ def csv_rows(text: str) -> tuple[list[str], list[list[str]]] | None:
     width = len(best[0])
     rows = [(r + [""] * width)[:width] for r in best]
     head, rest = rows[0], rows[1:]
-    named = not any(_NUMBER.match(x.strip()) for x in head) and any(all(_NUMBER.match(r[k].strip() or "x") for r in rest) for k in range(width))
+    columns = [[v for r in rest if (v := r[k].strip())] for k in range(width)]
+    named = not any(_NUMBER.match(x.strip()) for x in head) and any(c and all(map(_NUMBER.match, c)) for c in columns)
     return (head, rest) if named else ([f"column_{k + 1}" for k in range(width)], rows)
 
 

@@ -95,27 +95,3 @@ def office_properties(parts):
 def pending_images(images, responses):
     """Images still waiting for a model response (anti join on the hash)."""
     return images.join(responses.select("sha256"), "sha256", "left_anti")
-
-
-# ------------------------------------------------------------ converter registry
-
-def convert_text_routes(blobs, content_col: str = "content"):
-    """Converter contract for the text routes: every blob gets a route and a
-    fixed output struct (markdown, image_urls, meta, error).  Binary routes
-    (image, office, pdf, archive) are left to their own operators (model
-    requests, office parts, layout tables, archive explode)."""
-    from ..functions import html as H
-    from ..functions import sniff as S
-    from ..functions.text import linkify, markdown_images, normalize_text, resolve_markdown_refs
-    staged = S.with_route(blobs, content_col, "route", kind_out="_kind")
-    staged = staged.select("*", normalize_text(F.col(content_col)).alias("_text"))
-    # HTML output continues through the markdown step (references resolved),
-    # as text does; full documents get main-content extraction first
-    md = F.when(F.col("route").isin("html", "markdown"),
-                resolve_markdown_refs(H.html_to_markdown(F.col("_text"), F.col("route") == "html")))
-    staged = staged.select("*", md.alias("_md"))
-    out = F.struct(linkify(F.col("_md")).alias("markdown"), markdown_images(F.col("_md")).alias("image_urls"),
-                   F.create_map(F.lit("content_type"), S.content_type(F.col("route"), F.col("_kind"))).alias("meta"),
-                   F.when(F.col("_md").isNull() & F.col("route").isin("html", "markdown"),
-                          F.lit("conversion failed")).alias("error"))
-    return staged.select(*blobs.columns, "route", out.alias("converted"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_sha256
 from ..operators import enrich as EN
+from ..operators.ingest import convert_files
 from ..operators.search import hash_embed
 from ..sources import archives as A
 from .registry import register
@@ -49,13 +50,14 @@ FROM r"""
 @register("udf_1_convert", _udf1_sql())
 def udf_1_convert(spark, sf_dir):
     """Converter contract: route every text blob (documents, pages) and convert
-    it to the fixed output struct (markdown, image URLs, meta, error)."""
+    it to markdown, image URLs and meta."""
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("content"))
     p = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.encode("html", "UTF-8").alias("content"))
-    c = EN.convert_text_routes(d.unionByName(p))
-    return c.select("id", "route", F.sha2("converted.markdown", 256).alias("sha256"),
-                    F.col("converted.meta")["content_type"].alias("content_type"),
-                    F.coalesce(F.size("converted.image_urls"), F.lit(0)).cast("bigint").alias("n_images"))
+    blobs = d.unionByName(p).select("id", F.sha2("content", 256).alias("sha256"), "content")
+    c = convert_files(blobs.dropDuplicates(["sha256"]))
+    done = c.select("sha256", "route", F.sha2("markdown", 256).alias("md"), F.col("meta")["content_type"].alias("content_type"),
+                    F.size("image_urls").cast("bigint").alias("n_images"))
+    return blobs.select("id", "sha256").join(done, "sha256").select("id", "route", F.col("md").alias("sha256"), "content_type", "n_images")
 
 
 @register("udf_2_embed", """
