@@ -18,7 +18,8 @@ from quarry.session import build_session  # noqa: E402
 
 HEADLINE = ["str_4_chunks", "agg_1_dedup", "agg_2_chunk_dedup", "src_3_intake", "flt_2_route", "join_1_asof",
             "join_4_readiness", "ups_2_source", "top_1_cosine", "top_3_trigram", "top_5_bm25", "top_6_hybrid",
-            "join_6_context", "tab_4_render", "str_9_html_markdown", "src_10_explode", "win_3_rowid"]
+            "join_6_context", "tab_4_render", "str_9_html_markdown", "src_10_explode", "win_3_rowid",
+            "top_2_ivf", "win_8_assemble", "stm_1_ingest", "stm_2_dedup", "ing_1_collection"]
 
 
 def _sf_value(sf_dir: str):

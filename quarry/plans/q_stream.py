@@ -18,26 +18,58 @@ from .tables import read, ts_ntz
 EPOCH0 = "1970-01-01 00:00:00"
 
 
-def _land(df, spark, name, parts=4):
+ROWS_PER_FILE, LEAST_FILES = 250_000, 4
+
+
+def _land(df, spark, name):
+    """Landing folder whose number of files follows the number of rows."""
+    path = scratch_path(spark, name)
+    df.repartition(max(LEAST_FILES, -(-df.count() // ROWS_PER_FILE))).write.parquet(path)
+    return path
+
+
+def _land_in_order(df, spark, name, ts, arrivals=4):
+    """Landing folder that fills in ``arrivals`` steps of event time."""
     path = scratch_path(spark, name)
-    df.repartition(parts).write.parquet(path)
+    at = F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col(ts).cast("timestamp_ntz")).cast("double")
+    cuts = df.select(at.alias("t")).approxQuantile("t", [i / arrivals for i in range(1, arrivals)], 0.001)
+    step = F.lit(0)
+    for c in cuts:
+        step = step + (at > F.lit(c)).cast("int")
+    for i in range(arrivals):
+        df.filter(step == i).coalesce(max(1, -(-df.count() // (arrivals * ROWS_PER_FILE)))).write.parquet(f"{path}/arrival_{i}")
     return path
 
 
-def _ingest(spark, sf_dir, fail=False):
+def _arrivals(spark, path, schema):
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path))
+
+
+def _ingest(spark, sf_dir, lose_batch=None):
+    """Ingest over several micro-batches; with ``lose_batch`` that batch fails
+    once after its write, and the query is started again from its checkpoint."""
     d = read(spark, sf_dir, "documents").select("doc_id", "text")
-    src = _land(d, spark, "landing-docs", 4)
-    table = scratch_path(spark, "files-table")
-    ckpt = scratch_path(spark, "ingest-ckpt")
-    marker = scratch_path(spark, "fail-marker") if fail else None
-    q = ST.ingest_stream(spark, src, "doc_id bigint, text string", "text", table, ckpt,
-                         max_files_per_trigger=1, fail_once_marker=marker)
-    try:
-        q.awaitTermination()
-    except Exception:  # noqa: BLE001 - the injected failure; restart from the checkpoint
-        q = ST.ingest_stream(spark, src, "doc_id bigint, text string", "text", table, ckpt,
-                             max_files_per_trigger=1, fail_once_marker=marker)
-        q.awaitTermination()
+    src = _land(d, spark, "landing-docs")
+    table, ckpt = scratch_path(spark, "files-table"), scratch_path(spark, "ingest-ckpt")
+
+    def start(sink):
+        return ST.ingest_stream(spark, src, "doc_id bigint, text string", "text", table, ckpt, max_files_per_trigger=1, sink=sink)
+    sink = ST.new_rows_sink(table)
+    if lose_batch is not None:
+        lost = []
+
+        def failing(batch, batch_id):
+            sink(batch, batch_id)
+            if batch_id == lose_batch:
+                lost.append(batch_id)
+                raise RuntimeError("lost after the write")
+        q = start(failing)
+        try:
+            q.awaitTermination()
+        except Exception:
+            if not lost:       # another failure than the injected one
+                raise
+    start(sink).awaitTermination()
     return spark.read.parquet(table)
 
 
@@ -55,16 +87,17 @@ SELECT DISTINCT sha256(text) AS sha256 FROM documents""")
 def stm_6_recovery(spark, sf_dir):
     """Crash recovery: batch 1 fails after writing; the restarted query
     replays it from the checkpoint without duplicating any file."""
-    return _ingest(spark, sf_dir, fail=True).select("sha256")
+    return _ingest(spark, sf_dir, lose_batch=1).select("sha256")
 
 
 @register("stm_2_dedup", """SELECT DISTINCT sha256(props) AS sha256 FROM events""")
 def stm_2_dedup(spark, sf_dir):
-    """Stream dedup by content (event payload hash) within a one-hour watermark."""
+    """Stream dedup by content (event payload hash): a one-hour watermark bounds
+    the state, an anti join against the rows written so far drops later repeats."""
     e = read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "props")
-    src = _land(e, spark, "landing-events", 4)
-    s = spark.readStream.schema("event_id bigint, ts timestamp, props string").parquet(src)
-    out = ST.run_to_table(ST.dedup_stream(s, content_sha256(F.col("props")), "ts", "1 hour"), "dedup", spark)
+    src = _land_in_order(e, spark, "landing-events", "ts")
+    s = _arrivals(spark, src, "event_id bigint, ts timestamp, props string")
+    out = ST.run_new_rows(ST.dedup_stream(s, content_sha256(F.col("props")), "ts", "1 hour"), "dedup", spark)
     return out.select("sha256")
 
 
@@ -78,8 +111,8 @@ def stm_3_throttle(spark, sf_dir):
     the page's last accepted fetch is at least 6 hours old (state per URL)."""
     e = (read(spark, sf_dir, "events").filter(F.col("event_type") == "view")
          .select(F.concat(F.lit("https://p.example/"), F.col("user_id").cast("string")).alias("url"), "ts"))
-    src = _land(e, spark, "landing-fetches", 4)
-    s = spark.readStream.schema("url string, ts timestamp_ntz").parquet(src)
+    src = _land_in_order(e, spark, "landing-fetches", "ts")
+    s = _arrivals(spark, src, "url string, ts timestamp_ntz")
     out = ST.run_to_table(ST.fetch_throttle(s, 6 * 3600), "throttle", spark)
     us = F.timestamp_diff("MICROSECOND", ts_ntz(EPOCH0), F.col("ts"))
     return out.select("url", us.alias("ts_us"), "accepted")
@@ -98,8 +131,8 @@ def stm_4_readiness(spark, sf_dir):
                                                      (F.length("text") % 5 != 0).alias("parsed"))
     exp = c.groupBy("parent").agg(F.countDistinct("child").alias("expected"))
     note = c.filter("parsed").join(exp, "parent").select("parent", "child", "expected")
-    src = _land(note, spark, "landing-parsed", 4)
-    s = spark.readStream.schema("parent string, child string, expected bigint").parquet(src)
+    src = _land(note, spark, "landing-parsed")
+    s = _arrivals(spark, src, "parent string, child string, expected bigint")
     return ST.run_to_table(ST.readiness_stream(s), "ready", spark)
 
 
@@ -117,7 +150,7 @@ def stm_5_backlog(spark, sf_dir):
     from ..operators.chunking import dedup_files, file_chunks
     md = file_chunks(dedup_files(read(spark, sf_dir, "documents"))).select(
         F.col("chunk_sha256").alias("sha256"), "markdown").dropDuplicates(["sha256"])
-    queue = _land(chunks.join(md, "sha256"), spark, "queue", 4)
+    queue = _land(chunks.join(md, "sha256"), spark, "queue")
     out = ST.backlog_once(spark, queue, "sha256 string, markdown string",
-                          lambda s: s.select("sha256", hash_embed(F.col("markdown")).alias("embedding")))
+                          lambda s: s.select("sha256", hash_embed(F.col("markdown")).alias("embedding")), max_files_per_trigger=1)
     return out.select("sha256", F.size("embedding").cast("bigint").alias("dim"))

@@ -1,11 +1,11 @@
 """Structured Streaming forms of the ingest lifecycle.
 
-* ``ingest_stream``: files/requests arrive as a stream; hashes already seen
-  are dropped by streaming dedup state, and each micro-batch's new rows are
-  written by ``foreachBatch`` into a ``batch_id=<n>`` folder with overwrite,
-  so a replayed batch (after a crash) rewrites the same rows instead of
-  adding duplicates.
-* ``dedup_stream``: content dedup within an event-time watermark.
+* ``ingest_stream``: files/requests arrive as a stream; each micro-batch's new
+  hashes (anti join against the table so far) are written by ``foreachBatch``
+  into a ``batch_id=<n>`` folder with overwrite, so a replayed batch (after a
+  crash) rewrites the same rows instead of adding duplicates.
+* ``dedup_stream``: content dedup within an event-time watermark, completed by
+  the same sink for what repeats later.
 * ``fetch_throttle``: at most one accepted fetch per URL per ``max_age``
   (per-key state: the last accepted time).
 * ``readiness_stream``: a parent is emitted when its last expected child
@@ -30,40 +30,28 @@ from ..functions.text import content_sha256
 from ..session import ensure_checkpoint_dir, scratch_path
 
 
-def _merge_batch(table_dir: str, fail_once_marker: str | None = None):
-    """foreachBatch sink: the batch's rows (already new, see ``ingest_stream``)
-    go to their own ``batch_id=<n>`` folder with overwrite, so a replayed
-    batch rewrites exactly the same rows."""
+def new_rows_sink(table_dir: str, key: str = "sha256"):
+    """foreachBatch sink: of a micro-batch, the rows whose key no earlier batch
+    has written go to the batch's own ``batch_id=<n>`` folder with overwrite.  A
+    replayed batch looks at earlier folders only and rewrites the same rows."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{table_dir}/batch_id={batch_id}")
-        if fail_once_marker and batch_id == 1 and not _exists(spark, fail_once_marker):
-            # simulated loss after the write but before the batch commits
-            spark.range(1).write.mode("overwrite").parquet(fail_once_marker)
-            raise RuntimeError("injected failure after writing batch 1")
+        rows = batch.dropDuplicates([key])
+        if batch_id > 0:
+            before = batch.sparkSession.read.parquet(table_dir).filter(F.col("batch_id") < batch_id)
+            rows = rows.join(before.select(key), key, "left_anti")
+        rows.write.mode("overwrite").parquet(f"{table_dir}/batch_id={batch_id}")
     return run
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Existence test through Spark's file system layer (works for shared
-    cluster storage, not only local disks)."""
-    try:
-        spark.read.parquet(path).limit(1).count()
-        return True
-    except Exception:  # noqa: BLE001 - missing path
-        return False
-
-
 def ingest_stream(spark: SparkSession, source_dir: str, schema: str, text_col: str, table_dir: str,
                   checkpoint: str | None = None, max_files_per_trigger: int | None = None,
-                  fail_once_marker: str | None = None, existing: DataFrame | None = None):
+                  existing: DataFrame | None = None, sink=None):
     """Start the continuous ingest; returns the StreamingQuery (availableNow).
 
-    Content dedup is a streaming ``dropDuplicates`` on sha256: the hashes seen
-    so far live in the state store (versioned with the checkpoint; use the
-    RocksDB provider on clusters), so each micro-batch costs its own size,
-    not the size of the table.  ``existing`` (sha256 of files ingested before
-    this stream started) is excluded with a stream-static anti join."""
+    Content dedup is an anti join of each micro-batch's hashes against the
+    table written so far, so the stream keeps no state that grows.  ``existing``
+    (sha256 of files ingested before this stream started) is excluded with a
+    stream-static anti join.  ``sink`` replaces the foreachBatch function."""
     ensure_checkpoint_dir(spark)
     checkpoint = checkpoint or scratch_path(spark, "ingest-ckpt")
     r = spark.readStream.schema(schema)
@@ -71,21 +59,31 @@ def ingest_stream(spark: SparkSession, source_dir: str, schema: str, text_col: s
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     src = r.parquet(source_dir)
     rows = src.select(content_sha256(F.col(text_col)).alias("sha256"), F.col(text_col).alias("markdown"))
-    rows = rows.dropDuplicates(["sha256"])
     if existing is not None:
         rows = rows.join(existing.select("sha256").distinct(), "sha256", "left_anti")
-    return (rows.writeStream.foreachBatch(_merge_batch(table_dir, fail_once_marker))
+    return (rows.writeStream.foreachBatch(sink or new_rows_sink(table_dir))
                 .option("checkpointLocation", checkpoint)
                 .trigger(availableNow=True).start())
 
 
 def dedup_stream(events: DataFrame, key_expr, ts_col: str, delay: str):
-    """Drop repeated content within the watermark delay (state per key is
-    kept only until the watermark passes it)."""
+    """Drop repeated content within the watermark delay (state per key is kept
+    only until the watermark passes it); ``new_rows_sink`` drops what repeats
+    later."""
     return (events.withColumn("sha256", key_expr).withWatermark(ts_col, delay)
                   .dropDuplicatesWithinWatermark(["sha256"]))
 
 
+def run_new_rows(df: DataFrame, name: str, spark: SparkSession, key: str = "sha256") -> DataFrame:
+    """Run a streaming frame to completion into a table with one row per key."""
+    ensure_checkpoint_dir(spark)
+    out = scratch_path(spark, name)
+    q = (df.writeStream.foreachBatch(new_rows_sink(out, key)).option("checkpointLocation", out + "-ckpt")
+           .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).drop("batch_id")
+
+
 # ----------------------------------------------------------- URL throttle
 
 THROTTLE_OUT = "url string, ts timestamp_ntz, accepted boolean"
@@ -174,8 +172,9 @@ def run_to_table(df: DataFrame, name: str, spark: SparkSession) -> DataFrame:
     return spark.read.parquet(out)
 
 
-def backlog_once(spark: SparkSession, queue_dir: str, schema: str, fn, name: str = "backlog") -> DataFrame:
+def backlog_once(spark: SparkSession, queue_dir: str, schema: str, fn, name: str = "backlog",
+                 max_files_per_trigger: int = 1000) -> DataFrame:
     """The slow lane: process whatever is queued now (availableNow) with
     ``fn`` (a DataFrame → DataFrame enrichment) and return its output."""
-    s = spark.readStream.schema(schema).parquet(queue_dir)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(queue_dir)
     return run_to_table(fn(s), name, spark)
