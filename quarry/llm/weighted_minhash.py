@@ -34,14 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, staged, without
+from .common import prepare, salted_join, small, staged
 from .tokens import ALNUM, Grams, mix64, starts_from, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 14, 6
 DF_BITS = 18
-SALTS = 16
 #: Shingles handled at once; keeps the sampling arrays in cache.
 BLOCK = 1 << 15
 _LEVELS = 1 << 16
@@ -202,14 +201,6 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: flo
     return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long, similarity double")
 
 
-def salted_join(many: DataFrame, few: DataFrame, keys: list[str], spread: str) -> DataFrame:
-    """Join on ``keys`` where ``few`` has one row per key and ``many`` may have a
-    third of its rows on one key: those are dealt over ``SALTS`` parts."""
-    left = many.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
-    right = few.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return left.join(right, [*keys, "salt"]).drop("salt")
-
-
 def classes(links: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """links(a, b) → (id, label): the lowest id of each connected class.  Every
     round each vertex takes the least label around it and then its label's
@@ -228,8 +219,8 @@ def classes(links: DataFrame, max_rounds: int | None = None) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """docs(doc_id, text, …) → one row per document: doc_id, class_id (the
-    lowest doc_id of its class) and class_size."""
+    """docs(doc_id, text, …) → one row per document: doc_id and class_id,
+    the lowest doc_id of its class."""
     prepare(docs.sparkSession)
     n, df = document_frequencies(docs)
     idf = idf_table(n, df)
@@ -241,8 +232,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     keys = staged(groups.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "key")), "minhash-bands")
     centres = staged(keys.groupBy("band", "key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "minhash-centres")
     met = staged(salted_join(keys, centres, ["band", "key"], "id"), "minhash-met")
-    texts = known.where(F.col("doc_id").isNotNull()).join(met.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = staged(texts, "minhash-candidates")
+    ids = staged(met.select(F.col("id").alias("doc_id")).distinct(), "minhash-ids")
+    texts = staged(known.join(small(ids, ids.count()), "doc_id", "left_semi"), "minhash-candidates")
     tried = staged(met.where("id != centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct(), "minhash-pairs")
     links = staged(verified(tried, texts, idf, threshold), "minhash-links")
     labels = classes(links)
@@ -264,14 +255,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     member = (groups.select("f1", "f2", "rep").join(labels, F.col("rep") == F.col("id"), "left").select("f1", "f2", F.coalesce("label", "rep").alias("one"))
               .join(joined, F.col("one") == F.col("id"), "left").select("f1", "f2", F.coalesce("label", "one").alias("class_id")))
     out = marked.select("doc_id", "f1", "f2").join(member, ["f1", "f2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    out = staged(out.groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "minhash-classes")
-    size = out.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    return out.join(size, "class_id", "left").select("doc_id", "class_id", "class_size")
+    return out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
 
 
 def distinct_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, the one with the lowest id, all columns kept;
     documents without an id stay."""
-    own = without(docs.columns, "class_id", "class_size")
-    gone = near_duplicates(docs, threshold).where(F.col("class_id") != F.col("doc_id")).select(F.col("doc_id").alias("gone"))
-    return docs.select(*own).join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = near_duplicates(docs, threshold).where(F.col("class_id") != F.col("doc_id")).select(F.col("doc_id").alias("quarry_gone"))
+    return docs.join(gone, F.col("doc_id") == F.col("quarry_gone"), "left_anti")
