@@ -112,13 +112,13 @@ def test_near_duplicates_chain_and_edges(spark):
         return " ".join(w)
     rows = [(50, edited(0)), (51, edited(1).upper()), (52, edited(2) + " !!!"), (60, "wholly different words " * 20), (61, "one two"), (62, "ONE, two.")]
     docs = edge_docs(spark).unionByName(spark.createDataFrame(rows, "doc_id long, text string"), allowMissingColumns=True)
-    out = {r.doc_id: (r.class_id, r.class_size) for r in weighted_minhash.near_duplicates(docs).collect()}
-    assert out[50] == out[51] == out[52] == (50, 3)
-    assert out[60] == (60, 1) and out[61] == out[62] == (61, 2)
-    assert out[1] == (1, 1) and out[2] == (2, 1) and out[None] == (None, None)
+    out = {r.doc_id: r.class_id for r in weighted_minhash.near_duplicates(docs).collect()}
+    assert out[50] == out[51] == out[52] == 50
+    assert out[60] == 60 and out[61] == out[62] == 61
+    assert out[1] == 1 and out[2] == 2 and out[None] is None
     assert len(out) == len({i for i, *_ in EDGE_ROWS} | {i for i, _ in rows})
     kept = weighted_minhash.distinct_documents(docs)
-    assert {r.doc_id for r in kept.collect()} == {i for i, c in out.items() if c[0] == i}
+    assert {r.doc_id for r in kept.collect()} == {i for i, c in out.items() if c == i}
     assert weighted_minhash.near_duplicates(empty_docs(spark)).count() == 0
 
 
