@@ -13,7 +13,6 @@ MAX_TOTAL_SIZE = 10 * MAX_FILE_SIZE        # archive extraction budget
 MAX_ARCHIVE_DEPTH = 5
 CHUNK_TARGET = 4000                        # characters per chunk
 DEFAULT_MAX_AGE = 86400                    # URL freshness, seconds
-CSV_INFER_ROWS = 10000
 
 
 def build_session(master: str = "local[8]", app: str = "quarry",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import content_sha256, py_strip
 from ..session import DEFAULT_MAX_AGE
 
+# Texts of the interface.
 REJECT_SOURCE = "source and source_id required"
 REJECT_META = "meta must be a valid JSON object"
 REJECT_EMPTY = "file or url required"

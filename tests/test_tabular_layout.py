@@ -28,7 +28,7 @@ def test_cross_page_table_header(spark):
     p1 = "intro\n\n|A|B|\n|---|---|\n|1|2|"
     p2 = "|x|y|\n|---|---|\n|3|4|"
     df = spark.createDataFrame([([p1, p2, "plain"],)], "pg array<string>")
-    got = df.select(LY.merge_cross_page_tables(F.col("pg")).alias("f")).first().f
+    got = df.select(LY.join_split_tables(F.col("pg")).alias("f")).first().f
     assert got[1] == "|A|B|\n|---|---|\n|x|y|\n|3|4|"
     assert got[0] == p1 and got[2] == "plain"
 
