@@ -29,8 +29,9 @@ from .common import holdout, prepare
 from .sampling import labelled_sample
 from .tokens import pieces, text_bytes
 
-BINS = 1 << 13
-PER_LANGUAGE = 500
+BIN_BITS = 12
+BINS = 1 << BIN_BITS
+PER_LANGUAGE = 400
 HOLD_MOD, HOLD_REST = 4, 2
 UNKNOWN = "und"
 #: Below this score a document counts as rejected.
@@ -63,7 +64,7 @@ def _trigram_bins(data: np.ndarray) -> np.ndarray:
     """Bin of the trigram that starts at each byte (two gap bytes follow the end)."""
     b = np.append(_LETTERS[data], [0x20, 0x20]).astype(np.uint32)
     code = b[:-2] * np.uint32(65536) + b[1:-1] * np.uint32(256) + b[2:]
-    return ((code * np.uint32(2654435761)) >> np.uint32(32 - 13)).astype(np.int64)
+    return ((code * np.uint32(2654435761)) >> np.uint32(32 - BIN_BITS)).astype(np.int64)
 
 
 def _shares(data: np.ndarray) -> np.ndarray:
@@ -72,9 +73,9 @@ def _shares(data: np.ndarray) -> np.ndarray:
     return got / max(got.sum(), 1)
 
 
-def _fit_machine(x: np.ndarray, y: np.ndarray, epochs: int = 30, c: float = 0.01) -> tuple[np.ndarray, float]:
-    """Linear SVM for labels ±1 by averaged stochastic subgradient steps on the
-    hinge loss; both classes weigh alike."""
+def _fit_machine(x: np.ndarray, rows: np.ndarray, y: np.ndarray, epochs: int = 30, c: float = 0.01) -> tuple[np.ndarray, float]:
+    """Linear SVM for labels ±1 of some rows of ``x`` by averaged stochastic
+    subgradient steps on the hinge loss; both classes weigh alike."""
     rng, n = np.random.default_rng(3), len(y)
     weight = np.where(y > 0, n / (2 * max((y > 0).sum(), 1)), n / (2 * max((y < 0).sum(), 1)))
     w, b = np.zeros(x.shape[1]), 0.0
@@ -85,12 +86,12 @@ def _fit_machine(x: np.ndarray, y: np.ndarray, epochs: int = 30, c: float = 0.01
             i = order[at:at + 32]
             t += 1
             rate = 1 / (c * (t + 100))
-            miss = y[i] * (x[i] @ w + b) < 1
+            miss = y[i] * (x[rows[i]] @ w + b) < 1
             j = i[miss]
             w *= 1 - rate * c
             if len(j):
                 g = weight[j] * y[j] / len(i)
-                w += rate * (g @ x[j])
+                w += rate * (g @ x[rows[j]])
                 b += rate * g.sum() * 0.01
             if epoch >= epochs // 2:
                 seen += 1
@@ -107,10 +108,11 @@ class Model:
 
 
 def fit_model(langs: list[str], x: np.ndarray) -> Model:
-    """langs and trigram shares of the sample rows → the fitted hierarchy."""
+    """langs and trigram shares of the sample rows (overwritten) → the fitted hierarchy."""
     known = sorted(set(langs))
-    mean, scale = x.mean(axis=0), 1 / (x.std(axis=0) + 1e-3)
-    z = (x - mean) * scale
+    mean, scale = x.mean(axis=0), (1 / (x.std(axis=0) + 1e-3)).astype(np.float32)
+    x -= mean
+    x *= scale
     families = sorted({family_of(v) for v in known})
     own = np.array(langs)
     kin = np.array([family_of(v) for v in langs])
@@ -120,7 +122,7 @@ def fit_model(langs: list[str], x: np.ndarray) -> Model:
     for level, a, b in pairs:
         group = kin if level == "family" else own
         i = np.flatnonzero((group == a) | (group == b))
-        w, b0 = _fit_machine(z[i], np.where(group[i] == a, 1.0, -1.0))
+        w, b0 = _fit_machine(x, i, np.where(group[i] == a, 1.0, -1.0))
         columns.append(w * scale)
         bias.append(b0 - (w * scale * mean).sum())
     table = np.stack(columns, axis=1).astype(np.float32) if columns else np.zeros((x.shape[1], 0), np.float32)
@@ -179,7 +181,13 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     if not got.num_rows:
         return None
     rows = sorted(zip(got["lang"].to_pylist(), got["shares"].to_pylist(), strict=True))
-    return fit_model([v for v, _ in rows], np.stack([np.frombuffer(s, np.float32) for _, s in rows]))
+    del got
+    x = np.empty((len(rows), BINS), np.float32)
+    for k, (_, shares) in enumerate(rows):
+        x[k] = np.frombuffer(shares, np.float32)
+    langs = [v for v, _ in rows]
+    del rows
+    return fit_model(langs, x)
 
 
 def predict_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -226,7 +234,7 @@ def _predict(docs: DataFrame, rows: DataFrame, carried: str, per_language: int,
                         for j in range(k):
                             nxt[:, j] = _LETTERS[part[edge + j]]
                         code = nxt[:, 0] * np.uint32(65536) + nxt[:, 1] * np.uint32(256) + nxt[:, 2]
-                        bins[edge] = ((code * np.uint32(2654435761)) >> np.uint32(19)).astype(np.int64)
+                        bins[edge] = ((code * np.uint32(2654435761)) >> np.uint32(32 - BIN_BITS)).astype(np.int64)
                     at, bins = np.flatnonzero(live), bins[live]
                     cut = np.searchsorted(at, local)
                     for k in range(width):
