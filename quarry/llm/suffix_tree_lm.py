@@ -1,25 +1,37 @@
 """LM scoring with a probabilistic suffix tree over words.
 
-A text is the sequence of its words, lower-cased in A-Z, and one end.  The tree's
-symbols are the end, the ``SYMBOLS`` − 2 most frequent words and one symbol for
-all other words.  P(text) is the product over its tokens of
-P(symbol | longest retained context) and, for other words, P(word | other).
-
-Counting: tasks count words, and then (context of ``DEPTH`` symbols, next symbol),
-over all training texts; a shuffle sums the tasks' counts.  A context of any
-length is a suffix of longer ones, so the counts of all lengths follow from the
-longest.  Next-symbol distributions are smoothed towards the distribution of
-the context without its oldest symbol.  A context is retained if it diverges:
-its share of the corpus times the Kullback-Leibler divergence from its suffix
-is above ``GAIN`` bits, and suffixes of retained contexts are retained too.  The
-tree has at most SYMBOLS + … + SYMBOLS ** DEPTH contexts, and by the divergence
-test at most DEPTH · log2(N + SYMBOLS) / GAIN, whatever the corpus; that bounds
-the broadcast.  Other words are smoothed by absolute discounting, the discounted
-mass going to the one event of an unseen word.
-
-Counts of single tokens: words that make up at least a ``HEAVY``-th of all tokens
-are at most ``HEAVY`` many and are broadcast; all others are looked up by a
-shuffle join, one row per document and distinct word.
+A text is the sequence of its words, lower-cased in A-Z, and one end.  P(text) is
+the product over its tokens of P(token | longest retained context), where a
+context is a run of up to ``WORDS`` preceding words of the text, any words.
+
+Counting, level by level: words first, then (context of k words, next word or
+end) for k = 1 … ``WORDS``.  Tasks sum before the shuffle.  A run can occur
+``LEAST`` times only if its first and its last k words do, so a task hands on
+only those that a bit map of the level before admits; the map has a fixed size
+and lets some others pass, which the exact counts then drop.  What occurs less
+than ``LEAST`` times after a context leaves its mass to the shorter context.
+
+P(w | c) = (n(c, w) + (PRIOR + rest(c)) · P(w | c without its oldest word)) /
+(n(c) + PRIOR), down to the distribution of single words.  A context is retained
+if it occurs ``LEAST`` times or more and n(c) times its Kullback-Leibler
+divergence from its suffix is ``COST`` bits or more; suffixes of retained
+contexts are retained too.  The tree grows with the corpus.  It is staged and never
+collected: log P(w | c) − log P(w | suffix) is one value for each counted run and
+one for each context, so a score is a sum of values looked up by the hashes of a
+document's runs.
+
+Where not even the last word is a retained context, a small tree over symbols
+predicts.  Its symbols are the end, the ``SYMBOLS`` − 2 most frequent words and
+one symbol for all other words; its contexts of up to ``DEPTH`` symbols are
+retained if their share of the corpus times their divergence is above ``GAIN``
+bits.  It has at most SYMBOLS + … + SYMBOLS ** DEPTH contexts, which bounds its
+broadcast; P(w | other) is the share of w in the other words, by absolute
+discounting, the discounted mass going to the one event of an unseen word.
+
+Counts of single tokens and values of runs: those that make up at least a
+``HEAVY``-th of all tokens are at most ``HEAVY`` many of each length and are
+broadcast; all others are looked up by a shuffle join, one row per document and
+distinct word or run.
 
 Defined cases: a null text is empty: its one token is the end; without training
 documents every count is 0 and the distributions are uniform; null ids are
@@ -33,11 +45,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import holdout, prepare, staged
-from .tokens import starts_from, word_hashes
+from .tokens import mix64, starts_from, word_hashes
 
 HOLD_MOD, HOLD_REST = 7, 2
 SYMBOL_BITS, DEPTH = 7, 2
@@ -50,6 +62,15 @@ GAIN = 2e-7
 #: Taken from each other word's count for unseen words.
 DISCOUNT = 0.6
 HEAVY = 1 << 22
+#: Words of the longest context of the tree over all words.
+WORDS = 3
+#: Occurrences that a context, and a word after it, must have.
+LEAST = 4
+#: Bits that a context must save over the corpus.
+COST = 64.0
+#: Slots of the bit maps that tell tasks which runs may count.
+MAP_BITS = 27
+_STEP = np.uint64(0x9FB21C651E98DF25)
 
 
 def symbols(h: np.ndarray, counts: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,6 +166,152 @@ def context_counts(docs: DataFrame, top: np.ndarray) -> DataFrame:
     return rows.groupBy("code").agg(F.sum("n").alias("n"))
 
 
+def runs_of(counts: np.ndarray, h: np.ndarray, longest: int):
+    """Yields (length k, key of the run of k words from each start, words left
+    from there to the end of its text, that end excluded); starts are all words
+    whose text has k words from there on."""
+    at = starts_from(counts)
+    left = np.repeat(at[1:], counts) - np.arange(len(h))
+    key, start = h, np.arange(len(h))
+    for k in range(1, longest + 1):
+        yield k, start, key, left[start] - k
+        go = left[start] > k
+        key, start = extended(key[go], h[start[go] + k]), start[go]
+
+
+def extended(key: np.ndarray, word) -> np.ndarray:
+    """Key of a run with one more word; the end is word 0."""
+    return mix64(key * _STEP + word)
+
+
+def slots(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def bit_map(codes: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
+    """codes(code) → bits of the slots that hold a code, as uint64 words; at most
+    2 ** (bits − 6) rows reach the driver."""
+    slot = F.shiftrightunsigned("code", 64 - bits)
+    word = F.shiftright(slot, 6).cast("int")
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(code, {64 - bits}) & 63 as int))")
+    got = codes.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[got["word"].to_numpy()] = got["bit"].to_numpy().view(np.uint64)
+    return out
+
+
+def admitted(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    slot = slots(key, len(bits).bit_length() + 5)
+    return (bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) != 0
+
+
+def _pairs(ctx: np.ndarray, word: np.ndarray, n: np.ndarray):
+    """Distinct pairs with their sums, in their order."""
+    order = np.lexsort((word, ctx))
+    ctx, word = ctx[order], word[order]
+    new = np.ones(len(ctx), bool)
+    new[1:] = (ctx[1:] != ctx[:-1]) | (word[1:] != word[:-1])
+    begin = np.flatnonzero(new)
+    return ctx[begin], word[begin], np.add.reduceat(n[order], begin) if len(begin) else n[:0]
+
+
+def next_counts(docs: DataFrame, k: int, before: np.ndarray) -> DataFrame:
+    """docs(text) → (ctx, word, n): runs of ``k`` words with the word after them,
+    or 0 at the end, that ``before`` admits; ``LEAST`` occurrences or more."""
+    known = docs.sparkSession.sparkContext.broadcast(before)
+
+    def run(batches):
+        bits, held, size = known.value, [], 0
+
+        def merged():
+            return _pairs(*(np.concatenate([x[i] for x in held]) for i in range(3)))
+
+        def emit(part):
+            for at in range(0, len(part[0]), 1 << 16):
+                cut = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(part[0][cut].view(np.int64)), pa.array(part[1][cut].view(np.int64)), pa.array(part[2][cut])], ["ctx", "word", "n"])
+
+        for batch in batches:
+            for _, counts, h in word_hashes(batch.column("text")):
+                for length, start, key, rest in runs_of(counts, h, k):
+                    pass
+                if length != k or not len(key):
+                    continue
+                ok = admitted(bits, key)
+                # the last k words of context and next word are the run from the next start
+                go = rest > 0
+                tail = np.ones(len(key), bool)
+                tail[:-1] = ok[1:]
+                tail[-1:] = ~go[-1:]
+                word = np.zeros(len(key), np.uint64)
+                word[go] = h[start[go] + k]
+                take = ok & (tail | ~go)
+                held.append((key[take], word[take], np.ones(int(take.sum()), np.int64)))
+                size += len(held[-1][0])
+                if size >= 2 * FULL:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size >= FULL:
+                        yield from emit(held[0])
+                        held, size = [], 0
+        if held:
+            yield from emit(merged())
+
+    rows = docs.select("text").mapInArrow(run, "ctx long, word long, n long")
+    return rows.groupBy("ctx", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+
+
+def keyed_runs(rows: DataFrame, k: int) -> DataFrame:
+    """rows(ctx, word, n, n_ctx, up) → with ``gram``, the key of context and word,
+    and ``tail``, that of the same without the oldest word."""
+    def run(batches):
+        for b in batches:
+            ctx, word, up = (b.column(x).to_numpy().view(np.uint64) for x in ("ctx", "word", "up"))
+            gram, tail = extended(ctx, word), extended(up, word) if k > 1 else word
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("ctx", "n", "n_ctx", "up")), pa.array(gram.view(np.int64)), pa.array(tail.view(np.int64))],
+                                             ["ctx", "n", "n_ctx", "up", "gram", "tail"])
+
+    return rows.select("ctx", "word", "n", "n_ctx", "up").mapInArrow(run, "ctx long, n long, n_ctx long, up long, gram long, tail long")
+
+
+def word_tree(train: DataFrame, words: DataFrame, cost: float = COST) -> DataFrame:
+    """words(gram, n, p): single words, and the end as word 0 → staged (code, n,
+    value, first): what each run of words adds to the log10 probability of its
+    last word as against a shorter context, and as a context to that of any
+    word after it; ``first`` marks retained contexts of one word."""
+    below = words.where(F.col("n") >= LEAST)
+    ctxs = below.where("gram != 0").select(F.col("gram").alias("ctx"), F.col("n").alias("n_ctx"), F.lit(0).cast("long").alias("up"))
+    levels = []
+    for k in range(1, WORDS + 1):
+        seen = next_counts(train, k, bit_map(ctxs.select(F.col("ctx").alias("code"))))
+        grams = keyed_runs(seen.join(ctxs, "ctx"), k)
+        grams = grams.join(below.select(F.col("gram").alias("tail"), F.col("p").alias("q")), "tail")
+        own = Window.partitionBy("ctx")
+        rest = F.col("n_ctx") - F.sum("n").over(own) + PRIOR
+        out = grams.withColumn("rest", rest).withColumn("unseen", F.greatest(1 - F.sum("q").over(own), F.lit(0.0)))
+        out = out.withColumn("p", (F.col("n") + F.col("rest") * F.col("q")) / (F.col("n_ctx") + PRIOR)).withColumn("lam", F.col("rest") / (F.col("n_ctx") + PRIOR))
+        bits = F.sum(F.col("p") * F.log2(F.col("p") / F.col("q"))).over(own) + F.col("lam") * F.col("unseen") * F.log2("lam")
+        below = staged(out.withColumn("keep", F.col("n_ctx") * bits >= cost).select(
+            "ctx", "up", "gram", "tail", "n", "n_ctx", "p", "keep", F.log10("lam").alias("lam"), F.log10(F.col("p") / F.col("q")).alias("more")), "lm-level")
+        levels.append(below)
+        # the end is never a context; a run that ends a text has no key of its own among the runs of words
+        ctxs = below.select(F.col("gram").alias("ctx"), F.col("n").alias("n_ctx"), F.col("tail").alias("up"))
+    parts, longer = [], None
+    for k in range(WORDS, 0, -1):
+        level = levels[k - 1]
+        kept = level.where("keep").select("ctx")
+        kept = staged((kept if longer is None else kept.unionByName(longer)).distinct(), "lm-kept")
+        rows = level.join(kept, "ctx", "left_semi")
+        heads = rows.groupBy("ctx").agg(F.max("n_ctx").alias("n"), F.max("lam").alias("value"), F.max("up").alias("up"))
+        longer = heads.select(F.col("up").alias("ctx"))
+        parts += [rows.select(F.col("gram").alias("code"), "n", (F.col("more") - F.col("lam")).alias("value"), F.lit(False).alias("first")),
+                  heads.select(F.col("ctx").alias("code"), "n", "value", F.lit(k == 1).alias("first"))]
+    tree = parts[0]
+    for part in parts[1:]:
+        tree = tree.unionByName(part)
+    return staged(tree.groupBy("code").agg(F.max("n").alias("n"), F.sum("value").alias("value"), F.max("first").alias("first")), "lm-tree")
+
+
 def grow_tree(codes: np.ndarray, n: np.ndarray, gain: float = GAIN, prior: float = PRIOR) -> tuple[list[np.ndarray], np.ndarray]:
     """Counts of the longest contexts → (retained contexts of each length from
     1, log10 distributions: the root's row first, then theirs in that order)."""
@@ -182,7 +349,15 @@ def state_table(kept: list[np.ndarray]) -> np.ndarray:
     return state
 
 
-def lm_scores(docs: DataFrame, gain: float = GAIN, heavy: int = HEAVY) -> DataFrame:
+def _lookups(row: np.ndarray, code: np.ndarray, m: int, *sums: np.ndarray):
+    """Distinct (row, code) in order of rows → (cut of the rows, codes, times, sums)."""
+    uniq, back = np.unique(code, return_inverse=True)
+    pair, at, times = np.unique(row * max(len(uniq), 1) + back, return_inverse=True, return_counts=True)
+    cut = np.searchsorted(pair // max(len(uniq), 1), np.arange(m + 1)).astype(np.int32)
+    return cut, uniq[pair % max(len(uniq), 1)].view(np.int64), times, *(np.bincount(at, x, len(pair)).astype(np.float64) for x in sums)
+
+
+def lm_scores(docs: DataFrame, gain: float = GAIN, heavy: int = HEAVY, cost: float = COST) -> DataFrame:
     """docs(doc_id, text, …) → one row per document: doc_id, held_out, n_tokens,
     n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -201,61 +376,89 @@ def lm_scores(docs: DataFrame, gain: float = GAIN, heavy: int = HEAVY) -> DataFr
     other, other_types = words - sum(r["n"] for r in first), vocabulary - len(first)
     room = max(other, 1)
     unseen = math.log10(max(DISCOUNT * other_types, DISCOUNT) / room)
-    common = counts.where(F.col("n") * heavy >= total).select("code", "n").toArrow()
+    root = 10.0 ** rows[0].astype(np.float64)
+    own = [(0, texts, float(root[END])), *((int(c), None, float(root[k + 2])) for k, c in enumerate(top.view(np.int64)))]
+    own = spark.createDataFrame(own, "code long, texts long, own double")
+    single = counts.select("code", "n").unionByName(own.where("code = 0").select("code", F.col("texts").alias("n")))
+    single = single.join(F.broadcast(own.select("code", "own")), "code", "left").select(
+        F.col("code").alias("gram"), "n", F.coalesce("own", F.lit(float(root[OTHER])) * (F.col("n") - DISCOUNT) / F.lit(float(room))).alias("p"))
+    tree = word_tree(train, single, cost)
+    common = counts.where((F.col("n") * heavy >= total) | F.col("code").isin([r["code"] for r in first])).select("code", "n").toArrow()
     hashes = common["code"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     hashes, n = hashes[order], common["n"].to_numpy()[order].astype(np.float64)
     spelled = np.where(np.isin(hashes, top), 0.0, np.log10((n - DISCOUNT) / room))
-    model = spark.sparkContext.broadcast((kept, rows, top, hashes, np.log10(n + 1.0), spelled))
+    # at most heavy runs of each length, and their contexts
+    often = tree.where(F.col("n") * heavy >= total).select("code", "value", "first").toArrow()
+    codes = often["code"].to_numpy().view(np.uint64)
+    order = np.argsort(codes)
+    runs = (bit_map(tree), codes[order], often["value"].to_numpy()[order], often["first"].to_numpy()[order])
+    model = spark.sparkContext.broadcast((kept, rows, top, hashes, np.log10(n + 1.0), spelled, runs))
 
     def run(batches):
-        kept, rows, top, known, logs, spelled = model.value
+        kept, rows, top, known, logs, spelled, (bits, codes, values, firsts) = model.value
         state = state_table(kept)
         for batch in batches:
-            column, n = batch.column("text"), batch.num_rows
-            score, tokens, hits, base = np.zeros(n), np.ones(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-            rare_rows, rare_hash, rare_n = [], [], []
-            for first, per_row, h in word_hashes(column):
+            for first, per_row, h in word_hashes(batch.column("text")):
                 m = len(per_row)
                 sym, begin = symbols(h, per_row, top)
-                score[first:first + m] = np.add.reduceat(rows[state[contexts(sym, begin)], sym], begin, dtype=np.float64)
-                tokens[first:first + m] += per_row
+                token = rows[state[contexts(sym, begin)], sym]
+                score = np.add.reduceat(token, begin, dtype=np.float64)
                 row = np.repeat(np.arange(m), per_row)
                 uniq, back = np.unique(h, return_inverse=True)
                 at = np.minimum(np.searchsorted(known, uniq), max(len(known) - 1, 0))
                 found = known[at] == uniq if len(known) else np.zeros(len(uniq), bool)
                 value = np.where(found, logs[at], 0) if len(known) else np.zeros(len(uniq))
-                hits[first:first + m] += np.bincount(row, found[back], m).astype(np.int64)
-                base[first:first + m] += np.bincount(row, value[back], m)
+                hits = np.bincount(row, found[back], m).astype(np.int64)
+                base = np.bincount(row, value[back], m).astype(np.float64)  # integers if there is no word
                 if len(known):
-                    score[first:first + m] += np.bincount(row, np.where(found, spelled[at], 0)[back], m)
+                    score += np.bincount(row, np.where(found, spelled[at], 0)[back], m)
                 miss = ~found[back]
-                pair, times = np.unique(row[miss] * len(uniq) + back[miss], return_counts=True)
-                rare_rows.append(first + pair // max(len(uniq), 1))
-                rare_hash.append(uniq[pair % max(len(uniq), 1)].view(np.int64))
-                rare_n.append(times)
-            rare_rows = np.concatenate(rare_rows) if rare_rows else np.zeros(0, np.int64)
-            cut = np.searchsorted(rare_rows, np.arange(n + 1)).astype(np.int32)
-            flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rare_hash, rare_n)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(tokens), pa.array(hits), pa.array(base), pa.array(score),
-                 pa.ListArray.from_arrays(pa.array(cut), pa.array(flat[0])), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat[1]))],
-                ["doc_id", "held_out", "n_tokens", "hits", "base", "score", "rare", "rare_n"])
+                rare = _lookups(row[miss], h[miss], m)
+                # after a retained context the root's symbol stands in for the symbol tree's
+                shift = (rows[0, sym] - token).astype(np.float64)
+                late = []
+                for k, start, key, rest in runs_of(per_row, h, WORDS + 1):
+                    ends = rest == 0
+                    moved = shift[start + row[start] + 1] if k == 1 else np.zeros(len(start))
+                    if k <= WORDS:
+                        start, moved = np.concatenate([start, start[ends]]), np.concatenate([moved, np.zeros(int(ends.sum()))])
+                        key = np.concatenate([key, extended(key[ends], np.uint64(0))])
+                    ok = admitted(bits, key)
+                    key, r, moved = key[ok], row[start[ok]], moved[ok]
+                    at = np.minimum(np.searchsorted(codes, key), max(len(codes) - 1, 0))
+                    here = codes[at] == key if len(codes) else np.zeros(len(key), bool)
+                    if here.any():
+                        score += np.bincount(r[here], values[at[here]] + np.where(firsts[at[here]], moved[here], 0.0), m)
+                    late.append((r[~here], key[~here], moved[~here]))
+                r, key, moved = (np.concatenate(x) if late else np.zeros(0, t) for x, t in zip(zip(*late) if late else [()] * 3, (np.int64, np.uint64, float), strict=True))
+                later = _lookups(r, key, m, moved)
+                part = batch.slice(first, m)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("held_out"), pa.array(per_row + 1), pa.array(hits), pa.array(base), pa.array(score),
+                     *(pa.ListArray.from_arrays(pa.array(x[0]), pa.array(y)) for x in (rare, later) for y in x[1:])],
+                    ["doc_id", "held_out", "n_tokens", "hits", "base", "score", "rare", "rare_n", "runs", "runs_n", "shift"])
 
     kind = dict(docs.dtypes)["doc_id"]
     scored = staged(docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(
-        run, f"doc_id {kind}, held_out boolean, n_tokens long, hits long, base double, score double, rare array<long>, rare_n array<long>")
+        run, f"doc_id {kind}, held_out boolean, n_tokens long, hits long, base double, score double, rare array<long>, rare_n array<long>, "
+        "runs array<long>, runs_n array<long>, shift array<double>")
         .withColumn("row", F.monotonically_increasing_id()), "lm-scored")  # written once, so the numbers stay
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("row", F.col("x.rare").alias("code"), F.col("x.rare_n").alias("times"))
     n = F.col("n").cast("double")
-    found = (rare.join(counts, "code").groupBy("row")
-             .agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(n + 1.0)).alias("extra"),
-                  F.sum(F.col("times") * F.log10((n - DISCOUNT) / F.lit(float(room)))).alias("spelled")))
+    zero = F.lit(0.0)
+    single = rare.join(counts, "code").select("row", F.col("times").alias("more"), (F.col("times") * F.log10(n + 1.0)).alias("extra"),
+                                              (F.col("times") * F.log10((n - DISCOUNT) / F.lit(float(room)))).alias("spelled"))
+    rare = scored.select("row", F.explode(F.arrays_zip("runs", "runs_n", "shift")).alias("x")).select(
+        "row", F.col("x.runs").alias("code"), F.col("x.runs_n").alias("times"), F.col("x.shift").alias("shift"))
+    longer = rare.join(tree, "code").select("row", F.lit(0).cast("long").alias("more"), zero.alias("extra"),
+                                            (F.col("times") * F.col("value") + F.when(F.col("first"), F.col("shift")).otherwise(zero)).alias("spelled"))
+    found = single.unionByName(longer).groupBy("row").agg(*(F.sum(x).alias(x) for x in ("more", "extra", "spelled")))
     floor = math.log10(total + distinct + 1)
     end = math.log10(texts + 1)
     more = F.coalesce("more", F.lit(0))
     unknown = F.col("n_tokens") - 1 - F.col("hits") - more
-    return (scored.drop("rare", "rare_n").join(found, "row", "left").select(
+    return (scored.drop("rare", "rare_n", "runs", "runs_n", "shift").join(found, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("hits") + more + F.lit(1 if texts else 0)).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("extra", F.lit(0.0)) + F.lit(end) - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
