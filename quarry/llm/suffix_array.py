@@ -10,8 +10,8 @@ block, the run of windows that it governs.  Neighbours whose blocks are equal
 match over the whole block.  Where blocks of one gram differ, matches are
 extended left and right of the anchor word by word: each distinct block is laid
 out once, its windows are sorted by content, and equal neighbours from
-different documents match.  Matched windows that touch are chained to maximal
-spans.  Copies collapse into distinct blocks before anything is laid out, so a
+different documents match.  Matched windows that overlap and whose lowest document
+is the same are chained to maximal spans, so each window keeps its own link.  Copies collapse into distinct blocks before anything is laid out, so a
 group of any size costs its distinct blocks, never its pairs.
 
 Words are compared without regard to case.  Content is compared by 64-bit
@@ -121,9 +121,10 @@ def block_windows(laid: DataFrame, min_words: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs(doc_id, text, …) → one row per maximal span of repeated windows:
-    doc_id, start_word, end_word (exclusive), n_words, first_doc_id (the lowest
-    document with a passage of the span) and is_first (this is that document)."""
+    """docs(doc_id, text, …) → one row per maximal span of repeated windows
+    that share their lowest document: doc_id, start_word, end_word (exclusive),
+    n_words, first_doc_id (that lowest document) and is_first (this is that
+    document).  Spans of different first documents may overlap."""
     prepare(docs.sparkSession)
     keyed = docs.select("doc_id", "text", row_key("text").alias("rid"))
     suffixes = staged(sparse_suffixes(keyed, min_words), "suffixes")
@@ -140,21 +141,21 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     same = (windows.groupBy("window").agg(F.min("lo").alias("low"), F.max("hi").alias("high")).where(F.col("low") != F.col("high")).select("window", "low"))
     hit = windows.join(same, "window").select("block", "at", F.col("low.doc_id").alias("first"))
     # runs of matched windows inside a block: neighbours differ by the same amount as their ranks
-    rank = F.row_number().over(Window.partitionBy("block").orderBy("at"))
-    runs = (hit.groupBy("block", "at").agg(F.min("first").alias("first")).withColumn("g", F.col("at") - rank)
-            .groupBy("block", "g").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.min("first").alias("first")))
+    rank = F.row_number().over(Window.partitionBy("block", "first").orderBy("at"))
+    runs = hit.withColumn("g", F.col("at") - rank).groupBy("block", "first", "g").agg(F.min("at").alias("a"), F.max("at").alias("b"))
     part = runs.groupBy("block").agg(F.collect_list(F.struct("a", "b", "first")).alias("runs"))
-    full = whole.groupBy("block").agg(F.min("lo").alias("lo"), F.max(F.col("one.s1") - F.col("one.s0")).alias("b"))
+    # a block alone at its gram holds all windows that the gram governs; those of others are known window by window
+    full = whole.join(keys, "key", "left_anti").groupBy("block").agg(F.min("lo").alias("lo"), F.max(F.col("one.s1") - F.col("one.s0")).alias("b"))
     full = full.select("block", F.array(F.struct(F.lit(0).alias("a"), "b", F.col("lo.doc_id").alias("first"))).alias("runs"))
     matched = staged(part.unionByName(full).groupBy("block").agg(F.flatten(F.collect_list("runs")).alias("runs")), "suffix-runs")
     places = suffixes.join(matched, "block").select("rid", "s0", F.explode("runs").alias("x"))
     places = places.select("rid", (F.col("s0") + F.col("x.a")).alias("a"), (F.col("s0") + F.col("x.b") + min_words).alias("b"), F.col("x.first").alias("first"))
-    # overlapping places of one document chain to one span
-    order = Window.partitionBy("rid").orderBy("a", "b")
+    # overlapping places of one document with one first document chain to one span
+    order = Window.partitionBy("rid", "first").orderBy("a", "b")
     reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
     spans = (places.withColumn("new", F.coalesce((reach <= F.col("a")).cast("int"), F.lit(1)))
              .withColumn("g", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-             .groupBy("rid", "g").agg(F.struct(F.min("a").alias("a"), F.max("b").alias("b"), F.min("first").alias("first")).alias("s")))
-    return spans.select(F.col("rid.doc_id").alias("doc_id"), F.col("s.a").alias("start_word"), F.col("s.b").alias("end_word"),
-                        (F.col("s.b") - F.col("s.a")).alias("n_words"), F.col("s.first").alias("first_doc_id"),
-                        F.col("s.first").eqNullSafe(F.col("rid.doc_id")).alias("is_first"))
+             .groupBy("rid", "first", "g").agg(F.min("a").alias("a"), F.max("b").alias("b")))
+    return spans.select(F.col("rid.doc_id").alias("doc_id"), F.col("a").alias("start_word"), F.col("b").alias("end_word"),
+                        (F.col("b") - F.col("a")).alias("n_words"), F.col("first").alias("first_doc_id"),
+                        F.col("first").eqNullSafe(F.col("rid.doc_id")).alias("is_first"))

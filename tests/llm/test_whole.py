@@ -6,8 +6,9 @@ import math
 import numpy as np
 import pyarrow as pa
 
-from quarry.llm import suffix_tree_lm, tokens
-from tests.llm.data import held
+from quarry.llm import suffix_array, suffix_tree_lm, tokens
+from tests.conftest import SF001
+from tests.llm.data import held, words
 
 
 # ---- LM scoring ---------------------------------------------------------
@@ -82,3 +83,40 @@ def test_lm_contexts_of_rare_words_and_of_three_words(spark, monkeypatch):
     monkeypatch.setattr(suffix_tree_lm, "FULL", 64)
     again = {r.doc_id: r.score for r in suffix_tree_lm.lm_scores(docs, gain=1e9, heavy=30, cost=6.0).collect()}
     assert all(abs(got[i] - again[i]) < 1e-6 for i in got)
+
+
+# ---- suffix arrays ------------------------------------------------------
+
+def _first_spans(rows, k):
+    """(document, start, end, first document) of each window's lowest document, chained where windows overlap."""
+    where, tok = collections.defaultdict(set), [(i, [w.lower() for w in words(t)]) for i, t in rows]
+    for i, w in tok:
+        for s in range(len(w) - k + 1):
+            where[tuple(w[s:s + k])].add(i)
+    out = set()
+    for i, w in tok:
+        spans = {}
+        for s in range(len(w) - k + 1):
+            docs = where[tuple(w[s:s + k])]
+            if len(docs) > 1:
+                own = spans.setdefault(min(docs), [])
+                if own and s < own[-1][1]:
+                    own[-1][1] = s + k
+                else:
+                    own.append([s, s + k])
+        out |= {(i, a, b, f) for f, own in spans.items() for a, b in own}
+    return out
+
+
+def test_overlapping_passages_keep_each_first_document(spark):
+    w = [f"w{i}" for i in range(300)]
+    text = lambda *parts: " ".join(x for a, b in parts for x in w[a:b])
+    rows = [(1, text((200, 205), (0, 60))), (2, text((40, 100), (210, 240))), (3, text((0, 100))), (4, text((240, 250), (20, 90))), (5, text((0, 100), (250, 260)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    get = lambda df, k: {(r.doc_id, r.start_word, r.end_word, r.first_doc_id) for r in suffix_array.repeated_spans(df, k).collect()}
+    got = get(docs, 50)
+    assert got == _first_spans(rows, 50)
+    assert (3, 0, 60, 1) in got and (3, 40, 100, 2) in got
+    assert get(docs, 17) == _first_spans(rows, 17)
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    assert get(docs, 17) == _first_spans([tuple(r) for r in docs.collect()], 17)
