@@ -6,6 +6,7 @@ backlog lane and restart after a failed batch."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.text import content_sha256
 from ..operators.search import hash_embed
@@ -29,15 +30,18 @@ def _land(df, spark, name):
 
 
 def _land_in_order(df, spark, name, ts, arrivals=4):
-    """Landing folder that fills in ``arrivals`` steps of event time."""
+    """Landing folder that fills in steps of event time, one file each, written in
+    order; their number follows the number of rows, ``arrivals`` at least."""
     path = scratch_path(spark, name)
     at = F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col(ts).cast("timestamp_ntz")).cast("double")
-    cuts = df.select(at.alias("t")).approxQuantile("t", [i / arrivals for i in range(1, arrivals)], 0.001)
-    step = F.lit(0)
-    for c in cuts:
-        step = step + (at > F.lit(c)).cast("int")
-    for i in range(arrivals):
-        df.filter(step == i).coalesce(max(1, -(-df.count() // (arrivals * ROWS_PER_FILE)))).write.parquet(f"{path}/arrival_{i}")
+    arrivals = max(arrivals, -(-df.count() // ROWS_PER_FILE))
+    cuts = sorted(set(df.select(at.alias("t")).approxQuantile("t", [i / arrivals for i in range(1, arrivals)], min(0.001, 0.1 / arrivals))))
+    step = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: F.coalesce(at > c, F.lit(False))))
+    sliced = scratch_path(spark, f"{name}-sliced")
+    df.withColumn("step", step).repartition(len(cuts) + 1, "step").write.partitionBy("step").parquet(sliced)
+    slices = spark.read.schema(StructType([*df.schema.fields, StructField("step", IntegerType())])).parquet(sliced)
+    for i in range(len(cuts) + 1):
+        slices.filter(F.col("step") == i).drop("step").coalesce(1).write.parquet(f"{path}/arrival_{i}")
     return path
 
 
