@@ -8,10 +8,13 @@ than a text's own words, by a bounded factor at any corpus size.
 
 Improved consistent weighted sampling draws ``BANDS × ROWS`` samples; two texts
 share a sample with a probability of their weighted Jaccard similarity.  Samples
-are grouped into bands.  Texts that share a band meet in a bucket, where each is
-compared with one centre, never with all others: first with the bucket's
-lowest document, then, in buckets that still hold several classes, the centres
-of the classes with each other.  Every candidate is verified by the weighted
+are grouped into bands.  Texts that share a band meet in a bucket.  Each is compared
+with the bucket's lowest document, then, in buckets that still hold several
+classes, one member of each class with one of the others, and in those that
+even then hold several, all members with those of other classes, so no pair that
+shares a band and could join two classes is left out.  There, pairs are dealt
+over salts, and those are passed over whose total weights alone keep the
+similarity under the threshold.  Every candidate is verified by the weighted
 Jaccard similarity of the full shingle sets.  Verified links are closed to
 classes by rounds of label exchange, each written to the shared folder.
 
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, salted_join, small, staged
+from .common import SALTS, prepare, salted_join, small, staged
 from .tokens import ALNUM, Grams, mix64, starts_from, word_hashes
 
 SHINGLE = 5
@@ -141,7 +144,7 @@ def mix_light(h: np.ndarray, odd) -> np.ndarray:
 
 def sketches(docs: DataFrame, idf: np.ndarray, bands: int, rows: int) -> DataFrame:
     """docs(doc_id, text) → doc_id, f1, f2 (128 bits of the word sequence, null
-    without a word), bands (array of band keys)."""
+    without a word), bands (array of band keys), mass (sum of the weights)."""
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(idf)
 
@@ -154,17 +157,20 @@ def sketches(docs: DataFrame, idf: np.ndarray, bands: int, rows: int) -> DataFra
                 at, some = starts_from(counts), counts > 0
                 whole = Grams(h).runs(at[:-1], counts)
                 other = Grams(mix64(h)).runs(at[:-1], counts)
-                keys = np.zeros((0, bands), np.int64)
+                keys, mass = np.zeros((0, bands), np.int64), np.zeros(len(counts))
                 if some.any():
-                    sig = sampler.signatures(per_row, g, weights_of(g, times, table.value)).view(np.uint32).astype(np.uint64)
+                    weight = weights_of(g, times, table.value)
+                    mass[some] = np.add.reduceat(weight, starts_from(per_row[some])[:-1], dtype=np.float64)
+                    sig = sampler.signatures(per_row, g, weight).view(np.uint32).astype(np.uint64)
                     sig = sig.reshape(len(sig), bands, rows)
                     keys = mix64((mix64(sig + seeds) * seeds).sum(axis=2, dtype=np.uint64)).view(np.int64)
                 cut = starts_from(np.where(some, bands, 0)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(first, len(counts)), pa.array(whole.view(np.int64), mask=~some), pa.array(other.view(np.int64), mask=~some),
-                     pa.ListArray.from_arrays(pa.array(cut), pa.array(keys.reshape(-1)))], ["doc_id", "f1", "f2", "bands"])
+                     pa.ListArray.from_arrays(pa.array(cut), pa.array(keys.reshape(-1))), pa.array(mass)],
+                    ["doc_id", "f1", "f2", "bands", "mass"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, f1 long, f2 long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, f1 long, f2 long, bands array<long>, mass double")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
@@ -218,6 +224,18 @@ def classes(links: DataFrame, max_rounds: int | None = None) -> DataFrame:
             return labels
 
 
+def _closed(groups: DataFrame, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels(id, label) of the linked texts and further links(a, b) → staged
+    (id, label) of all texts: links between classes close over the classes' labels."""
+    ends = (links.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left")
+            .join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", "left")
+            .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a != b"))
+    joined = classes(staged(ends, "minhash-joined")).select(F.col("id").alias("one"), F.col("label").alias("class"))
+    out = (groups.select(F.col("rep").alias("id")).join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("one"))
+           .join(joined, "one", "left").select("id", F.coalesce("class", "one").alias("label")))
+    return staged(out, "minhash-labels")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs(doc_id, text, …) → one row per document: doc_id and class_id,
     the lowest doc_id of its class."""
@@ -228,7 +246,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     marked = staged(sketches(known, idf, bands, rows), "minhash-sketches")
     live = marked.where(F.col("f1").isNotNull() & F.col("doc_id").isNotNull())
     # equal word sequences: the lowest id stands for all
-    groups = staged(live.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "minhash-texts")
+    groups = staged(live.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"), F.min("mass").alias("mass")), "minhash-texts")
     keys = staged(groups.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "key")), "minhash-bands")
     centres = staged(keys.groupBy("band", "key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "minhash-centres")
     met = staged(salted_join(keys, centres, ["band", "key"], "id"), "minhash-met")
@@ -245,15 +263,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     reps = staged(reps.join(several, ["band", "key"], "left_semi"), "minhash-open")
     pair = reps.alias("x").join(reps.alias("y"), ["band", "key"]).where(F.col("x.label") < F.col("y.label"))
     more = pair.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    across = verified(staged(more, "minhash-more"), texts, idf, threshold)
-    # links between classes close over the classes' labels
-    own = labels.select("id", "label")
-    ends = (across.join(own.withColumnRenamed("id", "a").withColumnRenamed("label", "la"), "a", "left")
-            .join(own.withColumnRenamed("id", "b").withColumnRenamed("label", "lb"), "b", "left")
-            .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a != b"))
-    joined = classes(staged(ends, "minhash-joined"))
-    member = (groups.select("f1", "f2", "rep").join(labels, F.col("rep") == F.col("id"), "left").select("f1", "f2", F.coalesce("label", "rep").alias("one"))
-              .join(joined, F.col("one") == F.col("id"), "left").select("f1", "f2", F.coalesce("label", "one").alias("class_id")))
+    more = staged(more, "minhash-more")
+    labels = _closed(groups, labels, staged(verified(more, texts, idf, threshold), "minhash-across"))
+    # buckets that even then hold several classes: all members with those of the other classes
+    seen = met.select("band", "key", "id").join(labels, "id").join(groups.select(F.col("rep").alias("id"), "mass"), "id")
+    several = seen.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("band", "key")
+    seen = staged(salted_join(seen, several, ["band", "key"], "id"), "minhash-members")
+    one = seen.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).alias("x")
+    two = seen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("y")
+    # the similarity is at most the ratio of the total weights
+    close = F.least("x.mass", "y.mass") >= F.greatest("x.mass", "y.mass") * F.lit(threshold - 1e-6)
+    rest = one.join(two, ["band", "key", "salt"]).where((F.col("x.label") < F.col("y.label")) & close)
+    rest = rest.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+    rest = rest.join(tried.unionByName(more), ["a", "b"], "left_anti")
+    labels = _closed(groups, labels, staged(verified(staged(rest, "minhash-rest"), texts, idf, threshold), "minhash-last"))
+    member = groups.select("f1", "f2", "rep").join(labels, F.col("rep") == F.col("id")).select("f1", "f2", F.col("label").alias("class_id"))
     out = marked.select("doc_id", "f1", "f2").join(member, ["f1", "f2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
 

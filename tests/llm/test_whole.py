@@ -6,9 +6,10 @@ import math
 import numpy as np
 import pyarrow as pa
 
-from quarry.llm import suffix_array, suffix_tree_lm, tokens
+from quarry.llm import suffix_array, suffix_tree_lm, tokens, weighted_minhash
 from tests.conftest import SF001
 from tests.llm.data import held, words
+from tests.llm.test_free import _brute_classes
 
 
 # ---- LM scoring ---------------------------------------------------------
@@ -120,3 +121,21 @@ def test_overlapping_passages_keep_each_first_document(spark):
     assert get(docs, 17) == _first_spans(rows, 17)
     docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
     assert get(docs, 17) == _first_spans([tuple(r) for r in docs.collect()], 17)
+
+
+# ---- MinHash ------------------------------------------------------------
+
+def test_no_link_is_lost_in_a_large_class(spark):
+    """x is near to one text m of a class of hundreds and to no other: neither
+    the lowest of a bucket nor one drawn member is m."""
+    rows = []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(104)]
+        rows += [(1000 * g + j, " ".join([*base, *(f"g{g}v{j}t{k}" for k in range(8))])) for j in range(150)]
+        rows += [(1000 * g + 500, " ".join(base)), (1000 * g + 501, " ".join(base[:88]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    idf = weighted_minhash.idf_table(*weighted_minhash.document_frequencies(docs))
+    want = _brute_classes(rows, idf)
+    assert all(want[1000 * g + 501] == 1000 * g for g in range(6))
+    got = {r.doc_id: r.class_id for r in weighted_minhash.near_duplicates(docs).collect()}
+    assert got == want
