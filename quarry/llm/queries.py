@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_spread, mixing, quality_rules, suffix_array, suffix_tree_lm, toxicity, warc, weighted_minhash
+from . import collocations, decontaminate, language_id, line_spread, mixing, quality_rules, suffix_array, suffix_tree_lm, toxicity, warc, weighted_minhash
 from .common import prepare
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,10 @@ def op10_suffix_array(spark, sf_dir):
     return suffix_array.repeated_spans(_table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark, sf_dir):
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Builder] = {
     "op1_weighted_minhash": op1_weighted_minhash,
     "op2_language_id": op2_language_id,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Builder] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_mixing": op9_mixing,
     "op10_suffix_array": op10_suffix_array,
+    "op12_collocations": op12_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -81,4 +86,5 @@ ORACLES: dict[str, str] = {
     "op7_warc": warc.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
     "op9_mixing": mixing.ORACLE,
+    "op12_collocations": collocations.ORACLE,
 }
