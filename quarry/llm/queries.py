@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, language_id, line_spread, mixing, quality_rules, suffix_array, suffix_tree_lm, toxicity, warc, weighted_minhash
+from . import collocations, decontaminate, language_id, line_spread, mixing, neighbours, quality_rules, suffix_array, suffix_tree_lm, toxicity, warc, weighted_minhash
 from .common import prepare
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,11 @@ def op12_collocations(spark, sf_dir):
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op13_neighbours(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 QUERIES: dict[str, Builder] = {
     "op1_weighted_minhash": op1_weighted_minhash,
     "op2_language_id": op2_language_id,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Builder] = {
     "op9_mixing": op9_mixing,
     "op10_suffix_array": op10_suffix_array,
     "op12_collocations": op12_collocations,
+    "op13_neighbours": op13_neighbours,
 }
 
 ORACLES: dict[str, str] = {
