@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, language_id, line_spread, mixing, neighbours, quality_rules, suffix_array, suffix_tree_lm, toxicity, warc, weighted_minhash
+from . import collocations, conversations, decontaminate, language_id, line_spread, mixing, neighbours, quality_rules, suffix_array, suffix_tree_lm, toxicity, warc, weighted_minhash
 from .common import prepare
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,10 @@ def op10_suffix_array(spark, sf_dir):
     return suffix_array.repeated_spans(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversations(spark, sf_dir):
+    return conversations.structure_report(_table(spark, sf_dir, "conversations"))
+
+
 def op12_collocations(spark, sf_dir):
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Builder] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_mixing": op9_mixing,
     "op10_suffix_array": op10_suffix_array,
+    "op11_conversations": op11_conversations,
     "op12_collocations": op12_collocations,
     "op13_neighbours": op13_neighbours,
 }
