@@ -6,8 +6,19 @@ to ``longest`` words, padded where the piece ends.  Only these longest windows
 are made; Spark's ROLLUP over their columns sums them to every shorter prefix,
 so one grouped count holds the frequencies of the phrases of all lengths (a
 phrase occurs as often as windows begin with it), and the empty prefix is the
-number of words.  Lead columns are taken from the piece's own word array: no
-word is shuffled before the map-side partial counts.
+number of words.
+
+Most windows of a corpus occur once.  They are padded behind the part that can't
+reach ``least``: a first pass counts hashed slots of all prefixes of two words or
+more, saturating at ``least`` (slots are shared, so a count is never too low),
+and a prefix whose slot stays under it is cut before anything is shuffled.  A
+slot that is too high only keeps a window that the exact sums drop.  The bits of
+the slots follow the corpus up to ``MOST_SLOTS``, the bound of what is broadcast;
+beyond it more windows are left to the sums.
+
+Windows hold 64-bit word hashes; the words come back from a dictionary of the
+corpus, which also shows whether two words of a reported phrase share a hash (the
+query then fails rather than add them up).
 
 Phrases of at least ``least`` occurrences are kept; the two parts of every cut
 of a frequent phrase are frequent too, so all that scoring needs is there.
@@ -19,10 +30,15 @@ not read; counts up to 10^15 keep the products inside 38 decimal digits.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import UPPER, let, prepare, salted_join, small, staged
+from .common import lower_ascii, prepare, salted_join, small, staged
+from .tokens import NOT_BLANK, PIECE_BYTES, hash_words, mix64, pieces, text_bytes
 
 LONGEST = 3
 LEAST = 10
@@ -32,53 +48,223 @@ TOP = 2000
 SCALE = 1_000_000
 #: Characters that end a piece.
 PIECE_ENDS = ".,;:!?\n\x0b\x0c\r"
-#: Fills a window behind the end of its piece; no word is empty.
-PAD = ""
+#: Fills a window behind the end of its piece; word hashes are odd.
+PAD = 0
+#: Text bytes for which a slot is made, and the bounds of their number (bits).
+BYTES_A_SLOT, FEWEST_SLOTS, MOST_SLOTS = 16, 16, 30
+#: Slots summed at once.
+RANGE_BITS = 20
+#: Words whose windows or slots are held before they are summed.
+HELD = 1 << 21
 #: Parts of a language's candidates that are ranked before the last ranking.
 RANK_SALTS = 32
 
+ENDS = np.zeros(256, bool)
+ENDS[[ord(c) for c in PIECE_ENDS]] = True
+INSIDE = NOT_BLANK & ~ENDS
+
+
+def words_in_pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Yields (first row, row, piece, word hash, start and end byte of each word,
+    bytes) for some rows of a text column."""
+    data, offsets = text_bytes(column)
+    for a, b in pieces(offsets):
+        lo, hi = int(offsets[a]), int(offsets[b])
+        parts, at = [], lo
+        while at < hi:  # a long text is hashed in parts cut at gaps
+            end = min(at + PIECE_BYTES, hi)
+            if end < hi:
+                gaps = np.flatnonzero(~INSIDE[data[at:end]])
+                rest = np.flatnonzero(~INSIDE[data[end:hi]]) if not len(gaps) else gaps
+                end = at + int(gaps[-1]) + 1 if len(gaps) else end + int(rest[0]) if len(rest) else hi
+            cut = offsets[a + 1:b]
+            s, e, h = hash_words(data[at:end], cut[(cut > at) & (cut < end)] - at, INSIDE)
+            parts.append((s + at, e + at, h | np.uint64(1)))
+            at = end
+        s, e, h = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
+        row = np.searchsorted(offsets[a:b + 1], s, side="right") - 1
+        ends = np.flatnonzero(ENDS[data[lo:hi]]) + lo
+        yield a, row, np.searchsorted(ends, s) + row, h, s, e, data
+
+
+def windows_of(h: np.ndarray, piece: np.ndarray, longest: int) -> list[np.ndarray]:
+    """The lead columns: word hashes, padded behind the end of a piece."""
+    columns = [h]
+    for k in range(1, longest):
+        lead = np.full(len(h), PAD, np.uint64)
+        lead[:max(len(h) - k, 0)] = np.where(piece[k:] == piece[:max(len(h) - k, 0)], h[k:], np.uint64(PAD))
+        columns.append(lead)
+    return columns
+
+
+def prefix_slots(lang: np.ndarray, columns: list[np.ndarray], bits: int) -> list[np.ndarray]:
+    """Slots of the prefixes of 2, 3, … words, where the window has them."""
+    key, out = mix64(lang ^ columns[0]), []
+    for lead in columns[1:]:
+        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + lead)
+        out.append((key >> np.uint64(64 - bits)).astype(np.int64))
+    return out
+
+
+def lang_hashes(column: pa.Array) -> np.ndarray:
+    """A number for each row's language, equal in all tasks."""
+    names = column.dictionary_encode()
+    return np.array([mix64(hash_words(np.frombuffer(b"x" + n.encode(), np.uint8), np.zeros(0, np.int64), np.ones(256, bool))[2])[0] for n in names.dictionary.to_pylist()] or [0],
+                    np.uint64)[names.indices.to_numpy()]
+
+
+def frequent_slots(docs: DataFrame, bits: int, longest: int, least: int) -> np.ndarray:
+    """Bit map of the slots that reach ``least``; counts travel as sorted,
+    packed (slot, count) lists of bounded ranges of slots."""
+    width = 1 << min(bits, RANGE_BITS)
+
+    def packed(held):
+        slots, n = np.unique(np.concatenate(held), return_counts=True)
+        n = np.minimum(n, least).astype(np.uint8)
+        cut = np.searchsorted(slots, np.arange(0, (1 << bits) + 1, width))
+        for r in np.flatnonzero(np.diff(cut)):
+            own = (slots[cut[r]:cut[r + 1]] - r * width).astype(np.uint32)
+            # gaps by byte planes: the upper ones are nearly all zero
+            gaps = np.diff(own, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+            yield int(r), len(own), pa.compress(gaps + n[cut[r]:cut[r + 1]].tobytes(), codec="zstd", asbytes=True)
 
-def piece_words(text: Column) -> Column:
-    """Array of pieces, each the array of its words, A-Z in lower case."""
-    flat = F.translate(F.coalesce(text, F.lit("")), UPPER + PIECE_ENDS + "\t", UPPER.lower() + "\n" * len(PIECE_ENDS) + " ")
-    return F.transform(F.split(flat, "\n"), lambda piece: F.filter(F.split(piece, " "), lambda w: w != ""))
+    def count(batches):
+        held, size = [], 0
 
+        def out():
+            rows = list(packed(held))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["part", "n", "packed"])
 
-def lead_windows(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """docs(text, lang, …) → (lang, w1 … w<longest>), one row per word."""
-    def windows(words: Column) -> Column:
-        return F.transform(words, lambda w, i: F.struct(w.alias("w1"), *[F.coalesce(F.get(words, i + k), F.lit(PAD)).alias(f"w{k + 1}") for k in range(1, longest)]))
+        for batch in batches:
+            lang = lang_hashes(batch.column("lang"))
+            for first, row, piece, h, *_ in words_in_pieces(batch.column("text")):
+                columns = windows_of(h, piece, longest)
+                for lead, slots in zip(columns[1:], prefix_slots(lang[first + row], columns, bits)):
+                    held.append(slots[lead != PAD])
+                    size += len(held[-1])
+                if size >= 4 * HELD:
+                    yield out()
+                    size = 0
+        if size:
+            yield out()
 
-    rows = F.flatten(F.transform(piece_words(F.col("text")), lambda words: let(words, windows)))
-    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.inline(rows))
+    def add(batches):
+        at, sums = -1, None
 
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(sums >= least, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
 
-def phrase_counts(windows: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
-    """(lang, words, phrase, f): every phrase of up to ``longest`` words with at
-    least ``least`` occurrences, and per lang the empty phrase, counted always."""
+        for batch in batches:
+            for r, n, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "packed"))):
+                if r != at:
+                    if sums is not None:
+                        yield out()
+                    at, sums = r, np.zeros(width, np.uint8)
+                raw = np.frombuffer(pa.decompress(blob, 5 * n, codec="zstd", asbytes=True), np.uint8)
+                slots = np.cumsum(np.ascontiguousarray(raw[:4 * n].reshape(4, n).T).view(np.uint32).ravel(), dtype=np.int64)
+                sums[slots] = np.minimum(sums[slots] + raw[4 * n:], least)
+        if sums is not None:
+            yield out()
+
+    lists = docs.mapInArrow(count, "part int, n int, packed binary")
+    found = lists.repartition((1 << bits) // width, "part").sortWithinPartitions("part").mapInArrow(add, "part int, bits binary").toArrow()
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r, bit in zip(found["part"].to_pylist(), found["bits"].to_pylist()):
+        out[r * (width // 8):(r + 1) * (width // 8)] = np.frombuffer(bit, np.uint8)
+    return out
+
+
+def lead_windows(docs: DataFrame, slots: np.ndarray, longest: int = LONGEST) -> DataFrame:
+    """docs(lang, text) → (lang, w1 … w<longest>, c): the windows that begin at
+    c words, padded behind their last prefix that may be frequent."""
+    table, bits = docs.sparkSession.sparkContext.broadcast(slots), (8 * len(slots)).bit_length() - 1
+    names = ["lang", *[f"w{k}" for k in range(1, longest + 1)], "c"]
+
+    def run(batches):
+        for batch in batches:
+            lang, held, size = lang_hashes(batch.column("lang")), [], 0
+
+            def out():
+                row, *columns = (np.concatenate(c) for c in zip(*held))
+                held.clear()
+                key = lang[row]
+                for c in columns:
+                    key = mix64(key ^ c) * np.uint64(0x9E3779B97F4A7C15)
+                order = np.argsort(key)
+                row, columns = row[order], [c[order] for c in columns]
+                new = np.ones(len(order), bool)
+                new[1:] = lang[row[1:]] != lang[row[:-1]]
+                for c in columns:
+                    new[1:] |= c[1:] != c[:-1]
+                begin = np.flatnonzero(new)
+                return pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(row[begin])), *[pa.array(c[begin].view(np.int64)) for c in columns],
+                                                   pa.array(np.diff(np.append(begin, len(order))))], names)
+
+            for first, row, piece, h, *_ in words_in_pieces(batch.column("text")):
+                columns = windows_of(h, piece, longest)
+                able = np.ones(len(h), bool)
+                for k, slot in enumerate(prefix_slots(lang[first + row], columns, bits), 1):
+                    able &= (table.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+                    columns[k] = np.where(able, columns[k], np.uint64(PAD))
+                held.append((first + row, *columns))
+                size += len(h)
+                if size >= HELD:
+                    yield out()
+                    size = 0
+            if size:
+                yield out()
+
+    return docs.mapInArrow(run, ", ".join(["lang string", *[f"{n} long" for n in names[1:]]]))
+
+
+def dictionary(docs: DataFrame) -> DataFrame:
+    """(h, word, other): the words of the corpus; ``other`` differs from ``word``
+    where words share a hash."""
+    def run(batches):
+        for batch in batches:
+            for _, _, _, h, s, e, data in words_in_pieces(batch.column("text")):
+                order = np.lexsort((e - s, h))
+                h, s, e = h[order], s[order], e[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (e[1:] - s[1:] != e[:-1] - s[:-1])
+                at = np.flatnonzero(new)
+                words = pa.array([data[i:j].tobytes() for i, j in zip(s[at], e[at])], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), words.cast(pa.string())], ["h", "word"])
+
+    seen = docs.select("text").mapInArrow(run, "h long, word string").withColumn("word", lower_ascii(F.col("word")))
+    return seen.distinct().groupBy("h").agg(F.min("word").alias("word"), F.max("word").alias("other"))
+
+
+def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
+    """docs(lang, text) → (lang, words, f): every phrase (word hashes) of up to
+    ``longest`` words with at least ``least`` occurrences, and per lang the empty
+    phrase, counted always."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = int(np.clip(np.ceil(np.log2(max(size, 1) / BYTES_A_SLOT)), FEWEST_SLOTS, MOST_SLOTS))
+    windows = lead_windows(docs, frequent_slots(docs, bits, longest, least), longest)
     names = [f"w{k}" for k in range(1, longest + 1)]
-    sums = windows.sparkSession.sql(
-        f"SELECT lang, {', '.join(names)}, count(*) AS f FROM {{windows}} GROUP BY lang, ROLLUP ({', '.join(names)}) HAVING count(*) >= {int(least)} OR w1 IS NULL",
+    sums = docs.sparkSession.sql(
+        f"SELECT lang, {', '.join(names)}, sum(c) AS f FROM {{windows}} GROUP BY lang, ROLLUP ({', '.join(names)}) HAVING sum(c) >= {int(least)} OR w1 IS NULL",
         windows=windows)
     words = F.filter(F.array(*names), lambda w: w.isNotNull())
     # a prefix that ends in padding is counted at its own length already
-    return (sums.withColumn("words", words).where(~F.array_contains("words", PAD))
-            .select("lang", "words", F.array_join("words", " ").alias("phrase"), "f"))
+    return sums.withColumn("words", words).where(~F.array_contains("words", F.lit(PAD).cast("long"))).select("lang", "words", "f")
 
 
 def cut_scores(counts: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """The candidates (lang, words, phrase, a) with l, r and score of their
-    lowest cut, ties to the shortest first part."""
+    """The candidates (lang, words, a) with l, r and score of their lowest cut,
+    ties to the shortest first part."""
     many = counts.where(F.size("words") > 1).withColumnRenamed("f", "a")
     m = F.size("words")
     cuts = F.flatten(F.transform(F.sequence(F.lit(1), m - 1), lambda k: F.array(
-        F.struct(k.alias("k"), F.lit(True).alias("first"), F.array_join(F.slice("words", F.lit(1), k), " ").alias("part")),
-        F.struct(k.alias("k"), F.lit(False).alias("first"), F.array_join(F.slice("words", k + 1, m - k), " ").alias("part")))))
-    parts = many.select("lang", "words", "phrase", "a", F.inline(cuts))
-    known = salted_join(parts, counts.where(F.size("words") > 0).select("lang", F.col("phrase").alias("part"), "f"), ["lang", "part"], "phrase")
+        F.struct(k.alias("k"), F.lit(True).alias("first"), F.slice("words", F.lit(1), k).alias("part")),
+        F.struct(k.alias("k"), F.lit(False).alias("first"), F.slice("words", k + 1, m - k).alias("part")))))
+    parts = many.select("lang", "words", "a", F.inline(cuts))
+    known = salted_join(parts, counts.where(F.size("words") > 0).select("lang", F.col("words").alias("part"), "f"), ["lang", "part"], "words")
     side = [F.max(F.when((F.col("k") == k) & (F.col("first") == first), F.col("f"))).alias(f"{'l' if first else 'r'}{k}")
             for k in range(1, longest) for first in (True, False)]
-    wide = known.groupBy("lang", "words", "phrase", "a").agg(*side)
+    wide = known.groupBy("lang", "words", "a").agg(*side)
 
     def big(c) -> Column:
         return F.col(c).cast("decimal(38,0)")
@@ -87,25 +273,37 @@ def cut_scores(counts: DataFrame, longest: int = LONGEST) -> DataFrame:
         score = F.call_function("div", F.lit(SCALE).cast("decimal(38,0)") * big("a") * big("a"), big(f"l{k}") * big(f"r{k}"))
         return F.when(F.col(f"l{k}").isNotNull(), F.struct(score.alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r")))
 
-    return wide.withColumn("cut", F.array_min(F.array(*[cut(k) for k in range(1, longest)]))).select("lang", "words", "phrase", "a", "cut.l", "cut.r", "cut.score")
+    return wide.withColumn("cut", F.array_min(F.array(*[cut(k) for k in range(1, longest)]))).select("lang", "words", "a", "cut.l", "cut.r", "cut.score")
 
 
 def absorbed(counts: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """(lang, phrase, around): the greatest count of a longer candidate that
+    """(lang, words, around): the greatest count of a longer candidate that
     holds the phrase's words in one run."""
     m = F.size("words")
-    inner = F.flatten(F.transform(F.sequence(F.lit(2), m - 1), lambda n: F.transform(
-        F.sequence(F.lit(1), m - n + 1), lambda i: F.array_join(F.slice("words", i, n), " "))))
-    return counts.where(m > 2).select("lang", F.explode(F.array_distinct(inner)).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("around"))
+    inner = F.flatten(F.transform(F.sequence(F.lit(2), m - 1), lambda n: F.transform(F.sequence(F.lit(1), m - n + 1), lambda i: F.slice("words", i, n))))
+    return counts.where(m > 2).select("lang", F.explode(F.array_distinct(inner)).alias("words"), "f").groupBy("lang", "words").agg(F.max("f").alias("around"))
+
+
+def spelled(phrases: DataFrame, words: DataFrame) -> DataFrame:
+    """phrases(lang, words, …) with ``phrase``, the words joined by spaces."""
+    places = phrases.select("lang", "words", F.posexplode("words").alias("pos", "h"))
+    used = words.join(phrases.select(F.explode("words").alias("h")).distinct(), "h", "left_semi")
+    clash = F.when(F.col("word") != F.col("other"), F.raise_error(F.concat(F.lit("words share a hash: "), "word", F.lit(" "), "other")).cast("string"))
+    used = staged(used.select("h", F.coalesce(clash, "word").alias("word")), "phrase-words")
+    text = (salted_join(places, used, ["h"], "words").groupBy("lang", "words")
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("phrase")))
+    return phrases.join(text, ["lang", "words"])
 
 
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, inside_percent: int = INSIDE_PERCENT, top: int = TOP) -> DataFrame:
     """docs(text, lang, …) → lang, rank, phrase, a, l, r, n, score: each
     lang's first ``top`` phrases by score and a descending, phrase ascending."""
     prepare(docs.sparkSession)
-    counts = staged(phrase_counts(lead_windows(docs, longest), longest, least), "phrase-counts")
-    scored = cut_scores(counts, longest).join(absorbed(counts, longest), ["lang", "phrase"], "left")
-    left = scored.where(F.col("around").isNull() | (F.col("around") * 100 < F.col("a") * inside_percent)).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_SALTS)))
+    docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+    counts = staged(phrase_counts(docs, longest, least), "phrase-counts")
+    scored = cut_scores(counts, longest).join(absorbed(counts, longest), ["lang", "words"], "left")
+    left = staged(scored.where(F.col("around").isNull() | (F.col("around") * 100 < F.col("a") * inside_percent)).drop("around"), "phrase-candidates")
+    left = spelled(left, dictionary(docs)).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_SALTS)))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     best = left.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
     best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)

@@ -71,6 +71,12 @@ def pieces(offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int,
 
 def _hash_piece(data: np.ndarray, starts_of_rows: np.ndarray, inside: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of the words in ``data``; no word crosses a row start."""
+    s, _, h = hash_words(data, starts_of_rows, inside, lower)
+    return s, h
+
+
+def hash_words(data: np.ndarray, starts_of_rows: np.ndarray, inside: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of the words in ``data``; no word crosses a row start."""
     n = len(data)
     flags = inside[data]
     begins, ends = flags.copy(), flags.copy()
@@ -84,7 +90,7 @@ def _hash_piece(data: np.ndarray, starts_of_rows: np.ndarray, inside: np.ndarray
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
     np.cumsum((LOWER[data] if lower else data).astype(np.uint64) * power[:n] + power[:n], out=sums[1:])
-    return s, mix64((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
+    return s, e, mix64((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
 
 
 def _long_text(data: np.ndarray, inside: np.ndarray, lower: bool) -> np.ndarray:
