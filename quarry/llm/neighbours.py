@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.search import top_k
-from .common import prepare, small, staged
+from .common import let, prepare, small, staged
 from .tokens import mix64
 
 NEIGHBOURS = 20
@@ -64,8 +64,8 @@ def usable(embedding: Column) -> Column:
 
 def norm_of(embedding: Column) -> Column:
     """Euclidean norm, scaled so that squares can't overflow."""
-    top = F.array_max(F.transform(embedding, lambda x: F.abs(x).cast("double")))
-    return top * F.sqrt(F.aggregate(embedding, F.lit(0.0), lambda s, x: s + (x / top) * (x / top)))
+    top = F.greatest(F.abs(F.array_max(embedding)), F.abs(F.array_min(embedding))).cast("double")
+    return let(top, lambda m: m * F.sqrt(F.aggregate(embedding, F.lit(0.0), lambda s, x: s + (x / m) * (x / m))))
 
 
 def probing_sequence(k: int, most: int) -> np.ndarray:
