@@ -85,11 +85,9 @@ def _split_keep(c: Column, sep: str) -> Column:
     """The text cut at every separator, separators kept as pieces of their own
     (a newline before a heading is a piece, the heading's ``#`` is not).  Every
     character falls into exactly one piece, whatever the text holds."""
-    if sep == "\n#":
-        at, ahead = r"\n(?=#)", r"\n#"
-    else:
-        at = ahead = sep.replace(".", r"\.")
-    return F.regexp_extract_all(c, F.lit(rf"{at}|[\s\S]+?(?={ahead}|\z)"), F.lit(0))
+    at, kept = (r"\n(?=#)", "\n") if sep == "\n#" else (sep.replace(".", r"\."), sep)
+    pieces = F.flatten(F.transform(F.split(c, at), lambda p, i: F.when(i == 0, F.array(p)).otherwise(F.array(F.lit(kept), p))))
+    return F.filter(pieces, lambda p: p != "")
 
 
 def split_parts(text: Column, target: int = CHUNK_TARGET) -> Column:

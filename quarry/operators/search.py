@@ -3,8 +3,8 @@ trigram-accelerated substring search, BM25, reciprocal-rank fusion, tenant
 scoping, lineage and context expansion.
 
 Scale rules applied throughout:
-* text queries are *batches* whose size is checked before they are broadcast;
-  larger ones are processed batch by batch (never an unchecked broadcast);
+* text search reads inverted indexes (``text_index``): only the postings of the
+  queries' own trigrams or terms are opened, and queries stay Spark tables;
 * vector queries and corpus rows are packed into blocks and joined block by
   block inside Spark; a pair of blocks emits only its own top-k per query, so
   output is k × blocks rows per query, not pairs;
@@ -22,10 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-# Largest query batch broadcast in one pass (rows): 4,096 vectors of 1,024
-# doubles are 32 MiB.  Larger query tables are cut by a hash of the id and
-# processed pass by pass.
-MAX_QUERY_BATCH = 4096
+from .text_index import TermIndex, TrigramIndex, build_term_index, build_trigram_index, containing, similar, weighted, words
+
 TOPK_SALTS = 32
 
 
@@ -58,15 +56,16 @@ QUERY_BLOCK, CORPUS_BLOCK = 1024, 4096     # rows of a block: 1,024 × 4,096 sco
 def _vector_rows(df: DataFrame, id_col: str, vec_col: str, cell: Column | None) -> DataFrame:
     """(id, v, cell) of the rows that can be scored: an id and a vector without nulls."""
     rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), (F.lit(0) if cell is None else cell).cast("int").alias("cell"))
-    return rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    return rows.filter(F.col("id").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()))
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """(cell, block, rows): the rows of each cell packed into blocks of about
-    ``size``, dealt by a hash of the id."""
-    n = rows.groupBy("cell").agg(F.greatest(F.ceil(F.count(F.lit(1)) / size), F.lit(1)).alias("blocks"))
-    return (rows.join(n, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-            .groupBy("cell", "block").agg(F.collect_list(F.struct("id", "v")).alias("rows")))
+    """(cell, dim, block, rows): the rows of each cell and vector length packed
+    into blocks of about ``size``, dealt by a hash of the id."""
+    rows = rows.withColumn("dim", F.size("v"))
+    n = rows.groupBy("cell", "dim").agg(F.greatest(F.ceil(F.count(F.lit(1)) / size), F.lit(1)).alias("blocks"))
+    return (rows.join(n, ["cell", "dim"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+            .groupBy("cell", "dim", "block").agg(F.collect_list(F.struct("id", "v")).alias("rows")))
 
 
 def _score_blocks(k: int, exclude_self: bool):
@@ -74,20 +73,12 @@ def _score_blocks(k: int, exclude_self: bool):
     best ``k`` of the block, and what ties with the last of them."""
     def matrix(items):
         ids, vecs = items.field("id"), items.field("v")
-        dims = np.diff(vecs.offsets.to_numpy())
-        dim = np.bincount(dims).argmax()           # vectors of another length are not comparable
-        keep = np.flatnonzero(dims == dim)
-        flat = vecs.flatten().to_numpy()
-        if len(keep) < len(dims):
-            flat = flat[np.repeat(dims == dim, dims)]
-        return ids.take(pa.array(keep)), _normalize(flat.reshape(-1, dim)), dim
+        return ids, _normalize(vecs.flatten().to_numpy().reshape(len(ids), -1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             for i in range(rb.num_rows):
-                (qids, q, dq), (ids, c, dc) = (matrix(rb.column(n)[i].values) for n in ("queries", "rows"))
-                if dq != dc:
-                    continue
+                (qids, q), (ids, c) = (matrix(rb.column(n)[i].values) for n in ("queries", "rows"))
                 sc = q @ c.T
                 if exclude_self:
                     sc[np.asarray(qids.to_pylist(), object)[:, None] == np.asarray(ids.to_pylist(), object)[None, :]] = -np.inf
@@ -108,13 +99,14 @@ def cosine_top_k(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "i
     own top-k, so tasks follow the number of block pairs and nothing passes the
     driver.  With ``cell`` (of a corpus row) and ``probes(id, v, cell)`` a query
     sees the blocks of its probed cells only.  Ids may be of any type; rows
-    with null ids or vectors, or vectors of another length, are not scored."""
+    with null ids or vectors are not scored; a query meets the vectors of its
+    own length."""
     sides = _blocks(_vector_rows(corpus, id_col, vec_col, cell), corpus_block).withColumnRenamed("block", "corpus_block")
     asked = _vector_rows(queries, qid_col, qvec_col, None) if probes is None else probes
-    packs = _blocks(asked, query_block).select("cell", F.col("rows").alias("queries"))
+    packs = _blocks(asked, query_block).select("cell", "dim", F.col("rows").alias("queries"))
     # which corpus blocks a query block meets: a list of numbers, joined before the vectors
-    places = sides.select("cell", "corpus_block")
-    pairs = packs.join(places, "cell").join(sides, ["cell", "corpus_block"]).select("queries", "rows")
+    places = sides.select("cell", "dim", "corpus_block")
+    pairs = packs.join(places, ["cell", "dim"]).join(sides, ["cell", "dim", "corpus_block"]).select("queries", "rows")
     kinds = [dict(d.dtypes)[c] for d, c in ((queries, qid_col), (corpus, id_col))]
     out = pairs.mapInArrow(_score_blocks(k, exclude_self), f"query_id {kinds[0]}, id {kinds[1]}, score double")
     return top_k(out, "query_id", "score", "id", k)
@@ -180,227 +172,45 @@ def ivf_top_k(corpus: DataFrame, queries: DataFrame, k: int, n_cells: int = 16,
     return search(asked, n_probe)
 
 
-# ------------------------------------------------------------- text tokens
-
-WORD_RE = r"[\p{L}\p{N}]+"
-
-
-def words(text: Column) -> Column:
-    """Lower-cased runs of Unicode letters and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD_RE), 0)
-
-
-def _word_trigrams(w: Column) -> Column:
-    p = F.concat(F.lit("  "), w, F.lit(" "))
-    return F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, 3))
-
-
-def trigrams(text: Column) -> Column:
-    """Distinct padded word trigrams (two leading blanks, one trailing)."""
-    return F.array_distinct(F.flatten(F.transform(words(text), _word_trigrams)))
-
-
-def trigram_index(chunks: DataFrame, id_col: str = "sha256", text_col: str = "markdown"):
-    """The trigram index: per chunk its trigram set, written once through a
-    reliable checkpoint in the shared checkpoint folder (an index is built
-    once and probed by many query batches; recomputation after executor loss
-    starts from it, not from the raw text), plus a lazy per-trigram document
-    frequency table derived from it."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(chunks.sparkSession)
-    cs = chunks.select(F.col(id_col).alias("c"), trigrams(F.col(text_col)).alias("ct")).checkpoint()
-    # document frequencies stay lazy: computed only by callers that use them
-    freq = cs.select(F.explode("ct").alias("tri")).groupBy("tri").agg(F.count(F.lit(1)).alias("df"))
-    return cs, freq
-
-
-TRI_BATCH = 2000          # queries per broadcast batch for set-similarity scoring
-
-
-def _collect_batches(queries: DataFrame, key: str, cols: list[str], max_batch: int):
-    """Driver-side batches of a query table, each at most ``max_batch`` rows
-    (the count is checked first; batches are cut by a hash of the key)."""
-    n = queries.count()
-    nb = max(1, -(-n // max_batch))
-    for b in range(nb):
-        part = queries if nb == 1 else queries.filter(F.pmod(F.xxhash64(key), F.lit(nb)) == b)
-        rows = part.select(key, *cols).collect()
-        if rows:
-            yield rows
-
-
-def _tri_batch(qsets: list):
-    """Vocabulary of a query batch and its 0/1 (vocabulary × queries) matrix."""
-    vocab = {}
-    for st in qsets:
-        for x in st:
-            vocab.setdefault(x, len(vocab))
-    qmat = np.zeros((max(len(vocab), 1), len(qsets)), dtype=np.float32)
-    for j, st in enumerate(qsets):
-        qmat[[vocab[x] for x in st], j] = 1.0
-    return vocab, qmat, np.array([len(st) for st in qsets], dtype=np.float64)
-
-
-def _tri_partition(batch_bc, k: int, threshold: float):
-    def run(batches):
-        qids, vocab, qmat, qn = batch_bc.value
-        keep: dict[int, list] = {}
-        # rows per block so that a dense block stays within 32M floats
-        block = max(16, 32_000_000 // qmat.shape[0])
-        for rb in batches:
-            for off in range(0, rb.num_rows, block):
-                blk = rb.slice(off, block)
-                ids = blk.column(0).to_pylist()
-                sets = blk.column(1).to_pylist()
-                cmat = np.zeros((len(ids), qmat.shape[0]), dtype=np.float32)
-                nb = np.zeros(len(ids), dtype=np.float64)
-                for i, st in enumerate(sets):
-                    st = st or []
-                    nb[i] = len(st)
-                    hit = [vocab[x] for x in st if x in vocab]
-                    if hit:
-                        cmat[i, hit] = 1.0
-                shared = (cmat @ qmat).astype(np.float64)                  # (chunks, queries)
-                sim = shared / (nb[:, None] + qn[None, :] - shared)
-                ok = (shared > 0) & (sim >= threshold)
-                for i, j in zip(*np.nonzero(ok)):
-                    keep.setdefault(int(j), []).append((-sim[i, j], ids[i]))
-                for lst in keep.values():
-                    if len(lst) > 4 * k:
-                        lst.sort()
-                        del lst[k:]
-        q_out, c_out, s_out = [], [], []
-        for j, lst in keep.items():
-            lst.sort()
-            for negs, c in lst[:k]:
-                q_out.append(qids[j]); c_out.append(c); s_out.append(-negs)
-        if q_out:
-            yield pa.RecordBatch.from_arrays([pa.array(q_out, pa.int64()), pa.array(c_out, pa.string()),
-                                              pa.array(s_out, pa.float64())], ["q", "c", "similarity"])
-    return run
-
+# ------------------------------------------------------------------- text
 
 def trigram_search(chunks: DataFrame, queries: DataFrame, k: int, threshold: float,
                    id_col: str = "sha256", text_col: str = "markdown", qid_col: str = "query_id",
-                   qtext_col: str = "text", index=None, max_batch: int = TRI_BATCH) -> DataFrame:
+                   qtext_col: str = "text", index: TrigramIndex | None = None) -> DataFrame:
     """Top-k chunks per query by trigram set similarity |A∩B| / |A∪B| with
-    similarity ≥ threshold (> 0), exact, ties by chunk id.
-
-    The chunk trigram sets come from the index; a query batch (size-checked,
-    at most ``max_batch`` rows) is shipped to every task as a 0/1 matrix over
-    the batch's own trigram vocabulary.  Each task turns its chunks into the
-    same vocabulary and gets all shared counts with one matrix product, then
-    keeps its own top-k per query: the output is k × tasks rows per query and
-    no (query, chunk) pair is shuffled.  Chunks whose trigram count is outside
-    [t·min|q|, max|q|/t] cannot reach the threshold and are skipped before
-    scoring."""
-    cs, _ = index or trigram_index(chunks, id_col, text_col)
-    qs = queries.select(F.col(qid_col).cast("bigint").alias("q"), trigrams(F.col(qtext_col)).alias("qt"))
-    out = None
-    for rows in _collect_batches(qs, "q", ["qt"], max_batch):
-        rows = [r for r in rows if r.qt]
-        if not rows:
-            continue
-        sizes = [len(r.qt) for r in rows]
-        lo, hi = int(np.ceil(threshold * min(sizes))), int(np.floor(max(sizes) / threshold))
-        body = cs.filter(F.size("ct").between(lo, hi)).select("c", "ct")
-        vocab, qmat, qn = _tri_batch([list(r.qt) for r in rows])
-        bc = chunks.sparkSession.sparkContext.broadcast(([r.q for r in rows], vocab, qmat, qn))
-        fn = _tri_partition(bc, k, threshold)
-        res = body.mapInArrow(fn, "q bigint, c string, similarity double")
-        out = res if out is None else out.unionByName(res)
-    if out is None:
-        return chunks.sparkSession.createDataFrame([], f"{qid_col} bigint, {id_col} string, similarity double, rank int")
-    hits = out.select(F.col("q").alias(qid_col), F.col("c").alias(id_col), "similarity")
+    similarity ≥ threshold (> 0), exact, ties by chunk id: (query_id, id,
+    similarity, rank).  Only the postings of the queries' trigrams are read."""
+    index = index or build_trigram_index(chunks, id_col, text_col)
+    kinds = queries.schema[qid_col].dataType, index.id_type
+    hits = similar(index, queries, k, threshold, qid_col, qtext_col).select(
+        F.col("q").cast(kinds[0]).alias(qid_col), F.col("id").cast(kinds[1]).alias(id_col), "similarity")
     return top_k(hits, qid_col, "similarity", id_col, k)
 
 
-def _ac_partition(patterns_bc):
-    def run(batches):
-        import ahocorasick
-        by_text: dict[str, list[int]] = {}
-        for pid, pat in patterns_bc.value:
-            by_text.setdefault(pat, []).append(pid)
-        auto = ahocorasick.Automaton()
-        for pat, pids in by_text.items():
-            auto.add_word(pat, tuple(pids))
-        auto.make_automaton()
-        for rb in batches:
-            ids = rb.column(0).to_pylist()
-            texts = rb.column(1).to_pylist()
-            ps, cs = [], []
-            for c, t in zip(ids, texts):
-                if not t:
-                    continue
-                found = set()
-                for _, pids in auto.iter(t):
-                    found.update(pids)
-                for p in found:
-                    ps.append(p); cs.append(c)
-            if ps:
-                yield pa.RecordBatch.from_arrays([pa.array(ps, pa.int64()), pa.array(cs, pa.string())], ["p", "c"])
-    return run
-
-
 def substring_search(chunks: DataFrame, patterns: DataFrame, id_col: str = "sha256", text_col: str = "markdown",
-                     pid_col: str = "pattern_id", pat_col: str = "pattern", max_batch: int = MAX_QUERY_BATCH) -> DataFrame:
+                     pid_col: str = "pattern_id", pat_col: str = "pattern", index: TrigramIndex | None = None) -> DataFrame:
     """(pattern, chunk) for every chunk containing a pattern (case-sensitive,
-    exact).  A size-checked pattern batch becomes one Aho-Corasick automaton
-    per task, so each chunk is scanned once for all patterns of the batch,
-    in time linear in its length; no (pattern, chunk) pair is formed unless
-    it matches."""
-    ps = patterns.select(F.col(pid_col).cast("bigint").alias("p"), F.col(pat_col).alias("pat")) \
-                 .filter(F.col("pat").isNotNull() & (F.col("pat") != ""))
-    body = chunks.select(F.col(id_col).alias("c"), F.col(text_col).alias("md"))
-    out = None
-    for rows in _collect_batches(ps, "p", ["pat"], max_batch):
-        bc = chunks.sparkSession.sparkContext.broadcast([(r.p, r.pat) for r in rows])
-        res = body.mapInArrow(_ac_partition(bc), "p bigint, c string")
-        out = res if out is None else out.unionByName(res)
-    if out is None:
-        return chunks.sparkSession.createDataFrame([], f"{pid_col} bigint, {id_col} string")
-    return out.select(F.col("p").alias(pid_col), F.col("c").alias(id_col)).distinct()
-
-
-# ------------------------------------------------------------------ BM25
-
-def bm25_index(chunks: DataFrame, id_col: str = "sha256", text_col: str = "markdown"):
-    """Postings (t, c, tf, dl) and corpus statistics (N, avgdl), written once
-    through a reliable checkpoint (the text index, probed by many batches)."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(chunks.sparkSession)
-    docs = chunks.select(F.col(id_col).alias("c"), words(F.col(text_col)).alias("w"))
-    post = (docs.select("c", F.size("w").alias("dl"), F.explode("w").alias("t"))
-                .groupBy("t", "c", "dl").agg(F.count(F.lit(1)).alias("tf")).checkpoint())
-    stats = docs.agg(F.count(F.lit(1)).alias("N"), F.avg(F.size("w")).alias("avgdl"))
-    return post, stats
+    exact), candidates from the trigram index.  Empty and null patterns find
+    nothing."""
+    index = index or build_trigram_index(chunks, id_col, text_col)
+    return containing(index, patterns, pid_col, pat_col).select(F.col("p").alias(pid_col), F.col("id").alias(id_col))
+
+
+def regex_search(chunks: DataFrame, patterns: DataFrame, id_col: str = "sha256", text_col: str = "markdown",
+                 pid_col: str = "pattern_id", pat_col: str = "pattern", index: TrigramIndex | None = None) -> DataFrame:
+    """(pattern, chunk) for every chunk that a regular expression matches
+    somewhere; the trigrams of the literal runs that it needs narrow the chunks."""
+    index = index or build_trigram_index(chunks, id_col, text_col)
+    return containing(index, patterns, pid_col, pat_col, regex=True).select(F.col("p").alias(pid_col), F.col("id").alias(id_col))
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75,
          id_col: str = "sha256", text_col: str = "markdown", qid_col: str = "query_id",
-         qtext_col: str = "text", index=None, max_batch: int = MAX_QUERY_BATCH) -> DataFrame:
-    """Okapi BM25 top-k per query over word tokens.
-
-    Document frequencies are counted for the batch's terms only; the
-    weighted query terms are broadcast into the join with the postings when
-    their count is within the bound (so the postings are not shuffled), and
-    scores are summed per (query, chunk) with partial aggregation."""
-    post, stats = index or bm25_index(chunks, id_col, text_col)
-    qt = queries.select(F.col(qid_col).alias("q"), F.explode(F.array_distinct(words(F.col(qtext_col)))).alias("t"))
-    # the (query, term) table is broadcast only while its size is proven
-    # small; beyond the bound the joins are left to a shuffle
-    small = qt.count() <= max_batch * 64
-    bc = F.broadcast if small else (lambda d: d)
-    terms = qt.select("t").distinct()
-    dfs = post.join(bc(terms), "t").groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    st = stats.first()                       # one row: corpus size and mean length
-    n_docs, avgdl = F.lit(st["N"]).cast("double"), F.lit(st["avgdl"]).cast("double")
-    idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    qw = qt.join(dfs, "t").select("q", "t", idf.alias("idf"))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    scores = post.join(bc(qw), "t").groupBy("q", "c").agg(F.sum(part).alias("score"))
-    return top_k(scores.select(F.col("q").alias(qid_col), F.col("c").alias(id_col), "score"), qid_col, "score",
-                 id_col, k)
+         qtext_col: str = "text", index: TermIndex | None = None) -> DataFrame:
+    """Okapi BM25 top-k per query over word tokens: (query_id, id, score, rank)."""
+    index = index or build_term_index(chunks, id_col, text_col)
+    scores = weighted(index, queries, qid_col, qtext_col, k1, b)
+    return top_k(scores.select(F.col("q").alias(qid_col), F.col("id").alias(id_col), "score"), qid_col, "score", id_col, k)
 
 
 def rrf(*ranked: DataFrame, qid_col: str = "query_id", id_col: str = "sha256", c: int = 60) -> DataFrame:
@@ -414,33 +224,24 @@ def rrf(*ranked: DataFrame, qid_col: str = "query_id", id_col: str = "sha256", c
 
 # ------------------------------------------------------------ hashing embedder
 
-def _hash_embed_batch(texts, dim: int):
-    import hashlib
-
-    import regex
-    word = regex.compile(r"[\p{L}\p{N}]+")
-    out = []
-    for t in texts:
-        if t is None:
-            out.append(None)
-            continue
-        b = [int(hashlib.md5(w.encode("utf-8")).hexdigest()[:8], 16) % dim for w in word.findall(t.lower())]
-        v = np.bincount(np.asarray(b, dtype=np.int64), minlength=dim).astype(np.float64)
-        n = np.linalg.norm(v)
-        out.append(v / n if n > 0 else v)
-    return out
-
-
 def hash_embed(text: Column, dim: int = 64) -> Column:
     """Deterministic bag-of-words embedding (the default embedder hook): each
-    lower-cased word adds one to bucket md5(word)[:8] mod dim; L2-normalized.
-    Arrow-batched pandas UDF: one tokenization per row, numpy bincount."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    def embed(s):
-        return pd.Series(_hash_embed_batch(s.tolist(), dim))
-    return pandas_udf(embed, "array<double>")(text)
+    lower-cased word adds one to bucket md5(word)[:8] mod dim; L2-normalized, all
+    zeros without a word.  Column functions only."""
+    buckets = F.transform(words(text), lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim).cast("int"))
+
+    def counts(b):
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.size(b) - F.size(F.array_remove(b, i))).cast("double"))
+
+    def unit(v):
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+        return _let(norm, lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x)))
+    return F.when(text.isNotNull(), _let(buckets, lambda b: _let(counts(b), unit)))
+
+
+def _let(value: Column, body) -> Column:
+    """Bind ``value`` so that ``body`` may use it many times."""
+    return F.transform(F.array(value), body)[0]
 
 
 # -------------------------------------------------------- scope & context

@@ -83,4 +83,39 @@ def test_vectors_that_cannot_be_scored_are_left_out(spark):
     got = {(r.query_id, r.id) for r in S.cosine_top_k(e, q, 3, exclude_self=True).collect()}
     assert got == {(a, b) for a in (1, 4, 6) for b in (1, 4, 6) if a != b}
     names = e.selectExpr("concat('n', id) AS id", "embedding")
-    assert {r.id for r in S.cosine_top_k(names, q, 1).collect()} <= {"n1", "n4", "n6"}
+    assert {r.id for r in S.cosine_top_k(names, q, 1).collect()} <= {"n1", "n4", "n5", "n6"}  # n5 is the only one of its length
+
+
+def test_substring_and_regex_search_equal_a_scan(spark):
+    import re
+    rnd = random.Random(9)
+    vocab = ["alpha", "Beta", "gamma-ray", "x1", "é", "naïve", "ΟΔΟΣ", "a.b", "--", "42", "alphabet"]
+    docs = [(f"c{i}", " ".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 9)))) for i in range(150)] + [("cn", None), (None, "alpha"), ("ce", "")]
+    plain = ["alpha", "pha be", "lpha", "Beta gam", "ΟΔΟΣ", "ΔΟΣ", "--", "-", "a.b", "é", "zzz", "", None, "mma-ray x1", " x1 ", "absent alpha"]
+    ch = spark.createDataFrame(docs, "sha256 string, markdown string")
+    pats = spark.createDataFrame(list(enumerate(plain)), "pattern_id int, pattern string")
+    got = {(r.pattern_id, r.sha256) for r in S.substring_search(ch, pats).collect()}
+    assert got == {(j, c) for j, p in enumerate(plain) for c, t in docs if p and c is not None and t is not None and p in t}
+    rules = [r"alph[ab]et", r"gam+a-ray", r"(alpha|Beta) x1", r"\d+ alpha", r"a\.b", r"^Beta", r"alpha$", r"na.ve", r"Be?ta", r"alpha{1}bet", r"[^ ]+-ray \w1", r"\p{Lu}eta"]
+    pats = spark.createDataFrame(list(enumerate(rules)), "pattern_id int, pattern string")
+    index = S.build_trigram_index(ch)
+    got = {(r.pattern_id, r.sha256) for r in S.regex_search(ch, pats, index=index).collect()}
+    import regex
+    assert got == {(j, c) for j, p in enumerate(rules) for c, t in docs if c is not None and t is not None and regex.search(p, t)}
+
+
+def test_index_reads_only_the_buckets_of_its_keys(spark):
+    ch = spark.createDataFrame([(f"c{i}", f"word{i} common text") for i in range(500)], "sha256 string, markdown string")
+    index = S.build_trigram_index(ch)
+    from quarry.operators.text_index import bucket_of
+    keys = F.broadcast(spark.createDataFrame([("wor",)], "gram string").withColumn("bucket", bucket_of(F.col("gram"))).where("length(gram) > 0"))
+    plan = index.postings.join(keys, ["bucket", "gram"])._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+
+
+def test_neighbours_of_each_length(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 7)] + [(10 + i, [float(i), 1.0, 2.0]) for i in range(5)]
+    e = spark.createDataFrame(rows, "id long, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "query_id long, embedding array<double>")
+    for block in (2, 4096):
+        assert {r.id for r in S.cosine_top_k(e, q, 20, corpus_block=block).collect()} == {10, 11, 12, 13, 14}
