@@ -9,8 +9,7 @@ phrase occurs as often as windows begin with it), and the empty prefix is the
 number of words.
 
 Most windows of a corpus occur once.  They are padded behind the part that can't
-reach ``least``: a first pass counts hashed slots of all prefixes of two words or
-more, saturating at ``least`` (slots are shared, so a count is never too low),
+reach ``least``: a first pass counts hashed slots of all prefixes, saturating at ``least`` (slots are shared, so a count is never too low),
 and a prefix whose slot stays under it is cut before anything is shuffled.  A
 slot that is too high only keeps a window that the exact sums drop.  The bits of
 the slots follow the corpus up to ``MOST_SLOTS``, the bound of what is broadcast;
@@ -98,14 +97,18 @@ def windows_of(h: np.ndarray, piece: np.ndarray, longest: int) -> list[np.ndarra
 
 
 def prefix_slots(lang: np.ndarray, columns: list[np.ndarray], bits: int) -> list[np.ndarray]:
-    """Slots of the prefixes of 2, 3, … words, where the window has them."""
-    key, out = mix64(lang ^ columns[0]), []
-    for lead in columns[1:]:
+    """Slots of the prefixes of 1, 2, 3, … words, where the window has them."""
+    key, out = lang, []
+    for lead in columns:
         key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + lead)
         out.append((key >> np.uint64(64 - bits)).astype(np.int64))
     return out
 
 
+def set_bits(slots: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (slots[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def lang_hashes(column: pa.Array) -> np.ndarray:
     """A number for each row's language, equal in all tasks."""
     names = column.dictionary_encode()
@@ -140,7 +143,7 @@ def frequent_slots(docs: DataFrame, bits: int, longest: int, least: int) -> np.n
             lang = lang_hashes(batch.column("lang"))
             for first, row, piece, h, *_ in words_in_pieces(batch.column("text")):
                 columns = windows_of(h, piece, longest)
-                for lead, slots in zip(columns[1:], prefix_slots(lang[first + row], columns, bits)):
+                for lead, slots in zip(columns, prefix_slots(lang[first + row], columns, bits)):
                     held.append(slots[lead != PAD])
                     size += len(held[-1])
                 if size >= 4 * HELD:
@@ -204,8 +207,8 @@ def lead_windows(docs: DataFrame, slots: np.ndarray, longest: int = LONGEST) ->
             for first, row, piece, h, *_ in words_in_pieces(batch.column("text")):
                 columns = windows_of(h, piece, longest)
                 able = np.ones(len(h), bool)
-                for k, slot in enumerate(prefix_slots(lang[first + row], columns, bits), 1):
-                    able &= (table.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+                for k, slot in enumerate(prefix_slots(lang[first + row], columns, bits)):
+                    able &= set_bits(table.value, slot)
                     columns[k] = np.where(able, columns[k], np.uint64(PAD))
                 held.append((first + row, *columns))
                 size += len(h)
@@ -218,31 +221,40 @@ def lead_windows(docs: DataFrame, slots: np.ndarray, longest: int = LONGEST) ->
     return docs.mapInArrow(run, ", ".join(["lang string", *[f"{n} long" for n in names[1:]]]))
 
 
-def dictionary(docs: DataFrame) -> DataFrame:
-    """(h, word, other): the words of the corpus; ``other`` differs from ``word``
-    where words share a hash."""
+def dictionary(docs: DataFrame, slots: np.ndarray) -> DataFrame:
+    """docs(lang, text) → (h, word, other): the words that may be frequent in a
+    language; ``other`` differs from ``word`` where words share a hash."""
+    table, bits = docs.sparkSession.sparkContext.broadcast(slots), (8 * len(slots)).bit_length() - 1
+
     def run(batches):
         for batch in batches:
-            for _, _, _, h, s, e, data in words_in_pieces(batch.column("text")):
+            lang, held = lang_hashes(batch.column("lang")), []
+            for first, row, _, h, s, e, data in words_in_pieces(batch.column("text")):
                 order = np.lexsort((e - s, h))
+                order = order[set_bits(table.value, prefix_slots(lang[first + row], [h], bits)[0])[order]]
                 h, s, e = h[order], s[order], e[order]
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (e[1:] - s[1:] != e[:-1] - s[:-1])
                 at = np.flatnonzero(new)
                 words = pa.array([data[i:j].tobytes() for i, j in zip(s[at], e[at])], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), words.cast(pa.string())], ["h", "word"])
+                held.append(pa.table({"h": h[at].view(np.int64), "word": words.cast(pa.string())}))
+            if held:
+                yield from pa.concat_tables(held).group_by(["h", "word"]).aggregate([]).combine_chunks().to_batches()
 
-    seen = docs.select("text").mapInArrow(run, "h long, word string").withColumn("word", lower_ascii(F.col("word")))
+    seen = docs.mapInArrow(run, "h long, word string").withColumn("word", lower_ascii(F.col("word")))
     return seen.distinct().groupBy("h").agg(F.min("word").alias("word"), F.max("word").alias("other"))
 
 
-def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
+def slot_bits(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return int(np.clip(np.ceil(np.log2(max(size, 1) / BYTES_A_SLOT)), FEWEST_SLOTS, MOST_SLOTS))
+
+
+def phrase_counts(docs: DataFrame, slots: np.ndarray, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """docs(lang, text) → (lang, words, f): every phrase (word hashes) of up to
     ``longest`` words with at least ``least`` occurrences, and per lang the empty
     phrase, counted always."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = int(np.clip(np.ceil(np.log2(max(size, 1) / BYTES_A_SLOT)), FEWEST_SLOTS, MOST_SLOTS))
-    windows = lead_windows(docs, frequent_slots(docs, bits, longest, least), longest)
+    windows = lead_windows(docs, slots, longest)
     names = [f"w{k}" for k in range(1, longest + 1)]
     sums = docs.sparkSession.sql(
         f"SELECT lang, {', '.join(names)}, sum(c) AS f FROM {{windows}} GROUP BY lang, ROLLUP ({', '.join(names)}) HAVING sum(c) >= {int(least)} OR w1 IS NULL",
@@ -300,10 +312,11 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, in
     lang's first ``top`` phrases by score and a descending, phrase ascending."""
     prepare(docs.sparkSession)
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    counts = staged(phrase_counts(docs, longest, least), "phrase-counts")
+    slots = frequent_slots(docs, slot_bits(docs), longest, least)
+    counts = staged(phrase_counts(docs, slots, longest, least), "phrase-counts")
     scored = cut_scores(counts, longest).join(absorbed(counts, longest), ["lang", "words"], "left")
     left = staged(scored.where(F.col("around").isNull() | (F.col("around") * 100 < F.col("a") * inside_percent)).drop("around"), "phrase-candidates")
-    left = spelled(left, dictionary(docs)).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_SALTS)))
+    left = spelled(left, dictionary(docs, slots)).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_SALTS)))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     best = left.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
     best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
