@@ -1,73 +1,214 @@
-"""HTML → markdown and HTML metadata as ordered regex rewrites on Columns.
-
-Own rules (the reference delegates to third-party extractors): comments,
-scripts, styles and the document head are removed; for full documents the
-boilerplate blocks (nav, aside, header, footer, form, ad containers) are
-removed too; headings, links, images, emphasis, list items and block
-boundaries become markdown; remaining tags are stripped, a fixed set of
-entities decoded and whitespace normalized.  Each rule is a pattern that
-both Java regex and RE2 accept, so the SQL oracle applies the same list.
+"""HTML → markdown in one pass over the tag stream, and HTML metadata.
+
+Own rules (the reference delegates to third-party extractors).  A converter walks
+the tokens of the standard parser with a stack of open elements, so a removed
+block ends where its own tag does, however deep the same tags nest inside:
+scripts, styles and the document head go; for full documents the boilerplate
+blocks (nav, aside, header, footer, form, ad containers) go too; headings, links,
+images, emphasis, code, numbered and nested lists, tables with a separator line
+and preformatted blocks with their indentation become markdown; other tags are
+dropped, character references decoded and whitespace normalized.  Texts pass as
+Arrow batches.
 """
 
 from __future__ import annotations
 
+import re
+from html.parser import HTMLParser
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import WS, bind, replace_each
 
-# (pattern, replacement with $n groups) applied in order.
-_BLOCKS = "p|div|ul|ol|table|section|article|main|body|html|blockquote|pre|figure|dl"
-COMMON_RULES = [
-    (r"(?s)<!--.*?-->", ""),
-    (r"(?is)<script\b[^>]*>.*?</script\s*>", ""),
-    (r"(?is)<style\b[^>]*>.*?</style\s*>", ""),
-    (r"(?is)<noscript\b[^>]*>.*?</noscript\s*>", ""),
-    (r"(?is)<head\b[^>]*>.*?</head\s*>", ""),
-    (r"(?is)<!doctype[^>]*>", ""),
-]
-BOILERPLATE_RULES = [
-    (r"(?is)<nav\b[^>]*>.*?</nav\s*>", ""),
-    (r"(?is)<aside\b[^>]*>.*?</aside\s*>", ""),
-    (r"(?is)<header\b[^>]*>.*?</header\s*>", ""),
-    (r"(?is)<footer\b[^>]*>.*?</footer\s*>", ""),
-    (r"(?is)<form\b[^>]*>.*?</form\s*>", ""),
-    (r"""(?is)<div\b[^>]*\bclass\s*=\s*["'][^"']*\b(ad|ads|advert|sidebar|cookie|banner)\b[^"']*["'][^>]*>.*?</div\s*>""", ""),
-]
-CONVERT_RULES = [
-    *[(rf"(?is)<h{n}\b[^>]*>(.*?)</h{n}\s*>", "\n\n" + "#" * n + " $1\n\n") for n in range(1, 7)],
-    (r"""(?is)<img\b[^>]*\bsrc\s*=\s*["']([^"']*)["'][^>]*>""", "![]($1)"),
-    (r"""(?is)<a\b[^>]*\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>""", "[$2]($1)"),
-    (r"(?is)<(?:b|strong)\b[^>]*>(.*?)</(?:b|strong)\s*>", "**$1**"),
-    (r"(?is)<(?:i|em)\b[^>]*>(.*?)</(?:i|em)\s*>", "*$1*"),
-    (r"(?is)<li\b[^>]*>", "\n- "),
-    (r"(?is)<tr\b[^>]*>", "\n| "),
-    (r"(?is)</t[dh]\s*>", " | "),
-    (r"(?is)</?(?:tr|td|th|thead|tbody|tfoot)\b[^>]*>", ""),
-    (r"(?is)<br\s*/?>", "\n"),
-    (rf"(?is)</?(?:{_BLOCKS})\b[^>]*>", "\n\n"),
-    (r"(?s)<[^>]*>", ""),
-]
-# Entities decoded (ampersand last).
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "),
-            ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"), ("&amp;", "&")]
-SPACE_RULES = [
-    (r"[ \t\x{a0}]+", " "),
-    (r"(?m)^ +| +$", ""),
-    (r"\n{3,}", "\n\n"),
-    (f"^[{WS}]+|[{WS}]+$", ""),
-]
+# Elements without an end tag, and those that an open one ends.
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+ENDED_BY = {"li": {"li"}, "p": {"p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
+#: Elements that an implied end does not reach out of.
+SCOPES = {"ul", "ol", "table", "dl", "select", "div", "section", "article", "blockquote", "body"}
+REMOVED = {"script", "style", "noscript", "head", "template"}
+BOILERPLATE = {"nav", "aside", "header", "footer", "form"}
+AD_CLASS = re.compile(r"\b(ad|ads|advert|sidebar|cookie|banner)\b", re.IGNORECASE)
+BLOCKS = {"p", "div", "ul", "ol", "table", "section", "article", "main", "body", "html", "blockquote", "figure", "dl"}
+MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*"}
+HEADINGS = {f"h{n}": "#" * n + " " for n in range(1, 7)}
 
 
-def rules(document: bool) -> list[tuple[str, str]]:
-    return COMMON_RULES + (BOILERPLATE_RULES if document else []) + CONVERT_RULES
+#: The same whitespace in the standard library's notation.
+SPACE = re.sub(r"\\x\{([0-9a-fA-F]+)\}", lambda m: f"\\u{int(m.group(1), 16):04x}", WS)
 
 
-def _apply(c: Column, rs: list[tuple[str, str]]) -> Column:
-    for pat, rep in rs:
-        c = F.regexp_replace(c, pat, rep)
-    return c
+class _Frame:
+    """An open element: what it holds so far, and what its end makes of it."""
+    __slots__ = ("tag", "parts", "attrs", "number", "rows", "removed")
+
+    def __init__(self, tag, attrs=None, removed=False):
+        self.tag, self.parts, self.attrs, self.number, self.rows, self.removed = tag, [], attrs or {}, 0, [], removed
+
+
+class Converter(HTMLParser):
+    """One text's markdown.  Kept pieces (preformatted text, list indentation)
+    stand outside the whitespace rules by a character that the text lacks."""
+
+    def __init__(self, document: bool, mark: str):
+        super().__init__(convert_charrefs=True)
+        self.document, self.mark, self.kept = document, mark, []
+        self.stack = [_Frame("")]
+
+    def keep(self, piece: str) -> str:
+        self.kept.append(piece)
+        return f"{self.mark}{len(self.kept) - 1}{self.mark}"
+
+    def _goes(self, tag: str, attrs: dict) -> bool:
+        if tag in REMOVED:
+            return True
+        return self.document and (tag in BOILERPLATE or (tag == "div" and bool(AD_CLASS.search(attrs.get("class") or ""))))
+
+    def _inside(self, *tags: str) -> _Frame | None:
+        return next((f for f in reversed(self.stack) if f.tag in tags), None)
+
+    def handle_starttag(self, tag, attrs):
+        attrs = dict(reversed(attrs))  # of repeated attributes the first counts
+        if tag == "body" and (head := self._inside("head")) is not None:
+            self._end_through(head)
+        top = self.stack[-1]
+        if top.removed:
+            if tag not in VOID:
+                self.stack.append(_Frame(tag, removed=True))
+            return
+        self._imply_ends(tag)
+        top = self.stack[-1]
+        if tag in VOID:
+            if tag == "br":
+                top.parts.append("\n")
+            elif tag == "hr":
+                top.parts.append("\n\n---\n\n")
+            elif tag == "img" and attrs.get("src") is not None:
+                top.parts.append(f"![]({attrs['src']})")
+            return
+        frame = _Frame(tag, attrs, self._goes(tag, attrs))
+        if tag == "ol":
+            start = attrs.get("start") or ""
+            frame.number = int(start) - 1 if re.fullmatch(r"-?[0-9]{1,9}", start) else 0
+        if tag == "li" and not frame.removed:
+            lists = [f for f in self.stack if f.tag in ("ul", "ol")]
+            if lists:
+                lists[-1].number += 1
+            bullet = f"{lists[-1].number}. " if lists and lists[-1].tag == "ol" else "- "
+            top.parts.append("\n" + (self.keep("  " * (len(lists) - 1)) if len(lists) > 1 else "") + bullet)
+        self.stack.append(frame)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.handle_endtag(tag)
+
+    def _imply_ends(self, tag: str) -> None:
+        ended, outer = ENDED_BY.get(tag, ()), None
+        for f in reversed(self.stack):
+            if f.tag in SCOPES:
+                break
+            outer = f if f.tag in ended else outer
+        if outer is not None:
+            self._end_through(outer)
+
+    def handle_endtag(self, tag):
+        if tag == "br":
+            self.handle_starttag(tag, [])
+        frame = self._inside(tag) if tag not in VOID else None
+        if frame is not None and not (self.stack[-1].removed and not frame.removed and tag not in BLOCKS):
+            self._end_through(frame, True)
+
+    def _end_through(self, frame: _Frame, named: bool = False) -> None:
+        while True:
+            last = self.stack.pop()
+            self._ended(last, named and last is frame)
+            if last is frame:
+                return
+
+    def handle_data(self, data):
+        if not self.stack[-1].removed:
+            self.stack[-1].parts.append(data)
 
+    def _ended(self, f: _Frame, named: bool = False) -> None:
+        """Hand what an element holds to the one around it.  Headings, links,
+        emphasis and code without an end tag of their own are plain text."""
+        top = self.stack[-1]
+        if f.removed:
+            return
+        inner = "".join(f.parts)
+        if f.tag == "pre":
+            raw = self._whole(inner).strip("\n")
+            inner = "\n\n" + self.keep(f"```\n{raw}\n```") + "\n\n"
+        elif self._inside("pre") is not None:
+            pass
+        elif named and f.tag in HEADINGS:
+            inner = f"\n\n{HEADINGS[f.tag]}{inner}\n\n"
+        elif named and f.tag == "a" and f.attrs.get("href") is not None:
+            inner = f"[{inner}]({f.attrs['href']})"
+        elif named and f.tag in MARKS:
+            inner = MARKS[f.tag] + inner + MARKS[f.tag]
+        elif named and f.tag == "code":
+            inner = f"`{inner}`"
+        elif f.tag in ("td", "th"):
+            row = self._inside("tr", "table")
+            if row is not None:
+                row.rows.append(re.sub(rf"[{SPACE}]+", " ", inner).strip().replace("|", "\\|"))
+                return
+        elif f.tag == "tr":
+            table = self._inside("table")
+            if table is not None:
+                if f.rows:
+                    table.rows.append(f.rows)
+                return
+        elif f.tag == "table" and f.rows:
+            rows = [r if isinstance(r, list) else [r] for r in f.rows]
+            if self._inside("table") is not None:  # a table in a cell: its rows in a line
+                inner = inner + " " + "; ".join(" ".join(r) for r in rows)
+            else:
+                lines = ["| " + " | ".join(r) + " |" for r in rows]
+                inner = inner + "\n\n" + "\n".join([lines[0], "| " + " | ".join("---" for _ in rows[0]) + " |", *lines[1:]]) + "\n\n"
+        elif f.tag in BLOCKS and not (f.tag in ("ul", "ol") and self._inside("li") is not None):
+            inner = f"\n\n{inner}\n\n"
+        top.parts.append(inner)
+
+    def _whole(self, text: str) -> str:
+        return re.sub(f"{self.mark}([0-9]+){self.mark}", lambda m: self.kept[int(m.group(1))], text) if self.kept else text
+
+    def markdown(self) -> str:
+        while len(self.stack) > 1:
+            self._ended(self.stack.pop())
+        text = "".join(self.stack[0].parts)
+        text = re.sub("[ \t\xa0]+", " ", text)
+        text = re.sub("^ +| +$", "", text, flags=re.MULTILINE)
+        text = re.sub("\n{3,}", "\n\n", text)
+        text = re.sub(f"^[{SPACE}]+|[{SPACE}]+\\Z", "", text)
+        return self._whole(text)
+
+
+def convert(html: str, document: bool) -> str:
+    """Markdown of one text."""
+    mark = next((chr(c) for c in range(0xE000, 0xF900) if chr(c) not in html), "\uf8ff")
+    parser = Converter(document, mark)
+    parser.feed(html)
+    parser.close()
+    return parser.markdown()
+
+
+def html_to_markdown(html: Column, is_document: Column) -> Column:
+    """Main content of a full document, or all of a fragment, as markdown; null
+    stays null."""
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    def run(texts, documents):
+        return pd.Series([None if t is None else convert(t, bool(d)) for t, d in zip(texts, documents)], dtype=object)
+    return pandas_udf(run, "string")(html, is_document)
+
+
+# Entities decoded (ampersand last).
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "),
+            ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"), ("&amp;", "&")]
 
 def decode_entities(c: Column) -> Column:
     for ent, ch in ENTITIES:
@@ -89,14 +230,6 @@ def decode_numeric(c: Column) -> Column:
     return bind(c, lambda x: F.when(x.contains("&#"), replace_each(x, NUMERIC_RE, char)).otherwise(x))
 
 
-def html_to_markdown(html: Column, is_document: Column) -> Column:
-    """Main content of a full document, or all of a fragment, as markdown."""
-    doc = _apply(html, rules(True))
-    frag = _apply(html, rules(False))
-    md = F.when(is_document, doc).otherwise(frag)
-    return _apply(decode_entities(decode_numeric(md)), SPACE_RULES)
-
-
 # ------------------------------------------------------------ metadata
 
 META_FIELDS = [
@@ -118,16 +251,31 @@ def _clean(v: Column) -> Column:
     return F.when(t != "", t)
 
 
+def _all_contents(html: Column, name: str) -> Column:
+    """Contents of all <meta> with the name, in either attribute order."""
+    tags = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)(<meta\b[^>]*>)"), 1),
+                    lambda t: t.rlike(r"""(?is)\b(?:name|property)\s*=\s*["']""" + name + r"""["']"""))
+    return F.transform(tags, lambda t: F.regexp_extract(t, r"""(?is)\bcontent\s*=\s*["']([^"']*)["']""", 1))
+
+
+def _keywords(html: Column) -> Column:
+    """Comma-separated ``keywords`` and then every ``article:tag``."""
+    return F.concat(F.flatten(F.transform(_all_contents(html, "keywords"), lambda k: F.split(k, ","))), _all_contents(html, "article:tag"))
+
+
+def _json_list(values: Column) -> Column:
+    """JSON array of the distinct non-blank values, null without one."""
+    some = F.array_distinct(F.filter(F.transform(values, _clean), lambda v: v.isNotNull()))
+    return F.when(F.size(some) > 0, F.to_json(some))
+
+
 def html_metadata(html: Column) -> Column:
-    """Map of title, lang and meta fields; blank values omitted."""
+    """Map of title, lang, meta fields, and tags and categories as JSON arrays;
+    blank values omitted."""
     title = _clean(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1))
     lang = _clean(F.regexp_extract(html, r"""(?is)<html\b[^>]*\blang\s*=\s*["']([^"']*)["']""", 1))
-    pairs = [("title", title), ("lang", lang)] + [(k, _clean(_meta_content(html, n))) for k, n in META_FIELDS]
+    pairs = [("tags", _json_list(_keywords(html))), ("categories", _json_list(_all_contents(html, "article:section"))), ("title", title), ("lang", lang)] + [(k, _clean(_meta_content(html, n))) for k, n in META_FIELDS]
     m = F.create_map(*[x for k, v in pairs for x in (F.lit(k), v)])
     return F.map_filter(m, lambda k, v: v.isNotNull())
 
 
-def to_sql_rules(rs: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """The same rules with RE2-style replacement groups."""
-    import re
-    return [(p, re.sub(r"\$(\d)", r"\\\1", r)) for p, r in rs]

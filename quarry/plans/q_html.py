@@ -3,6 +3,8 @@ distinct images per file, URL absolutizing and SSRF URL safety."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import html as H
@@ -14,8 +16,57 @@ from .sql import q
 from .tables import read
 
 
+# The SQL restatement converts by ordered patterns, not by tokens: right for pages
+# whose removed blocks do not nest.
+# (pattern, replacement) applied in order.
+_BLOCKS = "p|div|ul|ol|table|section|article|main|body|html|blockquote|pre|figure|dl"
+COMMON_RULES = [
+    (r"(?s)<!--.*?-->", ""),
+    (r"(?is)<script\b[^>]*>.*?</script\s*>", ""),
+    (r"(?is)<style\b[^>]*>.*?</style\s*>", ""),
+    (r"(?is)<noscript\b[^>]*>.*?</noscript\s*>", ""),
+    (r"(?is)<head\b[^>]*>.*?</head\s*>", ""),
+    (r"(?is)<!doctype[^>]*>", ""),
+]
+BOILERPLATE_RULES = [
+    (r"(?is)<nav\b[^>]*>.*?</nav\s*>", ""),
+    (r"(?is)<aside\b[^>]*>.*?</aside\s*>", ""),
+    (r"(?is)<header\b[^>]*>.*?</header\s*>", ""),
+    (r"(?is)<footer\b[^>]*>.*?</footer\s*>", ""),
+    (r"(?is)<form\b[^>]*>.*?</form\s*>", ""),
+    (r"""(?is)<div\b[^>]*\bclass\s*=\s*["'][^"']*\b(ad|ads|advert|sidebar|cookie|banner)\b[^"']*["'][^>]*>.*?</div\s*>""", ""),
+]
+CONVERT_RULES = [
+    *[(rf"(?is)<h{n}\b[^>]*>(.*?)</h{n}\s*>", "\n\n" + "#" * n + " $1\n\n") for n in range(1, 7)],
+    (r"""(?is)<img\b[^>]*\bsrc\s*=\s*["']([^"']*)["'][^>]*>""", "![]($1)"),
+    (r"""(?is)<a\b[^>]*\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>""", "[$2]($1)"),
+    (r"(?is)<(?:b|strong)\b[^>]*>(.*?)</(?:b|strong)\s*>", "**$1**"),
+    (r"(?is)<(?:i|em)\b[^>]*>(.*?)</(?:i|em)\s*>", "*$1*"),
+    (r"(?is)<li\b[^>]*>", "\n- "),
+    (r"(?is)<tr\b[^>]*>", "\n| "),
+    (r"(?is)</t[dh]\s*>", " | "),
+    (r"(?is)</?(?:tr|td|th|thead|tbody|tfoot)\b[^>]*>", ""),
+    (r"(?is)<br\s*/?>", "\n"),
+    (rf"(?is)</?(?:{_BLOCKS})\b[^>]*>", "\n\n"),
+    (r"(?s)<[^>]*>", ""),
+]
+SPACE_RULES = [
+    (r"[ \t\x{a0}]+", " "),
+    (r"(?m)^ +| +$", ""),
+    (r"\n{3,}", "\n\n"),
+    (f"^[{WS}]+|[{WS}]+$", ""),
+]
+
+
+
+
+def _rules(document: bool):
+    return COMMON_RULES + (BOILERPLATE_RULES if document else []) + CONVERT_RULES
+
+
 def _sql_apply(x: str, rs) -> str:
-    for pat, rep in H.to_sql_rules(rs):
+    for pat, rep in rs:
+        rep = re.sub(r"\$(\d)", r"\\\1", rep)
         x = f"regexp_replace({x}, {q(pat)}, {q(rep)}, 'g')"
     return x
 
@@ -27,7 +78,7 @@ def _sql_entities(x: str) -> str:
 
 
 def _sql_markdown(x: str, document: bool) -> str:
-    return _sql_apply(_sql_entities(_sql_apply(x, H.rules(document))), H.SPACE_RULES)
+    return _sql_apply(_sql_entities(_sql_apply(x, _rules(document))), SPACE_RULES)
 
 
 SNIFF_SQL = "regexp_matches(left(regexp_replace(left({x}, 10000), '[" + WS + "]+', ' ', 'g'), 100), '(?i)<(!doctype|html)\\b')"
