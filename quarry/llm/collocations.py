@@ -273,7 +273,11 @@ def cut_scores(counts: DataFrame, longest: int = LONGEST) -> DataFrame:
         F.struct(k.alias("k"), F.lit(True).alias("first"), F.slice("words", F.lit(1), k).alias("part")),
         F.struct(k.alias("k"), F.lit(False).alias("first"), F.slice("words", k + 1, m - k).alias("part")))))
     parts = many.select("lang", "words", "a", F.inline(cuts))
-    known = salted_join(parts, counts.where(F.size("words") > 0).select("lang", F.col("words").alias("part"), "f"), ["lang", "part"], "words")
+    # a word is a part of up to all candidates and is salted; longer parts of at most one for each word before or behind
+    whole = counts.select("lang", F.col("words").alias("part"), "f")
+    n = F.size("part")
+    known = salted_join(parts.where(n == 1), whole.where(n == 1), ["lang", "part"], "words").unionByName(
+        parts.where(n > 1).join(whole.where(n > 1), ["lang", "part"]))
     side = [F.max(F.when((F.col("k") == k) & (F.col("first") == first), F.col("f"))).alias(f"{'l' if first else 'r'}{k}")
             for k in range(1, longest) for first in (True, False)]
     wide = known.groupBy("lang", "words", "a").agg(*side)
