@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, normalize_text
+from .text import WS, bind, normalize_text
 
 # Magic numbers (hex) of the formats the router distinguishes.
 MAGIC = [
@@ -79,47 +79,90 @@ def html_doc_sniff(text: Column) -> Column:
     return head.rlike(r"(?i)<(!doctype|html)\b")
 
 
+#: Quoting of a delimited text: (quote, escape); an empty escape doubles the quote.
+QUOTINGS = [("", ""), ('"', ""), ('"', "\\"), ("'", ""), ("'", "\\")]
+DIALECT = "struct<delimiter:string,quote:string,escape:string,multiline:boolean>"
+_EDGE = r"[^,;\t|\r\n]"
+#: A cell whose type is known: no quote at its edges, where none was understood.
+_TYPED = r"""^[^"']*$|^[^"'].*[^"']$"""
+
+
+def _masked(text: Column, quote: str, escape: str) -> Column:
+    """The text with each quoted field, which may hold delimiters and line
+    breaks, taken for one letter.  A field is quoted from edge to edge."""
+    if not quote:
+        return text
+    if escape:
+        text = F.regexp_replace(text, r"\\[\s\S]", "")
+    return F.regexp_replace(text, f"(?<!{_EDGE})(?:{quote}[^{quote}]*+{quote})++(?!{_EDGE})", "q")
+
+
+def _used(text: Column, quote: str, escape: str) -> Column:
+    """The text can be quoted so: a field opens with the quote, an escape
+    stands before one."""
+    if not quote:
+        return F.lit(True)
+    return text.rlike(f"(?<!{_EDGE}){quote}") & (F.contains(text, F.lit(escape + quote)) if escape else F.lit(True))
+
+
 def _lines(text: Column) -> Column:
-    """Non-blank lines of the whole text, each quoted field (which may hold
-    delimiters and line breaks) taken for one letter."""
-    return F.filter(F.split(F.regexp_replace(text, '"[^"]*"', "q"), "\n", -1), lambda x: F.trim(x) != "")
-
-
-def _delim_count(d: str):
-    def f(x):
-        return F.length(x) - F.length(F.replace(x, F.lit(d), F.lit("")))
-    return f
-
-
-def csv_dialect(text: Column, lines: Column | None = None) -> Column:
-    """Delimiter of a delimited text, else null: at least CSV_MIN_ROWS lines, and
-    CSV_SHARE of all lines have as many fields as the first (the others are
-    ragged).  Among such delimiters the one giving most fields wins (earlier on
-    ties)."""
-    lines = _lines(text) if lines is None else lines
-    first = _at1(lines)
-    cands = []
-    for d in CSV_DELIMS:
-        n1 = _delim_count(d)(first)
-        same = F.size(F.filter(lines, _same_count(d, n1)))
-        ok = (F.size(lines) >= CSV_MIN_ROWS) & (n1 >= 1) & (same >= F.size(lines) * CSV_SHARE)
-        cands.append(F.when(ok, F.struct(n1.cast("int").alias("n"), F.lit(d).alias("d"))))
-    arr = F.filter(F.array(*cands), lambda s: s.isNotNull())
-    top = F.aggregate(arr, F.lit(None).cast("struct<n:int,d:string>"),
-                      lambda acc, s: F.when(acc.isNull() | (s["n"] > acc["n"]), s).otherwise(acc))
-    return top["d"]
+    return F.filter(F.split(text, "\n", -1), lambda x: F.trim(x) != "")
 
 
-def _at1(arr: Column) -> Column:
-    return F.try_element_at(arr, F.lit(1))
+def _fields(line: Column, d: str) -> Column:
+    return F.split(line, "\\" + d if d in "|" else d, -1)
+
+
+def _delim_count(x: Column, d: str) -> Column:
+    return F.length(x) - F.length(F.replace(x, F.lit(d), F.lit("")))
 
 
-def _same_count(d: str, n1: Column):
-    count = _delim_count(d)
+def csv_dialect(text: Column) -> Column:
+    """Dialect struct (delimiter, quote, escape, multiline) of a delimited text,
+    else null.  Candidates are all delimiters × quotings.  One counts if there are
+    at least CSV_MIN_ROWS lines and CSV_SHARE of them have as many fields as the
+    first (the others are ragged).  Its score is row-pattern consistency (share of
+    those lines × (fields − 1) / fields) × cell-type coherence (share of cells of a
+    known type); ties go to more fields, then the earlier candidate."""
+    found = []
+    for quote, escape in QUOTINGS:
+        found.append(F.when(_used(text, quote, escape), bind(_masked(text, quote, escape), _candidates(text, quote, escape))))
+    every = F.flatten(F.filter(F.array(*found), lambda c: c.isNotNull()))
+    best = F.aggregate(every, F.lit(None).cast(f"struct<score:double,fields:int,dialect:{DIALECT}>"),
+                       lambda acc, c: F.when(acc.isNull() | (c["score"] > acc["score"]) | ((c["score"] == acc["score"]) & (c["fields"] > acc["fields"])), c).otherwise(acc))
+    return best["dialect"]
 
-    def f(x):
-        return count(x) == n1
-    return f
+
+def _candidates(text: Column, quote: str, escape: str):
+    def of(masked):
+        def all_delimiters(lines):
+            return F.array(*[_candidate(text, masked, lines, d, quote, escape) for d in CSV_DELIMS])
+        return F.filter(bind(_lines(masked), all_delimiters), lambda c: c.isNotNull())
+    return of
+
+
+def _candidate(text: Column, masked: Column, lines: Column, d: str, quote: str, escape: str) -> Column:
+    first = _delim_count(_at1(lines), d)
+    same = F.size(F.filter(lines, lambda x: _delim_count(x, d) == first))
+    cells = F.flatten(F.transform(lines, lambda x: _fields(x, d)))
+    typed = F.size(F.filter(cells, lambda x: F.trim(x).rlike(_TYPED))) / F.size(cells)
+    score = same / F.size(lines) * first / (first + 1) * typed
+    multiline = _delim_count(text, "\n") != _delim_count(masked, "\n")
+    dialect = F.struct(F.lit(d).alias("delimiter"), F.lit(quote).alias("quote"), F.lit(escape).alias("escape"), multiline.alias("multiline"))
+    ok = (F.size(lines) >= CSV_MIN_ROWS) & (first >= 1) & (same >= F.size(lines) * CSV_SHARE)
+    return F.when(ok, F.struct(F.round(score, 9).cast("double").alias("score"), (first + 1).cast("int").alias("fields"), dialect.alias("dialect")))
+
+
+def dialect_lines(text: Column, dialect: Column) -> Column:
+    """Non-blank lines under a dialect, quoted fields as one letter."""
+    out = _lines(text)
+    for quote, escape in QUOTINGS[1:]:
+        out = F.when((dialect["quote"] == quote) & (dialect["escape"] == escape), _lines(_masked(text, quote, escape))).otherwise(out)
+    return out
+
+
+def _at1(arr: Column) -> Column:
+    return F.try_element_at(arr, F.lit(1))
 
 
 def _json_ok(x: Column) -> Column:
@@ -151,20 +194,20 @@ def is_ndjson(text: Column) -> Column:
         & F.rtrim(x).endswith("}"))
 
 
-def with_route(df, content_col: str = "content", out: str = "route", kind_out: str | None = None):
-    """DataFrame form of ``route``: the kind, the normalized text and its
-    sampled lines are projected once, the cascade reads them."""
+def with_route(df, content_col: str = "content", out: str = "route", kind_out: str | None = None, dialect_out: str | None = None):
+    """DataFrame form of ``route``: the kind, the normalized text and its CSV
+    dialect are projected once, the cascade reads them."""
     staged = df.select("*", sniff_kind(F.col(content_col)).alias("_kind"),
                        normalize_text(F.col(content_col)).alias("_text"))
-    staged = staged.select("*", _lines(F.col("_text")).alias("_lines"))
-    r = _cascade(F.col("_kind"), F.col("_text"), F.col("_lines"))
-    res = staged.select("*", r.alias(out)).drop("_text", "_lines")
-    if kind_out:
-        return res.withColumnRenamed("_kind", kind_out)
-    return res.drop("_kind")
+    staged = staged.select("*", csv_dialect(F.col("_text")).alias("_dialect"))
+    r = _cascade(F.col("_kind"), F.col("_text"), F.col("_dialect"))
+    res = staged.select("*", r.alias(out)).drop("_text")
+    for name, keep in (("_kind", kind_out), ("_dialect", dialect_out)):
+        res = res.withColumnRenamed(name, keep) if keep else res.drop(name)
+    return res
 
 
-def _cascade(kind: Column, text: Column, lines: Column) -> Column:
+def _cascade(kind: Column, text: Column, dialect: Column) -> Column:
     return (F.when(kind.isin("gz", "zip", "tar"), "archive")
              .when(kind.isin("png", "jpg", "gif", "bmp", "tif", "webp"), "image")
              .when(kind.isin("docx", "xlsx", "pptx", "odp", "ods", "ole"), "office")
@@ -172,7 +215,7 @@ def _cascade(kind: Column, text: Column, lines: Column) -> Column:
              .when(kind == "parquet", "parquet")
              .when(is_json_doc(text), "json")
              .when(is_ndjson(text), "ndjson")
-             .when(csv_dialect(text, lines).isNotNull(), "csv")
+             .when(dialect.isNotNull(), "csv")
              .when(html_doc_sniff(text), "html")
              .otherwise("markdown"))
 
@@ -183,7 +226,7 @@ def route(content: Column) -> Column:
     markdown.  Archives that yield no members fall through (decided by the
     archive explode, see ``quarry.sources.archives``)."""
     text = normalize_text(content)
-    return _cascade(sniff_kind(content), text, _lines(text))
+    return _cascade(sniff_kind(content), text, csv_dialect(text))
 
 
 OFFICE_MIME = {"docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",

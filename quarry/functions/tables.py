@@ -11,29 +11,21 @@ import json
 import re
 
 from ..operators.tabular import MAX_LIST_LEN, WS_TAB
-from .sniff import CSV_DELIMS, CSV_MIN_ROWS, CSV_SHARE
 
 _BLANKS = re.compile("[" + re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), WS_TAB) + "]+")
 _NUMBER = re.compile(r"[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$")
 csv.field_size_limit(1 << 30)
 
 
-def csv_rows(text: str) -> tuple[list[str], list[list[str]]] | None:
-    """(names, rows) of a delimited text with quoted fields; short rows are
-    filled, long ones cut.  None if no delimiter gives one width to most rows."""
-    best = None
-    for d in CSV_DELIMS:
-        rows = [r for r in csv.reader(io.StringIO(text), delimiter=d) if any(x.strip() for x in r)]
-        if not rows or len(rows[0]) < 2:
-            continue
-        width = len(rows[0])
-        share = sum(len(r) == width for r in rows) / len(rows)
-        if len(rows) >= CSV_MIN_ROWS and share >= CSV_SHARE and (best is None or width > len(best[0])):
-            best = rows
-    if best is None:
+def csv_rows(text: str, dialect: dict) -> tuple[list[str], list[list[str]]] | None:
+    """(names, rows) of a delimited text; short rows are filled, long ones cut."""
+    quote, escape = dialect["quote"], dialect["escape"]
+    how = {"quotechar": quote, "escapechar": escape or None, "doublequote": not escape} if quote else {"quoting": csv.QUOTE_NONE}
+    rows = [r for r in csv.reader(io.StringIO(text), delimiter=dialect["delimiter"], **how) if any(x.strip() for x in r)]
+    if not rows or len(rows[0]) < 2:
         return None
-    width = len(best[0])
-    rows = [(r + [""] * width)[:width] for r in best]
+    width = len(rows[0])
+    rows = [(r + [""] * width)[:width] for r in rows]
     head, rest = rows[0], rows[1:]
     columns = [[v for r in rest if (v := r[k].strip())] for k in range(width)]
     named = not any(_NUMBER.match(x.strip()) for x in head) and any(c and all(map(_NUMBER.match, c)) for c in columns)
@@ -75,9 +67,9 @@ def cell(value) -> str:
     return _BLANKS.sub(" ", "" if value is None else str(value)).replace("|", "¦").strip()
 
 
-def table_markdown(route: str, text: str) -> dict | None:
+def table_markdown(route: str, text: str, dialect: dict | None) -> dict | None:
     """Markdown table and profile of one tabular text."""
-    got = csv_rows(text) if route == "csv" else json_rows(text, route == "ndjson")
+    got = csv_rows(text, dialect) if route == "csv" else json_rows(text, route == "ndjson")
     if got is None:
         return None
     names, rows = got

@@ -32,20 +32,20 @@ def tabular_texts(rows: DataFrame) -> DataFrame:
         from ..functions.tables import table_markdown
         for batch in batches:
             for i in range(batch.num_rows):
-                got = table_markdown(batch.column("route")[i].as_py(), batch.column("text")[i].as_py())
+                got = table_markdown(*(batch.column(c)[i].as_py() for c in ("route", "text", "dialect")))
                 if got:
                     meta = [("num_rows", str(got["num_rows"])), ("num_cols", str(got["num_cols"])), ("columns", ", ".join(got["columns"]))]
                     yield pa.RecordBatch.from_arrays([batch.column("sha256").slice(i, 1), pa.array([got["markdown"]]),
                                                       pa.array([meta], pa.map_(pa.string(), pa.string()))], ["sha256", "t_markdown", "t_meta"])
-    return rows.select("sha256", "route", "text").mapInArrow(run, "sha256 string, t_markdown string, t_meta map<string,string>")
+    return rows.select("sha256", "route", "text", "dialect").mapInArrow(run, "sha256 string, t_markdown string, t_meta map<string,string>")
 
 
 def convert_files(blobs: DataFrame) -> DataFrame:
     """blobs(sha256, content) → sha256, route, markdown, meta, links, image_urls,
     inline (bytes of the data-URI images).  Tables, HTML and text become
     markdown; binary routes keep null markdown and their content type."""
-    routed = S.with_route(blobs.select("sha256", "content"), "content", "route", kind_out="kind")
-    routed = write_staged(routed.select("sha256", "route", "kind", F.when(
+    routed = S.with_route(blobs.select("sha256", "content"), "content", "route", kind_out="kind", dialect_out="dialect")
+    routed = write_staged(routed.select("sha256", "route", "kind", "dialect", F.when(
         ~F.col("route").isin("archive", "image", "office", "pdf", "parquet"), T.normalize_text(F.col("content"))).alias("text")), "ingest-routed")
     tables = tabular_texts(routed.where(F.col("route").isin(*TABULAR)))
     rows = routed.join(tables, "sha256", "left")

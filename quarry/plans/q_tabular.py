@@ -127,25 +127,31 @@ def agg_9_list_drop(spark, sf_dir):
         if m is not None else None
 
 
-DIALECTS = [(";", True), ("|", False), ("\t", True), (",", False)]
+DIALECTS = [(";", "", "", True), ("|", "", "", False), ("\t", "", "", True), (",", "", "", False),
+            (",", '"', "", True), (";", "'", "", False), (",", '"', "\\", False), ("|", "'", "\\", True)]
 
 
 @register("agg_7_dialect", """
 WITH n AS (SELECT n_regionkey, count(*) AS c FROM nation GROUP BY 1),
-v AS (SELECT * FROM (VALUES (0, ';', true), (1, '|', false), (2, chr(9), true), (3, ',', false)) t(variant, d, h))
-SELECT CAST(n.n_regionkey * 10 + v.variant AS BIGINT) AS id,
-       CASE WHEN n.c + (CASE WHEN v.h THEN 1 ELSE 0 END) >= 5 THEN v.d END AS delimiter,
-       CASE WHEN n.c + (CASE WHEN v.h THEN 1 ELSE 0 END) >= 5 THEN v.h END AS header
-FROM n, v""")
+v AS (SELECT * FROM (VALUES (0, ';', '', '', true), (1, '|', '', '', false), (2, chr(9), '', '', true), (3, ',', '', '', false),
+      (4, ',', '"', '', true), (5, ';', chr(39), '', false), (6, ',', '"', '\\', false), (7, '|', chr(39), '\\', true)) t(variant, d, q, e, h)),
+f AS (SELECT n.n_regionkey * 10 + v.variant AS id, v.*, n.c + (CASE WHEN v.h THEN 1 ELSE 0 END) >= 5 AS is_csv FROM n, v)
+SELECT CAST(id AS BIGINT) AS id, CASE WHEN is_csv THEN d END AS delimiter, CASE WHEN is_csv THEN q END AS quote,
+       CASE WHEN is_csv THEN e END AS escape, CASE WHEN is_csv THEN h END AS header FROM f""")
 def agg_7_dialect(spark, sf_dir):
-    """CSV dialect sniffing: delimiter by field-count consistency over ≥ 5
-    lines, header by a first-line/type vote, on per-region nation files in
-    four dialects (two with header)."""
+    """CSV dialect inference: delimiter × quote × escape by row-pattern
+    consistency and cell-type coherence over ≥ 5 lines, header by a first-line /
+    type vote, on per-region nation files in eight dialects.  Quoted names hold
+    the delimiter and the quote."""
     n = read(spark, sf_dir, "nation")
     texts = []
-    for i, (d, h) in enumerate(DIALECTS):
+    for i, (d, quote, escape, h) in enumerate(DIALECTS):
+        name = F.col("n_name")
+        if quote:
+            inner = escape + quote if escape else quote * 2
+            name = F.concat(F.lit(quote), name, F.lit(f"{d} the {inner}"), name, F.lit(inner + quote))
         body = (n.groupBy("n_regionkey")
-                 .agg(F.listagg(F.concat_ws(d, F.col("n_nationkey").cast("string"), "n_name",
+                 .agg(F.listagg(F.concat_ws(d, F.col("n_nationkey").cast("string"), name,
                                             F.col("n_regionkey").cast("string")), "\n").alias("t")))
         hdr = F.lit(d.join(["key", "name", "region"]) + "\n") if h else F.lit("")
         texts.append(body.select((F.col("n_regionkey") * 10 + i).cast("bigint").alias("id"),
@@ -153,8 +159,8 @@ def agg_7_dialect(spark, sf_dir):
     u = texts[0]
     for t in texts[1:]:
         u = u.unionByName(t)
-    d = csv_dialect(F.col("text"))
-    return u.select("id", d.alias("delimiter"), FM.csv_has_header(F.col("text"), d).alias("header"))
+    u = u.select("id", "text", csv_dialect(F.col("text")).alias("d"))
+    return u.select("id", "d.delimiter", "d.quote", "d.escape", FM.csv_has_header(F.col("text"), F.col("d")).alias("header"))
 
 
 def _write_fixtures(spark, sf_dir):
