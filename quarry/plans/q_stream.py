@@ -5,6 +5,8 @@ backlog lane and restart after a failed batch."""
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -45,6 +47,11 @@ def _land_in_order(df, spark, name, ts, arrivals=4):
     return path
 
 
+def _close(spark, path, row, schema):
+    """A last arrival far in the future: the watermark passes all before it."""
+    spark.createDataFrame([row], schema).coalesce(1).write.parquet(f"{path}/closing")
+
+
 def _arrivals(spark, path, schema):
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path))
 
@@ -112,12 +119,14 @@ acc(url, ts) AS (SELECT url, min(ts) FROM ev GROUP BY url
 SELECT ev.url, epoch_us(ev.ts) AS ts_us, ev.ts IN (SELECT ts FROM acc WHERE acc.url = ev.url) AS accepted FROM ev""")
 def stm_3_throttle(spark, sf_dir):
     """URL freshness in a stream: a view-fetch of a page is accepted only when
-    the page's last accepted fetch is at least 6 hours old (state per URL)."""
+    the page's last accepted fetch is at least 6 hours old, decided in event time
+    once the watermark has passed (state per URL)."""
     e = (read(spark, sf_dir, "events").filter(F.col("event_type") == "view")
          .select(F.concat(F.lit("https://p.example/"), F.col("user_id").cast("string")).alias("url"), "ts"))
     src = _land_in_order(e, spark, "landing-fetches", "ts")
+    _close(spark, src, ("", datetime(2200, 1, 1)), "url string, ts timestamp_ntz")
     s = _arrivals(spark, src, "url string, ts timestamp_ntz")
-    out = ST.run_to_table(ST.fetch_throttle(s, 6 * 3600), "throttle", spark)
+    out = ST.run_to_table(ST.fetch_throttle(s, 6 * 3600, delay="1 hour"), "throttle", spark).where("url <> ''")
     us = F.timestamp_diff("MICROSECOND", ts_ntz(EPOCH0), F.col("ts"))
     return out.select("url", us.alias("ts_us"), "accepted")
 

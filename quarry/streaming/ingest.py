@@ -5,12 +5,11 @@
   into a ``batch_id=<n>`` folder with overwrite, so a replayed batch (after a
   crash) rewrites the same rows instead of adding duplicates.
 * ``dedup_stream``: content dedup within an event-time watermark, completed by
-  the same sink for what repeats later.
-* ``fetch_throttle``: at most one accepted fetch per URL per ``max_age``
-  (per-key state: the last accepted time).
+  the same sink for what repeats or arrives later.
+* ``fetch_throttle``: at most one accepted fetch per URL per ``max_age``, decided
+  in event time.
 * ``readiness_stream``: a parent is emitted when its last expected child
-  has been parsed (per-key state: expected count and the seen children),
-  with a timeout that reports parents still incomplete.
+  has been parsed, with a timeout that reports parents still incomplete.
 * ``backlog_once``: the slow lane, an ``availableNow`` run over the queue.
 
 Streams read Parquet folders (the cluster's landing zone); checkpoints live
@@ -19,15 +18,12 @@ under the session's ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import content_sha256
 from ..session import ensure_checkpoint_dir, scratch_path
+from .state import dedup_stream, fetch_throttle, readiness_stream  # noqa: F401
 
 
 def new_rows_sink(table_dir: str, key: str = "sha256"):
@@ -66,14 +62,6 @@ def ingest_stream(spark: SparkSession, source_dir: str, schema: str, text_col: s
                 .trigger(availableNow=True).start())
 
 
-def dedup_stream(events: DataFrame, key_expr, ts_col: str, delay: str):
-    """Drop repeated content within the watermark delay (state per key is kept
-    only until the watermark passes it); ``new_rows_sink`` drops what repeats
-    later."""
-    return (events.withColumn("sha256", key_expr).withWatermark(ts_col, delay)
-                  .dropDuplicatesWithinWatermark(["sha256"]))
-
-
 def run_new_rows(df: DataFrame, name: str, spark: SparkSession, key: str = "sha256") -> DataFrame:
     """Run a streaming frame to completion into a table with one row per key."""
     ensure_checkpoint_dir(spark)
@@ -84,83 +72,6 @@ def run_new_rows(df: DataFrame, name: str, spark: SparkSession, key: str = "sha2
     return spark.read.parquet(out).drop("batch_id")
 
 
-# ----------------------------------------------------------- URL throttle
-
-THROTTLE_OUT = "url string, ts timestamp_ntz, accepted boolean"
-THROTTLE_STATE = "last_ts timestamp_ntz"
-
-
-def _throttle(max_age_s: int):
-    delta = pd.Timedelta(seconds=max_age_s)
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        frames = [p for p in pdfs]
-        pdf = pd.concat(frames).sort_values("ts", kind="stable") if frames else pd.DataFrame(columns=["url", "ts"])
-        acc = []
-        for t in pdf["ts"]:
-            ok = last is None or (t - last) >= delta
-            if ok:
-                last = t
-            acc.append(ok)
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({"url": [key[0]] * len(acc), "ts": list(pdf["ts"]), "accepted": acc})
-    return fn
-
-
-def fetch_throttle(requests: DataFrame, max_age_s: int, url_col: str = "url", ts_col: str = "ts") -> DataFrame:
-    """Per URL: a request is accepted when no accepted fetch happened in the
-    previous ``max_age_s`` seconds.  Works on batch and streaming frames; the
-    state per URL is one timestamp."""
-    r = requests.select(F.col(url_col).alias("url"), F.col(ts_col).cast("timestamp_ntz").alias("ts"))
-    return r.groupBy("url").applyInPandasWithState(_throttle(max_age_s), THROTTLE_OUT, THROTTLE_STATE,
-                                                   "append", GroupStateTimeout.NoTimeout)
-
-
-# ------------------------------------------------------------ readiness
-
-READY_OUT = "parent string, ready boolean, n_seen bigint, n_expected bigint"
-READY_STATE = "expected bigint, seen array<string>"
-
-
-def _ready_fn_factory(timeout_ms: int | None):
-    def fn(key, pdfs, state):
-        return _ready_fn(key, pdfs, state, timeout_ms)
-    return fn
-
-
-def _ready_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState, timeout_ms: int | None) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        exp, seen = state.get
-        state.remove()
-        yield pd.DataFrame({"parent": [key[0]], "ready": [False], "n_seen": [len(seen)], "n_expected": [exp]})
-        return
-    exp, seen = state.get if state.exists else (None, [])
-    seen = set(seen)
-    for pdf in pdfs:
-        seen.update(pdf["child"].tolist())
-        exp = int(pdf["expected"].max()) if exp is None else exp
-    if exp is not None and len(seen) >= exp:
-        state.remove()
-        yield pd.DataFrame({"parent": [key[0]], "ready": [True], "n_seen": [len(seen)], "n_expected": [exp]})
-    else:
-        state.update((exp, sorted(seen)))
-        if timeout_ms:
-            state.setTimeoutDuration(timeout_ms)
-
-
-def readiness_stream(parsed: DataFrame, timeout_ms: int | None = None) -> DataFrame:
-    """``parsed(parent, child, expected)`` notifications → one row per parent
-    when all its expected children were seen.  With ``timeout_ms`` (for
-    continuously running queries) a parent idle that long is emitted as not
-    ready (the stuck list); bounded ``availableNow`` runs use no timeout,
-    since processing-time timeouts keep such a run issuing empty batches."""
-    kind = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
-    return parsed.groupBy("parent").applyInPandasWithState(
-        _ready_fn_factory(timeout_ms), READY_OUT, READY_STATE, "append", kind)
-
-
 def run_to_table(df: DataFrame, name: str, spark: SparkSession) -> DataFrame:
     """Run a streaming frame to completion (availableNow) into Parquet under
     the checkpoint folder and return what it wrote."""
