@@ -9,12 +9,11 @@ than a text's own words, by a bounded factor at any corpus size.
 Improved consistent weighted sampling draws ``BANDS × ROWS`` samples; two texts
 share a sample with a probability of their weighted Jaccard similarity.  Samples
 are grouped into bands.  Texts that share a band meet in a bucket.  Each is compared
-with the bucket's lowest document, then, in buckets that still hold several
-classes, one member of each class with one of the others, and in those that
-even then hold several, all members with those of other classes, so no pair that
-shares a band and could join two classes is left out.  There, pairs are dealt
-over salts, and those are passed over whose total weights alone keep the
-similarity under the threshold.  Every candidate is verified by the weighted
+with the bucket's lowest document.  In buckets that then still hold several
+classes, members of different classes are paired by an exact prefix filter: a
+pair at the threshold must share one of its rarest shingles, so members meet by
+those alone and no pair that shares a band and could join two classes is left
+out.  Every candidate is verified by the weighted
 Jaccard similarity of the full shingle sets.  Verified links are closed to
 classes by rounds of label exchange, each written to the shared folder.
 
@@ -34,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SALTS, prepare, salted_join, small, staged
@@ -44,6 +43,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 14, 6
 DF_BITS = 18
+#: Bits of the outlines by which unlike pairs are passed over.
+OUTLINE_BITS = 1024
 #: Shingles handled at once; keeps the sampling arrays in cache.
 BLOCK = 1 << 15
 _LEVELS = 1 << 16
@@ -236,6 +237,79 @@ def _closed(groups: DataFrame, labels: DataFrame, links: DataFrame) -> DataFrame
     return staged(out, "minhash-labels")
 
 
+def weighted_shingles(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """texts(doc_id, text) → (id, g, w): the weighted shingles of each text."""
+    table = texts.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for first, _, _, per_row, g, times in shingle_sets(batch.column("text")):
+                w = weights_of(g, times, table.value).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[first:first + len(per_row)], per_row)), pa.array(g.view(np.int64)), pa.array(w)], ["id", "g", "w"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "id long, g long, w double")
+
+
+def outlines(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """texts(doc_id, text) → (id, mass, low, bits): total and least weight, and
+    OUTLINE_BITS bits, each the parity of the shingles that fall on it."""
+    table = texts.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("doc_id")
+            for first, _, _, per_row, g, times in shingle_sets(batch.column("text")):
+                some = np.flatnonzero(per_row)
+                if not len(some):
+                    continue
+                w, begin = weights_of(g, times, table.value).astype(np.float64), starts_from(per_row[some])[:-1]
+                at = np.repeat(np.arange(len(some)), per_row[some]) * OUTLINE_BITS + (g % np.uint64(OUTLINE_BITS)).astype(np.int64)
+                odd = np.bincount(at, minlength=len(some) * OUTLINE_BITS).astype(np.uint8) & 1
+                words = np.packbits(odd, bitorder="little").view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(first + some)), pa.array(np.add.reduceat(w, begin)), pa.array(np.minimum.reduceat(w, begin)),
+                     pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * (OUTLINE_BITS // 64)), pa.array(words))], ["id", "mass", "low", "bits"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "id long, mass double, low double, bits array<long>")
+
+
+def prefix_pairs(members: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """members(id, label, buckets) → (a, b): all pairs of different labels that
+    share a bucket and may reach the threshold, each once.
+
+    Shingles are ordered by their number of texts here, rarest first.  Let X ≤ Y be
+    the total weights of a pair at or above t.  Its common weight is at least
+    2t / (1 + t) · X and t · Y, so the first common shingle in that order lies
+    among the first of x, up to (1 − t) / (1 + t) of X, and among the first of y,
+    up to 1 − t of Y.  Members meet by the shingles of those prefixes alone, and a
+    pair is made at its first common one.  The weights that the two do not share
+    are at most (1 − t) / (1 + t) · (X + Y); each differing bit of their outlines
+    stands for one shingle of them at least."""
+    here = staged(texts.join(members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), "minhash-open")
+    tokens = staged(weighted_shingles(here, idf), "minhash-shingles")
+    spread = staged(tokens.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "minhash-spread")
+    order = Window.partitionBy("id").orderBy("df", "g").rowsBetween(Window.unboundedPreceding, -1)
+    outline = staged(outlines(here, idf), "minhash-outlines")
+    placed = (tokens.join(spread, "g", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("before", F.coalesce(F.sum("w").over(order), F.lit(0.0)))
+              .join(outline.select("id", "mass"), "id").where(F.col("before") <= F.col("mass") * (1 - threshold) * (1 + 1e-9)))
+    near = F.col("before") <= F.col("mass") * (1 - threshold) / (1 + threshold) * (1 + 1e-9)
+    # a shingle of one text brings no pair
+    lists = placed.where("df > 1").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "g", near.alias("near")))).alias("p"))
+    rows = members.join(outline, "id").join(lists, "id").select("id", "label", "buckets", "mass", "low", "bits", F.transform("p", lambda t: t["g"]).alias("long"),
+                                                               F.transform(F.filter("p", lambda t: t["near"]), lambda t: t["g"]).alias("short"))
+    rows = staged(rows, "minhash-prefixes")
+    x = rows.drop("long").withColumn("g", F.explode("short")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).alias("x")
+    y = rows.drop("short").withColumn("g", F.explode("long")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("y")
+    smaller = (F.col("x.mass") < F.col("y.mass")) | ((F.col("x.mass") == F.col("y.mass")) & (F.col("x.id") < F.col("y.id")))
+    able = (F.col("x.label") != F.col("y.label")) & smaller & (F.col("x.mass") >= F.col("y.mass") * (threshold - 1e-6))
+    differing = sum((F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(OUTLINE_BITS // 64)), F.lit(0))
+    unlike = differing * F.least("x.low", "y.low") <= (F.col("x.mass") + F.col("y.mass")) * ((1 - threshold) / (1 + threshold) * (1 + 1e-6))
+    first = F.array_intersect("x.short", "y.long")[0] == F.col("x.g")
+    pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.salt") == F.col("y.salt")) & able & unlike & F.arrays_overlap("x.buckets", "y.buckets") & first)
+    return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs(doc_id, text, …) → one row per document: doc_id and class_id,
     the lowest doc_id of its class."""
@@ -255,27 +329,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     tried = staged(met.where("id != centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct(), "minhash-pairs")
     links = staged(verified(tried, texts, idf, threshold), "minhash-links")
     labels = classes(links)
-    # buckets that still hold several classes: one centre for each, drawn per band, compared with the others' centres
-    seen = met.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    draw = F.struct(F.xxhash64("band", "id").alias("h"), "id")
-    reps = staged(seen.groupBy("band", "key", "label").agg(F.min(draw).alias("m")).select("band", "key", "label", F.col("m.id").alias("id")), "minhash-reps")
-    several = reps.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key")
-    reps = staged(reps.join(several, ["band", "key"], "left_semi"), "minhash-open")
-    pair = reps.alias("x").join(reps.alias("y"), ["band", "key"]).where(F.col("x.label") < F.col("y.label"))
-    more = pair.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = staged(more, "minhash-more")
-    labels = _closed(groups, labels, staged(verified(more, texts, idf, threshold), "minhash-across"))
-    # buckets that even then hold several classes: all members with those of the other classes
-    seen = met.select("band", "key", "id").join(labels, "id").join(groups.select(F.col("rep").alias("id"), "mass"), "id")
+    # buckets that still hold several classes: pairs of their members by an exact prefix filter
+    seen = met.select("band", "key", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     several = seen.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("band", "key")
-    seen = staged(salted_join(seen, several, ["band", "key"], "id"), "minhash-members")
-    one = seen.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).alias("x")
-    two = seen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("y")
-    # the similarity is at most the ratio of the total weights
-    close = F.least("x.mass", "y.mass") >= F.greatest("x.mass", "y.mass") * F.lit(threshold - 1e-6)
-    rest = one.join(two, ["band", "key", "salt"]).where((F.col("x.label") < F.col("y.label")) & close)
-    rest = rest.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
-    rest = rest.join(tried.unionByName(more), ["a", "b"], "left_anti")
+    members = salted_join(seen, several, ["band", "key"], "id").groupBy("id", "label").agg(F.collect_set(F.xxhash64("band", "key")).alias("buckets"))
+    members = staged(members, "minhash-members")
+    rest = prefix_pairs(members, texts, idf, threshold).join(tried, ["a", "b"], "left_anti")
     labels = _closed(groups, labels, staged(verified(staged(rest, "minhash-rest"), texts, idf, threshold), "minhash-last"))
     member = groups.select("f1", "f2", "rep").join(labels, F.col("rep") == F.col("id")).select("f1", "f2", F.col("label").alias("class_id"))
     out = marked.select("doc_id", "f1", "f2").join(member, ["f1", "f2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
