@@ -45,6 +45,8 @@ BANDS, ROWS = 14, 6
 DF_BITS = 18
 #: Bits of the outlines by which unlike pairs are passed over.
 OUTLINE_BITS = 1024
+#: Texts of one shingle for which a part is made.
+HOT = 512
 #: Shingles handled at once; keeps the sampling arrays in cache.
 BLOCK = 1 << 15
 _LEVELS = 1 << 16
@@ -275,17 +277,17 @@ def outlines(texts: DataFrame, idf: np.ndarray) -> DataFrame:
 
 
 def prefix_pairs(members: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """members(id, label, buckets) → (a, b): all pairs of different labels that
-    share a bucket and may reach the threshold, each once.
+    """members(id, label) → (a, b): all pairs of different labels that may reach
+    the threshold, each once.
 
     Shingles are ordered by their number of texts here, rarest first.  Let X ≤ Y be
     the total weights of a pair at or above t.  Its common weight is at least
     2t / (1 + t) · X and t · Y, so the first common shingle in that order lies
     among the first of x, up to (1 − t) / (1 + t) of X, and among the first of y,
-    up to 1 − t of Y.  Members meet by the shingles of those prefixes alone, and a
-    pair is made at its first common one.  The weights that the two do not share
-    are at most (1 − t) / (1 + t) · (X + Y); each differing bit of their outlines
-    stands for one shingle of them at least."""
+    up to 1 − t of Y.  Members meet by the shingles of those prefixes alone.  The
+    weights that the two do not share are at most (1 − t) / (1 + t) · (X + Y): all
+    that stands before the first common shingle on either side, and a shingle at
+    least for each differing bit of their outlines."""
     here = staged(texts.join(members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), "minhash-open")
     tokens = staged(weighted_shingles(here, idf), "minhash-shingles")
     spread = staged(tokens.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "minhash-spread")
@@ -293,21 +295,19 @@ def prefix_pairs(members: DataFrame, texts: DataFrame, idf: np.ndarray, threshol
     outline = staged(outlines(here, idf), "minhash-outlines")
     placed = (tokens.join(spread, "g", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("before", F.coalesce(F.sum("w").over(order), F.lit(0.0)))
               .join(outline.select("id", "mass"), "id").where(F.col("before") <= F.col("mass") * (1 - threshold) * (1 + 1e-9)))
+    # a shingle of one text brings no pair; one of many is dealt over salts
+    placed = placed.where("df > 1").select("id", "g", "before", (1 + F.floor(F.col("df") / HOT)).cast("int").alias("salts"))
+    rows = staged(placed.join(members.select("id", "label").join(outline, "id"), "id"), "minhash-prefixes")
     near = F.col("before") <= F.col("mass") * (1 - threshold) / (1 + threshold) * (1 + 1e-9)
-    # a shingle of one text brings no pair
-    lists = placed.where("df > 1").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "g", near.alias("near")))).alias("p"))
-    rows = members.join(outline, "id").join(lists, "id").select("id", "label", "buckets", "mass", "low", "bits", F.transform("p", lambda t: t["g"]).alias("long"),
-                                                               F.transform(F.filter("p", lambda t: t["near"]), lambda t: t["g"]).alias("short"))
-    rows = staged(rows, "minhash-prefixes")
-    x = rows.drop("long").withColumn("g", F.explode("short")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).alias("x")
-    y = rows.drop("short").withColumn("g", F.explode("long")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("y")
+    x = rows.where(near).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).alias("x")
+    y = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
     smaller = (F.col("x.mass") < F.col("y.mass")) | ((F.col("x.mass") == F.col("y.mass")) & (F.col("x.id") < F.col("y.id")))
     able = (F.col("x.label") != F.col("y.label")) & smaller & (F.col("x.mass") >= F.col("y.mass") * (threshold - 1e-6))
+    apart = (F.col("x.mass") + F.col("y.mass")) * ((1 - threshold) / (1 + threshold) * (1 + 1e-6))
     differing = sum((F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(OUTLINE_BITS // 64)), F.lit(0))
-    unlike = differing * F.least("x.low", "y.low") <= (F.col("x.mass") + F.col("y.mass")) * ((1 - threshold) / (1 + threshold) * (1 + 1e-6))
-    first = F.array_intersect("x.short", "y.long")[0] == F.col("x.g")
-    pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.salt") == F.col("y.salt")) & able & unlike & F.arrays_overlap("x.buckets", "y.buckets") & first)
-    return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))
+    close = (F.col("x.before") + F.col("y.before") <= apart) & (differing * F.least("x.low", "y.low") <= apart)
+    pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.salt") == F.col("y.salt")) & able & close)
+    return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -332,8 +332,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     # buckets that still hold several classes: pairs of their members by an exact prefix filter
     seen = met.select("band", "key", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     several = seen.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("band", "key")
-    members = salted_join(seen, several, ["band", "key"], "id").groupBy("id", "label").agg(F.collect_set(F.xxhash64("band", "key")).alias("buckets"))
-    members = staged(members, "minhash-members")
+    members = staged(salted_join(seen, several, ["band", "key"], "id").select("id", "label").distinct(), "minhash-members")
     rest = prefix_pairs(members, texts, idf, threshold).join(tried, ["a", "b"], "left_anti")
     labels = _closed(groups, labels, staged(verified(staged(rest, "minhash-rest"), texts, idf, threshold), "minhash-last"))
     member = groups.select("f1", "f2", "rep").join(labels, F.col("rep") == F.col("id")).select("f1", "f2", F.col("label").alias("class_id"))

@@ -139,3 +139,46 @@ def test_no_link_is_lost_in_a_large_class(spark):
     assert all(want[1000 * g + 501] == 1000 * g for g in range(6))
     got = {r.doc_id: r.class_id for r in weighted_minhash.near_duplicates(docs).collect()}
     assert got == want
+
+
+def test_prefix_pairs_hold_every_pair_at_the_threshold(spark):
+    """Texts at all similarities around the threshold, each a class of its own,
+    all in one bucket: no pair at it is missing, most others are passed over."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(150)]
+        for j in range(25):
+            text, edits = list(base), rng.integers(0, 9)
+            for at in rng.integers(0, 150, edits):
+                text[at] = f"e{rng.integers(0, 40)}" if rng.random() < 0.5 else f"own{g}-{j}-{at}"
+            rows.append((100 * g + j, " ".join(text[rng.integers(0, 12):150 - rng.integers(0, 12)] + ["the same end"] * 3)))
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    idf = weighted_minhash.idf_table(*weighted_minhash.document_frequencies(texts))
+    members = texts.selectExpr("doc_id AS id", "doc_id AS label")
+    got = weighted_minhash.prefix_pairs(members, texts, idf, 0.8).collect()
+    assert len({(r.a, r.b) for r in got}) == len(got) and all(r.a > r.b for r in got)
+    sets = {}
+    for i, t in rows:
+        for *_, g, times in weighted_minhash.shingle_sets(pa.array([t], pa.string())):
+            sets[i] = dict(zip(g.tolist(), weighted_minhash.weights_of(g, times, idf).tolist()))
+    near, n = set(), 0
+    for a in sets:
+        for b in sets:
+            if b < a:
+                n += 1
+                lesser = sum(min(v, sets[b][x]) for x, v in sets[a].items() if x in sets[b])
+                if lesser / (sum(sets[a].values()) + sum(sets[b].values()) - lesser) >= 0.8:
+                    near.add((a, b))
+    found = {(r.a, r.b) for r in got}
+    assert near and near <= found and len(found) < len(near) + 0.05 * n
+
+
+def test_a_bucket_of_thousands_of_one_member_classes(spark):
+    """Unlike texts that share a passage, all in one bucket: pairs are not made."""
+    passage = " ".join(f"common{i}" for i in range(40))
+    rows = [(i, passage + " " + " ".join(f"own{i}w{k}" for k in range(60))) for i in range(3000)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    idf = weighted_minhash.idf_table(*weighted_minhash.document_frequencies(texts))
+    members = texts.selectExpr("doc_id AS id", "doc_id AS label")
+    assert weighted_minhash.prefix_pairs(members, texts, idf, 0.8).count() == 0
