@@ -83,9 +83,10 @@ def phrase_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tupl
     index = build_index(docs, vocabulary)
     picks = staged(rarest_places(places, index, window), "bench-picks")
     lines = staged(diagonals(index, picks), "bench-diagonals")
-    n_lines, n_places = lines.count(), places.count()
-    laid = (index.where(F.col("t") >= 0).join(small(lines, n_lines), "rid").withColumn("ipos", (F.col("pos") - F.col("diag")).cast("int"))
-            .join(small(places, n_places), ["ino", "t", "ipos"]).select("rid", "ino", "diag", "ipos").distinct())
+    n_places = places.count()
+    # a diagonal names the position of each of its item's words: those that hold the word are looked up
+    due = staged(lines.join(small(places.select("ino", "ipos", "t"), n_places), "ino").withColumn("pos", F.col("diag") + F.col("ipos")), "bench-due")
+    laid = index.where(F.col("t") >= 0).join(small(due, due.count()), ["t", "rid", "pos"]).select("rid", "ino", "diag", "ipos").distinct()
     rank = F.row_number().over(Window.partitionBy("rid", "ino", "diag").orderBy("ipos"))
     runs = laid.withColumn("g", F.col("ipos") - rank).groupBy("rid", "ino", "diag", "g").agg(F.min("ipos").alias("lo"), F.count(F.lit(1)).alias("len"))
     heads = places.where(F.col("ipos") == 0).select("ino", "item_id", "n")

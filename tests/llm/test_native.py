@@ -203,3 +203,10 @@ def test_registered_query_matches_sql(spark, key):
     from tools.check_oracle import duck, rows_of
     got, want = QUERIES[key](spark, SF001).toPandas(), duck(SF001).execute(ORACLES[key]).df()
     assert rows_of(got) == rows_of(want)
+
+
+def test_a_long_text_of_one_word_is_matched_in_linear_work(spark):
+    docs = spark.createDataFrame([(1, " ".join(["tok"] * 50_000)), (2, "x " + " ".join(["tok"] * 9)), (3, " ".join(["tok"] * 10))], "doc_id long, text string")
+    items = spark.createDataFrame([("one", "tok"), ("ten", " ".join(["tok"] * 10)), ("no", "tok x")], "item_id string, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.decontaminate(docs, items).collect()}
+    assert got == {1: (50_000, 50_000, 2), 2: (10, 9, 1), 3: (10, 10, 2)}
