@@ -3,31 +3,9 @@ image-text requests and responses, and their join-back into chunks."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def _be(content: Column, pos: int, n: int) -> Column:
-    return F.conv(F.hex(F.substring(content, pos, n)), 16, 10).cast("bigint")
-
-
-def _le(content: Column, pos: int, n: int) -> Column:
-    parts = [F.hex(F.substring(content, pos + i, 1)) for i in reversed(range(n))]
-    return F.conv(F.concat(*parts), 16, 10).cast("bigint")
-
-
-def image_profile(content: Column) -> Column:
-    """struct(mime, width, height) from header bytes of PNG, GIF and BMP;
-    other images get only the mime (JPEG sizes need a marker scan)."""
-    h = F.hex(F.substring(content, 1, 8))
-    png = h == "89504E470D0A1A0A"
-    gif = h.startswith("47494638")
-    bmp = h.startswith("424D")
-    jpg = h.startswith("FFD8FF")
-    mime = (F.when(png, "image/png").when(gif, "image/gif").when(bmp, "image/bmp").when(jpg, "image/jpeg"))
-    width = F.when(png, _be(content, 17, 4)).when(gif, _le(content, 7, 2)).when(bmp, _le(content, 19, 4))
-    height = F.when(png, _be(content, 21, 4)).when(gif, _le(content, 9, 2)).when(bmp, _le(content, 23, 4))
-    return F.struct(mime.alias("mime"), width.alias("width"), height.alias("height"))
+from ..functions.media import APP_PROPS, CORE_PROPS, image_profile  # noqa: F401
 
 
 # ------------------------------------------------------------ image text
@@ -66,13 +44,6 @@ def attach_embeddings(chunks, vectors, key: str, dim: int):
 
 # ------------------------------------------------------------ office properties
 
-# OOXML property elements and the meta keys they fill.
-CORE_PROPS = [("title", "title"), ("creator", "author"), ("subject", "subject"), ("description", "description"),
-              ("keywords", "keywords"), ("category", "category"), ("lastModifiedBy", "last_modified_by"),
-              ("created", "created"), ("modified", "modified")]
-APP_PROPS = [("Application", "application"), ("Company", "company")]
-
-
 def office_properties(parts):
     """``parts(sha256, path, xml)`` (docProps members of exploded OOXML files)
     → one row per file with the core and app properties, trimmed, blanks

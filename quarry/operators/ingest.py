@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import sniff as S
 from ..functions import text as T
+from ..functions.media import image_profile, office_properties_of
 from ..sources.archives import explode_archives
 from .chunking import file_chunks
 from .store import write_staged
@@ -45,7 +46,12 @@ def convert_files(blobs: DataFrame) -> DataFrame:
     inline (bytes of the data-URI images).  Tables, HTML and text become
     markdown; binary routes keep null markdown and their content type."""
     routed = S.with_route(blobs.select("sha256", "content"), "content", "route", kind_out="kind", dialect_out="dialect")
-    routed = write_staged(routed.select("sha256", "route", "kind", "dialect", F.when(
+    none = F.create_map().cast("map<string,string>")
+    image = image_profile(F.when(F.col("route") == "image", F.col("content")))
+    routed = routed.select("*", image.alias("image"), office_properties_of(F.when(F.col("kind").isin("docx", "xlsx", "pptx"), F.col("content"))).alias("office"))
+    size = F.map_filter(F.create_map(F.lit("width"), F.col("image.width").cast("string"), F.lit("height"), F.col("image.height").cast("string")), lambda k, v: v.isNotNull())
+    binary = F.map_concat(F.coalesce("image.exif", none), size, F.coalesce("office", none))
+    routed = write_staged(routed.select("sha256", "route", "kind", "dialect", binary.alias("binary"), F.when(
         ~F.col("route").isin("archive", "image", "office", "pdf", "parquet"), T.normalize_text(F.col("content"))).alias("text")), "ingest-routed")
     tables = tabular_texts(routed.where(F.col("route").isin(*TABULAR)))
     rows = routed.join(tables, "sha256", "left")
@@ -59,9 +65,8 @@ def convert_files(blobs: DataFrame) -> DataFrame:
                        F.when(F.col("route").isin("html", "markdown"), inline).alias("inline"))
     rows = rows.select("*", T.resolve_markdown_refs(H.html_to_markdown(F.col("body"), page)).alias("plain"))
     rows = rows.select("*", T.linkify(F.coalesce("t_markdown", "plain")).alias("markdown"))
-    none = F.create_map().cast("map<string,string>")
     kind = S.content_type(F.col("route"), F.col("kind"))
-    meta = F.map_concat(F.when(kind.isNull(), none).otherwise(F.create_map(F.lit("content_type"), kind)), F.coalesce("t_meta", none),
+    meta = F.map_concat(F.when(kind.isNull(), none).otherwise(F.create_map(F.lit("content_type"), kind)), F.coalesce("t_meta", none), F.col("binary"),
                         F.when(page, H.html_metadata(F.col("text"))).otherwise(none))
     return rows.select("sha256", "route", "markdown", meta.alias("meta"), F.coalesce(T.extract_links(F.col("markdown")), F.array().cast("array<string>")).alias("links"),
                        F.coalesce(T.markdown_images(F.col("plain")), F.array().cast("array<string>")).alias("image_urls"), "inline")

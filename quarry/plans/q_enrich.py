@@ -89,16 +89,26 @@ def udf_3_image_requests(spark, sf_dir):
 
 @register("meta_5_image_profile", """
 SELECT p_partkey AS id, 'image/gif' AS mime, CAST(p_size AS BIGINT) AS width, CAST(p_partkey % 300 AS BIGINT) AS height FROM part
-UNION ALL SELECT p_partkey + 1000000, 'image/bmp', CAST(p_partkey % 300 AS BIGINT), CAST(p_size AS BIGINT) FROM part""")
+UNION ALL SELECT p_partkey + 1000000, 'image/bmp', CAST(p_partkey % 300 AS BIGINT), CAST(p_size AS BIGINT) FROM part
+UNION ALL SELECT p_partkey + 2000000, 'image/jpeg', CAST(p_size AS BIGINT), CAST(p_partkey % 300 AS BIGINT) FROM part
+UNION ALL SELECT p_partkey + 3000000, 'image/tiff', CAST(p_size AS BIGINT), CAST(p_partkey % 300 AS BIGINT) FROM part
+UNION ALL SELECT p_partkey + 4000000, 'image/webp', CAST(p_size + 1 AS BIGINT), CAST(p_partkey % 250 + 1 AS BIGINT) FROM part""")
 def meta_5_image_profile(spark, sf_dir):
-    """Image header profile (MIME, width, height) of GIF and BMP headers."""
+    """Image header profile (MIME, width, height) of GIF, BMP, JPEG (behind a
+    comment segment), TIFF and WebP headers."""
     p = read(spark, sf_dir, "part")
     le16 = lambda c: F.concat(F.lpad(F.hex(c % 256), 2, "0"), F.lpad(F.hex(F.floor(c / 256) % 256), 2, "0"))
     le32 = lambda c: F.concat(le16(c), F.lit("0000"))
     gif = F.unhex(F.concat(F.lit("474946383961"), le16(F.col("p_size")), le16(F.col("p_partkey") % 300)))
     bmp = F.unhex(F.concat(F.lit("424D"), F.lit("00" * 16), le32(F.col("p_partkey") % 300), le32(F.col("p_size"))))
     g = p.select(F.col("p_partkey").alias("id"), EN.image_profile(gif).alias("m"))
+    be16 = lambda c: F.lpad(F.hex(c), 4, "0")
+    jpg = F.unhex(F.concat(F.lit("FFD8FFFE0006C0C0C0C0FFC2001108"), be16(F.col("p_partkey") % 300), be16(F.col("p_size")), F.lit("03" + "00" * 9)))
+    tif = F.unhex(F.concat(F.lit("4D4D002A00000008000201000003" + "00000001"), be16(F.col("p_size")), F.lit("000001010003" + "00000001"), be16(F.col("p_partkey") % 300), F.lit("000000000000")))
+    web = F.unhex(F.concat(F.lit("5249464616000000574542505650385" + "80A00000000000000"), le16(F.col("p_size")), F.lit("00"), le16(F.col("p_partkey") % 250), F.lit("00")))
     b = p.select((F.col("p_partkey") + 1000000).alias("id"), EN.image_profile(bmp).alias("m"))
+    for k, c in ((2, jpg), (3, tif), (4, web)):
+        b = b.unionByName(p.select((F.col("p_partkey") + k * 1000000).alias("id"), EN.image_profile(c).alias("m")))
     return g.unionByName(b).select("id", "m.mime", F.col("m.width").cast("bigint").alias("width"),
                                    F.col("m.height").cast("bigint").alias("height"))
 
