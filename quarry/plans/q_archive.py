@@ -34,12 +34,12 @@ def _pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"source": [src], "bucket": [int(pdf["bucket"].iloc[0])], "kind": [kind], "content": [data]})
 
 
-def archives_df(spark, sf_dir):
+def archives_df(spark, sf_dir, docs=None):
     """Documents packed into archives per (source, bucket of 25 doc ids):
     zips with unsafe / absolute / directory entries, tar.gz files, and zips
     holding a nested tar."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "text", "source",
-                                                 F.floor(F.col("doc_id") / BUCKET).cast("bigint").alias("bucket"))
+    docs = read(spark, sf_dir, "documents") if docs is None else docs
+    d = docs.select("doc_id", "text", "source", F.floor(F.col("doc_id") / BUCKET).cast("bigint").alias("bucket"))
     return d.groupBy("source", "bucket").applyInPandas(
         _pack_group, "source string, bucket bigint, kind string, content binary")
 

@@ -11,20 +11,27 @@ from .registry import register
 from .tables import read
 
 
-@register("ing_1_collection", MEMBERS_SQL + """,
-u AS (SELECT DISTINCT sha256(text) AS sha256 FROM documents WHERE doc_id % 2 = 0),
+#: Archives hold every document and a changed copy of it, uploads the documents.
+COPY = 1_000_000_000
+PACKED_SQL = MEMBERS_SQL.replace("FROM documents)", f"""FROM (
+  SELECT doc_id, text, source FROM documents UNION ALL SELECT doc_id + {COPY}, text || chr(10) || 'archived', source FROM documents))""")
+
+
+@register("ing_1_collection", PACKED_SQL + """,
+u AS (SELECT sha256(text) AS sha256, count(*) AS n_sources FROM documents GROUP BY 1),
 e AS (SELECT child_sha256 AS sha256, count(*) AS n_paths, count(DISTINCT source || '/' || bucket) AS n_archives FROM m GROUP BY 1),
 a AS (SELECT sha256 FROM e UNION SELECT sha256 FROM u)
 SELECT a.sha256, CASE WHEN u.sha256 IS NULL THEN 1 ELSE 0 END AS generation, coalesce(n_paths, 0) AS n_paths, coalesce(n_archives, 0) AS n_archives,
-       (SELECT count(*) FROM documents d WHERE d.doc_id % 2 = 0 AND sha256(d.text) = a.sha256) AS n_sources
+       coalesce(n_sources, 0) AS n_sources
 FROM a LEFT JOIN u USING (sha256) LEFT JOIN e USING (sha256)""")
 def ing_1_collection(spark, sf_dir):
-    """Uploads (every second document) and archives of all documents in one
+    """All documents uploaded, and archives of them and of changed copies, in one
     ingest: per text file its generation (1 if only archives brought it), the
     archive paths and archives that hold it, and its source rows."""
-    d = read(spark, sf_dir, "documents").filter(F.col("doc_id") % 2 == 0)
+    d = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     uploads = d.select("source", F.col("doc_id").cast("string").alias("source_id"), F.encode("text", "UTF-8").alias("content"))
-    packed = write_staged(archives_df(spark, sf_dir), "archives")
+    copies = d.select((F.col("doc_id") + COPY).alias("doc_id"), F.concat("text", F.lit("\narchived")).alias("text"), "source")
+    packed = write_staged(archives_df(spark, sf_dir, d.unionByName(copies)), "archives")
     boxes = packed.select(F.lit("archive").alias("source"), F.concat_ws("/", "source", "bucket").alias("source_id"), "content")
     got = ingest(uploads.unionByName(boxes))
     files = got.files.filter(F.col("route") != "archive").select("sha256", "generation")

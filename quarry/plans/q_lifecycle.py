@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_sha256
 from ..operators import lifecycle as L
+from ..operators.store import write_staged
 from .registry import register
-from .sql import AS_OF_SQL, FILE_FILES_CTE, FILES_CTE, SOURCES_CTE, URL_FILES_CTE
+from .sql import chunks_cte, AS_OF_SQL, FILE_FILES_CTE, FILES_CTE, SOURCES_CTE, URL_FILES_CTE
 from .tables import (AS_OF, EPOCH, epoch_seconds, file_files_table, read, sources_table, ts_ntz,
                      file_states, url_files_table)
 
@@ -187,20 +188,19 @@ def join_13_refcheck(spark, sf_dir):
                                          F.countDistinct("key").alias("n_keys"))
 
 
-@register("join_7_orphan_chunks", """
-WITH m AS (SELECT DISTINCT sha256(text) AS f, sha256('chunk:' || left(text, 40)) AS c, source FROM documents),
-alive AS (SELECT f FROM m WHERE source <> 'src3')
-SELECT DISTINCT c AS sha256 FROM m WHERE c NOT IN (SELECT c FROM m WHERE f IN (SELECT f FROM alive))""")
+@register("join_7_orphan_chunks", "WITH f AS (SELECT sha256(text) AS file_sha256, arg_min(text, doc_id) AS text FROM documents GROUP BY 1),\n"
+          + chunks_cte("f").strip() + """,
+alive AS (SELECT sha256(text) AS f FROM documents WHERE source <> 'src3')
+SELECT DISTINCT chunk_sha256 AS sha256 FROM fc
+WHERE chunk_sha256 NOT IN (SELECT chunk_sha256 FROM fc WHERE file_sha256 IN (SELECT f FROM alive))""")
 def join_7_orphan_chunks(spark, sf_dir):
     """Chunk sweep after a file sweep: the files held by source src3 alone are
-    deleted, their mappings go with them, then the chunks that no mapping holds
-    (chunks stand for the documents' first 40 characters here)."""
+    deleted, their mappings go with them, then the chunks that no mapping holds."""
+    from ..operators.chunking import dedup_files, file_chunks
     d = read(spark, sf_dir, "documents")
-    m = d.select(content_sha256(F.col("text")).alias("file_sha256"), "source",
-                 content_sha256(F.concat(F.lit("chunk:"), F.substring("text", 1, 40))).alias("chunk_sha256")).distinct()
-    alive = m.filter(F.col("source") != "src3").select(F.col("file_sha256").alias("sha256"))
-    chunks = m.select(F.col("chunk_sha256").alias("sha256")).distinct()
-    return L.orphan_chunks(chunks, L.cascade_mappings(m, alive))
+    mapping = write_staged(file_chunks(dedup_files(d)).select("file_sha256", "chunk_sha256").distinct(), "chunk-mapping")
+    alive = d.filter(F.col("source") != "src3").select(content_sha256(F.col("text")).alias("sha256")).distinct()
+    return L.orphan_chunks(mapping.select(F.col("chunk_sha256").alias("sha256")).distinct(), L.cascade_mappings(mapping, alive))
 
 
 @register("flt_11_unindexed", f"""
