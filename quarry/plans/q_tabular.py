@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import tabular as TB
+from ..operators.store import write_staged
 from ..session import scratch_path
 from ..sources import formats as FM
 from ..functions.sniff import csv_dialect
@@ -87,6 +88,30 @@ def win_3_rowid(spark, sf_dir):
     return TB.row_index(li, ["l_orderkey", "l_linenumber"])
 
 
+@register("win_3_file_order", """
+SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS "RowID", l_orderkey, l_linenumber FROM lineitem""")
+def win_3_file_order(spark, sf_dir):
+    """RowID in file order: lineitem keys written in order to CSV files of many
+    splits, numbered as they lie in the files."""
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    path = scratch_path(spark, "ordered-csv")
+    li.repartitionByRange(4, "l_orderkey", "l_linenumber").sortWithinPartitions("l_orderkey", "l_linenumber").write.csv(path)
+    return TB.file_row_index(spark.read.schema(li.schema).csv(path))
+
+
+@register("tab_4_chunks", "WITH t AS (" + _lines_sql("orders", "o_orderkey", ORDER_COLS) + """),
+h AS (SELECT string_agg(line, chr(10) ORDER BY line_no) AS head FROM t WHERE line_no < 2),
+r AS (SELECT line_no, line, coalesce(sum(length(line) + 1) OVER (ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM t WHERE line_no >= 2),
+c AS (SELECT CAST(floor(pos / (4000 - length(head) - 1)) AS BIGINT) AS k, head || chr(10) || string_agg(line, chr(10) ORDER BY line_no) AS markdown FROM r, h GROUP BY 1, head)
+SELECT row_number() OVER (ORDER BY k) - 1 AS idx, sha256(markdown) AS sha256, CAST(length(markdown) AS BIGINT) AS n_chars FROM c""")
+def tab_4_chunks(spark, sf_dir):
+    """The markdown table of ``orders`` as chunks of whole rows under its header,
+    cut by distributed prefix sums of the line lengths."""
+    lines = TB.markdown_lines(TB.to_table(read(spark, sf_dir, "orders"), ["o_orderkey"]))
+    out = TB.table_chunks(write_staged(lines, "table-lines"), 4000)
+    return out.select("idx", F.sha2("markdown", 256).alias("sha256"), F.length("markdown").cast("bigint").alias("n_chars"))
+
+
 PROFILE_COLS = {
     "region": ["r_regionkey", "r_name"],
     "nation": ["n_nationkey", "n_name", "n_regionkey"],

@@ -47,3 +47,35 @@ def test_cell_whitespace_is_unicode_white_space(spark):
         v = regex.sub(r"\p{White_Space}+", " ", v).replace("|", "¦")
         return regex.sub(r"^\p{White_Space}+|\p{White_Space}+$", "", v)
     assert got == [rule(c) for c in cells]
+
+
+def test_row_numbers_follow_the_files(spark, tmp_path):
+    lines = {f"f{k}.csv": [f"{k},{i}" for i in range(700 + 31 * k)] for k in range(3)}
+    for name, rows in lines.items():
+        (tmp_path / name).write_text("\n".join(rows) + "\n")
+    want = [tuple(map(int, r.split(","))) for name in sorted(lines) for r in lines[name]]
+    spark.range(1000).selectExpr("id", "id * 3 AS x").coalesce(1).write.parquet(str(tmp_path / "p"), mode="overwrite")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")   # many splits a file
+    try:
+        df = spark.read.schema("k int, i int").csv(str(tmp_path / "f*.csv"))
+        assert df.rdd.getNumPartitions() > 6
+        got = sorted((r.RowID, r.k, r.i) for r in TB.file_row_index(df).collect())
+        assert got == [(n, *r) for n, r in enumerate(want, 1)]
+        p = TB.file_row_index(spark.read.parquet(str(tmp_path / "p"))).collect()
+        assert sorted((r.RowID, r.id) for r in p) == [(i + 1, i) for i in range(1000)]
+        table = TB.to_table(df)
+        assert table.columns == ["RowID", "k", "i"] and table.where("RowID = '701'").first().k == "1"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_table_chunks_hold_whole_rows_in_order(spark):
+    table = spark.createDataFrame([(str(i), "x" * (i % 37)) for i in range(1, 400)], "RowID string, a string")
+    lines = TB.markdown_lines(table)
+    for block in (1, 7, 10_000):
+        got = [r.markdown.split("\n") for r in TB.table_chunks(lines, 200, block).orderBy("idx").collect()]
+        assert all(c[:2] == ["RowID | a", "- | -"] for c in got)
+        assert [x for c in got for x in c[2:]] == [f"{i} | {'x' * (i % 37)}" for i in range(1, 400)]
+        assert all(len("\n".join(c[:-1])) <= 200 for c in got) and len(got) > 30
+    assert TB.table_chunks(lines.where("line_no < 2"), 200).count() == 0
