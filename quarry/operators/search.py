@@ -112,64 +112,81 @@ def cosine_top_k(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "i
     return top_k(out, "query_id", "score", "id", k)
 
 
-def kmeans_cells(corpus: DataFrame, vec_col: str, n_cells: int, seed: int = 7):
-    """Fit k-means on normalized vectors (distributed, MLlib) and return the
-    model plus a function assigning a cell column."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-    norm = F.transform(F.col(vec_col), lambda x: x / F.sqrt(F.aggregate(F.col(vec_col), F.lit(0.0),
-                                                                        lambda a, y: a + y * y)))
-    feats = corpus.withColumn("_f", array_to_vector(norm))
-    model = KMeans(k=n_cells, seed=seed, featuresCol="_f", predictionCol="cell", maxIter=20).fit(feats)
-
-    def assign(df: DataFrame, col: str) -> DataFrame:
-        n2 = F.transform(F.col(col), lambda x: x / F.sqrt(F.aggregate(F.col(col), F.lit(0.0),
-                                                                      lambda a, y: a + y * y)))
-        return model.transform(df.withColumn("_f", array_to_vector(n2))).drop("_f")
-    return model, assign
-
+#: Rows that the cells are fitted on (or FIT_PER_CELL for each cell, if more), queries that the recall is measured on.
+FIT_ROWS, FIT_PER_CELL, RECALL_ROWS = 20_000, 32, 64
 
-FIT_ROWS, RECALL_ROWS = 20_000, 64         # rows that the cells are fitted on, queries that the recall is measured on
 
-
-def ivf_top_k(corpus: DataFrame, queries: DataFrame, k: int, n_cells: int = 16, n_probe: int | None = None,
+def cell_centres(rows: DataFrame, n: int, n_cells: int, seed: int = 7) -> np.ndarray:
+    """Normalized centres of ``n_cells`` k-means cells (MLlib) of rows(id, v),
+    fitted on a sample that grows with the number of cells."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+    share = min(1.0, max(FIT_ROWS, FIT_PER_CELL * n_cells) / max(n, 1))
+    near = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= F.lit(int(share * (1 << 20))))
+    unit = _let(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, y: a + y * y)), lambda n: F.transform("v", lambda x: F.when(n > 0, x / n).otherwise(x)))
+    model = KMeans(k=n_cells, seed=seed, featuresCol="f", predictionCol="cell", maxIter=20).fit(near.select(array_to_vector(unit).alias("f")))
+    return _normalize(np.array(model.clusterCenters(), dtype=np.float64))
+
+
+def nearest_cells(rows: DataFrame, centres: np.ndarray, m: int) -> DataFrame:
+    """rows(id, v) → (id, v, rank, cell): each row's ``m`` nearest cells.  The
+    centres (√N vectors) are broadcast once and compared as a matrix."""
+    table = rows.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches):
+        for batch in batches:
+            vecs = batch.column("v")
+            dims = np.diff(vecs.offsets.to_numpy())
+            keep = np.flatnonzero(dims == table.value.shape[1])
+            if not len(keep):
+                continue
+            flat = vecs.flatten().to_numpy()
+            x = _normalize(flat[np.repeat(dims == table.value.shape[1], dims)].reshape(len(keep), -1))
+            dots = x @ table.value.T
+            cells = np.argsort(-dots, axis=1, kind="stable")[:, :m] if m > 1 else dots.argmax(axis=1)[:, None]
+            at = pa.array(np.repeat(keep, cells.shape[1]))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), vecs.take(at), pa.array(np.tile(np.arange(cells.shape[1], dtype=np.int32), len(keep))),
+                                              pa.array(cells.reshape(-1).astype(np.int32))], ["id", "v", "rank", "cell"])
+
+    return rows.select("id", "v").mapInArrow(run, f"id {dict(rows.dtypes)['id']}, v array<double>, rank int, cell int")
+
+
+def ivf_top_k(corpus: DataFrame, queries: DataFrame, k: int, n_cells: int | None = None, n_probe: int | None = None,
               id_col: str = "id", vec_col: str = "embedding", qid_col: str = "query_id",
               qvec_col: str = "embedding", exclude_self: bool = False, target_recall: float = 0.95) -> DataFrame:
-    """Approximate top-k over k-means cells: every row lies in the block lists of
-    its cell, a query is joined to its ``n_probe`` nearest cells and no other
-    block is read.  Cells are fitted on at most about FIT_ROWS rows and hold all
-    rows.  Without ``n_probe`` it is the least number whose recall against the
-    exact search, on RECALL_ROWS of the queries, reaches ``target_recall``."""
+    """Approximate top-k over k-means cells, √N of them unless ``n_cells`` is
+    given: every row lies in the blocks of its nearest cell, a query is joined to
+    those of its ``n_probe`` nearest cells and no other block is read.  Without
+    ``n_probe`` it is the least number whose recall against the exact search, on
+    RECALL_ROWS of the queries, reaches ``target_recall``.  Vectors of another
+    length than the corpus's commonest are not indexed."""
+    cells, asked, n_probe, centres = ivf_plan(corpus, queries, k, n_cells, n_probe, id_col, vec_col, qid_col, qvec_col, exclude_self, target_recall)
+    probes = nearest_cells(asked, centres, n_probe).select("id", "v", "cell")
+    return cosine_top_k(cells, probes, k, "id", "v", "id", "v", exclude_self, F.col("cell"), probes)
+
+
+def ivf_plan(corpus, queries, k, n_cells, n_probe, id_col, vec_col, qid_col, qvec_col, exclude_self, target_recall):
+    """(corpus rows with their cells, queries, cells to probe, centres)."""
     whole = _vector_rows(corpus, id_col, vec_col, None).select("id", "v")
     asked = _vector_rows(queries, qid_col, qvec_col, None).select("id", "v")
-    n = whole.count()
-    share = min(1.0, FIT_ROWS / max(n, 1))
-    near = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= F.lit(int(share * (1 << 20)))
-    model, assign = kmeans_cells(whole.filter(near), "v", n_cells)
-    cells = assign(whole, "v").select("id", "v", "cell")
-    cmat = _normalize(np.array(model.clusterCenters(), dtype=np.float64))
-    # nearest centroids of each query: Column dot products against the fixed-size centroid list
-    dots = F.array(*[F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in c]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) for c in cmat])
-    order = F.sort_array(F.transform(dots, lambda d, i: F.struct((-d).alias("d"), i.alias("cell"))))
-
-    def probes(rows, m):
-        return rows.select("id", "v", F.explode(F.slice(order, 1, m)).alias("p")).select("id", "v", F.col("p.cell").alias("cell"))
-
-    def search(rows, m):
-        return cosine_top_k(cells, rows, k, "id", "v", "id", "v", exclude_self, F.col("cell"), probes(rows, m))
+    common = whole.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).agg(F.max(F.struct("n", "dim")).alias("m")).first()["m"]
+    n, dim = (common["n"], common["dim"]) if common else (0, 0)
+    whole, asked = (x.filter(F.size("v") == dim) for x in (whole, asked))
+    n_cells = max(1, min(n, n_cells or int(np.ceil(np.sqrt(n)))))
+    centres = cell_centres(whole, n, n_cells) if n else np.zeros((1, max(dim, 1)))
+    cells = nearest_cells(whole, centres, 1).select("id", "v", "cell")
     if n_probe is None:
         some = asked.orderBy(F.xxhash64("id"), "id").limit(RECALL_ROWS)
         exact = cosine_top_k(whole, some, k, "id", "v", "id", "v", exclude_self).select("query_id", "id")
         # the rank of the cell in which each true neighbour lies, by query: one small histogram
-        ranks = some.select(F.col("id").alias("query_id"), F.posexplode(order).alias("rank", "p")).select("query_id", "rank", F.col("p.cell").alias("cell"))
+        ranks = nearest_cells(some, centres, len(centres)).select(F.col("id").alias("query_id"), "rank", "cell")
         where = exact.join(cells.select("id", "cell"), "id").join(ranks, ["query_id", "cell"])
         hist = dict(where.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).collect())
         total, found, n_probe = sum(hist.values()), 0, 0
-        while n_probe < n_cells and found < target_recall * total:
+        while n_probe < len(centres) and found < target_recall * total:
             found += hist.get(n_probe, 0)
             n_probe += 1
-        n_probe = max(n_probe, 1)
-    return search(asked, n_probe)
+    return cells, asked, max(n_probe, 1), centres
 
 
 # ------------------------------------------------------------------- text
