@@ -119,26 +119,66 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
     return staged(records.mapInArrow(run, "path string, bytes long, records long"), "warc-manifest")
 
 
+#: Start of a gzip member, of the record inside, and the bytes that must show it.
+GZIP, OPENING, PROBE = b"\x1f\x8b\x08", b"WARC/", 4096
+
+
 def members(stream, block: int = BLOCK) -> Iterator[tuple[bytes, str | None]]:
-    """(record, error) of each gzip member of a binary stream, read in blocks."""
-    z, parts, pending = zlib.decompressobj(31), [], b""
-    fresh = True
+    """(record, error) of each gzip member of a binary stream, read in blocks.
+    After a broken member reading goes on at the next one that opens a record,
+    if there is one; the error then tells how many bytes were passed over."""
+    z, parts, raw, pending = zlib.decompressobj(31), [], [], b""
     while True:
         data = pending or stream.read(block)
-        pending = b""
-        if not data:
-            if not fresh:
-                yield b"".join(parts), "truncated member"
-            return
-        fresh = False
-        try:
-            parts.append(z.decompress(data))
-        except zlib.error as e:
-            yield b"".join(parts), f"bad member: {e}"
+        pending, fault = b"", None
+        if data:
+            raw.append(data)
+            try:
+                parts.append(z.decompress(data))
+            except zlib.error as e:
+                fault = f"bad member: {e}"
+        elif raw:
+            fault = "truncated member"
+        else:
             return
-        if z.eof:
+        if fault is not None:
+            skipped, pending = _resume(stream, b"".join(raw), block)
+            yield b"".join(parts), f"{fault}; {skipped} bytes skipped" if pending else fault
+        elif z.eof:
             yield b"".join(parts), None
-            pending, z, parts, fresh = z.unused_data, zlib.decompressobj(31), [], True
+            pending = z.unused_data
+        else:
+            continue
+        z, parts, raw = zlib.decompressobj(31), [], []
+
+
+def _resume(stream, data: bytes, block: int) -> tuple[int, bytes]:
+    """(bytes passed over, bytes from the next member on): the first gzip header
+    behind the start of ``data`` whose member opens a record, read on from the
+    stream as far as needed."""
+    gone, at = 0, 1
+    while True:
+        at = data.find(GZIP, at)
+        short = at < 0
+        if not short:
+            try:
+                opens = zlib.decompressobj(31).decompress(data[at:at + PROBE], len(OPENING))
+                if opens == OPENING:
+                    return gone + at, data[at:]
+                short = len(opens) < len(OPENING) and OPENING.startswith(opens) and at + PROBE > len(data)
+            except zlib.error:
+                pass
+            if not short:
+                at += 1
+                continue
+        keep = at if at >= 0 else max(len(data) - len(GZIP) + 1, 0)
+        more = stream.read(block)
+        if not more:
+            if at < 0:
+                return gone + len(data), b""
+            at += 1
+            continue
+        gone, data, at = gone + keep, data[keep:] + more, 0 if at >= 0 or keep else 1
 
 
 def parse_record(data: bytes) -> dict:

@@ -278,6 +278,24 @@ def test_warc_members_and_broken_records():
     assert "bad member" in list(warc.members(io.BytesIO(b"not gzip at all")))[0][1]
 
 
+def test_warc_reading_goes_on_after_damage():
+    """Any one byte changed in the second of five records: the others are read."""
+    records = [warc.record_bytes(i, f"u{i}", (f"payload {i} " * 40).encode() + bytes(range(256)), None) for i in range(5)]
+    packed = [warc._member(r) for r in records]
+    for at in range(0, len(packed[1]), 11):
+        for change in (0x01, 0x80, 0xFF):
+            broken = bytearray(packed[1])
+            broken[at] ^= change
+            stream = packed[0] + bytes(broken) + b"".join(packed[2:])
+            for block in (13, 1 << 16):
+                got = list(warc.members(io.BytesIO(stream), block=block))
+                fine = [d for d, e in got if e is None and warc.parse_record(d)["error"] is None]
+                assert [r for r in fine if r != records[1]] == [records[0], *records[2:]], (at, change, block)
+    torn = packed[0] + packed[1][:60] + b"\x1f\x8b\x08 no member" * 9 + packed[2]
+    got = list(warc.members(io.BytesIO(torn), block=10))
+    assert [d for d, e in got if e is None] == [records[0], records[2]] and sum(e is not None for _, e in got) == 1 and "skipped" in got[1][1]
+
+
 # ---- suffix arrays ------------------------------------------------------
 
 def _repeated(rows, k=50):
