@@ -50,8 +50,10 @@ def file_chunks(files: DataFrame, target: int = CHUNK_TARGET, sha_col: str = "sh
 
 
 def distinct_chunks(fc: DataFrame) -> DataFrame:
-    """Chunk table: one row per chunk hash with the number of files using it."""
-    return (fc.groupBy("chunk_sha256")
-              .agg(F.any_value("markdown").alias("markdown"),
-                   F.count(F.lit(1)).alias("n_refs"))
-              .withColumnRenamed("chunk_sha256", "sha256"))
+    """Chunk table: one row per chunk hash with the number of file places using
+    it.  Only keys are aggregated; the text comes from the first place (file,
+    ordinal) by a join on it.  ``fc`` is read twice: stage a costly one first."""
+    first = (fc.groupBy("chunk_sha256").agg(F.count(F.lit(1)).alias("n_refs"), F.min(F.struct("file_sha256", "idx")).alias("_at"))
+             .select("n_refs", F.col("_at.file_sha256").alias("_f"), F.col("_at.idx").alias("_i")))
+    rows = fc.join(first, (F.col("file_sha256") == F.col("_f")) & (F.col("idx") == F.col("_i")))
+    return rows.select(F.col("chunk_sha256").alias("sha256"), "markdown", "n_refs")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_sha256
 from ..operators.chunking import dedup_files, distinct_chunks, file_chunks
+from ..operators.store import write_staged
 from .registry import register
 from .sql import chunks_cte
 from .tables import read
@@ -65,7 +66,7 @@ SELECT chunk_sha256 AS sha256, count(*) AS n_refs, CAST(any_value(length(markdow
 FROM fc GROUP BY 1""")
 def agg_2_chunk_dedup(spark, sf_dir):
     """Chunk table: distinct chunks across files with their reference counts."""
-    c = distinct_chunks(chunk_rows(spark, sf_dir))
+    c = distinct_chunks(write_staged(chunk_rows(spark, sf_dir), "file-chunks"))
     return c.select("sha256", "n_refs", F.length("markdown").cast("bigint").alias("n_chars"))
 
 
