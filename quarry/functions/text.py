@@ -168,9 +168,12 @@ def split_column(df, text_col: str, out_col: str, target: int = CHUNK_TARGET):
 HEX64_RE = "^[a-f0-9]{64}$"
 
 
-def resolve_markdown_refs(md: Column) -> Column:
-    """Markdown refs without a base URL: relative images are removed, relative
-    links stay, absolute http(s) targets and 64-hex content refs stay."""
+def resolve_markdown_refs(md: Column, base: Column | None = None) -> Column:
+    """Markdown refs: absolute http(s) targets and 64-hex content refs stay.  With
+    a ``base`` URL relative targets are joined to it; without one (or where it is
+    null) relative images are removed and relative links stay."""
+    if base is not None:
+        return F.when(base.isNotNull(), _joined_refs(md, base)).otherwise(resolve_markdown_refs(md))
     # Scan like the reference: every ref is matched whole, left to right; a
     # relative image (group 1) is replaced by nothing, any other ref (group 2)
     # is written back unchanged.
@@ -179,6 +182,17 @@ def resolve_markdown_refs(md: Column) -> Column:
     return F.regexp_replace(md, pat, "$2")
 
 
+def _joined_refs(md: Column, base: Column) -> Column:
+    from .urls import absolutize
+
+    def joined(ref):
+        target = F.regexp_extract(ref, r"^!?\[[^\]]*\]\(([^)]+)\)$", 1)
+        head = F.substring(ref, F.lit(1), F.length(ref) - F.length(target) - 1)
+        stays = target.rlike(r"^(https?://|[a-f0-9]{64}\n?\z)")
+        return F.when(stays, ref).otherwise(F.concat(head, absolutize(target, base), F.lit(")")))
+    return replace_each(md, MD_REF_RE, joined)
+
+
 def markdown_images(md: Column) -> Column:
     """Distinct absolute http(s) image URLs among the refs of a markdown text
     (refs are scanned whole, left to right, as the resolver does)."""

@@ -305,23 +305,31 @@ def agg_11_status(spark, sf_dir):
                  .alias("max_backlog_age_s"))
 
 
-@register("agg_12_savings", """
-WITH d AS (SELECT source, sha256(text) AS sha, octet_length(encode(text)) AS nb FROM documents),
-u AS (SELECT source, sha, any_value(nb) AS nb FROM d GROUP BY 1, 2)
+@register("agg_12_savings", "WITH f AS (SELECT sha256(text) AS file_sha256, arg_min(text, doc_id) AS text FROM documents GROUP BY 1),\n"
+          + chunks_cte("f").strip() + """,
+d AS (SELECT source, sha256(text) AS sha, octet_length(encode(text)) AS nb FROM documents),
+u AS (SELECT source, sha, any_value(nb) AS nb FROM d GROUP BY 1, 2),
+c AS (SELECT d.source, count(*) AS n_chunks, count(DISTINCT fc.chunk_sha256) AS n_unique_chunks FROM d JOIN fc ON fc.file_sha256 = d.sha GROUP BY 1)
 SELECT d.source, count(*) AS n_files, any_value(u.n_unique) AS n_unique,
-       CAST(sum(nb) AS BIGINT) AS raw_bytes, CAST(any_value(u.unique_bytes) AS BIGINT) AS unique_bytes
+       CAST(sum(nb) AS BIGINT) AS raw_bytes, CAST(any_value(u.unique_bytes) AS BIGINT) AS unique_bytes,
+       any_value(c.n_chunks) AS n_chunks, any_value(c.n_unique_chunks) AS n_unique_chunks
 FROM d JOIN (SELECT source, count(*) AS n_unique, sum(nb) AS unique_bytes FROM u GROUP BY 1) u ON d.source = u.source
-GROUP BY 1""")
+JOIN c ON c.source = d.source GROUP BY 1""")
 def agg_12_savings(spark, sf_dir):
-    """Dedup savings per source: raw vs unique files and bytes."""
-    d = read(spark, sf_dir, "documents").select(
-        "source", content_sha256(F.col("text")).alias("sha"), F.octet_length(F.encode("text", "UTF-8")).alias("nb"))
-    per = d.groupBy("source", "sha").agg(F.count(F.lit(1)).alias("c"), F.any_value("nb").alias("nb"))
-    return per.groupBy("source").agg(
+    """Dedup savings per source: raw vs unique files, bytes and chunks.  A file's
+    chunks are split once and weighed by its copies in the source."""
+    from ..operators.chunking import dedup_files, file_chunks
+    docs = read(spark, sf_dir, "documents")
+    d = docs.select("source", content_sha256(F.col("text")).alias("sha"), F.octet_length(F.encode("text", "UTF-8")).alias("nb"))
+    per = write_staged(d.groupBy("source", "sha").agg(F.count(F.lit(1)).alias("c"), F.any_value("nb").alias("nb")), "source-files")
+    files = per.groupBy("source").agg(
         F.sum("c").cast("bigint").alias("n_files"), F.count(F.lit(1)).alias("n_unique"),
         F.sum(F.col("nb") * F.col("c")).cast("bigint").alias("raw_bytes"),
         F.sum("nb").cast("bigint").alias("unique_bytes"))
-
+    fc = file_chunks(dedup_files(docs)).select(F.col("file_sha256").alias("sha"), "chunk_sha256").groupBy("sha", "chunk_sha256").agg(F.count(F.lit(1)).alias("k"))
+    chunks = (per.select("source", "sha", "c").join(fc, "sha").groupBy("source", "chunk_sha256").agg(F.sum(F.col("c") * F.col("k")).alias("n"))
+              .groupBy("source").agg(F.sum("n").cast("bigint").alias("n_chunks"), F.count(F.lit(1)).alias("n_unique_chunks")))
+    return files.join(chunks, "source")
 
 
 def _org_edges(spark, sf_dir):

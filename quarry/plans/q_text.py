@@ -118,6 +118,19 @@ def str_6_md_refs(spark, sf_dir):
                     F.size(T.markdown_images(src)).cast("bigint").alias("n_images"))
 
 
+@register("str_6_base", """
+SELECT doc_id, '![a](https://b.example/dir/img/' || doc_id || '.png) [t](https://b.example/up/' || doc_id || ') [q](https://b.example/dir/page?q=' || doc_id
+  || ') [h](https://x.example/' || doc_id || ') ![c](' || sha256(text) || ') [r](https://b.example/root' || doc_id || ') [n](https://cdn.example/' || doc_id || ')' AS md FROM documents""")
+def str_6_base(spark, sf_dir):
+    """Markdown references joined to a base URL: relative, parent, query, root and
+    network paths; absolute and content-hash refs stay."""
+    i = F.col("doc_id").cast("string")
+    md = F.concat(F.lit("![a](img/"), i, F.lit(".png) [t](../up/"), i, F.lit(") [q](?q="), i, F.lit(") [h](https://x.example/"), i, F.lit(") ![c]("), F.sha2("text", 256),
+                  F.lit(") [r](/root"), i, F.lit(") [n](//cdn.example/"), i, F.lit(")"))
+    d = read(spark, sf_dir, "documents").select("doc_id", md.alias("md"))
+    return d.select("doc_id", T.resolve_markdown_refs(F.col("md"), F.lit("https://b.example/dir/page")).alias("md"))
+
+
 # ---------------------------------------------------------------- STR-8
 
 def _with_data_uri():
