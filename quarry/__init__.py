@@ -19,8 +19,10 @@ from .functions.text import extract_links, linkify, normalize_text, split_markdo
 from .operators.chunking import dedup_files, distinct_chunks, file_chunks  # noqa: E402,F401
 from .operators.lifecycle import (asof_latest, freshness_lookup, orphan_generations,  # noqa: E402,F401
                                   readiness, referential_check)
-from .operators.search import (bm25, context_window, cosine_top_k, ivf_top_k, lineage, rrf,  # noqa: E402,F401
+from .operators.search import (bm25, context_window, cosine_top_k, ivf_top_k, lineage, regex_search, rrf,  # noqa: E402,F401
                                scoped_chunks, substring_search, trigram_search)
+from .operators.text_index import build_term_index, build_trigram_index  # noqa: E402,F401
+from .operators.tabular import file_row_index, row_index, table_chunks  # noqa: E402,F401
 from .operators.store import BlobStore, insert_if_absent, latest_by_key, upsert  # noqa: E402,F401
 from .session import build_session  # noqa: E402,F401
 from .sources.archives import explode_archives  # noqa: E402,F401
@@ -31,5 +33,6 @@ __all__ = [
     "split_markdown", "html_to_markdown", "html_metadata", "dedup_files", "file_chunks", "distinct_chunks",
     "explode_archives", "freshness_lookup", "asof_latest", "readiness", "orphan_generations", "referential_check",
     "upsert", "insert_if_absent", "latest_by_key", "BlobStore", "cosine_top_k", "ivf_top_k", "trigram_search",
-    "substring_search", "bm25", "rrf", "scoped_chunks", "lineage", "context_window",
+    "substring_search", "regex_search", "build_trigram_index", "build_term_index", "file_row_index", "row_index",
+    "table_chunks", "bm25", "rrf", "scoped_chunks", "lineage", "context_window",
 ]
