@@ -298,16 +298,22 @@ def prefix_pairs(members: DataFrame, texts: DataFrame, idf: np.ndarray, threshol
     # a shingle of one text brings no pair; one of many is dealt over salts
     placed = placed.where("df > 1").select("id", "g", "before", (1 + F.floor(F.col("df") / HOT)).cast("int").alias("salts"))
     rows = staged(placed.join(members.select("id", "label").join(outline, "id"), "id"), "minhash-prefixes")
+    # the members of a hot shingle's largest class need not meet each other
+    largest = rows.where("salts > 1").groupBy("g", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("g").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
+    largest = staged(largest, "minhash-largest")
+    rows = rows.join(small(largest, largest.count()), "g", "left").withColumn("major", F.coalesce(F.col("label") == F.col("largest"), F.lit(False))).drop("largest")
     near = F.col("before") <= F.col("mass") * (1 - threshold) / (1 + threshold) * (1 + 1e-9)
-    x = rows.where(near).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).alias("x")
-    y = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
+    x = rows.where(near).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    y = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     smaller = (F.col("x.mass") < F.col("y.mass")) | ((F.col("x.mass") == F.col("y.mass")) & (F.col("x.id") < F.col("y.id")))
     able = (F.col("x.label") != F.col("y.label")) & smaller & (F.col("x.mass") >= F.col("y.mass") * (threshold - 1e-6))
     apart = (F.col("x.mass") + F.col("y.mass")) * ((1 - threshold) / (1 + threshold) * (1 + 1e-6))
     differing = sum((F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(OUTLINE_BITS // 64)), F.lit(0))
     close = (F.col("x.before") + F.col("y.before") <= apart) & (differing * F.least("x.low", "y.low") <= apart)
-    pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.salt") == F.col("y.salt")) & able & close)
-    return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+    met = (F.col("x.g") == F.col("y.g")) & (F.col("x.salt") == F.col("y.salt")) & able & close
+    pairs = x.where("NOT major").alias("x").join(y.alias("y"), met).select("x.id", F.col("y.id").alias("other")).unionByName(
+        x.where("major").alias("x").join(y.where("NOT major").alias("y"), met).select("x.id", F.col("y.id").alias("other")))
+    return pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
