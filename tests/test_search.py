@@ -119,3 +119,36 @@ def test_neighbours_of_each_length(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "query_id long, embedding array<double>")
     for block in (2, 4096):
         assert {r.id for r in S.cosine_top_k(e, q, 20, corpus_block=block).collect()} == {10, 11, 12, 13, 14}
+
+
+def test_shards_and_slices_equal_brute_force(spark, monkeypatch):
+    """Copies, repeated ids and the query's own row, over many shards and slices."""
+    rnd = np.random.default_rng(3)
+    base = rnd.normal(size=(90, 8)).round(1)
+    rows = [(i, base[i % 60].tolist()) for i in range(150)] + [(3, base[70].tolist()), (3, base[71].tolist()), (200, [0.0] * 8)]
+    e = spark.createDataFrame(rows, "id long, embedding array<double>")
+    q = e.selectExpr("id AS query_id", "embedding").where("query_id < 40 AND query_id <> 3")
+    monkeypatch.setattr(S, "LEAST_SLICE", 5)
+    unit = np.array([v for _, v in rows])
+    unit = unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
+    ids = np.array([i for i, _ in rows])
+    for exclude in (True, False):
+        got = {}
+        for r in S.cosine_top_k(e, q, 4, exclude_self=exclude, shard_values=20 * 8, corpus_block=7, query_block=3).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.id, round(r.score, 9)))
+        for i in [i for i in range(40) if i != 3]:
+            score = np.einsum("j,ij->i", unit[i], unit).round(12)
+            order = [n for n in np.lexsort((ids, -score)) if not (exclude and ids[n] == i)][:4]
+            assert sorted(got[i]) == [(r + 1, ids[n], round(float(score[n]), 9)) for r, n in enumerate(order)]
+
+
+def test_a_query_is_sent_once_to_each_shard(spark, monkeypatch):
+    """The vectors of a query do not go out once for every probed cell."""
+    rnd = np.random.default_rng(4)
+    e = spark.createDataFrame([(i, rnd.normal(size=6).tolist()) for i in range(400)], "id long, embedding array<double>")
+    q = e.selectExpr("id AS query_id", "embedding")
+    cells, asked, n_probe, centres = S.ivf_plan(e, q, 5, 20, 12, "id", "embedding", "query_id", "embedding", True, 0.95)
+    probes = S.probed_cells(asked, centres, n_probe)
+    assert probes.count() == 400 and {len(set(r.cells)) for r in probes.collect()} == {12}
+    wide = {(r.query_id, r.id) for r in S.ivf_top_k(e, q, 5, n_cells=20, n_probe=20, exclude_self=True).collect()}
+    assert wide == {(r.query_id, r.id) for r in S.cosine_top_k(e, q, 5, exclude_self=True).collect()}
