@@ -152,3 +152,48 @@ def test_a_query_is_sent_once_to_each_shard(spark, monkeypatch):
     assert probes.count() == 400 and {len(set(r.cells)) for r in probes.collect()} == {12}
     wide = {(r.query_id, r.id) for r in S.ivf_top_k(e, q, 5, n_cells=20, n_probe=20, exclude_self=True).collect()}
     assert wide == {(r.query_id, r.id) for r in S.cosine_top_k(e, q, 5, exclude_self=True).collect()}
+
+
+def test_postings_hold_numbers_not_ids(spark):
+    """Ids stand once in the head row of a part; counts, lengths and frequencies are exact."""
+    from quarry.operators.text_index import HEAD, PART_ROWS  # noqa: F401
+    docs = [("c1", "b a b"), ("c2", "a"), ("c3", None), (None, "a a"), ("c4", "")]
+    index = S.build_term_index(spark.createDataFrame(docs, "sha256 string, markdown string"))
+    rows = index.postings.collect()
+    assert (index.rows, index.words) == (5, 6)
+    head = [r for r in rows if r.term == HEAD]
+    assert len(head) == 1 and sorted(map(str, head[0].ids)) == ["None", "c1", "c2", "c3", "c4"]
+    size = dict(zip(head[0].ids, head[0].lengths))
+    assert (size["c1"], size["c2"], size[None], size["c3"]) == (3, 1, 2, 0)
+    got = {r.term: {head[0].ids[d]: t for d, t in zip(r.docs, r.tfs)} for r in rows if r.term != HEAD}
+    assert got == {"a": {"c1": 1, "c2": 1, None: 2}, "b": {"c1": 2}} and all(r.ids is None for r in rows if r.term != HEAD)
+
+
+def test_parts_are_indexed_and_scored_apart(spark, monkeypatch):
+    """Over many parts, buckets written by several tasks and blocks of queries: BM25 and trigrams by brute force."""
+    import math
+    from quarry.operators import text_index as T
+    for name, value in (("PART_ROWS", 7), ("BUCKET_PARTS", 3), ("QUERY_ROWS", 2)):
+        monkeypatch.setattr(T, name, value)
+    rnd = random.Random(6)
+    vocab = ["alpha", "beta", "gamma", "delta", "the", "x1", "naïve"]
+    docs = [(f"c{i:03}", " ".join(rnd.choice(vocab) for _ in range(rnd.randint(1, 12)))) for i in range(90)]
+    qs = [(j, " ".join(rnd.choice(vocab) for _ in range(rnd.randint(1, 3)))) for j in range(5)]
+    ch, q = spark.createDataFrame(docs, "sha256 string, markdown string"), spark.createDataFrame(qs, "query_id int, text string")
+    words = {c: t.split() for c, t in docs}
+    mean = sum(map(len, words.values())) / len(words)
+    for r in [S.bm25(ch, q, 200).collect()]:
+        got = {(x.query_id, x.sha256): round(x.score, 9) for x in r}
+    want = {}
+    for j, t in qs:
+        for c, w in words.items():
+            s = 0.0
+            for x in set(t.split()):
+                df = sum(x in o for o in words.values())
+                tf = w.count(x)
+                s += math.log(1 + (len(words) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+            if s > 0:
+                want[j, c] = round(s, 9)
+    assert got == want
+    got = {(r.query_id, r.sha256) for r in S.trigram_search(ch, q, 200, 0.3).collect()}
+    assert got == {(j, c) for j, t in qs for c, m in docs if len(_tri(t) & _tri(m)) >= 0.3 * len(_tri(t) | _tri(m))}
