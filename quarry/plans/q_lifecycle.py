@@ -211,9 +211,9 @@ def flt_11_unindexed(spark, sf_dir):
     return L.unindexed(file_states(spark, sf_dir)).select("sha256", "doc_id")
 
 
-def _chunk_queue(spark, sf_dir):
+def _chunk_queue(spark, sf_dir, fc=None):
     from ..operators.chunking import dedup_files, file_chunks
-    fc = file_chunks(dedup_files(read(spark, sf_dir, "documents")))
+    fc = file_chunks(dedup_files(read(spark, sf_dir, "documents"))) if fc is None else fc
     files = dedup_files(read(spark, sf_dir, "documents")).select(F.col("sha256").alias("file_sha256"),
                                                                 F.col("first_doc_id"))
     emb = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("first_doc_id"), "embedding")

@@ -21,30 +21,38 @@ from .tables import read, ts_ntz
 EPOCH0 = "1970-01-01 00:00:00"
 
 
-ROWS_PER_FILE, LEAST_FILES = 250_000, 4
+#: Rows of a landed file (a task's share); micro-batches that a run is taken in.
+ROWS_PER_FILE, BATCHES = 25_000, 4
 
 
 def _land(df, spark, name):
-    """Landing folder whose number of files follows the number of rows."""
+    """(landing folder, files per micro-batch): the number of files follows the
+    number of rows, the number of micro-batches does not."""
     path = scratch_path(spark, name)
-    df.repartition(max(LEAST_FILES, -(-df.count() // ROWS_PER_FILE))).write.parquet(path)
-    return path
+    files = max(BATCHES, -(-df.count() // ROWS_PER_FILE))
+    df.repartition(files).write.parquet(path)
+    return path, -(-files // BATCHES)
 
 
-def _land_in_order(df, spark, name, ts, arrivals=4):
-    """Landing folder that fills in steps of event time, one file each, written in
-    order; their number follows the number of rows, ``arrivals`` at least."""
+def _land_in_order(df, spark, name, ts, arrivals=BATCHES):
+    """(landing folder, files per arrival): it fills in ``arrivals`` steps of event
+    time, written in order; each has the same number of files, which follows the
+    number of rows, so that a micro-batch takes one whole arrival."""
     path = scratch_path(spark, name)
+    files = max(1, -(-df.count() // (arrivals * ROWS_PER_FILE)))
     at = F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col(ts).cast("timestamp_ntz")).cast("double")
-    arrivals = max(arrivals, -(-df.count() // ROWS_PER_FILE))
     cuts = sorted(set(df.select(at.alias("t")).approxQuantile("t", [i / arrivals for i in range(1, arrivals)], min(0.001, 0.1 / arrivals))))
     step = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: F.coalesce(at > c, F.lit(False))))
     sliced = scratch_path(spark, f"{name}-sliced")
-    df.withColumn("step", step).repartition(len(cuts) + 1, "step").write.partitionBy("step").parquet(sliced)
+    df.withColumn("step", step).write.partitionBy("step").parquet(sliced)
     slices = spark.read.schema(StructType([*df.schema.fields, StructField("step", IntegerType())])).parquet(sliced)
     for i in range(len(cuts) + 1):
-        slices.filter(F.col("step") == i).drop("step").coalesce(1).write.parquet(f"{path}/arrival_{i}")
-    return path
+        arrival = f"{path}/arrival_{i}"
+        slices.filter(F.col("step") == i).drop("step").repartition(files).write.parquet(arrival)
+        # a part without rows leaves no file: empty files make up the number
+        for _ in range(files - len(spark.read.schema(df.schema).parquet(arrival).inputFiles())):
+            spark.createDataFrame([], df.schema).coalesce(1).write.mode("append").parquet(arrival)
+    return path, files
 
 
 def _close(spark, path, row, schema):
@@ -52,19 +60,19 @@ def _close(spark, path, row, schema):
     spark.createDataFrame([row], schema).coalesce(1).write.parquet(f"{path}/closing")
 
 
-def _arrivals(spark, path, schema):
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path))
+def _arrivals(spark, path, schema, files):
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(path))
 
 
 def _ingest(spark, sf_dir, lose_batch=None):
     """Ingest over several micro-batches; with ``lose_batch`` that batch fails
     once after its write, and the query is started again from its checkpoint."""
     d = read(spark, sf_dir, "documents").select("doc_id", "text")
-    src = _land(d, spark, "landing-docs")
+    src, files = _land(d, spark, "landing-docs")
     table, ckpt = scratch_path(spark, "files-table"), scratch_path(spark, "ingest-ckpt")
 
     def start(sink):
-        return ST.ingest_stream(spark, src, "doc_id bigint, text string", "text", table, ckpt, max_files_per_trigger=1, sink=sink)
+        return ST.ingest_stream(spark, src, "doc_id bigint, text string", "text", table, ckpt, max_files_per_trigger=files, sink=sink)
     sink = ST.new_rows_sink(table)
     if lose_batch is not None:
         lost = []
@@ -106,8 +114,8 @@ def stm_2_dedup(spark, sf_dir):
     """Stream dedup by content (event payload hash): a one-hour watermark bounds
     the state, an anti join against the rows written so far drops later repeats."""
     e = read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "props")
-    src = _land_in_order(e, spark, "landing-events", "ts")
-    s = _arrivals(spark, src, "event_id bigint, ts timestamp, props string")
+    src, files = _land_in_order(e, spark, "landing-events", "ts")
+    s = _arrivals(spark, src, "event_id bigint, ts timestamp, props string", files)
     out = ST.run_new_rows(ST.dedup_stream(s, content_sha256(F.col("props")), "ts", "1 hour"), "dedup", spark)
     return out.select("sha256")
 
@@ -123,9 +131,9 @@ def stm_3_throttle(spark, sf_dir):
     once the watermark has passed (state per URL)."""
     e = (read(spark, sf_dir, "events").filter(F.col("event_type") == "view")
          .select(F.concat(F.lit("https://p.example/"), F.col("user_id").cast("string")).alias("url"), "ts"))
-    src = _land_in_order(e, spark, "landing-fetches", "ts")
+    src, files = _land_in_order(e, spark, "landing-fetches", "ts")
     _close(spark, src, ("", datetime(2200, 1, 1)), "url string, ts timestamp_ntz")
-    s = _arrivals(spark, src, "url string, ts timestamp_ntz")
+    s = _arrivals(spark, src, "url string, ts timestamp_ntz", files)
     out = ST.run_to_table(ST.fetch_throttle(s, 6 * 3600, delay="1 hour"), "throttle", spark).where("url <> ''")
     us = F.timestamp_diff("MICROSECOND", ts_ntz(EPOCH0), F.col("ts"))
     return out.select("url", us.alias("ts_us"), "accepted")
@@ -144,8 +152,8 @@ def stm_4_readiness(spark, sf_dir):
                                                      (F.length("text") % 5 != 0).alias("parsed"))
     exp = c.groupBy("parent").agg(F.countDistinct("child").alias("expected"))
     note = c.filter("parsed").join(exp, "parent").select("parent", "child", "expected")
-    src = _land(note, spark, "landing-parsed")
-    s = _arrivals(spark, src, "parent string, child string, expected bigint")
+    src, files = _land(note, spark, "landing-parsed")
+    s = _arrivals(spark, src, "parent string, child string, expected bigint", files)
     return ST.run_to_table(ST.readiness_stream(s), "ready", spark)
 
 
@@ -158,12 +166,13 @@ def stm_5_backlog(spark, sf_dir):
     """Two-speed processing: the slow lane embeds the queued chunks without a
     vector in one availableNow run."""
     from .q_lifecycle import _chunk_queue
-    q = _chunk_queue(spark, sf_dir)
-    chunks = q.filter(F.col("embedding").isNull()).select("sha256")
-    from ..operators.chunking import dedup_files, file_chunks
-    md = file_chunks(dedup_files(read(spark, sf_dir, "documents"))).select(
-        F.col("chunk_sha256").alias("sha256"), "markdown").dropDuplicates(["sha256"])
-    queue = _land(chunks.join(md, "sha256"), spark, "queue")
+    from ..operators.chunking import dedup_files, distinct_chunks, file_chunks
+    from ..operators.store import write_staged
+    # split once, for the queue and for the texts
+    fc = write_staged(file_chunks(dedup_files(read(spark, sf_dir, "documents"))), "file-chunks")
+    chunks = _chunk_queue(spark, sf_dir, fc).filter(F.col("embedding").isNull()).select("sha256")
+    queued = write_staged(chunks.join(distinct_chunks(fc).select("sha256", "markdown"), "sha256"), "queued")
+    queue, files = _land(queued, spark, "queue")
     out = ST.backlog_once(spark, queue, "sha256 string, markdown string",
-                          lambda s: s.select("sha256", hash_embed(F.col("markdown")).alias("embedding")), max_files_per_trigger=1)
+                          lambda s: s.select("sha256", hash_embed(F.col("markdown")).alias("embedding")), max_files_per_trigger=files)
     return out.select("sha256", F.size("embedding").cast("bigint").alias("dim"))

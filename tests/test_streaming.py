@@ -87,3 +87,22 @@ def test_parents_that_wait_too_long_are_reported(spark):
     finally:
         q.stop()
     assert got == {"a": (False, 1), "b": (True, 1)}
+
+
+def test_a_run_takes_the_same_micro_batches_at_any_size(spark, tmp_path, monkeypatch):
+    """Many files per micro-batch, not one: whole arrivals in the order of time."""
+    import os
+    from quarry.plans import q_stream as Q
+    monkeypatch.setattr(Q, "ROWS_PER_FILE", 10)
+    docs = spark.range(200).select("id", F.col("id").cast("string").alias("text"))
+    path, files = Q._land(docs, spark, "test-land")
+    assert files == 5 and len(spark.read.parquet(path).inputFiles()) == 20
+    rows = spark.range(90).select(F.concat(F.lit("u"), (F.col("id") % 7).cast("string")).alias("url"),
+                                  F.expr("CASE WHEN id < 3 THEN TIMESTAMP_NTZ'2024-01-01' + make_dt_interval(0, cast(id AS int)) ELSE TIMESTAMP_NTZ'2024-02-01' + make_dt_interval(0, cast(id AS int)) END").alias("ts"))
+    path, files = Q._land_in_order(rows, spark, "test-order", "ts")
+    path = path.removeprefix("file:")
+    arrivals = sorted(d for d in os.listdir(path) if d.startswith("arrival_"))
+    assert len(arrivals) <= 4 and {sum(f.endswith(".parquet") for f in os.listdir(f"{path}/{d}")) for d in arrivals} == {files} and files > 1
+    ends = [spark.read.parquet(f"{path}/{d}").agg(F.min("ts"), F.max("ts")).first() for d in arrivals]
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]) if a[1] and b[0])
+    assert sum(spark.read.parquet(f"{path}/{d}").count() for d in arrivals) == 90
