@@ -203,6 +203,10 @@ def expired(df: DataFrame, ts_col: str, as_of: Column, ttl_seconds: int) -> Data
 
 # ------------------------------------------------------------ lineage closure
 
+#: Edges that may pass the driver as a broadcast side.
+BROADCAST_EDGES = 10_000
+
+
 def ancestors(file_files: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Transitive containment: (sha256, ancestor, depth) for every file and
     every file above it, at the shortest depth.  Level by level: the frontier
@@ -212,16 +216,20 @@ def ancestors(file_files: DataFrame, max_depth: int | None = None) -> DataFrame:
     caller's bound that is reached with pairs left raises."""
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(file_files.sparkSession)
-    edges = file_files.select(F.col("child_sha256").alias("_e_child"), F.col("parent_sha256").alias("_e_up")).distinct()
+    edges = file_files.select(F.col("child_sha256").alias("_e_child"), F.col("parent_sha256").alias("_e_up")).distinct().checkpoint()
     known = edges.select(F.col("_e_child").alias("sha256"), F.col("_e_up").alias("ancestor"),
                          F.lit(1).alias("depth")).checkpoint()
     frontier, levels, d = known, [known], 1
     while True:
         d += 1
-        step = (frontier.join(edges, F.col("ancestor") == F.col("_e_child"))
+        # the edges above the frontier: few where many files share their containers
+        tops = frontier.select(F.col("ancestor").alias("_e_child")).distinct()
+        up = edges.hint("merge").join(tops, "_e_child", "left_semi").checkpoint()
+        up = F.broadcast(up) if up.count() <= BROADCAST_EDGES else up.hint("merge")
+        step = (frontier.join(up, F.col("ancestor") == F.col("_e_child"))
                         .select("sha256", F.col("_e_up").alias("ancestor"), F.lit(d).alias("depth"))
                         .distinct()
-                        .join(known.select("sha256", "ancestor"), ["sha256", "ancestor"], "left_anti")
+                        .join(known.select("sha256", "ancestor").hint("merge"), ["sha256", "ancestor"], "left_anti")
                         .checkpoint())
         if step.isEmpty():
             return known
