@@ -208,6 +208,9 @@ def markdown_images(md: Column) -> Column:
 DATA_URI_RE = r"""(?i)(src\s*=\s*)(["'])data:image/([^;]+);base64,([^"']+)\2"""
 
 
+DATA_URI_START = r"""(?i)^(src\s*=\s*)(["'])"""
+
+
 def data_uri_payloads(html: Column) -> Column:
     """Base64 payloads of ``src="data:image/...;base64,..."`` attributes."""
     return F.regexp_extract_all(html, F.lit(DATA_URI_RE), 4)
@@ -215,7 +218,7 @@ def data_uri_payloads(html: Column) -> Column:
 
 def encode_b64(b: Column) -> Column:
     """Bytes → base64 text on one line (Spark may wrap at 76 characters)."""
-    return F.regexp_replace(F.base64(b), "[\r\n]", "")
+    return F.replace(F.replace(F.base64(b), F.lit("\r"), F.lit("")), F.lit("\n"), F.lit(""))
 
 
 def decode_b64(s: Column) -> Column:
@@ -228,14 +231,13 @@ def decode_b64_lenient(s: Column) -> Column:
     outside the alphabet are skipped; the data must end on a full quad or be
     completed by padding ('=' × 2 after two, × 1 after three characters);
     otherwise null.  Padding inside the data is treated as trailing."""
-    cleaned = F.regexp_replace(s, "[^A-Za-z0-9+/=]", "")
-    data = F.regexp_replace(cleaned, "=", "")
-    n = F.length(data)
-    pads = F.length(cleaned) - n
-    r = n % 4
-    ok = (r == 0) | ((r == 2) & (pads >= 2)) | ((r == 3) & (pads >= 1))
-    padded = F.concat(data, F.repeat(F.lit("="), (4 - r) % 4))
-    return F.when(ok, F.try_to_binary(padded, F.lit("base64")))
+    def whole(cleaned: Column) -> Column:
+        return bind(F.replace(cleaned, F.lit("="), F.lit("")), lambda data: decoded(data, F.length(cleaned) - F.length(data), F.length(data) % 4))
+
+    def decoded(data: Column, pads: Column, r: Column) -> Column:
+        ok = (r == 0) | ((r == 2) & (pads >= 2)) | ((r == 3) & (pads >= 1))
+        return F.when(ok, F.try_to_binary(F.concat(data, F.repeat(F.lit("="), (4 - r) % 4)), F.lit("base64")))
+    return bind(F.regexp_replace(s, "[^A-Za-z0-9+/=]", ""), whole)
 
 
 def replace_each(c: Column, pattern: str, fix) -> Column:
@@ -252,9 +254,9 @@ def replace_data_uris(html: Column) -> Column:
     """Replace each decodable data-URI image by its content-hash reference;
     undecodable payloads stay as they were."""
     def fix(m):
-        part = [F.regexp_extract(m, DATA_URI_RE, i) for i in (1, 2, 4)]
-        raw = decode_b64_lenient(part[2])
-        return F.when(raw.isNotNull(), F.concat(part[0], part[1], F.sha2(raw, 256), part[1]))
+        # the match starts with its first two groups: only the payload needs the whole of it
+        part = [F.regexp_extract(m, DATA_URI_START, 1), F.regexp_extract(m, DATA_URI_START, 2), F.regexp_extract(m, DATA_URI_RE, 4)]
+        return bind(decode_b64_lenient(part[2]), lambda raw: F.when(raw.isNotNull(), F.concat(part[0], part[1], F.sha2(raw, 256), part[1])))
     return replace_each(html, DATA_URI_RE, fix)
 
 

@@ -148,11 +148,14 @@ def str_8_data_uri(spark, sf_dir):
     empty image) and hashed (child file), the attribute rewritten to the hash
     reference; payloads with incomplete quads stay."""
     d = read(spark, sf_dir, "documents")
-    html = _with_data_uri()
-    raw = T.decode_b64_lenient(T.data_uri_payloads(html)[0])
-    return d.select("doc_id", F.sha2(raw, 256).alias("image_sha256"),
-                    F.octet_length(raw).cast("bigint").alias("n_bytes"),
-                    F.sha2(T.replace_data_uris(html), 256).alias("html_sha256"))
+    def image(raw):
+        return F.struct(F.sha2(raw, 256).alias("image_sha256"), F.octet_length(raw).cast("bigint").alias("n_bytes"))
+
+    def both(html):
+        return F.struct(T.bind(T.decode_b64_lenient(T.data_uri_payloads(html)[0]), image).alias("i"), F.sha2(T.replace_data_uris(html), 256).alias("html_sha256"))
+    # the page and its payload are built once a row, whatever reads them
+    got = d.select("doc_id", F.explode(F.array(T.bind(_with_data_uri(), both))).alias("x"))
+    return got.select("doc_id", "x.i.image_sha256", "x.i.n_bytes", "x.html_sha256")
 
 
 @register("meta_4_base64", """
