@@ -76,7 +76,8 @@ def html_doc_sniff(text: Column) -> Column:
     """Full HTML document: the first 100 characters of the whitespace-collapsed
     first 10,000 characters start a ``<!doctype`` or ``<html`` tag."""
     head = F.left(F.regexp_replace(F.left(text, F.lit(10000)), f"[{WS}]+", " "), F.lit(100))
-    return head.rlike(r"(?i)<(!doctype|html)\b")
+    # a tag that the collapsed text starts with stands in the text itself
+    return F.left(text, F.lit(10000)).rlike(r"(?i)<(!doctype|html)") & head.rlike(r"(?i)<(!doctype|html)\b")
 
 
 #: Quoting of a delimited text: (quote, escape); an empty escape doubles the quote.
@@ -102,7 +103,8 @@ def _used(text: Column, quote: str, escape: str) -> Column:
     stands before one."""
     if not quote:
         return F.lit(True)
-    return text.rlike(f"(?<!{_EDGE}){quote}") & (F.contains(text, F.lit(escape + quote)) if escape else F.lit(True))
+    # the plain search first: most texts end there
+    return F.contains(text, F.lit(escape + quote)) & text.rlike(f"{quote}(?<!{_EDGE}{quote})")
 
 
 def _lines(text: Column) -> Column:
@@ -142,15 +144,19 @@ def _candidates(text: Column, quote: str, escape: str):
 
 
 def _candidate(text: Column, masked: Column, lines: Column, d: str, quote: str, escape: str) -> Column:
-    first = _delim_count(_at1(lines), d)
-    same = F.size(F.filter(lines, lambda x: _delim_count(x, d) == first))
-    cells = F.flatten(F.transform(lines, lambda x: _fields(x, d)))
-    typed = F.size(F.filter(cells, lambda x: F.trim(x).rlike(_TYPED))) / F.size(cells)
-    score = same / F.size(lines) * first / (first + 1) * typed
     multiline = _delim_count(text, "\n") != _delim_count(masked, "\n")
     dialect = F.struct(F.lit(d).alias("delimiter"), F.lit(quote).alias("quote"), F.lit(escape).alias("escape"), multiline.alias("multiline"))
-    ok = (F.size(lines) >= CSV_MIN_ROWS) & (first >= 1) & (same >= F.size(lines) * CSV_SHARE)
-    return F.when(ok, F.struct(F.round(score, 9).cast("double").alias("score"), (first + 1).cast("int").alias("fields"), dialect.alias("dialect")))
+
+    def scored(first):
+        same = F.size(F.filter(lines, lambda x: _delim_count(x, d) == first))
+        cells = F.flatten(F.transform(lines, lambda x: _fields(x, d)))
+        typed = F.size(F.filter(cells, lambda x: F.trim(x).rlike(_TYPED))) / F.size(cells)
+        score = same / F.size(lines) * first / (first + 1) * typed
+        ok = (first >= 1) & (same >= F.size(lines) * CSV_SHARE)
+        return F.when(ok, F.struct(F.round(score, 9).cast("double").alias("score"), (first + 1).cast("int").alias("fields"), dialect.alias("dialect")))
+
+    # the first line is counted once, not once a line
+    return F.when(F.size(lines) >= CSV_MIN_ROWS, bind(_delim_count(_at1(lines), d), scored))
 
 
 def dialect_lines(text: Column, dialect: Column) -> Column:
@@ -196,10 +202,12 @@ def is_ndjson(text: Column) -> Column:
 
 def with_route(df, content_col: str = "content", out: str = "route", kind_out: str | None = None, dialect_out: str | None = None):
     """DataFrame form of ``route``: the kind, the normalized text and its CSV
-    dialect are projected once, the cascade reads them."""
-    staged = df.select("*", sniff_kind(F.col(content_col)).alias("_kind"),
-                       normalize_text(F.col(content_col)).alias("_text"))
-    staged = staged.select("*", csv_dialect(F.col("_text")).alias("_dialect"))
+    dialect are projected once, the cascade reads them.  Kinds that route by
+    themselves have no dialect."""
+    staged = df.select("*", sniff_kind(F.col(content_col)).alias("_kind"))
+    # bytes that the kind alone routes are no text: they are neither decoded nor split
+    staged = staged.select("*", F.when(~F.coalesce(F.col("_kind").isin(*_BY_KIND), F.lit(False)), normalize_text(F.col(content_col))).alias("_text"))
+    staged = staged.select("*", F.when(F.col("_text").isNotNull(), csv_dialect(F.col("_text"))).alias("_dialect"))
     r = _cascade(F.col("_kind"), F.col("_text"), F.col("_dialect"))
     res = staged.select("*", r.alias(out)).drop("_text")
     for name, keep in (("_kind", kind_out), ("_dialect", dialect_out)):
@@ -207,10 +215,17 @@ def with_route(df, content_col: str = "content", out: str = "route", kind_out: s
     return res
 
 
+ARCHIVES = ("gz", "zip", "tar")
+IMAGES = ("png", "jpg", "gif", "bmp", "tif", "webp")
+OFFICE = ("docx", "xlsx", "pptx", "odp", "ods", "ole")
+#: Kinds whose route needs no look at the text.
+_BY_KIND = (*ARCHIVES, *IMAGES, *OFFICE, "pdf", "parquet")
+
+
 def _cascade(kind: Column, text: Column, dialect: Column) -> Column:
-    return (F.when(kind.isin("gz", "zip", "tar"), "archive")
-             .when(kind.isin("png", "jpg", "gif", "bmp", "tif", "webp"), "image")
-             .when(kind.isin("docx", "xlsx", "pptx", "odp", "ods", "ole"), "office")
+    return (F.when(kind.isin(*ARCHIVES), "archive")
+             .when(kind.isin(*IMAGES), "image")
+             .when(kind.isin(*OFFICE), "office")
              .when(kind == "pdf", "pdf")
              .when(kind == "parquet", "parquet")
              .when(is_json_doc(text), "json")

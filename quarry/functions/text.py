@@ -66,7 +66,7 @@ def normalize_text(content: Column) -> Column:
 
 def linkify(md: Column) -> Column:
     """Wrap bare http(s) URLs as ``[u](u)`` (not idempotent, like the source)."""
-    return F.regexp_replace(md, BARE_URL_JAVA, "[$1]($1)")
+    return F.when(md.rlike("(?i)https?://"), F.regexp_replace(md, BARE_URL_JAVA, "[$1]($1)")).otherwise(md)
 
 
 def extract_links(md: Column) -> Column:
@@ -179,7 +179,7 @@ def resolve_markdown_refs(md: Column, base: Column | None = None) -> Column:
     # is written back unchanged.
     pat = (r"(!\[[^\]]*\]\((?!https?://)(?![a-f0-9]{64}\n?\))[^)]+\))"
            r"|(!?\[[^\]]*\]\([^)]+\))")
-    return F.regexp_replace(md, pat, "$2")
+    return F.when(md.contains("]("), F.regexp_replace(md, pat, "$2")).otherwise(md)
 
 
 def _joined_refs(md: Column, base: Column) -> Column:

@@ -60,10 +60,14 @@ def convert_files(blobs: DataFrame) -> DataFrame:
                    F.when(S.html_doc_sniff(F.col("text")), "html").otherwise("markdown")).otherwise(F.col("route"))
     rows = rows.withColumn("route", route)
     page = F.col("route") == "html"
+    # one search tells texts without an inline image, which are neither cut nor joined again
+    holds = F.col("text").rlike(T.DATA_URI_RE)
     inline = F.filter(F.transform(T.data_uri_payloads(F.col("text")), lambda p: T.decode_b64_lenient(p)), lambda b: b.isNotNull())
-    rows = rows.select("*", F.when(F.col("route").isin("html", "markdown"), T.replace_data_uris(F.col("text"))).alias("body"),
-                       F.when(F.col("route").isin("html", "markdown"), inline).alias("inline"))
-    rows = rows.select("*", T.resolve_markdown_refs(H.html_to_markdown(F.col("body"), page)).alias("plain"))
+    rows = rows.select("*", (F.col("route").isin("html", "markdown") & holds).alias("_holds"))
+    rows = rows.select("*", F.when(F.col("_holds"), T.replace_data_uris(F.col("text"))).when(F.col("route").isin("html", "markdown"), F.col("text")).alias("body"),
+                       F.when(F.col("_holds"), inline).when(F.col("route").isin("html", "markdown"), F.array().cast("array<binary>")).alias("inline"))
+    rows = rows.select("*", H.html_to_markdown(F.col("body"), page).alias("_md"))
+    rows = rows.select("*", T.resolve_markdown_refs(F.col("_md")).alias("plain"))
     rows = rows.select("*", T.linkify(F.coalesce("t_markdown", "plain")).alias("markdown"))
     kind = S.content_type(F.col("route"), F.col("kind"))
     meta = F.map_concat(F.when(kind.isNull(), none).otherwise(F.create_map(F.lit("content_type"), kind)), F.coalesce("t_meta", none), F.col("binary"),

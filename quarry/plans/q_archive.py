@@ -3,7 +3,10 @@ sanitizing and the greedy extraction budget."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..operators.store import write_staged
@@ -12,36 +15,47 @@ from .registry import register
 from .tables import read
 
 BUCKET = 25          # documents per archive in the fixture
+ARCHIVE_SCHEMA = pa.schema([("source", pa.string()), ("bucket", pa.int64()), ("kind", pa.string()), ("content", pa.binary())])
 
 
-def _pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    src = pdf["source"].iloc[0]
+def _pack_group(src: str, docs: list[tuple[int, str]]) -> tuple[str, bytes]:
+    """(kind, archive) of the documents of one source and bucket, in order of ids."""
     n = int(src[3:]) if src[3:].isdigit() else 0
-    pdf = pdf.sort_values("doc_id")
-    members = [(f"src/{src}/{d}.txt", t.encode("utf-8")) for d, t in zip(pdf["doc_id"], pdf["text"])]
+    members = [(f"src/{src}/{d}.txt", t.encode("utf-8")) for d, t in docs]
     if n % 3 == 0:
-        first = pdf.iloc[0]
-        extra = [("dir/", b""), (f"/abs/{first['doc_id']}.txt", first["text"].encode("utf-8")),
-                 ("../evil.txt", b"x"), ("a/../../up.txt", b"y")]
-        data = A.pack(members + extra, "zip")
-        kind = "zip"
-    elif n % 3 == 1:
-        data = A.pack(members, "tar.gz")
-        kind = "tar.gz"
-    else:
-        data = A.pack([("inner.tar", A.pack(members, "tar"))], "zip")
-        kind = "zip>tar"
-    return pd.DataFrame({"source": [src], "bucket": [int(pdf["bucket"].iloc[0])], "kind": [kind], "content": [data]})
+        first, text = docs[0]
+        extra = [("dir/", b""), (f"/abs/{first}.txt", text.encode("utf-8")), ("../evil.txt", b"x"), ("a/../../up.txt", b"y")]
+        return "zip", A.pack(members + extra, "zip")
+    if n % 3 == 1:
+        return "tar.gz", A.pack(members, "tar.gz")
+    return "zip>tar", A.pack([("inner.tar", A.pack(members, "tar"))], "zip")
+
+
+def _pack_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (source, bucket, doc_id, text) sorted by the first three → one archive
+    per source and bucket; a group may go over several batches, and only one is held."""
+    rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True))
+    done, held = [], 0
+    for (src, bucket), group in groupby(rows, lambda row: row[:2]):
+        kind, data = _pack_group(src, [row[2:] for row in group])
+        done.append({"source": src, "bucket": int(bucket), "kind": kind, "content": data})
+        held += len(data) + 256
+        if held >= A.BATCH_BYTES:
+            yield pa.RecordBatch.from_pylist(done, ARCHIVE_SCHEMA)
+            done, held = [], 0
+    if done:
+        yield pa.RecordBatch.from_pylist(done, ARCHIVE_SCHEMA)
 
 
 def archives_df(spark, sf_dir, docs=None):
     """Documents packed into archives per (source, bucket of 25 doc ids):
     zips with unsafe / absolute / directory entries, tar.gz files, and zips
-    holding a nested tar."""
+    holding a nested tar.  A task reads its groups in one sorted stream: most
+    hold one or two documents, so work per group must be small."""
     docs = read(spark, sf_dir, "documents") if docs is None else docs
-    d = docs.select("doc_id", "text", "source", F.floor(F.col("doc_id") / BUCKET).cast("bigint").alias("bucket"))
-    return d.groupBy("source", "bucket").applyInPandas(
-        _pack_group, "source string, bucket bigint, kind string, content binary")
+    d = docs.select("source", F.floor(F.col("doc_id") / BUCKET).cast("bigint").alias("bucket"), "doc_id", "text")
+    return (d.repartition("source", "bucket").sortWithinPartitions("source", "bucket", "doc_id")
+            .mapInArrow(_pack_sorted, "source string, bucket bigint, kind string, content binary"))
 
 
 MEMBERS_SQL = """

@@ -45,3 +45,21 @@ def test_kinds_and_routes(spark):
     cts = {r.name: r.ct for r in ct.collect()}
     assert cts["docx"].endswith("wordprocessingml.document") and cts["jpg"] == "image/jpeg"
     assert cts["csv"] == "text/csv" and cts["html"] == "text/html" and cts["zip"] is None
+
+
+def test_containers_have_no_text(spark):
+    """A kind that routes by itself is neither decoded nor searched for a dialect."""
+    df = spark.createDataFrame([("bmp", bytearray(b"BM,x\n" + b"1,2\n" * 20)), ("csv", bytearray(b"a,x\n" + b"1,2\n" * 20))], "name string, content binary")
+    got = {r.name: (r.route, r.dialect is None) for r in S.with_route(df, dialect_out="dialect").collect()}
+    assert got == {"bmp": ("image", True), "csv": ("csv", False)}
+
+
+def test_quote_and_page_searches(spark):
+    """The plain searches that come first find what the patterns find."""
+    texts = ['"a",b', 'a"b', "x,'y'", "it's", '"a\\"b"', " \n" * 200 + "<!DocType html>", "<htmlx>", "x" * 99 + "<html>", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    t = F.col("t")
+    row = df.select("i", *[S._used(t, q, e).alias(f"u{n}") for n, (q, e) in enumerate(S.QUOTINGS[1:])], S.html_doc_sniff(t).alias("page")).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in row[:5]] == [(True, False, False, False, False), (False,) * 5, (False, False, True, False, False), (False,) * 5,
+                                               (True, True, False, False, False)]
+    assert [r.page for r in row[5:]] == [True, False, False, None]
