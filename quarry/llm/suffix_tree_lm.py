@@ -73,6 +73,17 @@ MAP_BITS = 27
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``staged``; the shuffle files behind it go as soon as it is written."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return staged(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def symbols(h: np.ndarray, counts: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, start of each text) for word hashes and words per text; ``top``
     holds the sorted hashes of the words that have a symbol of their own."""
@@ -125,6 +136,8 @@ class _Counter:
 
 #: Distinct codes that a task holds before it hands them on.
 FULL = 1 << 21
+#: Runs that a task holds before it sums them; sorting takes a few times their size.
+HELD = 1 << 18
 
 
 def _emit(counter: _Counter):
@@ -147,7 +160,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         yield from _emit(words)
 
     rows = docs.select("text").mapInArrow(run, "code long, n long")
-    return staged(rows.groupBy("code").agg(F.sum("n").alias("n")), "lm-words")
+    return written(rows.groupBy("code").agg(F.sum("n").alias("n")), "lm-words")
 
 
 def context_counts(docs: DataFrame, top: np.ndarray) -> DataFrame:
@@ -248,10 +261,10 @@ def next_counts(docs: DataFrame, k: int, before: np.ndarray) -> DataFrame:
                 take = ok & (tail | ~go)
                 held.append((key[take], word[take], np.ones(int(take.sum()), np.int64)))
                 size += len(held[-1][0])
-                if size >= 2 * FULL:
+                if size >= HELD:
                     held = [merged()]
                     size = len(held[0][0])
-                    if size >= FULL:
+                    if 2 * size >= HELD:
                         yield from emit(held[0])
                         held, size = [], 0
         if held:
@@ -291,7 +304,7 @@ def word_tree(train: DataFrame, words: DataFrame, cost: float = COST) -> DataFra
         out = grams.withColumn("rest", rest).withColumn("unseen", F.greatest(1 - F.sum("q").over(own), F.lit(0.0)))
         out = out.withColumn("p", (F.col("n") + F.col("rest") * F.col("q")) / (F.col("n_ctx") + PRIOR)).withColumn("lam", F.col("rest") / (F.col("n_ctx") + PRIOR))
         bits = F.sum(F.col("p") * F.log2(F.col("p") / F.col("q"))).over(own) + F.col("lam") * F.col("unseen") * F.log2("lam")
-        below = staged(out.withColumn("keep", F.col("n_ctx") * bits >= cost).select(
+        below = written(out.withColumn("keep", F.col("n_ctx") * bits >= cost).select(
             "ctx", "up", "gram", "tail", "n", "n_ctx", "p", "keep", F.log10("lam").alias("lam"), F.log10(F.col("p") / F.col("q")).alias("more")), "lm-level")
         levels.append(below)
         # the end is never a context; a run that ends a text has no key of its own among the runs of words
@@ -300,7 +313,7 @@ def word_tree(train: DataFrame, words: DataFrame, cost: float = COST) -> DataFra
     for k in range(WORDS, 0, -1):
         level = levels[k - 1]
         kept = level.where("keep").select("ctx")
-        kept = staged((kept if longer is None else kept.unionByName(longer)).distinct(), "lm-kept")
+        kept = written((kept if longer is None else kept.unionByName(longer)).distinct(), "lm-kept")
         rows = level.join(kept, "ctx", "left_semi")
         heads = rows.groupBy("ctx").agg(F.max("n_ctx").alias("n"), F.max("lam").alias("value"), F.max("up").alias("up"))
         longer = heads.select(F.col("up").alias("ctx"))
@@ -309,7 +322,7 @@ def word_tree(train: DataFrame, words: DataFrame, cost: float = COST) -> DataFra
     tree = parts[0]
     for part in parts[1:]:
         tree = tree.unionByName(part)
-    return staged(tree.groupBy("code").agg(F.max("n").alias("n"), F.sum("value").alias("value"), F.max("first").alias("first")), "lm-tree")
+    return written(tree.groupBy("code").agg(F.max("n").alias("n"), F.sum("value").alias("value"), F.max("first").alias("first")), "lm-tree")
 
 
 def grow_tree(codes: np.ndarray, n: np.ndarray, gain: float = GAIN, prior: float = PRIOR) -> tuple[list[np.ndarray], np.ndarray]:
@@ -440,7 +453,7 @@ def lm_scores(docs: DataFrame, gain: float = GAIN, heavy: int = HEAVY, cost: flo
                     ["doc_id", "held_out", "n_tokens", "hits", "base", "score", "rare", "rare_n", "runs", "runs_n", "shift"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    scored = staged(docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(
+    scored = written(docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(
         run, f"doc_id {kind}, held_out boolean, n_tokens long, hits long, base double, score double, rare array<long>, rare_n array<long>, "
         "runs array<long>, runs_n array<long>, shift array<double>")
         .withColumn("row", F.monotonically_increasing_id()), "lm-scored")  # written once, so the numbers stay

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +87,36 @@ def test_lm_contexts_of_rare_words_and_of_three_words(spark, monkeypatch):
     assert all(abs(got[i] - again[i]) < 1e-6 for i in got)
 
 
+def test_lm_tasks_hand_on_small_sorted_parts(spark, monkeypatch):
+    """A task sums runs in parts of ``HELD`` rows, whose sizes change no count."""
+    docs = spark.createDataFrame([(" ".join(f"w{(i * j) % 7}" for j in range(40)),) for i in range(60)], "text string")
+    every = np.full(1 << 4, 2 ** 64 - 1, np.uint64)
+
+    def counted():
+        return sorted(map(tuple, suffix_tree_lm.next_counts(docs, 2, every).collect()))
+    assert 24 * suffix_tree_lm.HELD <= 16 << 20
+    want = counted()
+    monkeypatch.setattr(suffix_tree_lm, "HELD", 32)
+    assert want and counted() == want
+
+
+def test_lm_shuffle_files_go_with_the_write(spark):
+    def files():
+        return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+    def shuffled(n):
+        return spark.range(n).selectExpr("id % 1000 as k").groupBy("k").count().where("count > 0")
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before = spark.conf.get(key), files()
+    out = suffix_tree_lm.written(shuffled(20_000), "t-written")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and spark.conf.get(key) == setting
+    assert out.count() == 1000
+
+
 # ---- suffix arrays ------------------------------------------------------
 
 def _first_spans(rows, k):
