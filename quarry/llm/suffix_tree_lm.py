@@ -30,8 +30,16 @@ discounting, the discounted mass going to the one event of an unseen word.
 
 Counts of single tokens and values of runs: those that make up at least a
 ``HEAVY``-th of all tokens are at most ``HEAVY`` many of each length and are
-broadcast; all others are looked up by a shuffle join, one row per document and
-distinct word or run.
+broadcast; all others are looked up.  Both shuffles, that of the counted pairs and
+that of the look-ups, are dealt over ranges of hashes, and a task hands on what it
+holds for a range as one row of packed sorted arrays: the pairs of some 2 ** 18
+runs, or what some hundred documents (a chunk) ask.  A range has about ``PART``
+tokens, whatever the corpus; it meets its range of the tree, and its sums go back
+to the chunk, which must be read alike when a task is run again.
+
+A level is extended only by contexts that can still be retained, or whose
+extensions can: ``extendable`` drops those that, with their count, can not save
+``COST`` bits even if the least likely word always followed.
 
 Defined cases: a null text is empty: its one token is the end; without training
 documents every count is 0 and the distributions are uniform; null ids are
@@ -45,6 +53,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,14 +71,14 @@ PRIOR = 16.0
 GAIN = 2e-7
 #: Taken from each other word's count for unseen words.
 DISCOUNT = 0.6
-HEAVY = 1 << 22
+HEAVY = 1 << 20
 #: Words of the longest context of the tree over all words.
 WORDS = 3
 #: Occurrences that a context, and a word after it, must have.
 LEAST = 4
 #: Bits that a context must save over the corpus.
 COST = 64.0
-#: Slots of the bit maps that tell tasks which runs may count.
+#: Slots of the largest bit maps that tell tasks which runs may count.
 MAP_BITS = 27
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
@@ -138,6 +148,8 @@ class _Counter:
 FULL = 1 << 21
 #: Runs that a task holds before it sums them; sorting takes a few times their size.
 HELD = 1 << 18
+#: Tokens for each part of a shuffle of packed keys.
+PART = 1 << 20
 
 
 def _emit(counter: _Counter):
@@ -201,9 +213,11 @@ def slots(key: np.ndarray, bits: int) -> np.ndarray:
     return (key >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def bit_map(codes: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
-    """codes(code) → bits of the slots that hold a code, as uint64 words; at most
-    2 ** (bits − 6) rows reach the driver."""
+def bit_map(codes: DataFrame, bits: int | None = None) -> np.ndarray:
+    """codes(code) → bits of the slots that hold a code, as uint64 words; 16 to 32
+    slots a code, up to 2 ** ``MAP_BITS``.  At most 2 ** (bits − 6) rows reach the driver."""
+    if bits is None:
+        bits = min(max((16 * codes.count()).bit_length(), 10), MAP_BITS)
     slot = F.shiftrightunsigned("code", 64 - bits)
     word = F.shiftright(slot, 6).cast("int")
     bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(code, {64 - bits}) & 63 as int))")
@@ -228,22 +242,94 @@ def _pairs(ctx: np.ndarray, word: np.ndarray, n: np.ndarray):
     return ctx[begin], word[begin], np.add.reduceat(n[order], begin) if len(begin) else n[:0]
 
 
-def next_counts(docs: DataFrame, k: int, before: np.ndarray) -> DataFrame:
+def shares(key: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each key: equal ranges of all hashes, in their order."""
+    return (((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
+def parts_of(n: int) -> int:
+    """Parts in which a table of about ``n`` keys is shuffled, of about ``PART``."""
+    return max(1, min(-(-n // PART), 1 << 31))
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Non-negative integers in as few bytes as the largest takes."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def packed(values: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """The bytes of ``values``, one binary value for each step of ``cut``."""
+    values = np.ascontiguousarray(values)
+    offsets = (cut * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def unpacked(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """All values of a column of packed values."""
+    got = [np.frombuffer(x.as_buffer(), kind) for x in column]
+    return np.concatenate(got) if got else np.zeros(0, kind)
+
+
+def widened(raw: pa.Scalar, m: int) -> np.ndarray:
+    """The ``m`` integers that ``narrow`` packed."""
+    return np.frombuffer(raw.as_buffer(), f"u{len(raw.as_buffer()) // m}").astype(np.int64)
+
+
+def unpacked_narrow(column: pa.ChunkedArray, sizes: np.ndarray) -> np.ndarray:
+    got = [widened(x, m) for x, m in zip(column, sizes.tolist(), strict=True)]
+    return np.concatenate(got) if got else np.zeros(0, np.int64)
+
+
+def _packed_pairs(ctx: np.ndarray, word: np.ndarray, n: np.ndarray, parts: int, wide: np.ndarray):
+    """Distinct sorted pairs → one row per part; a context is written once before
+    its words.  The words of the contexts ``wide`` are dealt over all parts."""
+    part = shares(ctx, parts)
+    if len(wide):
+        far = wide[np.minimum(np.searchsorted(wide, ctx), len(wide) - 1)] == ctx
+        part[far] = shares(extended(ctx[far], word[far]), parts)
+        order = np.argsort(part.astype(np.min_scalar_type(parts)), kind="stable")
+        ctx, word, n, part = ctx[order], word[order], n[order], part[order]
+    which, at = np.unique(part, return_index=True)
+    cut = np.append(at, len(part))
+    new = np.ones(len(ctx), bool)
+    new[1:] = ctx[1:] != ctx[:-1]
+    new[at] = True
+    begin = np.flatnonzero(new)
+    heads = np.searchsorted(begin, cut)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(which), packed(ctx[begin], heads), pa.array(np.diff(heads)), packed(narrow(np.diff(np.append(begin, len(ctx)))), heads),
+         packed(word, cut), pa.array(np.diff(cut)), packed(narrow(n), cut)], ["part", "ctx", "ctxs", "sizes", "word", "words", "n"])
+
+
+def _summed_pairs(part: pa.Table) -> pa.Table:
+    """The packed pairs of one part → (ctx, word, n), ``LEAST`` or more."""
+    ctxs, words = part.column("ctxs").to_numpy(), part.column("words").to_numpy()
+    ctx = np.repeat(unpacked(part.column("ctx"), "u8"), unpacked_narrow(part.column("sizes"), ctxs))
+    word, n = unpacked(part.column("word"), "u8"), unpacked_narrow(part.column("n"), words)
+    key = extended(ctx, word)
+    order = np.argsort(key)
+    key = key[order]
+    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    n = np.add.reduceat(n[order], begin) if len(begin) else n
+    often = n >= LEAST
+    at = order[begin[often]]
+    return pa.table([pa.array(ctx[at].view(np.int64)), pa.array(word[at].view(np.int64)), pa.array(n[often])], ["ctx", "word", "n"])
+
+
+def next_counts(docs: DataFrame, k: int, before: np.ndarray, tails: np.ndarray | None = None, parts: int = 1, wide: np.ndarray = np.zeros(0, np.uint64)) -> DataFrame:
     """docs(text) → (ctx, word, n): runs of ``k`` words with the word after them,
-    or 0 at the end, that ``before`` admits; ``LEAST`` occurrences or more."""
-    known = docs.sparkSession.sparkContext.broadcast(before)
+    or 0 at the end, that ``before`` admits as a context and ``tails``
+    (``before``) without the oldest word; ``LEAST`` occurrences or more.  Tasks
+    hand on sorted pairs, packed by part; ``wide`` holds the sorted contexts
+    that one part should not get alone."""
+    known = docs.sparkSession.sparkContext.broadcast((before, tails, wide))
 
     def run(batches):
-        bits, held, size = known.value, [], 0
+        (bits, ends, wide), held, size = known.value, [], 0
 
         def merged():
             return _pairs(*(np.concatenate([x[i] for x in held]) for i in range(3)))
 
-        def emit(part):
-            for at in range(0, len(part[0]), 1 << 16):
-                cut = slice(at, at + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(part[0][cut].view(np.int64)), pa.array(part[1][cut].view(np.int64)), pa.array(part[2][cut])], ["ctx", "word", "n"])
-
         for batch in batches:
             for _, counts, h in word_hashes(batch.column("text")):
                 for length, start, key, rest in runs_of(counts, h, k):
@@ -254,7 +340,7 @@ def next_counts(docs: DataFrame, k: int, before: np.ndarray) -> DataFrame:
                 # the last k words of context and next word are the run from the next start
                 go = rest > 0
                 tail = np.ones(len(key), bool)
-                tail[:-1] = ok[1:]
+                tail[:-1] = (ok if ends is None else admitted(ends, key))[1:]
                 tail[-1:] = ~go[-1:]
                 word = np.zeros(len(key), np.uint64)
                 word[go] = h[start[go] + k]
@@ -265,13 +351,33 @@ def next_counts(docs: DataFrame, k: int, before: np.ndarray) -> DataFrame:
                     held = [merged()]
                     size = len(held[0][0])
                     if 2 * size >= HELD:
-                        yield from emit(held[0])
+                        yield _packed_pairs(*held[0], parts, wide)
                         held, size = [], 0
-        if held:
-            yield from emit(merged())
+        if size:
+            yield _packed_pairs(*merged(), parts, wide)
+
+    rows = docs.select("text").mapInArrow(run, "part long, ctx binary, ctxs long, sizes binary, word binary, words long, n binary")
+    out = written(rows.groupBy("part").applyInArrow(_summed_pairs, "ctx long, word long, n long"), "lm-next")
+    known.destroy()  # its copies on disk too
+    return out
 
-    rows = docs.select("text").mapInArrow(run, "ctx long, word long, n long")
-    return rows.groupBy("ctx", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+
+def worth(n, q):
+    """The most bits that a context of ``n`` occurrences can save if no word after
+    it has a probability below ``q`` without its oldest word: they are most
+    if one such word always follows."""
+    p = (n + PRIOR * q) / (n + PRIOR)
+    return n * (p * F.log2(p / q) + (1 - p) * F.log2(F.lit(PRIOR) / (n + PRIOR)))
+
+
+def extendable(ctxs: DataFrame, least, cost: float) -> DataFrame:
+    """ctxs(ctx, n_ctx, …) without those that can neither be retained nor be the
+    suffix of a retained context, as ``worth`` tells; ``least`` is the lowest
+    probability of a word counted after the context without its oldest word.
+    A word counted after a context of n has LEAST / (n + PRIOR) there or more.
+    What is left is closed: so are the suffix and the start of each run."""
+    n = F.col("n_ctx").cast("double")
+    return ctxs.where(F.greatest(worth(n, least), worth(n, LEAST / (n + PRIOR))) >= cost * (1 - 1e-6))
 
 
 def keyed_runs(rows: DataFrame, k: int) -> DataFrame:
@@ -294,22 +400,28 @@ def word_tree(train: DataFrame, words: DataFrame, cost: float = COST) -> DataFra
     word after it; ``first`` marks retained contexts of one word."""
     below = words.where(F.col("n") >= LEAST)
     ctxs = below.where("gram != 0").select(F.col("gram").alias("ctx"), F.col("n").alias("n_ctx"), F.lit(0).cast("long").alias("up"))
+    tokens, most, least = words.agg(F.sum("n"), F.max("n"), F.min(F.when(F.col("n") >= LEAST, F.col("p")))).first()
+    parts = parts_of(tokens or 0)
+    ctxs = extendable(ctxs, F.lit(min(least or 1.0, LEAST / ((most or 0) + PRIOR))), cost)
     levels = []
     for k in range(1, WORDS + 1):
-        seen = next_counts(train, k, bit_map(ctxs.select(F.col("ctx").alias("code"))))
+        # fewer than 4 · parts contexts have a quarter of a part or more
+        wide = ctxs.where(F.col("n_ctx") * (4 * parts) >= (tokens or 0)).select("ctx").toArrow()["ctx"].to_numpy().view(np.uint64)
+        seen = next_counts(train, k, bit_map(ctxs.select(F.col("ctx").alias("code"))), bit_map(below.select(F.col("gram").alias("code"))), parts, np.sort(wide))
         grams = keyed_runs(seen.join(ctxs, "ctx"), k)
-        grams = grams.join(below.select(F.col("gram").alias("tail"), F.col("p").alias("q")), "tail")
+        grams = grams.join(below.select(F.col("gram").alias("tail"), F.col("p").alias("q"), F.col("n").alias("n_tail")), "tail")
         own = Window.partitionBy("ctx")
         rest = F.col("n_ctx") - F.sum("n").over(own) + PRIOR
         out = grams.withColumn("rest", rest).withColumn("unseen", F.greatest(1 - F.sum("q").over(own), F.lit(0.0)))
         out = out.withColumn("p", (F.col("n") + F.col("rest") * F.col("q")) / (F.col("n_ctx") + PRIOR)).withColumn("lam", F.col("rest") / (F.col("n_ctx") + PRIOR))
         bits = F.sum(F.col("p") * F.log2(F.col("p") / F.col("q"))).over(own) + F.col("lam") * F.col("unseen") * F.log2("lam")
         below = written(out.withColumn("keep", F.col("n_ctx") * bits >= cost).select(
-            "ctx", "up", "gram", "tail", "n", "n_ctx", "p", "keep", F.log10("lam").alias("lam"), F.log10(F.col("p") / F.col("q")).alias("more")), "lm-level")
+            "ctx", "up", "gram", "tail", "n", "n_tail", "n_ctx", "p", "keep", F.log10("lam").alias("lam"), F.log10(F.col("p") / F.col("q")).alias("more")), "lm-level")
         levels.append(below)
         # the end is never a context; a run that ends a text has no key of its own among the runs of words
-        ctxs = below.select(F.col("gram").alias("ctx"), F.col("n").alias("n_ctx"), F.col("tail").alias("up"))
-    parts, longer = [], None
+        ctxs = extendable(below.select(F.col("gram").alias("ctx"), F.col("n").alias("n_ctx"), F.col("tail").alias("up"), "n_tail"),
+                          LEAST / (F.col("n_tail") + PRIOR), cost).drop("n_tail")
+    pieces, longer = [], None
     for k in range(WORDS, 0, -1):
         level = levels[k - 1]
         kept = level.where("keep").select("ctx")
@@ -317,11 +429,11 @@ def word_tree(train: DataFrame, words: DataFrame, cost: float = COST) -> DataFra
         rows = level.join(kept, "ctx", "left_semi")
         heads = rows.groupBy("ctx").agg(F.max("n_ctx").alias("n"), F.max("lam").alias("value"), F.max("up").alias("up"))
         longer = heads.select(F.col("up").alias("ctx"))
-        parts += [rows.select(F.col("gram").alias("code"), "n", (F.col("more") - F.col("lam")).alias("value"), F.lit(False).alias("first")),
-                  heads.select(F.col("ctx").alias("code"), "n", "value", F.lit(k == 1).alias("first"))]
-    tree = parts[0]
-    for part in parts[1:]:
-        tree = tree.unionByName(part)
+        pieces += [rows.select(F.col("gram").alias("code"), "n", (F.col("more") - F.col("lam")).alias("value"), F.lit(False).alias("first")),
+                   heads.select(F.col("ctx").alias("code"), "n", "value", F.lit(k == 1).alias("first"))]
+    tree = pieces[0]
+    for piece in pieces[1:]:
+        tree = tree.unionByName(piece)
     return written(tree.groupBy("code").agg(F.max("n").alias("n"), F.sum("value").alias("value"), F.max("first").alias("first")), "lm-tree")
 
 
@@ -362,12 +474,137 @@ def state_table(kept: list[np.ndarray]) -> np.ndarray:
     return state
 
 
-def _lookups(row: np.ndarray, code: np.ndarray, m: int, *sums: np.ndarray):
-    """Distinct (row, code) in order of rows → (cut of the rows, codes, times, sums)."""
-    uniq, back = np.unique(code, return_inverse=True)
-    pair, at, times = np.unique(row * max(len(uniq), 1) + back, return_inverse=True, return_counts=True)
-    cut = np.searchsorted(pair // max(len(uniq), 1), np.arange(m + 1)).astype(np.int32)
-    return cut, uniq[pair % max(len(uniq), 1)].view(np.int64), times, *(np.bincount(at, x, len(pair)).astype(np.float64) for x in sums)
+#: Packed rows by part; a chunk's documents go with them, ``place`` is theirs in it.
+ASKED = {"kind": "int", "part": "long", "chunk": "long", "code": "binary", "codes": "long", "row": "binary", "times": "binary", "value": "binary"}
+ANSWERED = {"chunk": "long", "row": "binary", "rows": "long", "spelled": "binary", "extra": "binary", "more": "binary"}
+TEXT = {"doc_id": "long", "held_out": "boolean", "n_tokens": "long", "hits": "long", "base": "double", "score": "double", "place": "long"}
+FOUND = {"more": "long", "extra": "double", "spelled": "double"}
+#: Kinds of rows: documents, what a chunk asks of single words and of longer runs, and the tables that answer.
+DOCUMENT, WORD, RUN, TREE, COUNT = range(5)
+#: What a task asks before it hands it on.
+ASK = 1 << 19
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+
+
+def ddl(*columns: dict[str, str]) -> str:
+    return ", ".join(f"{c} {t}" for x in columns for c, t in x.items())
+
+
+def filled(m: int, id_type: pa.DataType, *columns: dict[str, str], **given: pa.Array) -> pa.RecordBatch:
+    """``m`` rows of ``columns``; those not given are null."""
+    types = {c: id_type if c == "doc_id" else _ARROW[t] for x in columns for c, t in x.items()}
+    return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(m, t) for c, t in types.items()], list(types))
+
+
+def _asked(kind: int, chunk: int, parts: int, row: np.ndarray, code: np.ndarray, moved: np.ndarray | None = None) -> dict[str, pa.Array]:
+    """(row, code), rows ascending for each code → one row per part: distinct
+    (code, row), how often and, of words, the sum of ``moved``."""
+    order = np.argsort(code, kind="stable")
+    code, row = code[order], row[order]
+    new = np.ones(len(code), bool)
+    new[1:] = (code[1:] != code[:-1]) | (row[1:] != row[:-1])
+    at = np.flatnonzero(new)
+    code, row, times = code[at], row[at], np.diff(np.append(at, len(new)))
+    which, begin = np.unique(shares(code, parts), return_index=True)
+    cut = np.append(begin, len(code))
+    m = len(which)
+    out = {"kind": pa.array(np.full(m, kind, np.int32)), "part": pa.array(which), "chunk": pa.array(np.full(m, chunk)),
+           "code": packed(code, cut), "codes": pa.array(np.diff(cut)), "row": packed(narrow(row), cut), "times": packed(narrow(times), cut)}
+    return out if moved is None else out | {"value": packed(np.add.reduceat(moved[order], at), cut)}
+
+
+def answers(table: DataFrame, kind: int, value: str, parts: int) -> DataFrame:
+    """table(code, value[, first]) → packed rows by part, to meet those of ``_asked``."""
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            code = b.column("code").to_numpy().view(np.uint64)
+            order = np.argsort(code)
+            code = code[order]
+            which, begin = np.unique(shares(code, parts), return_index=True)
+            cut = np.append(begin, len(code))
+            m = len(which)
+            first = b.column("first").to_numpy(zero_copy_only=False)[order].astype(np.uint8)
+            yield filled(m, None, ASKED, kind=pa.array(np.full(m, kind, np.int32)), part=pa.array(which), code=packed(code, cut), codes=pa.array(np.diff(cut)),
+                         times=packed(first, cut), value=packed(b.column("value").to_numpy()[order], cut))
+
+    first = F.col("first") if "first" in table.columns else F.lit(False)
+    return table.select("code", F.col(value).cast("double").alias("value"), first.alias("first")).mapInArrow(run, ddl(ASKED))
+
+
+def _table(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted (codes, values, firsts) of packed ``answers``."""
+    code, value, first = unpacked(rows.column("code"), "u8"), unpacked(rows.column("value"), "f8"), unpacked(rows.column("times"), "u1")
+    order = np.argsort(code)
+    return code[order], value[order], first[order] != 0
+
+
+def _found(codes: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether, where) each code is among the sorted ``codes``."""
+    if not len(codes):
+        return np.zeros(len(code), bool), np.zeros(len(code), np.int64)
+    at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+    return codes[at] == code, at
+
+
+def _answered(room: float):
+    """One part's ``answers`` and ``_asked`` → per chunk and row the sums found."""
+    def run(part: pa.Table) -> pa.Table:
+        kinds = part.column("kind").to_numpy()
+        codes, values, firsts = _table(part.filter(pa.array(kinds == TREE)))
+        words, counts, _ = _table(part.filter(pa.array(kinds == COUNT)))
+        out = []
+        for x in part.filter(pa.array((kinds == WORD) | (kinds == RUN))).to_batches():
+            columns = [x.column(c) for c in ("kind", "chunk", "code", "row", "times", "value")]
+            for kind, chunk, code, row, times, moved in zip(*columns, strict=True):
+                code = np.frombuffer(code.as_buffer(), np.uint64)
+                row, times = widened(row, len(code)), widened(times, len(code))
+                here, at = _found(codes, code)
+                spelled = np.where(here, times * values[at], 0.0) if len(codes) else np.zeros(len(code))
+                more, extra = np.zeros(len(code), np.int64), None
+                if kind.as_py() == WORD:
+                    if len(codes):
+                        spelled += np.where(here & firsts[at], np.frombuffer(moved.as_buffer(), np.float64), 0.0)
+                    here, at = _found(words, code)
+                    if here.any():
+                        n = counts[at[here]]
+                        more[here] = times[here]
+                        extra = np.zeros(len(code))
+                        extra[here] = times[here] * np.log10(n + 1.0)
+                        spelled[here] += times[here] * np.log10((n - DISCOUNT) / room)
+                some = np.bincount(row, (spelled != 0) | (more != 0))
+                rows = np.flatnonzero(some)
+                if not len(rows):
+                    continue
+                sums = [np.bincount(row, y)[rows].tobytes() if y is not None else None for y in (spelled, extra)]
+                out.append((chunk.as_py(), narrow(np.diff(rows, prepend=0)).tobytes(), len(rows), sums[0], sums[1],
+                            narrow(np.bincount(row, more)[rows].astype(np.int64)).tobytes() if extra is not None else None))
+        kind = part.schema.field("doc_id").type
+        columns = {c: pa.array(x, _ARROW[t]) for (c, t), x in zip(ANSWERED.items(), zip(*out, strict=True) if out else [()] * len(ANSWERED), strict=True)}
+        texts = part.filter(pa.array(kinds == DOCUMENT)).combine_chunks()
+        given = {c: pa.chunked_array(texts.column(c)).combine_chunks() if texts.num_rows else pa.nulls(0, texts.schema.field(c).type) for c in ("chunk", *TEXT)}
+        return pa.Table.from_batches([filled(len(out), kind, ANSWERED, TEXT, **columns), filled(texts.num_rows, kind, ANSWERED, TEXT, **given)])
+
+    return run
+
+
+def _finished(chunk: pa.Table) -> pa.Table:
+    """A chunk's documents with the sums of what was found for them."""
+    texts = chunk.filter(pc.is_valid(chunk.column("place")))
+    found = chunk.filter(pc.is_null(chunk.column("place"))).select(list(ANSWERED)).to_pylist()
+    m = texts.num_rows
+    sums = {"more": np.zeros(m, np.int64), "extra": np.zeros(m), "spelled": np.zeros(m)}
+    for x in found:
+        rows = np.cumsum(np.frombuffer(x["row"], f"u{len(x['row']) // x['rows']}").astype(np.int64))
+        sums["spelled"][rows] += np.frombuffer(x["spelled"], np.float64)
+        if x["more"] is not None:
+            sums["extra"][rows] += np.frombuffer(x["extra"], np.float64)
+            sums["more"][rows] += np.frombuffer(x["more"], f"u{len(x['more']) // x['rows']}").astype(np.int64)
+    texts, place = texts.select(list(TEXT)), texts.column("place").to_numpy()
+    for c in FOUND:
+        texts = texts.append_column(c, pa.array(sums[c][place]))
+    return texts
 
 
 def lm_scores(docs: DataFrame, gain: float = GAIN, heavy: int = HEAVY, cost: float = COST) -> DataFrame:
@@ -401,78 +638,92 @@ def lm_scores(docs: DataFrame, gain: float = GAIN, heavy: int = HEAVY, cost: flo
     order = np.argsort(hashes)
     hashes, n = hashes[order], common["n"].to_numpy()[order].astype(np.float64)
     spelled = np.where(np.isin(hashes, top), 0.0, np.log10((n - DISCOUNT) / room))
-    # at most heavy runs of each length, and their contexts
-    often = tree.where(F.col("n") * heavy >= total).select("code", "value", "first").toArrow()
+    # at most heavy runs of each length, and the contexts of the most frequent words
+    often = tree.where((F.col("n") * heavy >= total) | F.col("code").isin([r["code"] for r in first])).select("code", "value", "first").toArrow()
     codes = often["code"].to_numpy().view(np.uint64)
     order = np.argsort(codes)
-    runs = (bit_map(tree), codes[order], often["value"].to_numpy()[order], often["first"].to_numpy()[order])
+    # a run of two maps is admitted by both
+    maps = bit_map(tree), bit_map(tree.select(F.shiftleft("code", MAP_BITS).alias("code")))
+    runs = (maps, codes[order], often["value"].to_numpy()[order], often["first"].to_numpy()[order])
     model = spark.sparkContext.broadcast((kept, rows, top, hashes, np.log10(n + 1.0), spelled, runs))
+    parts = parts_of(words)
 
     def run(batches):
-        kept, rows, top, known, logs, spelled, (bits, codes, values, firsts) = model.value
+        kept, rows, top, known, logs, spelled, (maps, codes, values, firsts) = model.value
         state = state_table(kept)
+        task, chunks = TaskContext.get().partitionId(), 0
+        texts, single, longer, m, size = [], [], [], 0, 0
+
+        def handed():
+            chunk = (task << 33) + chunks
+            doc_id, held_out, *numbers = (pa.concat_arrays([x[i] for x in texts]) for i in range(6))
+            yield filled(m, doc_id.type, ASKED, TEXT, kind=pa.array(np.full(m, DOCUMENT, np.int32)), part=pa.array(np.arange(m) % parts), chunk=pa.array(np.full(m, chunk)),
+                         doc_id=doc_id, held_out=held_out, place=pa.array(np.arange(m)), **dict(zip(("n_tokens", "hits", "base", "score"), numbers, strict=True)))
+            for kind, asked in ((WORD, single), (RUN, longer)):
+                asked = _asked(kind, chunk, parts, *(np.concatenate(x) for x in zip(*asked, strict=True)))
+                yield filled(len(asked["part"]), doc_id.type, ASKED, TEXT, **asked)
+
         for batch in batches:
             for first, per_row, h in word_hashes(batch.column("text")):
-                m = len(per_row)
+                here = len(per_row)
                 sym, begin = symbols(h, per_row, top)
                 token = rows[state[contexts(sym, begin)], sym]
                 score = np.add.reduceat(token, begin, dtype=np.float64)
-                row = np.repeat(np.arange(m), per_row)
+                row = np.repeat(np.arange(here), per_row)
                 uniq, back = np.unique(h, return_inverse=True)
-                at = np.minimum(np.searchsorted(known, uniq), max(len(known) - 1, 0))
-                found = known[at] == uniq if len(known) else np.zeros(len(uniq), bool)
+                found, at = _found(known, uniq)
                 value = np.where(found, logs[at], 0) if len(known) else np.zeros(len(uniq))
-                hits = np.bincount(row, found[back], m).astype(np.int64)
-                base = np.bincount(row, value[back], m).astype(np.float64)  # integers if there is no word
+                hits = np.bincount(row, found[back], here).astype(np.int64)
+                base = np.bincount(row, value[back], here).astype(np.float64)  # integers if there is no word
                 if len(known):
-                    score += np.bincount(row, np.where(found, spelled[at], 0)[back], m)
-                miss = ~found[back]
-                rare = _lookups(row[miss], h[miss], m)
+                    score += np.bincount(row, np.where(found, spelled[at], 0)[back], here)
                 # after a retained context the root's symbol stands in for the symbol tree's
-                shift = (rows[0, sym] - token).astype(np.float64)
+                moved = (rows[0, sym] - token).astype(np.float64)[np.arange(len(h)) + row + 1]
+                often, at = _found(codes, uniq)
+                if often.any():
+                    score += np.bincount(row, np.where(often, values[at], 0.0)[back] + np.where((often & firsts[at])[back], moved, 0.0), here)
+                # a word of the broadcast counts has its context among the broadcast runs, if it is one
+                miss = ~found[back]
+                single.append((row[miss] + m, h[miss], moved[miss]))
                 late = []
                 for k, start, key, rest in runs_of(per_row, h, WORDS + 1):
-                    ends = rest == 0
-                    moved = shift[start + row[start] + 1] if k == 1 else np.zeros(len(start))
-                    if k <= WORDS:
-                        start, moved = np.concatenate([start, start[ends]]), np.concatenate([moved, np.zeros(int(ends.sum()))])
-                        key = np.concatenate([key, extended(key[ends], np.uint64(0))])
-                    ok = admitted(bits, key)
-                    key, r, moved = key[ok], row[start[ok]], moved[ok]
-                    at = np.minimum(np.searchsorted(codes, key), max(len(codes) - 1, 0))
-                    here = codes[at] == key if len(codes) else np.zeros(len(key), bool)
-                    if here.any():
-                        score += np.bincount(r[here], values[at[here]] + np.where(firsts[at[here]], moved[here], 0.0), m)
-                    late.append((r[~here], key[~here], moved[~here]))
-                r, key, moved = (np.concatenate(x) if late else np.zeros(0, t) for x, t in zip(zip(*late) if late else [()] * 3, (np.int64, np.uint64, float), strict=True))
-                later = _lookups(r, key, m, moved)
-                part = batch.slice(first, m)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), pa.array(per_row + 1), pa.array(hits), pa.array(base), pa.array(score),
-                     *(pa.ListArray.from_arrays(pa.array(x[0]), pa.array(y)) for x in (rare, later) for y in x[1:])],
-                    ["doc_id", "held_out", "n_tokens", "hits", "base", "score", "rare", "rare_n", "runs", "runs_n", "shift"])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    scored = written(docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(
-        run, f"doc_id {kind}, held_out boolean, n_tokens long, hits long, base double, score double, rare array<long>, rare_n array<long>, "
-        "runs array<long>, runs_n array<long>, shift array<double>")
-        .withColumn("row", F.monotonically_increasing_id()), "lm-scored")  # written once, so the numbers stay
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("row", F.col("x.rare").alias("code"), F.col("x.rare_n").alias("times"))
-    n = F.col("n").cast("double")
-    zero = F.lit(0.0)
-    single = rare.join(counts, "code").select("row", F.col("times").alias("more"), (F.col("times") * F.log10(n + 1.0)).alias("extra"),
-                                              (F.col("times") * F.log10((n - DISCOUNT) / F.lit(float(room)))).alias("spelled"))
-    rare = scored.select("row", F.explode(F.arrays_zip("runs", "runs_n", "shift")).alias("x")).select(
-        "row", F.col("x.runs").alias("code"), F.col("x.runs_n").alias("times"), F.col("x.shift").alias("shift"))
-    longer = rare.join(tree, "code").select("row", F.lit(0).cast("long").alias("more"), zero.alias("extra"),
-                                            (F.col("times") * F.col("value") + F.when(F.col("first"), F.col("shift")).otherwise(zero)).alias("spelled"))
-    found = single.unionByName(longer).groupBy("row").agg(*(F.sum(x).alias(x) for x in ("more", "extra", "spelled")))
+                    ends = start[rest == 0]
+                    over = extended(key[rest == 0], np.uint64(0))
+                    if k == 1:
+                        start, key = ends, over
+                    elif k <= WORDS:
+                        start, key = np.concatenate([start, ends]), np.concatenate([key, over])
+                    for bits, shift in zip(maps, (0, MAP_BITS), strict=True):
+                        ok = admitted(bits, key << np.uint64(shift))
+                        start, key = start[ok], key[ok]
+                    r = row[start]
+                    often, at = _found(codes, key)
+                    if often.any():
+                        score += np.bincount(r[often], values[at[often]], here)
+                    late.append((r[~often], key[~often]))
+                # rows ascend for each code, as all runs of a length come together
+                longer += [(r + m, key) for r, key in late]
+                size += len(single[-1][0]) + sum(len(key) for _, key in late)
+                part = batch.slice(first, here)
+                texts.append((part.column("doc_id"), part.column("held_out"), *map(pa.array, (per_row + 1, hits, base, score))))
+                m += here
+                if size >= ASK:
+                    yield from handed()
+                    texts, single, longer, m, size, chunks = [], [], [], 0, 0, chunks + 1
+        if m:
+            yield from handed()
+
+    text = TEXT | {"doc_id": dict(docs.dtypes)["doc_id"]}
+    asked = docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(run, ddl(ASKED, text))
+    for table in (answers(tree, TREE, "value", parts), answers(counts, COUNT, "n", parts)):
+        asked = asked.unionByName(table, allowMissingColumns=True)
+    answered = asked.groupBy("part").applyInArrow(_answered(float(room)), ddl(ANSWERED, text))
+    scored = answered.groupBy("chunk").applyInArrow(_finished, ddl(text, FOUND))
     floor = math.log10(total + distinct + 1)
     end = math.log10(texts + 1)
-    more = F.coalesce("more", F.lit(0))
-    unknown = F.col("n_tokens") - 1 - F.col("hits") - more
-    return (scored.drop("rare", "rare_n", "runs", "runs_n", "shift").join(found, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("hits") + more + F.lit(1 if texts else 0)).cast("long").alias("n_known"),
+    unknown = F.col("n_tokens") - 1 - F.col("hits") - F.col("more")
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", (F.col("hits") + F.col("more") + F.lit(1 if texts else 0)).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("extra", F.lit(0.0)) + F.lit(end) - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
-        (F.col("score") + F.coalesce("spelled", F.lit(0.0)) + unknown * F.lit(unseen)).alias("score")))
+        (F.col("base") + F.col("extra") + F.lit(end) - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
+        (F.col("score") + F.col("spelled") + unknown * F.lit(unseen)).alias("score"))

@@ -117,6 +117,36 @@ def test_lm_shuffle_files_go_with_the_write(spark):
     assert out.count() == 1000
 
 
+def test_lm_look_ups_are_packed_by_part(spark, monkeypatch):
+    """Many parts, chunks and flushes: the scores of the whole tree, and no row per document and run."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(260):
+        w = [f"c{x}" for x in rng.integers(0, 200, 40)]
+        w[10:10] = ["all", "all", "all", f"k{i % 9}", f"v{i % 9}", "then", f"t{i % 4}"]
+        rows.append((i, " ".join(w)))
+    rows += [(1000, "k3 v3 then"), (1001, "k3 v4 then"), (1002, ""), (1003, "all " * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want, kept = _tree_scores(rows, 40.0)
+    assert kept
+    for name, size in (("PART", 400), ("ASK", 300), ("HELD", 256)):
+        monkeypatch.setattr(suffix_tree_lm, name, size)
+    out = suffix_tree_lm.lm_scores(docs, gain=1e9, heavy=40, cost=40.0)
+    got = {r.doc_id: r.score for r in out.collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-3 for i in want), max((abs(got[i] - want[i]), i) for i in want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
+
+def test_lm_wide_contexts_are_dealt_over_parts(spark):
+    """Counts are the same in any number of parts, also of a context that is dealt over all."""
+    docs = spark.createDataFrame([(" ".join(f"w{(i * j) % 7}" for j in range(40)),) for i in range(60)], "text string")
+    every = np.full(1 << 4, 2 ** 64 - 1, np.uint64)
+    want = sorted(map(tuple, suffix_tree_lm.next_counts(docs, 1, every).collect()))
+    wide = np.unique(np.array([want[0][0], want[-1][0]], np.int64).view(np.uint64))
+    assert sorted(map(tuple, suffix_tree_lm.next_counts(docs, 1, every, every, 9, wide).collect())) == want
+
+
 # ---- suffix arrays ------------------------------------------------------
 
 def _first_spans(rows, k):
