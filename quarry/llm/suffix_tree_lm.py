@@ -71,7 +71,7 @@ PRIOR = 16.0
 GAIN = 2e-7
 #: Taken from each other word's count for unseen words.
 DISCOUNT = 0.6
-HEAVY = 1 << 20
+HEAVY = 1 << 22
 #: Words of the longest context of the tree over all words.
 WORDS = 3
 #: Occurrences that a context, and a word after it, must have.
