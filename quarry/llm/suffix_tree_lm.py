@@ -33,9 +33,15 @@ Counts of single tokens and values of runs: those that make up at least a
 broadcast; all others are looked up.  Both shuffles, that of the counted pairs and
 that of the look-ups, are dealt over ranges of hashes, and a task hands on what it
 holds for a range as one row of packed sorted arrays: the pairs of some 2 ** 18
-runs, or what some hundred documents (a chunk) ask.  A range has about ``PART``
-tokens, whatever the corpus; it meets its range of the tree, and its sums go back
-to the chunk, which must be read alike when a task is run again.
+runs, or what some hundred documents (a chunk) ask.  Of the pairs' words the
+``COMMON`` most frequent take two bytes, all others their hash.  A range has about
+``PART`` tokens, whatever the corpus; it meets its range of the tree, and its sums
+go back to the chunk, which must be read alike when a task is run again.
+
+On disk are, besides the table in the making, only those that a later step reads:
+shuffle files go with each step, staged tables with their last reader.  The documents
+are scored in up to ``SLICES`` slices by id, one after the other, each against the
+whole tree, so the look-ups of one slice are on disk at a time.
 
 A level is extended only by contexts that can still be retained, or whose
 extensions can: ``extendable`` drops those that, with their count, can not save
@@ -50,14 +56,16 @@ an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .common import holdout, prepare, staged
 from .tokens import mix64, starts_from, word_hashes
 
@@ -80,20 +88,44 @@ LEAST = 4
 COST = 64.0
 #: Slots of the largest bit maps that tell tasks which runs may count.
 MAP_BITS = 27
+#: Words that pairs name by a rank of two bytes; rank 0 is any other word.
+COMMON = (1 << 16) - 1
+#: Slices in which the documents of a large corpus are scored.
+SLICES = 4
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``staged``; the shuffle files behind it go as soon as it is written."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+@contextmanager
+def cleaned(spark: SparkSession):
+    """The shuffle files of each query that ends herein go with it."""
+    conf, key = spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(key)
     conf.set(key, "true")
     try:
-        return staged(df, name)
+        yield
     finally:
         conf.set(key, before)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``staged``; the shuffle files behind it go as soon as it is written."""
+    with cleaned(df.sparkSession):
+        return staged(df, name)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes ``written`` tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path, uri = spark._jvm.org.apache.hadoop.fs.Path, spark._jvm.java.net.URI
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            at, base = path(uri(folder)), path(ensure_checkpoint_dir(spark))
+            fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+            if not at.getParent().equals(fs.makeQualified(base)):
+                raise ValueError(f"{folder} is no staged table")
+            fs.delete(at, True)
+
+
 def symbols(h: np.ndarray, counts: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, start of each text) for word hashes and words per text; ``top``
     holds the sorted hashes of the words that have a symbol of their own."""
@@ -221,7 +253,8 @@ def bit_map(codes: DataFrame, bits: int | None = None) -> np.ndarray:
     slot = F.shiftrightunsigned("code", 64 - bits)
     word = F.shiftright(slot, 6).cast("int")
     bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(code, {64 - bits}) & 63 as int))")
-    got = codes.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    with cleaned(codes.sparkSession):
+        got = codes.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[got["word"].to_numpy()] = got["bit"].to_numpy().view(np.uint64)
     return out
@@ -280,9 +313,29 @@ def unpacked_narrow(column: pa.ChunkedArray, sizes: np.ndarray) -> np.ndarray:
     return np.concatenate(got) if got else np.zeros(0, np.int64)
 
 
-def _packed_pairs(ctx: np.ndarray, word: np.ndarray, n: np.ndarray, parts: int, wide: np.ndarray):
+def ranked(words: np.ndarray, common: np.ndarray, cut: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Words → for each step of ``cut`` their ranks from 1 in the sorted ``common``,
+    packed, and those not there (rank 0), packed."""
+    here, at = _found(common, words)
+    far = ~here
+    return packed(np.where(here, at + 1, 0).astype(np.uint16), cut), packed(words[far], starts_from(far)[cut])
+
+
+def named(rank: pa.ChunkedArray, rest: pa.ChunkedArray, common: np.ndarray) -> np.ndarray:
+    """The words that ``ranked`` packed."""
+    rank = unpacked(rank, "u2")
+    out, far = np.empty(len(rank), np.uint64), rank == 0
+    out[far], out[~far] = unpacked(rest, "u8"), common[rank[~far].astype(np.int64) - 1]
+    return out
+
+
+PAIRS = "part long, head binary, ctx binary, ctxs long, sizes binary, rank binary, word binary, words long, n binary"
+
+
+def _packed_pairs(ctx: np.ndarray, word: np.ndarray, n: np.ndarray, parts: int, wide: np.ndarray, heads: np.ndarray, common: np.ndarray):
     """Distinct sorted pairs → one row per part; a context is written once before
-    its words.  The words of the contexts ``wide`` are dealt over all parts."""
+    its words.  The words of the contexts ``wide`` are dealt over all parts.
+    ``heads`` and ``common`` are the contexts and words that have a rank."""
     part = shares(ctx, parts)
     if len(wide):
         far = wide[np.minimum(np.searchsorted(wide, ctx), len(wide) - 1)] == ctx
@@ -295,17 +348,17 @@ def _packed_pairs(ctx: np.ndarray, word: np.ndarray, n: np.ndarray, parts: int,
     new[1:] = ctx[1:] != ctx[:-1]
     new[at] = True
     begin = np.flatnonzero(new)
-    heads = np.searchsorted(begin, cut)
+    step = np.searchsorted(begin, cut)
     return pa.RecordBatch.from_arrays(
-        [pa.array(which), packed(ctx[begin], heads), pa.array(np.diff(heads)), packed(narrow(np.diff(np.append(begin, len(ctx)))), heads),
-         packed(word, cut), pa.array(np.diff(cut)), packed(narrow(n), cut)], ["part", "ctx", "ctxs", "sizes", "word", "words", "n"])
+        [pa.array(which), *ranked(ctx[begin], heads, step), pa.array(np.diff(step)), packed(narrow(np.diff(np.append(begin, len(ctx)))), step),
+         *ranked(word, common, cut), pa.array(np.diff(cut)), packed(narrow(n), cut)], [x.split()[0] for x in PAIRS.split(", ")])
 
 
-def _summed_pairs(part: pa.Table) -> pa.Table:
+def _summed_pairs(part: pa.Table, heads: np.ndarray, common: np.ndarray) -> pa.Table:
     """The packed pairs of one part → (ctx, word, n), ``LEAST`` or more."""
     ctxs, words = part.column("ctxs").to_numpy(), part.column("words").to_numpy()
-    ctx = np.repeat(unpacked(part.column("ctx"), "u8"), unpacked_narrow(part.column("sizes"), ctxs))
-    word, n = unpacked(part.column("word"), "u8"), unpacked_narrow(part.column("n"), words)
+    ctx = np.repeat(named(part.column("head"), part.column("ctx"), heads), unpacked_narrow(part.column("sizes"), ctxs))
+    word, n = named(part.column("rank"), part.column("word"), common), unpacked_narrow(part.column("n"), words)
     key = extended(ctx, word)
     order = np.argsort(key)
     key = key[order]
@@ -316,13 +369,15 @@ def _summed_pairs(part: pa.Table) -> pa.Table:
     return pa.table([pa.array(ctx[at].view(np.int64)), pa.array(word[at].view(np.int64)), pa.array(n[often])], ["ctx", "word", "n"])
 
 
-def next_counts(docs: DataFrame, k: int, before: np.ndarray, tails: np.ndarray | None = None, parts: int = 1, wide: np.ndarray = np.zeros(0, np.uint64)) -> DataFrame:
+def next_counts(docs: DataFrame, k: int, before: np.ndarray, tails: np.ndarray | None = None, parts: int = 1, wide: np.ndarray = np.zeros(0, np.uint64),
+                common: np.ndarray = np.zeros(0, np.uint64)) -> DataFrame:
     """docs(text) → (ctx, word, n): runs of ``k`` words with the word after them,
     or 0 at the end, that ``before`` admits as a context and ``tails``
     (``before``) without the oldest word; ``LEAST`` occurrences or more.  Tasks
     hand on sorted pairs, packed by part; ``wide`` holds the sorted contexts
-    that one part should not get alone."""
+    that one part should not get alone, ``common`` the sorted words that have a rank."""
     known = docs.sparkSession.sparkContext.broadcast((before, tails, wide))
+    heads = common if k == 1 else common[:0]  # a longer context is no word
 
     def run(batches):
         (bits, ends, wide), held, size = known.value, [], 0
@@ -351,13 +406,16 @@ def next_counts(docs: DataFrame, k: int, before: np.ndarray, tails: np.ndarray |
                     held = [merged()]
                     size = len(held[0][0])
                     if 2 * size >= HELD:
-                        yield _packed_pairs(*held[0], parts, wide)
+                        yield _packed_pairs(*held[0], parts, wide, heads, common)
                         held, size = [], 0
         if size:
-            yield _packed_pairs(*merged(), parts, wide)
+            yield _packed_pairs(*merged(), parts, wide, heads, common)
 
-    rows = docs.select("text").mapInArrow(run, "part long, ctx binary, ctxs long, sizes binary, word binary, words long, n binary")
-    out = written(rows.groupBy("part").applyInArrow(_summed_pairs, "ctx long, word long, n long"), "lm-next")
+    def summed(part: pa.Table) -> pa.Table:
+        return _summed_pairs(part, heads, common)
+
+    rows = docs.select("text").mapInArrow(run, PAIRS)
+    out = written(rows.groupBy("part").applyInArrow(summed, "ctx long, word long, n long"), "lm-next")
     known.destroy()  # its copies on disk too
     return out
 
@@ -403,11 +461,14 @@ def word_tree(train: DataFrame, words: DataFrame, cost: float = COST) -> DataFra
     tokens, most, least = words.agg(F.sum("n"), F.max("n"), F.min(F.when(F.col("n") >= LEAST, F.col("p")))).first()
     parts = parts_of(tokens or 0)
     ctxs = extendable(ctxs, F.lit(min(least or 1.0, LEAST / ((most or 0) + PRIOR))), cost)
-    levels = []
+    with cleaned(words.sparkSession):
+        common = below.orderBy(F.desc("n"), "gram").select("gram").limit(COMMON).toArrow()["gram"].to_numpy().view(np.uint64)
+    common = np.sort(common)
+    levels, spent = [], []
     for k in range(1, WORDS + 1):
         # fewer than 4 · parts contexts have a quarter of a part or more
         wide = ctxs.where(F.col("n_ctx") * (4 * parts) >= (tokens or 0)).select("ctx").toArrow()["ctx"].to_numpy().view(np.uint64)
-        seen = next_counts(train, k, bit_map(ctxs.select(F.col("ctx").alias("code"))), bit_map(below.select(F.col("gram").alias("code"))), parts, np.sort(wide))
+        seen = next_counts(train, k, bit_map(ctxs.select(F.col("ctx").alias("code"))), bit_map(below.select(F.col("gram").alias("code"))), parts, np.sort(wide), common)
         grams = keyed_runs(seen.join(ctxs, "ctx"), k)
         grams = grams.join(below.select(F.col("gram").alias("tail"), F.col("p").alias("q"), F.col("n").alias("n_tail")), "tail")
         own = Window.partitionBy("ctx")
@@ -417,6 +478,7 @@ def word_tree(train: DataFrame, words: DataFrame, cost: float = COST) -> DataFra
         bits = F.sum(F.col("p") * F.log2(F.col("p") / F.col("q"))).over(own) + F.col("lam") * F.col("unseen") * F.log2("lam")
         below = written(out.withColumn("keep", F.col("n_ctx") * bits >= cost).select(
             "ctx", "up", "gram", "tail", "n", "n_tail", "n_ctx", "p", "keep", F.log10("lam").alias("lam"), F.log10(F.col("p") / F.col("q")).alias("more")), "lm-level")
+        dropped(seen)
         levels.append(below)
         # the end is never a context; a run that ends a text has no key of its own among the runs of words
         ctxs = extendable(below.select(F.col("gram").alias("ctx"), F.col("n").alias("n_ctx"), F.col("tail").alias("up"), "n_tail"),
@@ -426,6 +488,7 @@ def word_tree(train: DataFrame, words: DataFrame, cost: float = COST) -> DataFra
         level = levels[k - 1]
         kept = level.where("keep").select("ctx")
         kept = written((kept if longer is None else kept.unionByName(longer)).distinct(), "lm-kept")
+        spent += [level, kept]
         rows = level.join(kept, "ctx", "left_semi")
         heads = rows.groupBy("ctx").agg(F.max("n_ctx").alias("n"), F.max("lam").alias("value"), F.max("up").alias("up"))
         longer = heads.select(F.col("up").alias("ctx"))
@@ -434,7 +497,9 @@ def word_tree(train: DataFrame, words: DataFrame, cost: float = COST) -> DataFra
     tree = pieces[0]
     for piece in pieces[1:]:
         tree = tree.unionByName(piece)
-    return written(tree.groupBy("code").agg(F.max("n").alias("n"), F.sum("value").alias("value"), F.max("first").alias("first")), "lm-tree")
+    out = written(tree.groupBy("code").agg(F.max("n").alias("n"), F.sum("value").alias("value"), F.max("first").alias("first")), "lm-tree")
+    dropped(*spent)
+    return out
 
 
 def grow_tree(codes: np.ndarray, n: np.ndarray, gain: float = GAIN, prior: float = PRIOR) -> tuple[list[np.ndarray], np.ndarray]:
@@ -515,19 +580,28 @@ def _asked(kind: int, chunk: int, parts: int, row: np.ndarray, code: np.ndarray,
 
 def answers(table: DataFrame, kind: int, value: str, parts: int) -> DataFrame:
     """table(code, value[, first]) → packed rows by part, to meet those of ``_asked``."""
+    def rows(held):
+        b = pa.Table.from_batches(held)
+        code = b.column("code").to_numpy().view(np.uint64)
+        order = np.argsort(code)
+        code = code[order]
+        which, begin = np.unique(shares(code, parts), return_index=True)
+        cut = np.append(begin, len(code))
+        m = len(which)
+        first = b.column("first").to_numpy()[order].astype(np.uint8)
+        return filled(m, None, ASKED, kind=pa.array(np.full(m, kind, np.int32)), part=pa.array(which), code=packed(code, cut), codes=pa.array(np.diff(cut)),
+                      times=packed(first, cut), value=packed(b.column("value").to_numpy()[order], cut))
+
     def run(batches):
+        held, size = [], 0
         for b in batches:
-            if not b.num_rows:
-                continue
-            code = b.column("code").to_numpy().view(np.uint64)
-            order = np.argsort(code)
-            code = code[order]
-            which, begin = np.unique(shares(code, parts), return_index=True)
-            cut = np.append(begin, len(code))
-            m = len(which)
-            first = b.column("first").to_numpy(zero_copy_only=False)[order].astype(np.uint8)
-            yield filled(m, None, ASKED, kind=pa.array(np.full(m, kind, np.int32)), part=pa.array(which), code=packed(code, cut), codes=pa.array(np.diff(cut)),
-                         times=packed(first, cut), value=packed(b.column("value").to_numpy()[order], cut))
+            held.append(b)
+            size += b.num_rows
+            if size >= HELD:
+                yield rows(held)
+                held, size = [], 0
+        if size:
+            yield rows(held)
 
     first = F.col("first") if "first" in table.columns else F.lit(False)
     return table.select("code", F.col(value).cast("double").alias("value"), first.alias("first")).mapInArrow(run, ddl(ASKED))
@@ -621,7 +695,8 @@ def lm_scores(docs: DataFrame, gain: float = GAIN, heavy: int = HEAVY, cost: flo
     first = counts.orderBy(F.desc("n"), "code").limit(SYMBOLS - 2).collect()
     top = np.sort(np.array([r["code"] for r in first], np.int64).view(np.uint64))
     # at most SYMBOLS ** (DEPTH + 1) rows by construction
-    seen = context_counts(train, top).toArrow()
+    with cleaned(spark):
+        seen = context_counts(train, top).toArrow()
     kept, rows = grow_tree(seen["code"].to_numpy(), seen["n"].to_numpy(), gain)
     other, other_types = words - sum(r["n"] for r in first), vocabulary - len(first)
     room = max(other, 1)
@@ -684,7 +759,10 @@ def lm_scores(docs: DataFrame, gain: float = GAIN, heavy: int = HEAVY, cost: flo
                     score += np.bincount(row, np.where(often, values[at], 0.0)[back] + np.where((often & firsts[at])[back], moved, 0.0), here)
                 # a word of the broadcast counts has its context among the broadcast runs, if it is one
                 miss = ~found[back]
-                single.append((row[miss] + m, h[miss], moved[miss]))
+                word, off = h[miss], moved[miss]
+                for bits, shift in zip(maps, (0, MAP_BITS), strict=True):
+                    off[~admitted(bits, word << np.uint64(shift))] = 0  # not in the tree: zeros pack well
+                single.append((row[miss] + m, word, off))
                 late = []
                 for k, start, key, rest in runs_of(per_row, h, WORDS + 1):
                     ends = start[rest == 0]
@@ -714,16 +792,23 @@ def lm_scores(docs: DataFrame, gain: float = GAIN, heavy: int = HEAVY, cost: flo
             yield from handed()
 
     text = TEXT | {"doc_id": dict(docs.dtypes)["doc_id"]}
-    asked = docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(run, ddl(ASKED, text))
-    for table in (answers(tree, TREE, "value", parts), answers(counts, COUNT, "n", parts)):
-        asked = asked.unionByName(table, allowMissingColumns=True)
-    answered = asked.groupBy("part").applyInArrow(_answered(float(room)), ddl(ANSWERED, text))
-    scored = answered.groupBy("chunk").applyInArrow(_finished, ddl(text, FOUND))
+    tables = written(answers(tree, TREE, "value", parts).unionByName(answers(counts, COUNT, "n", parts)), "lm-answers")
+    dropped(tree, counts)
     floor = math.log10(total + distinct + 1)
     end = math.log10(texts + 1)
     unknown = F.col("n_tokens") - 1 - F.col("hits") - F.col("more")
-    return scored.select(
-        "doc_id", "held_out", "n_tokens", (F.col("hits") + F.col("more") + F.lit(1 if texts else 0)).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("extra") + F.lit(end) - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
-        (F.col("score") + F.col("spelled") + unknown * F.lit(unseen)).alias("score"))
+    slices, out = min(SLICES, parts), None
+    for k in range(slices):
+        own = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(slices)) == k)
+        asked = own.select("doc_id", held.alias("held_out"), "text").mapInArrow(run, ddl(ASKED, text)).unionByName(tables, allowMissingColumns=True)
+        answered = asked.groupBy("part").applyInArrow(_answered(float(room)), ddl(ANSWERED, text))
+        scored = answered.groupBy("chunk").applyInArrow(_finished, ddl(text, FOUND))
+        scored = written(scored.select(
+            "doc_id", "held_out", "n_tokens", (F.col("hits") + F.col("more") + F.lit(1 if texts else 0)).cast("long").alias("n_known"),
+            F.lit(total).cast("long").alias("train_tokens"),
+            (F.col("base") + F.col("extra") + F.lit(end) - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
+            (F.col("score") + F.col("spelled") + unknown * F.lit(unseen)).alias("score")), "lm-scores")
+        out = scored if out is None else out.unionByName(scored)
+    dropped(tables)
+    model.destroy()
+    return out

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import os
 import time
 
 import numpy as np
@@ -147,6 +148,51 @@ def test_lm_wide_contexts_are_dealt_over_parts(spark):
     assert sorted(map(tuple, suffix_tree_lm.next_counts(docs, 1, every, every, 9, wide).collect())) == want
 
 
+def test_lm_pairs_name_common_words_by_rank():
+    """The words with a rank take two bytes each; every pair comes back, in any mix of ranks and hashes."""
+    rng = np.random.default_rng(3)
+    words = np.unique(rng.integers(1, 2 ** 64, 400, np.uint64))
+    ctx, word = rng.choice(words, 6000), rng.choice(np.append(words, np.uint64(0)), 6000)
+    ctx, word, n = suffix_tree_lm._pairs(ctx, word, np.full(6000, suffix_tree_lm.LEAST))
+    want = sorted(zip(ctx.view(np.int64).tolist(), word.view(np.int64).tolist(), n.tolist(), strict=True))
+    size = []
+    for common in (words[:0], words[::2], np.append(np.uint64(0), words)):
+        for heads in (words[:0], common):
+            rows = pa.Table.from_batches([suffix_tree_lm._packed_pairs(ctx, word, n, 5, words[:3], heads, common)])
+            got = [suffix_tree_lm._summed_pairs(rows.slice(i, 1), heads, common) for i in range(rows.num_rows)]
+            assert rows.num_rows == 5 and sorted(tuple(x.values()) for t in got for x in t.to_pylist()) == want
+            size.append(sum(len(x) for c in ("rank", "word") for x in rows.column(c).to_pylist()))
+    assert size[-1] == 2 * len(word) and size[0] == 10 * len(word)
+
+
+def test_lm_disk_holds_what_is_read_later(spark, monkeypatch):
+    """Staged tables go with their last reader; the documents are scored in slices, each once."""
+    def folders():
+        top = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+        return {x for x in os.listdir(top) if x.startswith("lm-")}
+
+    rows = [(i // 2 if i % 7 else None, " ".join(f"w{(i * j) % 11}" for j in range(30))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, suffix_tree_lm.lm_scores(docs, heavy=5, cost=1.0).collect()), key=str)
+    monkeypatch.setattr(suffix_tree_lm, "PART", 300)
+    there, looked, real = folders(), [], suffix_tree_lm.staged
+
+    def staged(df, name):
+        looked.append((name, len(folders() - there)))
+        return real(df, name)
+    monkeypatch.setattr(suffix_tree_lm, "staged", staged)
+    out = suffix_tree_lm.lm_scores(docs, heavy=5, cost=1.0)
+    names = [name for name, _ in looked]
+    assert names.count("lm-scores") == suffix_tree_lm.SLICES and {x.rsplit("-", 1)[0] for x in folders() - there} == {"lm-scores"}
+    # words, and one table of each level before it; the answers alone while documents are scored
+    assert [n for name, n in looked if name == "lm-next"] == [1, 2, 3]
+    assert [n for name, n in looked if name == "lm-scores"] == [1, 2, 3, 4]
+    got = sorted(map(tuple, out.collect()), key=str)
+    assert len(got) == len(whole) == 80
+    for a, b in zip(whole, got, strict=True):
+        assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-6 and abs(a[6] - b[6]) < 1e-6
+
+
 # ---- suffix arrays ------------------------------------------------------
 
 def _first_spans(rows, k):
