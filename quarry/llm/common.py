@@ -40,9 +40,17 @@ def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A join side that grows with the corpus: it never passes the driver,
+    however small the planner takes it to be from the size of its files."""
+    return df.hint("merge")
+
+
 def salted_join(many: DataFrame, few: DataFrame, keys: list[str], spread: str) -> DataFrame:
     """Join on ``keys`` where ``few`` has one row per key and ``many`` may have a
-    third of its rows on one key: those are dealt over ``SALTS`` parts."""
+    third of its rows on one key: those are dealt over ``SALTS`` parts.  The
+    planner does not see that ``few`` becomes ``SALTS`` times as long and may
+    broadcast it; pass one that grows with the corpus as ``shuffled``."""
     left = many.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
     right = few.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return left.join(right, [*keys, "salt"]).drop("salt")

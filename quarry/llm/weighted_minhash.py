@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SALTS, prepare, salted_join, small, staged
+from .common import prepare, salted_join, shuffled, staged
 from .tokens import ALNUM, Grams, mix64, starts_from, word_hashes
 
 SHINGLE = 5
@@ -47,6 +47,8 @@ DF_BITS = 18
 OUTLINE_BITS = 1024
 #: Texts of one shingle for which a part is made.
 HOT = 512
+#: Rows of a key table that may be sent to all tasks; they pass the driver.
+HELD = 250_000
 #: Shingles handled at once; keeps the sampling arrays in cache.
 BLOCK = 1 << 15
 _LEVELS = 1 << 16
@@ -145,6 +147,11 @@ def mix_light(h: np.ndarray, odd) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))) * odd
 
 
+def held(keys: DataFrame) -> DataFrame:
+    """A staged key table as a join side: sent to all tasks up to HELD rows, else shuffled."""
+    return F.broadcast(keys) if keys.count() <= HELD else shuffled(keys)
+
+
 def sketches(docs: DataFrame, idf: np.ndarray, bands: int, rows: int) -> DataFrame:
     """docs(doc_id, text) → doc_id, f1, f2 (128 bits of the word sequence, null
     without a word), bands (array of band keys), mass (sum of the weights)."""
@@ -217,10 +224,10 @@ def classes(links: DataFrame, max_rounds: int | None = None) -> DataFrame:
     edges = staged(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "class-edges")
     labels = staged(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id"), "class-labels")
     while True:
-        around = (edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("near")))
-        near = labels.join(around, labels["id"] == around["a"]).select("id", "label", F.least("label", "near").alias("near"))
+        around = (edges.join(shuffled(labels.withColumnRenamed("id", "b")), "b").groupBy("a").agg(F.min("label").alias("near")))
+        near = labels.join(shuffled(around), labels["id"] == around["a"]).select("id", "label", F.least("label", "near").alias("near"))
         top = labels.select(F.col("id").alias("near"), F.col("label").alias("above"))
-        after = staged(near.join(top, "near", "left").select("id", F.least("near", F.coalesce("above", "near")).alias("label"), (F.col("label") != F.least("near", F.coalesce("above", "near"))).alias("moved")), "class-labels")
+        after = staged(near.join(shuffled(top), "near", "left").select("id", F.least("near", F.coalesce("above", "near")).alias("label"), (F.col("label") != F.least("near", F.coalesce("above", "near"))).alias("moved")), "class-labels")
         moved = after.where("moved").limit(1).count()
         labels = after.select("id", "label")
         if not moved:
@@ -230,12 +237,12 @@ def classes(links: DataFrame, max_rounds: int | None = None) -> DataFrame:
 def _closed(groups: DataFrame, labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels(id, label) of the linked texts and further links(a, b) → staged
     (id, label) of all texts: links between classes close over the classes' labels."""
-    ends = (links.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left")
-            .join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", "left")
+    ends = (links.join(shuffled(labels.select(F.col("id").alias("a"), F.col("label").alias("la"))), "a", "left")
+            .join(shuffled(labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))), "b", "left")
             .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a != b"))
     joined = classes(staged(ends, "minhash-joined")).select(F.col("id").alias("one"), F.col("label").alias("class"))
-    out = (groups.select(F.col("rep").alias("id")).join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("one"))
-           .join(joined, "one", "left").select("id", F.coalesce("class", "one").alias("label")))
+    out = (groups.select(F.col("rep").alias("id")).join(shuffled(labels), "id", "left").select("id", F.coalesce("label", "id").alias("one"))
+           .join(shuffled(joined), "one", "left").select("id", F.coalesce("class", "one").alias("label")))
     return staged(out, "minhash-labels")
 
 
@@ -288,20 +295,20 @@ def prefix_pairs(members: DataFrame, texts: DataFrame, idf: np.ndarray, threshol
     weights that the two do not share are at most (1 − t) / (1 + t) · (X + Y): all
     that stands before the first common shingle on either side, and a shingle at
     least for each differing bit of their outlines."""
-    here = staged(texts.join(members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), "minhash-open")
+    here = staged(texts.join(shuffled(members.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi"), "minhash-open")
     tokens = staged(weighted_shingles(here, idf), "minhash-shingles")
     spread = staged(tokens.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "minhash-spread")
     order = Window.partitionBy("id").orderBy("df", "g").rowsBetween(Window.unboundedPreceding, -1)
     outline = staged(outlines(here, idf), "minhash-outlines")
-    placed = (tokens.join(spread, "g", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("before", F.coalesce(F.sum("w").over(order), F.lit(0.0)))
-              .join(outline.select("id", "mass"), "id").where(F.col("before") <= F.col("mass") * (1 - threshold) * (1 + 1e-9)))
+    placed = (tokens.join(shuffled(spread), "g", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("before", F.coalesce(F.sum("w").over(order), F.lit(0.0)))
+              .join(shuffled(outline.select("id", "mass")), "id").where(F.col("before") <= F.col("mass") * (1 - threshold) * (1 + 1e-9)))
     # a shingle of one text brings no pair; one of many is dealt over salts
     placed = placed.where("df > 1").select("id", "g", "before", (1 + F.floor(F.col("df") / HOT)).cast("int").alias("salts"))
-    rows = staged(placed.join(members.select("id", "label").join(outline, "id"), "id"), "minhash-prefixes")
+    rows = staged(placed.join(shuffled(members.select("id", "label").join(shuffled(outline), "id")), "id"), "minhash-prefixes")
     # the members of a hot shingle's largest class need not meet each other
     largest = rows.where("salts > 1").groupBy("g", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("g").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
     largest = staged(largest, "minhash-largest")
-    rows = rows.join(small(largest, largest.count()), "g", "left").withColumn("major", F.coalesce(F.col("label") == F.col("largest"), F.lit(False))).drop("largest")
+    rows = rows.join(held(largest), "g", "left").withColumn("major", F.coalesce(F.col("label") == F.col("largest"), F.lit(False))).drop("largest")
     near = F.col("before") <= F.col("mass") * (1 - threshold) / (1 + threshold) * (1 + 1e-9)
     x = rows.where(near).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
     y = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
@@ -311,8 +318,8 @@ def prefix_pairs(members: DataFrame, texts: DataFrame, idf: np.ndarray, threshol
     differing = sum((F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(OUTLINE_BITS // 64)), F.lit(0))
     close = (F.col("x.before") + F.col("y.before") <= apart) & (differing * F.least("x.low", "y.low") <= apart)
     met = (F.col("x.g") == F.col("y.g")) & (F.col("x.salt") == F.col("y.salt")) & able & close
-    pairs = x.where("NOT major").alias("x").join(y.alias("y"), met).select("x.id", F.col("y.id").alias("other")).unionByName(
-        x.where("major").alias("x").join(y.where("NOT major").alias("y"), met).select("x.id", F.col("y.id").alias("other")))
+    pairs = x.where("NOT major").alias("x").join(shuffled(y).alias("y"), met).select("x.id", F.col("y.id").alias("other")).unionByName(
+        x.where("major").alias("x").join(shuffled(y.where("NOT major")).alias("y"), met).select("x.id", F.col("y.id").alias("other")))
     return pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
 
 
@@ -329,20 +336,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     groups = staged(live.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"), F.min("mass").alias("mass")), "minhash-texts")
     keys = staged(groups.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "key")), "minhash-bands")
     centres = staged(keys.groupBy("band", "key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "minhash-centres")
-    met = staged(salted_join(keys, centres, ["band", "key"], "id"), "minhash-met")
+    met = staged(salted_join(keys, shuffled(centres), ["band", "key"], "id"), "minhash-met")
     ids = staged(met.select(F.col("id").alias("doc_id")).distinct(), "minhash-ids")
-    texts = staged(known.join(small(ids, ids.count()), "doc_id", "left_semi"), "minhash-candidates")
+    texts = staged(known.join(held(ids), "doc_id", "left_semi"), "minhash-candidates")
     tried = staged(met.where("id != centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct(), "minhash-pairs")
     links = staged(verified(tried, texts, idf, threshold), "minhash-links")
     labels = classes(links)
     # buckets that still hold several classes: pairs of their members by an exact prefix filter
-    seen = met.select("band", "key", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    seen = met.select("band", "key", "id").join(shuffled(labels), "id", "left").withColumn("label", F.coalesce("label", "id"))
     several = seen.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("band", "key")
-    members = staged(salted_join(seen, several, ["band", "key"], "id").select("id", "label").distinct(), "minhash-members")
-    rest = prefix_pairs(members, texts, idf, threshold).join(tried, ["a", "b"], "left_anti")
+    members = staged(salted_join(seen, shuffled(several), ["band", "key"], "id").select("id", "label").distinct(), "minhash-members")
+    rest = prefix_pairs(members, texts, idf, threshold).join(shuffled(tried), ["a", "b"], "left_anti")
     labels = _closed(groups, labels, staged(verified(staged(rest, "minhash-rest"), texts, idf, threshold), "minhash-last"))
-    member = groups.select("f1", "f2", "rep").join(labels, F.col("rep") == F.col("id")).select("f1", "f2", F.col("label").alias("class_id"))
-    out = marked.select("doc_id", "f1", "f2").join(member, ["f1", "f2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    member = groups.select("f1", "f2", "rep").join(shuffled(labels), F.col("rep") == F.col("id")).select("f1", "f2", F.col("label").alias("class_id"))
+    out = marked.select("doc_id", "f1", "f2").join(shuffled(member), ["f1", "f2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
 
 
@@ -350,4 +357,4 @@ def distinct_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFra
     """One document of each class, the one with the lowest id, all columns kept;
     documents without an id stay."""
     gone = near_duplicates(docs, threshold).where(F.col("class_id") != F.col("doc_id")).select(F.col("doc_id").alias("quarry_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("quarry_gone"), "left_anti")
+    return docs.join(shuffled(gone), F.col("doc_id") == F.col("quarry_gone"), "left_anti")

@@ -248,6 +248,26 @@ def test_no_link_is_lost_in_a_large_class(spark):
     assert got == want
 
 
+def test_growing_tables_do_not_pass_the_driver(spark, monkeypatch):
+    """Sides that grow with the corpus are shuffled, also where the planner takes
+    them to be small (a side dealt over salts looks a sixteenth of its length)."""
+    plans = []
+    kept = weighted_minhash.staged
+
+    def noted(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return kept(df, name)
+    monkeypatch.setattr(weighted_minhash, "staged", noted)
+    monkeypatch.setattr(weighted_minhash, "HELD", -1, raising=False)  # no key table is held
+    base = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, f"{base} x{i}") for i in range(6)] + [(9, "other words are here for once")], "doc_id long, text string")
+    out = weighted_minhash.near_duplicates(docs)
+    plans.append(("result", out._jdf.queryExecution().executedPlan().toString()))
+    assert {r.doc_id: r.class_id for r in out.collect()} == {**dict.fromkeys(range(6), 0), 9: 9}
+    told = {n for n, p in plans if "Broadcast" in p}
+    assert told <= {"minhash-links", "minhash-last"}, told  # pairs are sent by their true size, texts are not
+
+
 def test_prefix_pairs_hold_every_pair_at_the_threshold(spark):
     """Texts at all similarities around the threshold, each a class of its own,
     all in one bucket: no pair at it is missing, most others are passed over."""
