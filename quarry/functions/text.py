@@ -204,7 +204,8 @@ def markdown_images(md: Column) -> Column:
 
 # ------------------------------------------------------------ data URIs
 
-# Fixed value: an inline image attribute.
+# base64 text of whole quads, an inline image attribute.
+QUADS_RE = r"\A[A-Za-z0-9+/]*+={0,2}\z"
 DATA_URI_RE = r"""(?i)(src\s*=\s*)(["'])data:image/([^;]+);base64,([^"']+)\2"""
 
 
@@ -215,7 +216,7 @@ def data_uri_payloads(html: Column) -> Column:
 
 def encode_b64(b: Column) -> Column:
     """Bytes → base64 text on one line (Spark may wrap at 76 characters)."""
-    return F.regexp_replace(F.base64(b), "[\r\n]", "")
+    return F.replace(F.replace(F.base64(b), F.lit("\r"), F.lit("")), F.lit("\n"), F.lit(""))
 
 
 def decode_b64(s: Column) -> Column:
@@ -223,19 +224,29 @@ def decode_b64(s: Column) -> Column:
     return F.try_to_binary(s, F.lit("base64"))
 
 
+def whole_quads(payloads: Column) -> Column:
+    """Array of base64 texts → what a non-validating decoder (the reference's
+    default) reads of each: characters outside the alphabet are skipped; the data
+    must end on a full quad or be completed by padding ('=' × 2 after two, × 1
+    after three characters); otherwise null.  Padding inside the data is treated as
+    trailing.  One pass an element; no lambda holds another (Python functions
+    can't take such arguments)."""
+    whole = lambda t: (F.length(t) % 4 == 0) & t.rlike(QUADS_RE)
+    cleaned = F.transform(payloads, lambda p: F.when(whole(p), p).otherwise(F.regexp_replace(p, "[^A-Za-z0-9+/=]+", "")))
+
+    def completed(c):
+        data = F.replace(c, F.lit("="), F.lit(""))
+        n = F.length(data)
+        pads = F.length(c) - n
+        r = n % 4
+        ok = (r == 0) | ((r == 2) & (pads >= 2)) | ((r == 3) & (pads >= 1))
+        return F.when(ok, F.concat(data, F.repeat(F.lit("="), (4 - r) % 4)))
+    return F.transform(cleaned, lambda c: F.when(whole(c), c).otherwise(completed(c)))
+
+
 def decode_b64_lenient(s: Column) -> Column:
-    """Non-validating base64 decode (the reference's default): characters
-    outside the alphabet are skipped; the data must end on a full quad or be
-    completed by padding ('=' × 2 after two, × 1 after three characters);
-    otherwise null.  Padding inside the data is treated as trailing."""
-    cleaned = F.regexp_replace(s, "[^A-Za-z0-9+/=]", "")
-    data = F.regexp_replace(cleaned, "=", "")
-    n = F.length(data)
-    pads = F.length(cleaned) - n
-    r = n % 4
-    ok = (r == 0) | ((r == 2) & (pads >= 2)) | ((r == 3) & (pads >= 1))
-    padded = F.concat(data, F.repeat(F.lit("="), (4 - r) % 4))
-    return F.when(ok, F.try_to_binary(padded, F.lit("base64")))
+    """Non-validating base64 decode (see ``whole_quads``); null when undecodable."""
+    return F.unbase64(whole_quads(F.array(s))[0])
 
 
 def replace_each(c: Column, pattern: str, fix) -> Column:
@@ -250,12 +261,12 @@ def replace_each(c: Column, pattern: str, fix) -> Column:
 
 def replace_data_uris(html: Column) -> Column:
     """Replace each decodable data-URI image by its content-hash reference;
-    undecodable payloads stay as they were."""
-    def fix(m):
-        part = [F.regexp_extract(m, DATA_URI_RE, i) for i in (1, 2, 4)]
-        raw = decode_b64_lenient(part[2])
-        return F.when(raw.isNotNull(), F.concat(part[0], part[1], F.sha2(raw, 256), part[1]))
-    return replace_each(html, DATA_URI_RE, fix)
+    undecodable payloads stay as they were.  ``html`` is read several times:
+    project a costly one first."""
+    match, head, quote, payload = (F.regexp_extract_all(html, F.lit(DATA_URI_RE), F.lit(i)) for i in (0, 1, 2, 4))
+    sha = F.transform(whole_quads(payload), lambda p: F.sha2(F.unbase64(p), 256))
+    parts = F.arrays_zip(F.split(html, DATA_URI_RE, -1).alias("t"), match.alias("m"), head.alias("a"), quote.alias("q"), sha.alias("s"))
+    return F.array_join(F.transform(parts, lambda z: F.concat(z["t"], F.coalesce(F.concat(z["a"], z["q"], z["s"], z["q"]), z["m"], F.lit("")))), "")
 
 
 # ------------------------------------------------------ model response split

@@ -62,7 +62,7 @@ def convert_files(blobs: DataFrame) -> DataFrame:
     page = F.col("route") == "html"
     # one search tells texts without an inline image, which are neither cut nor joined again
     holds = F.col("text").rlike(T.DATA_URI_RE)
-    inline = F.filter(F.transform(T.data_uri_payloads(F.col("text")), lambda p: T.decode_b64_lenient(p)), lambda b: b.isNotNull())
+    inline = F.transform(F.filter(T.whole_quads(T.data_uri_payloads(F.col("text"))), lambda p: p.isNotNull()), lambda p: F.unbase64(p))
     rows = rows.select("*", (F.col("route").isin("html", "markdown") & holds).alias("_holds"))
     rows = rows.select("*", F.when(F.col("_holds"), T.replace_data_uris(F.col("text"))).when(F.col("route").isin("html", "markdown"), F.col("text")).alias("body"),
                        F.when(F.col("_holds"), inline).when(F.col("route").isin("html", "markdown"), F.array().cast("array<binary>")).alias("inline"))

@@ -147,12 +147,12 @@ def str_8_data_uri(spark, sf_dir):
     """Data-URI images: payload decoded (non-validating base64, so '@@' is the
     empty image) and hashed (child file), the attribute rewritten to the hash
     reference; payloads with incomplete quads stay."""
-    d = read(spark, sf_dir, "documents")
-    html = _with_data_uri()
-    raw = T.decode_b64_lenient(T.data_uri_payloads(html)[0])
-    return d.select("doc_id", F.sha2(raw, 256).alias("image_sha256"),
-                    F.octet_length(raw).cast("bigint").alias("n_bytes"),
-                    F.sha2(T.replace_data_uris(html), 256).alias("html_sha256"))
+    # page and image are projected once, what reads them comes after
+    d = read(spark, sf_dir, "documents").select("doc_id", _with_data_uri().alias("html"))
+    d = d.select("doc_id", "html", T.decode_b64_lenient(T.data_uri_payloads(F.col("html"))[0]).alias("raw"))
+    return d.select("doc_id", F.sha2("raw", 256).alias("image_sha256"),
+                    F.octet_length("raw").cast("bigint").alias("n_bytes"),
+                    F.sha2(T.replace_data_uris(F.col("html")), 256).alias("html_sha256"))
 
 
 @register("meta_4_base64", """
