@@ -79,3 +79,34 @@ def test_table_chunks_hold_whole_rows_in_order(spark):
         assert [x for c in got for x in c[2:]] == [f"{i} | {'x' * (i % 37)}" for i in range(1, 400)]
         assert all(len("\n".join(c[:-1])) <= 200 for c in got) and len(got) > 30
     assert TB.table_chunks(lines.where("line_no < 2"), 200).count() == 0
+
+
+def test_layout_steps_leave_no_shuffle_files(spark):
+    """What a step shuffles goes with its table: a chain's disk is that of its largest step."""
+    import time
+    from quarry.operators import layout
+    from quarry.operators.store import write_staged
+
+    def files():
+        return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+    def settled(most):
+        for _ in range(50):
+            if files() <= most:
+                break
+            time.sleep(0.2)
+        return files() <= most
+    blocks = spark.range(4).selectExpr("1L doc_id", "1L page_no", "id block_no", "0 block_type", "0.0D x0", "id * 30.0D y0", "100.0D x1", "id * 30.0D + 20 y1")
+    spans = blocks.selectExpr("doc_id", "page_no", "block_no", "0L line_no", "0L span_no", "10.0D size", "if(block_no = 1, 16, 0) flags", "concat('w', block_no) text",
+                              "x0 + 2 sx0", "y0 sy0", "x0 + 42 sx1", "y0 + 8 sy1")
+    links = spark.sql("SELECT 1L doc_id, 1L page_no, n link_no, 0.0 x0, 0.0 y0, 200.0 x1, 20.0 y1, concat('u', n) uri FROM VALUES 1, 2 AS t(n)")
+    images = spark.sql("SELECT 1L doc_id, 1L page_no, 1 img_no, 0.0 x0, 0.0 y0, 1.0 x1, 1.0 y1, 's' sha256 WHERE false")
+    tables = spark.sql("SELECT 1L doc_id, 1L page_no, 1 table_no, 0.0 x0, 60.0 y0, 90.0 x1, 70.0 y1, '|a|b|' markdown, 2 n_rows, 2 n_cols")
+    before = files()
+    assert write_staged(spark.range(20_000).selectExpr("id % 1000 as k").groupBy("k").count(), "t-staged").count() == 1000
+    assert settled(before + 20)
+    before = files()
+    items = layout.page_items(blocks, spans, links, images, tables)
+    assert settled(before + 20), (before, files())
+    got = {r.grp: r.text for r in items.collect()}
+    assert got == {1: "[w0](u1)", 2: "# **w1**", 3: "|a|b|", 4: "w3"}
