@@ -60,10 +60,11 @@ def set_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def write_staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write a new table version to a fresh folder and read it back.  The shuffle
-    files behind it go as soon as it is written."""
+    files behind it go as soon as it is written; texts are packed tightly, as an
+    ingest holds several copies of them."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    w = df.write.mode("errorifexists")
+    w = df.write.mode("errorifexists").option("compression", "zstd")
     if partition_by:
         w = w.partitionBy(*partition_by)
     with released(spark):

@@ -43,3 +43,12 @@ def test_write_staged_never_overwrites(spark):
     a = S.write_staged(df, "staged")
     b = S.write_staged(df, "staged")
     assert a.inputFiles() != b.inputFiles() and a.count() == b.count() == 3
+
+
+def test_staged_tables_are_packed_and_free_their_shuffles(spark):
+    from quarry.operators.store import write_staged
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(key)
+    out = write_staged(spark.range(1000).selectExpr("id % 10 AS k", "repeat('text ', 50) AS t").distinct(), "t-packed")
+    assert out.count() == 10 and all(f.endswith(".zstd.parquet") for f in out.inputFiles())
+    assert spark.conf.get(key) == setting
